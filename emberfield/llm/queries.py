@@ -8,14 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .ngram_join import jaccard_join
+from .packing import pack
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the packing contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=4096, end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
