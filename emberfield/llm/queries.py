@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, url_filter
 from .common import table
 from .fingerprints import fingerprints
+from .html_text import extract_text
 from .ngram_join import jaccard_join
 from .packing import pack
 
@@ -24,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=4096, end_id=2)
 
@@ -41,7 +46,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_packing, op5_url_filters, op6_source_mixing, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_text, op4_packing, op5_url_filters, op6_source_mixing, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
