@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import language, mixing, topk, toxicity, url_filter
 from .common import table
 from .fingerprints import fingerprints
 from .html_text import extract_text
@@ -25,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -41,13 +45,21 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, most=2)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, modulus=100, scale=1024)
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_html_text, op4_packing, op5_url_filters, op6_source_mixing, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_text, op4_packing, op5_url_filters, op6_source_mixing, op7_language_id, op8_exact_top_k, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filter.ORACLE, "op6_source_mixing": mixing.ORACLE}
+    return {"op5_url_filters": url_filter.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_exact_top_k": topk.ORACLE}
