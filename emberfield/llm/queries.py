@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, topk, toxicity, url_filter
+from . import language, lm_scoring, mixing, topk, toxicity, url_filter
 from .common import table
 from .fingerprints import fingerprints
 from .html_text import extract_text
@@ -18,6 +18,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary file that the packing contract names."""
     import public_tokenizers
@@ -58,7 +62,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_text, op4_packing, op5_url_filters, op6_source_mixing, op7_language_id, op8_exact_top_k, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_text, op4_packing, op5_url_filters, op6_source_mixing, op7_language_id, op8_exact_top_k, op9_document_fingerprints, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
