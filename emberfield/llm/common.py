@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,29 @@ from pyspark.sql import functions as F
 WORD_CHARS = r"[^\x20\x09-\x0D]+"
 
 
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+    """Write a table to the shared folder and read it: it is computed once, and no later failure goes behind it."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a temporary one is used.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of durable() that no plan will read again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +50,9 @@ def ascii_lower(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star step over edges (a, b). The minimum of each neighbourhood is cut off with
-    a checkpoint, so that the join has a shuffle on either side and a node with very many
+def _star(edges: DataFrame, larger: bool) -> tuple[DataFrame, DataFrame]:
+    """One star step over edges (a, b), and the table it reads. The minimum of each neighbourhood
+    is written first, so that the join has a shuffle on either side and a node with very many
     neighbours can be split over tasks."""
     if larger:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
@@ -49,7 +62,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = durable(down.groupBy("u").agg(F.min("v").alias("m")))
         out = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), low
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -61,12 +74,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     repeated edges are allowed; an empty table gives an empty table.
     """
     now = durable(edges.select("a", "b").where("a <> b").distinct())
-    mark = None
     for _ in range(max_rounds):
-        # the xor of hashes and the count identify the edge set without moving it
-        new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if new == mark or not new[0]:
+        # stars around their smallest node: every node has one edge, and none leads on
+        state = now.agg(F.count("*"), F.count_distinct("a")).first()
+        if state[0] == state[1] and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").where("a > b").limit(1).count() == 0 and now.where("a < b").limit(1).count() == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = new
-        now = durable(_star(_star(now, True), False))
+        wide, low = _star(now, True)
+        wide = durable(wide)
+        small, lower = _star(wide, False)
+        new = durable(small)
+        forget(now, low, wide, lower)
+        now = new
     raise RuntimeError("components did not settle")
