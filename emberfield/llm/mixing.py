@@ -10,7 +10,7 @@ excess by threshold a second time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_CHARS, durable
@@ -23,15 +23,20 @@ def join_small(df: DataFrame, small: DataFrame, key: str, how: str = "inner", mo
     return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, key, how)
 
 
-def sized(docs: DataFrame, salt: str = "") -> DataFrame:
-    """doc_id, key (source, told apart from null), size in words, and position of every document."""
+def source_key() -> Column:
+    """The source, told apart from null and sorted before it."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
+
+
+def position(salt: str = "") -> Column:
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(salt)).cast("binary"))
-    return docs.select(
-        "doc_id",
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")).alias("key"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD_CHARS)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long").alias("position"),
-    )
+    return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame, salt: str = "") -> DataFrame:
+    """doc_id, key (of the source), size in words, and position of every document."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_CHARS)), F.lit(0)).cast("long")
+    return docs.select("doc_id", source_key().alias("key"), size.alias("size"), position(salt).alias("position"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
@@ -100,6 +105,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, salt: str = "") -> DataFrame:
+    """The mix itself: every document as often as the mix takes it, with the columns of docs. Texts are not shuffled."""
+    sizes = durable(sized(docs, salt))
+    limits = thresholds(sizes, durable(targets(sizes, weights, percent, most)))
+    limits = limits.select(F.col("key").alias("_key"), F.col("base").alias("_base"), F.col("last").alias("_last"))
+    out = join_small(docs.withColumn("_key", source_key()), limits, "_key")
+    copies = F.least(F.col("_base") + (position(salt) <= F.col("_last")).cast("int"), F.lit(most))
+    out = out.withColumn("_copies", copies).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 ORACLE = """
 WITH s AS (
   SELECT doc_id, coalesce('=' || source, '~') AS key,
