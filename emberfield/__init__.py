@@ -1,0 +1 @@
+"""Field-survey and burn-severity analytics on Spark."""
