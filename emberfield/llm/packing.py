@@ -10,6 +10,7 @@ a window is full; the last stretch is cut at powers of two, which need no paddin
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,50 +27,106 @@ from . import textnum as N
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
+class _Numbers(dict):
+    """Numbers chunks as they come; the new ones are listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordTokens:
     """Token ids of whole texts by a tokenizer that never joins what white space parts.
 
-    Ids of a chunk are kept and used again; the memory is emptied when it is full.
+    Ids of a chunk are kept and used again; the memory is emptied when it is full. Marks after a
+    letter or digit at a chunk's end are tokens of their own, so a chunk is learnt from its stem. Stems of
+    letters alone are encoded many to a text, and told apart by the tokenizer's word ends.
     Texts with characters on which the two might differ go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.encoder, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index, self.stems = _Numbers(), {}
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _stem_ids(self, stems: list[str]) -> None:
+        """Fill self.stems."""
+        letters = [s for s in stems if s.isalpha()]
+        for k in range(0, len(letters), 400):
+            group = letters[k : k + 400]
+            ids = self._encode([" ".join(group)])[0]
+            cut = (np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1).tolist() if ids else []
+            if len(cut) == len(group):
+                self.stems.update(zip(group, (ids[a:b] for a, b in zip([0, *cut], cut)), strict=True))  # noqa: B905
+            else:
+                self.stems.update(zip(group, self._encode(group), strict=True))
+        other = [s for s in stems if not s.isalpha()]
+        self.stems.update(zip(other, self._encode(other), strict=True))
+
+    def _learn(self) -> None:
+        words, self.index.new = self.index.new, []
+        bases, tails, stems = [], [], self.stems
+        for w in words:
+            if w.isascii():
+                w = w.lower()
+            last = w[-1]
+            if last in ".,!?" and len(w) > 1 and w[-2].lower().isalnum():
+                bases.append(w[:-1])
+                tails.append(last)
+            else:
+                bases.append(w)
+                tails.append("")
+        stems[""] = []
+        self._stem_ids([s for s in dict.fromkeys(itertools.chain(bases, tails)) if s not in stems])
+        ids = [stems[b] + stems[t] if t else stems[b] for b, t in zip(bases, tails)]  # noqa: B905
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(length.sum()))
-        start = len(self.flat) + np.cumsum(length) - length
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.flat, self.start, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum()))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.most:
+        if len(self.index) + len(self.stems) > self.most:
             self._clear()
-        plain = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list(dict.fromkeys(w for words in plain if words for w in words if w not in self.index))
-        if new:
-            self._learn(new)
+        number = self.index.__getitem__
+        plain = [None if _ODD.search(t) else np.array(list(map(number, t.split())), np.int64) for t in texts]
+        if self.index.new:
+            self._learn()
         out = []
-        for t, words in zip(texts, plain, strict=True):
-            if words is None:
+        for t, at in zip(texts, plain, strict=True):
+            if at is None:
                 out.append(np.array(self.encoder.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.fromiter((self.index[w] for w in words), np.int64, len(words))
             n = self.length[at]
             first = np.cumsum(n) - n
             out.append(self.flat[np.repeat(self.start[at] - first, n) + np.arange(int(n.sum()))])
         return out
 
 
+_KEPT: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The process's tokens of this file: a Python worker that runs several tasks goes on with what it has learnt."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokens(path)
+    return _KEPT[path]
+
+
 class Windows:
     """Open windows by fill level. Pieces are (document, start, length)."""
 
@@ -119,7 +176,7 @@ class Windows:
                     window = []
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, slice_chars: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, slice_chars: int = 2_000_000) -> DataFrame:
     """Pack whole documents into sequences of at most `window` tokens.
 
     docs: doc_id and text; other columns are ignored. A null or empty text is its end token
@@ -131,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, windows = WordTokens(tokenizer), Windows(window)
+        encode, windows = word_tokens(tokenizer), Windows(window)
         base, made = TaskContext.get().partitionId() << 40, 0
         kept: dict[int, tuple] = {}  # of documents with an open piece: id, tokens, open pieces' ids by start
         serial = 0

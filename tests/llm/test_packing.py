@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from emberfield.llm.packing import Windows, pack
+from emberfield.llm.packing import Windows, WordTokens, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,6 +38,16 @@ def test_round_trip(spark, window):
         assert at == window or at < window and at & (at - 1) == 0
 
 
+def test_tokens_equal_the_tokenizer():
+    rng = np.random.default_rng(1)
+    marks = list("abcXYZäßéÉñΣσİıﬁ’'.,!?-_123²½٣́ \t\n\u00a0\u2003\u200b中文😀") + ["'s", "n't", "...", ".\"", "</w>", "e\u0301.", "Ⅷ."]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 80))) for _ in range(400)] + ["It's. The END, the end! www.x.y 3.5, a.,b"]
+    coder, fast = Tokenizer.from_file(PATH), WordTokens(PATH, most=50)
+    for a in range(0, len(texts), 40):
+        for t, ids in zip(texts[a : a + 40], fast(texts[a : a + 40]), strict=True):
+            assert ids.tolist() == coder.encode(t, add_special_tokens=False).ids, t
+
+
 def test_level_choice_is_the_least_sum_of_squares():
     rng, size, windows = np.random.default_rng(0), 50, Windows(50)
     for d in range(2000):
