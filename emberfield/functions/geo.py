@@ -136,19 +136,32 @@ WGS_A, WGS_B = 6378137.0, 6356752.314245
 SHIFT = (-446.448, 125.157, -542.060, 20.4894e-6, -0.1502, -0.2470, -0.8421)
 
 
-def _shift(lat: Column, lon: Column, a0: float, b0: float, a1: float, b1: float, sign: int) -> tuple[Column, Column]:
-    """Latitude and longitude, in radians, on another ellipsoid."""
+def let(f, *values) -> Column:
+    """f of values that are computed once, however often f uses them: an expression would else grow with every use."""
+    bound = F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)])
+    return F.transform(F.array(bound), lambda s: f(*[s[f"v{k}"] for k in range(len(values))]))[0]
+
+
+def _shift(lat: Column, lon: Column, a0: float, b0: float, a1: float, b1: float, sign: int) -> Column:
+    """struct(lat, lon), in radians, on another ellipsoid."""
     tx, ty, tz, s, rx, ry, rz = (sign * x for x in SHIFT)
     rx, ry, rz = (x / 3600 * PI / 180 for x in (rx, ry, rz))
     e0, e1 = 1 - (b0 / a0) ** 2, 1 - (b1 / a1) ** 2
-    nu = a0 / F.sqrt(1 - e0 * F.sin(lat) * F.sin(lat))
-    x, y, z = nu * F.cos(lat) * F.cos(lon), nu * F.cos(lat) * F.sin(lon), nu * (1 - e0) * F.sin(lat)
-    x, y, z = tx + (1 + s) * x - rz * y + ry * z, ty + rz * x + (1 + s) * y - rx * z, tz - ry * x + rx * y + (1 + s) * z
-    p = F.sqrt(x * x + y * y)
-    # Bowring's closed form, exact to a micrometre on the ground
-    theta = F.atan2(z * a1, p * b1)
     ep = (a1 / b1) ** 2 - 1
-    return F.atan2(z + ep * b1 * F.pow(F.sin(theta), F.lit(3.0)), p - e1 * a1 * F.pow(F.cos(theta), F.lit(3.0))), F.atan2(y, x)
+
+    def space(lat, lon):
+        nu = a0 / F.sqrt(1 - e0 * F.sin(lat) * F.sin(lat))
+        return let(moved, nu * F.cos(lat) * F.cos(lon), nu * F.cos(lat) * F.sin(lon), nu * (1 - e0) * F.sin(lat))
+
+    def moved(x, y, z):
+        return let(ground, tx + (1 + s) * x - rz * y + ry * z, ty + rz * x + (1 + s) * y - rx * z, tz - ry * x + rx * y + (1 + s) * z)
+
+    def ground(x, y, z):
+        p = F.sqrt(x * x + y * y)
+        # Bowring's closed form, exact to a micrometre on the ground
+        return let(lambda p, t: F.struct(F.atan2(z + ep * b1 * F.pow(F.sin(t), F.lit(3.0)), p - e1 * a1 * F.pow(F.cos(t), F.lit(3.0))).alias("lat"), F.atan2(y, x).alias("lon")), p, F.atan2(z * a1, p * b1))
+
+    return let(space, lat, lon)
 
 
 def _arc(lat: Column) -> Column:
@@ -157,23 +170,23 @@ def _arc(lat: Column) -> Column:
     return AIRY_B * SCALE * ((1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin(d) * F.cos(s) + (1.875 * n**2 + 1.875 * n**3) * F.sin(2 * d) * F.cos(2 * s) - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * s))
 
 
-def _radii(lat: Column) -> tuple[Column, Column, Column]:
+def _radii(lat: Column) -> tuple[Column, Column]:
     e2 = 1 - (AIRY_B / AIRY_A) ** 2
     w = 1 - e2 * F.sin(lat) * F.sin(lat)
-    nu = AIRY_A * SCALE / F.sqrt(w)
-    rho = AIRY_A * SCALE * (1 - e2) / (w * F.sqrt(w))
-    return nu, rho, nu / rho - 1
+    return AIRY_A * SCALE / F.sqrt(w), AIRY_A * SCALE * (1 - e2) / (w * F.sqrt(w))
 
 
 def to_grid(lat, lon) -> Column:
     """struct(e, n) in metres on the British National Grid of a WGS84 position."""
-    phi, lam = _shift(F.radians(c(lat)), F.radians(c(lon)), WGS_A, WGS_B, AIRY_A, AIRY_B, 1)
-    nu, rho, eta = _radii(phi)
-    s, co, t2 = F.sin(phi), F.cos(phi), F.pow(F.tan(phi), F.lit(2.0))
-    d = lam - LON0 * PI / 180
-    north = _arc(phi) + N0 + nu / 2 * s * co * d**2 + nu / 24 * s * co**3 * (5 - t2 + 9 * eta) * d**4 + nu / 720 * s * co**5 * (61 - 58 * t2 + t2 * t2) * d**6
-    east = E0 + nu * co * d + nu / 6 * co**3 * (nu / rho - t2) * d**3 + nu / 120 * co**5 * (5 - 18 * t2 + t2 * t2 + 14 * eta - 58 * t2 * eta) * d**5
-    return F.struct(east.alias("e"), north.alias("n"))
+
+    def project(phi, d, nu, rho, t2):
+        eta, s, co, d2 = nu / rho - 1, F.sin(phi), F.cos(phi), d * d
+        north = _arc(phi) + N0 + d2 * nu * s * co * (0.5 + d2 * co * co * ((5 - t2 + 9 * eta) / 24 + d2 * co * co * (61 - 58 * t2 + t2 * t2) / 720))
+        east = E0 + d * nu * co * (1 + d2 * co * co * ((nu / rho - t2) / 6 + d2 * co * co * (5 - 18 * t2 + t2 * t2 + 14 * eta - 58 * t2 * eta) / 120))
+        return F.struct(east.alias("e"), north.alias("n"))
+
+    shifted = _shift(F.radians(c(lat)), F.radians(c(lon)), WGS_A, WGS_B, AIRY_A, AIRY_B, 1)
+    return let(lambda g: let(project, g["lat"], g["lon"] - LON0 * PI / 180, *_radii(g["lat"]), F.pow(F.tan(g["lat"]), F.lit(2.0))), shifted)
 
 
 def from_grid(e, n) -> Column:
@@ -181,11 +194,13 @@ def from_grid(e, n) -> Column:
     e, n = c(e).cast("double"), c(n).cast("double")
     phi = LAT0 * PI / 180 + (n - N0) / (AIRY_A * SCALE)
     for _ in range(4):  # Newton on the meridian arc; the residue is below a tenth of a millimetre
-        phi = phi + (n - N0 - _arc(phi)) / (AIRY_A * SCALE)
-    nu, rho, eta = _radii(phi)
-    t, co = F.tan(phi), F.cos(phi)
-    t2, d = t * t, e - E0
-    lat = phi - t / (2 * rho * nu) * d**2 + t / (24 * rho * nu**3) * (5 + 3 * t2 + eta - 9 * t2 * eta) * d**4 - t / (720 * rho * nu**5) * (61 + 90 * t2 + 45 * t2 * t2) * d**6
-    lon = LON0 * PI / 180 + d / (co * nu) - (nu / rho + 2 * t2) / (6 * co * nu**3) * d**3 + (5 + 28 * t2 + 24 * t2 * t2) / (120 * co * nu**5) * d**5
-    lat, lon = _shift(lat, lon, AIRY_A, AIRY_B, WGS_A, WGS_B, -1)
-    return F.struct(F.degrees(lat).alias("lat"), F.degrees(lon).alias("lon"))
+        phi = let(lambda phi, n: phi + (n - N0 - _arc(phi)) / (AIRY_A * SCALE), phi, n)
+
+    def unproject(phi, d, nu, rho, t):
+        eta, t2, co, d2 = nu / rho - 1, t * t, F.cos(phi), d * d / (nu * nu)
+        lat = phi - d2 * t * nu / rho * (0.5 - d2 * ((5 + 3 * t2 + eta - 9 * t2 * eta) / 24 - d2 * (61 + 90 * t2 + 45 * t2 * t2) / 720))
+        lon = LON0 * PI / 180 + d / nu / co * (1 - d2 * ((nu / rho + 2 * t2) / 6 - d2 * (5 + 28 * t2 + 24 * t2 * t2) / 120))
+        back = _shift(lat, lon, AIRY_A, AIRY_B, WGS_A, WGS_B, -1)
+        return let(lambda g: F.struct(F.degrees(g["lat"]).alias("lat"), F.degrees(g["lon"]).alias("lon")), back)
+
+    return let(lambda phi, d: let(unproject, phi, d, *_radii(phi), F.tan(phi)), phi, e - E0)
