@@ -106,7 +106,7 @@ def test_heading_anchor(spark):
 
 def test_sql_functions(spark):
     flows.sql_functions(spark)
-    assert tuple(spark.sql("SELECT tile_x(-2D, 10), tile_y(54D, 10), severity_class(270D)").first()) == (506, 330, 3)
+    assert tuple(spark.sql("SELECT tile_x(-2D, 10), tile_y(54D, 10), severity_class(270D)").first()) == (506, 328, 3)
 
 
 def test_keyset_cursor(spark, t):
