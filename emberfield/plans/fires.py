@@ -70,9 +70,9 @@ def _(t):
 POINT = "SELECT fire_id AS id, avg(cy + sy * half) AS lat, avg(cx + sx * half) AS lon FROM rings CROSS JOIN (VALUES (-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)) v(sx, sy) GROUP BY fire_id"
 
 
-@query("representative_point", f"SELECT id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM ({POINT})")
+@query("representative_point", f"SELECT id, round(lat, 9) + 0.0 AS lat, round(lon, 9) + 0.0 AS lon FROM ({POINT})")
 def _(t):
-    return X.representative_points(t["fires"]).select("id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    return X.representative_points(t["fires"]).select("id", (F.round("lat", 9) + 0.0).alias("lat"), (F.round("lon", 9) + 0.0).alias("lon"))
 
 
 @query(
