@@ -139,6 +139,7 @@ def jaccard_join(
     percent: int = 85,
     cell_shingles: int = 1_500_000,
     shard_bytes: int = 24 << 20,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Link documents whose shingle sets have 100 * |A and B| >= percent * |A or B|.
 
@@ -222,7 +223,10 @@ def jaccard_join(
                     ok[i], values[i] = ok_i, v.tobytes()
             yield pdf.drop(columns="text").assign(values=values)[ok]
 
-    sets = docs.join(member.select(F.col("rep").alias("doc_id"), "node", "copies", "block", "k", "cell"), "doc_id")
+    # few members are broadcast, behind a count; more are joined by shuffling the texts
+    members = durable(member.select(F.col("rep").alias("doc_id"), "node", "copies", "block", "k", "cell"))
+    few = members.limit(broadcast_rows + 1).count() <= broadcast_rows
+    sets = docs.join(F.broadcast(members) if few else members, "doc_id")
     sets = sets.select("node", "copies", "block", "k", "cell", "text").mapInPandas(encode, "node long, copies long, block long, k int, cell int, values binary")
     seated = sets.join(seats, ["block", "k", "cell"]).select("task", "side", "node", "copies", "values")
 

@@ -47,7 +47,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize(("seed", "cell"), [(1, 1_500_000), (2, 400)])
 def test_equals_brute_force(spark, seed, cell):
     rows = corpus(seed, 260)
-    out = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), cell_shingles=cell)
+    out = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), cell_shingles=cell, broadcast_rows=500_000 if seed == 1 else 1)
     assert sorted(map(tuple, out.collect())) == brute(rows)
 
 
