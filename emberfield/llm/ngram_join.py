@@ -200,19 +200,24 @@ def jaccard_join(
     # every node of a block, with its class; blocks are sums, not lists
     member = near.select("node", F.col("component").alias("block")).union(near.select("component", "component").distinct())
     member = durable(member.join(classes, "node"))
-    step = F.lit(100.0 / percent)
     small = member.groupBy("block").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_nodes")).withColumn("whole", (F.col("all_n") <= cell_shingles) & (F.col("all_nodes") <= 8192))
-    member = member.join(durable(small), "block").withColumn("k", F.when(F.col("whole"), F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.log(step))).cast("int"))
+    # k: the size interval, so that similar sets are in the same or in neighbouring ones
+    interval = F.expr(f"size(filter(array({', '.join(f'{h}L' for h in bounds.high)}), h -> h < n))")
+    member = member.join(durable(small), "block").withColumn("k", F.when(F.col("whole"), F.lit(0)).otherwise(interval).cast("int"))
     cells = member.groupBy("block", "k").agg(F.sum("n").alias("cell_n"), F.count("*").alias("cell_nodes"))
     cells = durable(cells.withColumn("cells", F.greatest(F.ceil(F.col("cell_n") / cell_shingles), F.ceil(F.col("cell_nodes") / 8192)).cast("int")))
     member = member.join(cells.select("block", "k", "cells"), ["block", "k"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    # a task for each pair of cells whose sizes may be similar; k apart by one at most, or two by rounding
+    # a task for each pair of cells whose sizes may be similar; a cell's product with itself joins its task with the next interval, if there is one
     sides = cells.select("block", "k", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    left = sides.select("block", F.col("k").alias("k1"), F.col("cell").alias("c1"), F.explode(F.expr("CASE WHEN k = 0 THEN array(0, 1, 2) ELSE array(k, k + 1, k + 2) END")).alias("k"))
-    pairs = left.join(sides, ["block", "k"]).where("k > k1 OR cell >= c1").select("block", "k1", "c1", F.col("k").alias("k2"), F.col("cell").alias("c2"))
+    following = cells.select("block", (F.col("k") - 1).alias("k1"), F.lit(True).alias("followed"))
+    left = sides.select("block", F.col("k").alias("k1"), F.col("cell").alias("c1")).join(following, ["block", "k1"], "left")
+    left = left.withColumn("k", F.explode(F.array(F.col("k1"), F.col("k1") + 1)))
+    pairs = left.join(sides, ["block", "k"]).where("k > k1 OR cell > c1 OR (cell = c1 AND followed IS NULL)")
+    pairs = pairs.select("block", "k1", "c1", F.col("k").alias("k2"), F.col("cell").alias("c2"))
     pairs = durable(pairs.withColumn("task", F.xxhash64("block", "k1", "c1", "k2", "c2")))
     same = "k1 = k2 AND c1 = c2"
-    seats = pairs.select("task", "block", F.col("k1").alias("k"), F.col("c1").alias("cell"), F.when(F.expr(same), F.lit(2)).otherwise(F.lit(0)).alias("side"))
+    own = F.when(F.expr(f"({same}) OR (k2 > k1 AND c2 = 0)"), F.lit(2)).otherwise(F.lit(0))
+    seats = pairs.select("task", "block", F.col("k1").alias("k"), F.col("c1").alias("cell"), own.alias("side"))
     seats = seats.union(pairs.where(f"NOT ({same})").select("task", "block", F.col("k2").alias("k"), F.col("c2").alias("cell"), F.lit(1).alias("side")))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +259,7 @@ def jaccard_join(
 
 
 def product(values: list[np.ndarray], side: np.ndarray, percent: int, rows: int = 256, columns: int = 1024, pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (a, b) whose overlap reaches the bound. side: 2 meets all, 0 and 1 meet each other.
+    """Index pairs (a, b) whose overlap reaches the bound. side: 2 meets all, 0 and 1 meet the other.
 
     Rows are ordered by size, so each block of rows meets one range of rows. Columns held by
     many rows are multiplied as dense chunks; the others are counted pair by pair.
