@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textnum as N
 from .common import components, durable, shuffle_partitions
 
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 1_500_000
 
 
 def _node(values: np.ndarray) -> int:
@@ -182,7 +182,7 @@ def jaccard_join(
                 signs.append(_signatures(values, bounds))
                 nodes.append(np.full(len(signs[-1]), node, np.int64))
                 held += len(signs[-1])
-                if held > 3_000_000:
+                if held > 1_500_000:
                     yield packed(signs, nodes)
                     signs, nodes, held, seen = [], [], 0, set()
         if held:

@@ -37,7 +37,7 @@ _POWERS = [np.zeros(0, U64), np.zeros(0, U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for the next batch."""
     if len(_POWERS[0]) < n:
-        _POWERS[0], _POWERS[1] = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
+        _POWERS[0], _POWERS[1] = _powers(_BASE, n + n // 8), _powers(_INVERSE, n + n // 8)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
