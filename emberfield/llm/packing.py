@@ -11,7 +11,6 @@ a window is full; the last stretch is cut at powers of two, which need no paddin
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import textnum as N
 
-#: Characters that str.split() takes for white space and the tokenizer does not, and marks of special tokens.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: Characters that str.split() takes for white space and the tokenizer does not, and the mark of special tokens.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
 class _Numbers(dict):
@@ -42,7 +41,7 @@ class _Numbers(dict):
 class WordTokens:
     """Token ids of whole texts by a tokenizer that never joins what white space parts.
 
-    Ids of a chunk are kept and used again; the memory is emptied when it is full. Marks after a
+    Ids of a chunk are kept and used again; the memory is emptied of what was met once when it is full. Marks after a
     letter or digit at a chunk's end are tokens of their own, so a chunk is learnt from its stem. Stems of
     letters alone are encoded many to a text, and told apart by the tokenizer's word ends.
     Texts with characters on which the two might differ go to the tokenizer as they are.
@@ -60,6 +59,20 @@ class WordTokens:
     def _clear(self) -> None:
         self.index, self.stems = _Numbers(), {}
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Make room: only chunks that were met again stay."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > self.most // 2:
+            return self._clear()
+        words = list(self.index)
+        self.index, self.stems = _Numbers(), {}
+        self.index.update((words[k], n) for n, k in enumerate(keep.tolist()))
+        n = self.length[keep]
+        first = np.cumsum(n) - n
+        self.flat = self.flat[np.repeat(self.start[keep] - first, n) + np.arange(int(n.sum()))]
+        self.start, self.length, self.used = first, n, self.used[keep]
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
@@ -101,11 +114,13 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) + len(self.stems) > self.most:
-            self._clear()
+            self._shrink()
         number = self.index.__getitem__
-        plain = [None if _ODD.search(t) else np.array(list(map(number, t.split())), np.int64) for t in texts]
+        plain = [None if any(o in t for o in _ODD) else np.array(list(map(number, t.split())), np.int64) for t in texts]
         if self.index.new:
             self._learn()
+        self.used = np.concatenate([self.used, np.zeros(len(self.index) - len(self.used), np.int64)])
+        self.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *[a for a in plain if a is not None]]), minlength=len(self.used))
         out = []
         for t, at in zip(texts, plain, strict=True):
             if at is None:
