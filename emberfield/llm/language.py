@@ -24,7 +24,7 @@ from . import textnum as N
 from .letters import gram_counts
 
 ANY_LETTER = re.compile(r"[^\W\d_]")
-SLICE_CHARS, SLICE_ROWS = 1_500_000, 256
+SLICE_CHARS, SLICE_ROWS = 500_000, 128
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -191,7 +191,7 @@ class Windows:
                     window = []
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, slice_chars: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, slice_chars: int = 2_000_000, shared: bool = True) -> DataFrame:
     """Pack whole documents into sequences of at most `window` tokens.
 
     docs: doc_id and text; other columns are ignored. A null or empty text is its end token
@@ -199,11 +199,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     placed like any other piece. Repeated rows are packed as often as they occur. Returns one
     row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Sequence ids carry the task's number, so they are unique and come out the same when a task runs again.
+    shared: a worker keeps what it learnt of the tokenizer for its next task, which takes some 200 MB; else a task forgets it.
     Each task holds its open pieces' numbers, never more texts than a batch.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, windows = word_tokens(tokenizer), Windows(window)
+        encode, windows = word_tokens(tokenizer) if shared else WordTokens(tokenizer, 500_000), Windows(window)
         base, made = TaskContext.get().partitionId() << 40, 0
         kept: dict[int, tuple] = {}  # of documents with an open piece: id, tokens, open pieces' ids by start
         serial = 0

@@ -23,7 +23,7 @@ from . import textnum as N
 from .letters import word_features
 
 SPACE, BINS = 1 << 20, 12
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 500_000
 
 
 def _shape(text: str) -> list[int]:
@@ -138,7 +138,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: list[str]) -> DataFr
         for pdf in batches:
             p = np.zeros((len(pdf), len(names)))
             texts = ["" if t is None else t for t in pdf["text"]]
-            for a, b in N.slices([1] * len(texts) if chain else [], 512):
+            for a, b in N.slices([1] * len(texts) if chain else [], 128):
                 p[a:b] = chain.predict(list(features(texts[a:b])))
             yield pdf.assign(**{c: p[:, k] for k, c in enumerate(names)})
 
