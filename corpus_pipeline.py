@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    return pack(docs, tokenizer_path(), window=4096, end_id=2, shared=False)
+    return pack(docs, tokenizer_path(), window=4096, end_id=2, slice_chars=500_000, shared=False)
 
 
 STAGES = [

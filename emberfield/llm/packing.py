@@ -204,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, windows = word_tokens(tokenizer) if shared else WordTokens(tokenizer, 500_000), Windows(window)
+        encode, windows = word_tokens(tokenizer) if shared else WordTokens(tokenizer, 200_000), Windows(window)
         base, made = TaskContext.get().partitionId() << 40, 0
         kept: dict[int, tuple] = {}  # of documents with an open piece: id, tokens, open pieces' ids by start
         serial = 0
