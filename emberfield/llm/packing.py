@@ -47,7 +47,7 @@ class WordTokens:
     Texts with characters on which the two might differ go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, suffix: str = "</w>"):
+    def __init__(self, path: str, most: int = 1_400_000, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.encoder, self.most = Tokenizer.from_file(path), most
