@@ -2,8 +2,12 @@
 
 A text is a normalised vector of hashed character 1- to 3-grams, weighted by sublinear count and
 inverse document frequency. Each language has several centroids, found by spherical k-means among its labelled
-texts; a text takes the language of the centroid with the largest cosine. A text whose best
-cosine is far below what labelled texts reach is marked as rejected.
+texts; a text takes the language of the centroid with the largest cosine.
+
+A text is rejected if its cosine is under half of what is usual in its language at its length. What is usual comes from
+labelled rows against centroids that were learnt without them: the median of each length bin (powers of two of the
+number of distinct grams, so that repetition adds no length), with straight lines between. Where too many labelled rows
+of a language would fall under that, a low quantile of their own shares is the bound.
 
 The model is fitted on a bounded sample: about `per_language` labelled rows of each language, picked by a
 hash of doc_id. Prediction reads every whole text.
@@ -25,6 +29,9 @@ from .letters import gram_counts
 
 ANY_LETTER = re.compile(r"[^\W\d_]")
 SLICE_CHARS, SLICE_ROWS = 500_000, 128
+#: The least share of the usual cosine that is accepted, the part of labelled rows that may fall under it, and
+#: the rows that a language needs for a quantile of its own, and a bin for its median.
+SHARE, UNUSUAL, OWN_ROWS, BIN_ROWS = 0.5, 0.003, 200, 5
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -32,15 +39,27 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 class Centroids:
-    """The fitted model: idf, centroids with their languages, and the least cosine that is accepted."""
+    """The fitted model: idf, centroids with their languages, and the least cosine that is accepted by language and length."""
 
-    def __init__(self, counts: np.ndarray, langs: np.ndarray, clusters: int = 4, rounds: int = 8, reject: float = 0.5):
+    def __init__(self, counts: np.ndarray, langs: np.ndarray, clusters: int = 4, rounds: int = 8):
         self.dims = counts.shape[1]
         self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
         x = self.vectors(counts)
-        self.names, centres, owner = sorted(set(langs)), [], []
+        self.names = sorted(set(langs))
+        self.centres, self.owner = self._cluster(x, langs, clusters, rounds)
+        fold, best = np.arange(len(x)) % 2, np.zeros(len(x))
+        for f in (0, 1) if len(x) > 1 else ():
+            others, _ = self._cluster(x[fold != f], langs[fold != f], clusters, rounds)
+            best[fold == f] = (x[fold == f] @ others.T).max(1)
+        self._bound((counts > 0).sum(1), best, langs)
+
+    def _cluster(self, x: np.ndarray, langs: np.ndarray, clusters: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, the language number of each)."""
+        centres, owner = [], []
         for k, name in enumerate(self.names):
             own = x[langs == name]
+            if not len(own):
+                continue
             seeds = [own.mean(0)]  # then the text least like the seeds so far
             for _ in range(min(clusters, len(own)) - 1):
                 seeds.append(own[np.argmin(np.max(own @ np.stack(seeds).T, 1))])
@@ -50,9 +69,26 @@ class Centroids:
                 c = self._unit(np.stack([own[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))]))
             centres.append(c)
             owner += [k] * len(c)
-        self.centres, self.owner = np.concatenate(centres).astype(np.float32), np.array(owner)
-        best = (x @ self.centres.T).max(1)
-        self.least = float(np.quantile(best, 0.001) * reject)
+        return np.concatenate(centres).astype(np.float32), np.array(owner)
+
+    def _bound(self, size: np.ndarray, best: np.ndarray, langs: np.ndarray) -> None:
+        """Fit usual (per language: log2 of the distinct grams, cosine) and share (the least accepted part of it)."""
+        log, some = np.log2(np.maximum(size, 1)), size > 0
+        self.usual, shares = [], []
+        for name in self.names:
+            own = some & (langs == name)
+            bins = [own & (np.floor(log) == b) for b in np.unique(np.floor(log[own]))]
+            bins = [b for b in bins if b.sum() >= BIN_ROWS] or bins
+            self.usual.append(([0.0, *(log[b].mean() for b in bins)], [0.0, *(np.median(best[b]) for b in bins)]))
+            expected = np.interp(log[own], *self.usual[-1])
+            shares.append(best[own] / np.maximum(expected, 1e-12))
+        every = np.concatenate(shares)
+        self.share = [min(SHARE, float(np.quantile(s, UNUSUAL))) if len(s) else 0.0 for s in (s if len(s) >= OWN_ROWS else every for s in shares)]
+
+    def least(self, name: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The least accepted cosine of texts with these language numbers and numbers of distinct grams."""
+        log = np.log2(np.maximum(size, 1))
+        return np.select([name == k for k in range(len(self.names))], [np.interp(log, *u) * s for u, s in zip(self.usual, self.share, strict=True)])
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -104,13 +140,15 @@ def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            lang, score, least = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
             for a, b in _slices(texts) if model else ():
-                name, cosine = model.predict(gram_counts(texts[a:b], model.dims))
+                counts = gram_counts(texts[a:b], model.dims)
+                name, cosine = model.predict(counts)
+                least[a:b] = model.least(name, (counts > 0).sum(1))
                 letters = np.array([bool(ANY_LETTER.search(t)) for t in texts[a:b]])
                 lang[a:b][letters] = np.array(model.names, object)[name[letters]]
                 score[a:b][letters] = cosine[letters]
-            yield pdf.assign(lang_pred=lang, score=score, lang_rejected=(lang == "und") | (score < (model.least if model else 0)))
+            yield pdf.assign(lang_pred=lang, score=score, lang_rejected=(lang == "und") | (score < least))
 
     schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("lang_rejected", "boolean")
     return docs.mapInPandas(task, schema)

@@ -50,6 +50,32 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert out["lang_rejected"].mean() < 0.01
 
 
+@needs_data
+def test_foreign_texts_and_random_words_are_rejected(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.fit(language.training_rows(docs))
+    rng = np.random.default_rng(3)
+    words = lambda k, low, n: " ".join("".join(chr(low + c) for c in rng.integers(0, n, rng.integers(2, 10))) for _ in range(k))
+    finnish = "Tämä on suomenkielinen kappale, jossa kerrotaan metsäpalojen jälkeisestä maaston kartoituksesta. Tutkijat kävelevät suolla ja mittaavat turpeen syvyyttä useissa kohdissa. "
+    polish = "Każdy człowiek ma prawo do wolności i bezpieczeństwa swojej osoby. Nie wolno nikogo czynić niewolnikiem ani nakładać na nikogo służebności. "
+    foreign = [finnish, finnish * 8, polish, polish * 8] + [words(k, low, n) for k in (20, 200, 1000) for low, n in ((97, 26), (0x430, 32))]
+    labelled = docs.where("n_chars BETWEEN 3 AND 400").orderBy("doc_id").limit(40).toPandas()["text"].tolist()  # short, but labelled
+    rows = [(i, t) for i, t in enumerate([*foreign, *labelled])]
+    out = language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).toPandas().set_index("doc_id").sort_index()["lang_rejected"]
+    letters_in = np.array([bool(language.ANY_LETTER.search(t)) for _, t in rows])
+    assert out[: len(foreign)].all()
+    assert letters_in[len(foreign) :].sum() > 5 and not out[len(foreign) :][letters_in[len(foreign) :]].any()
+
+
+@needs_data
+def test_repetition_does_not_reject(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.fit(language.training_rows(docs))
+    text = docs.where("lang = 'en' AND n_chars BETWEEN 300 AND 600").orderBy("doc_id").first()["text"]
+    out = language.identify(spark.createDataFrame([(1, text), (2, f"{text} " * 40)], "doc_id long, text string"), model)
+    assert not any(r["lang_rejected"] for r in out.collect())
+
+
 def test_chain_uses_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     first = rng.random(600) < 0.3
