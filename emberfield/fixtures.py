@@ -109,11 +109,11 @@ SELECT CAST(user_id AS STRING) AS device, event_id AS seq, ts, 54e0 + sum(CASE W
 FROM events""",
     "nav_targets": "SELECT CAST(c_custkey AS STRING) AS device, 'node-' || CAST(c_custkey AS STRING) AS node_id, 54e0 + (c_custkey % 40) / 1e4 AS lat, -2e0 + (c_custkey % 30) / 1e4 AS lon FROM customer",
     "comments": """
-SELECT doc_id, 54e0 + (doc_id % 100) / 1e3 AS lat, -2e0 - (doc_id % 90) / 1e3 AS lon, CASE doc_id % 6
-         WHEN 0 THEN 'moved to 54.' || CAST(100 + doc_id % 800 AS STRING) || ', -2.' || CAST(100 + doc_id % 700 AS STRING) || ' by eye'
-         WHEN 1 THEN 'at 53°' || CAST(doc_id % 50 + 10 AS STRING) || chr(39) || '43.3"N 1°' || CAST(doc_id % 40 + 10 AS STRING) || chr(39) || '19.1"W ok'
-         WHEN 2 THEN '54.12, -2.34 too short' WHEN 3 THEN '12.12345, 77.54321 is far away'
-         WHEN 4 THEN '157.12345 and 54.' || CAST(1000 + doc_id % 900 AS STRING) || ' -2.' || CAST(1000 + doc_id % 90 AS STRING) ELSE substr(text, 1, 500) END AS comment
+SELECT doc_id, 54e0 + (doc_id % 100) / 1e3 AS lat, -2e0 - (doc_id % 90) / 1e3 AS lon, coalesce(text, '') || CASE doc_id % 6
+         WHEN 0 THEN ' moved to 54.' || CAST(100 + doc_id % 800 AS STRING) || ', -2.' || CAST(100 + doc_id % 700 AS STRING) || ' by eye'
+         WHEN 1 THEN ' at 53°' || CAST(doc_id % 50 + 10 AS STRING) || chr(39) || '43.3"N 1°' || CAST(doc_id % 40 + 10 AS STRING) || chr(39) || '19.1"W ok'
+         WHEN 2 THEN ' 54.12, -2.34 too short' WHEN 3 THEN ' 12.12345, 77.54321 is far away'
+         WHEN 4 THEN ' 157.12345 and 54.' || CAST(1000 + doc_id % 900 AS STRING) || ' -2.' || CAST(1000 + doc_id % 90 AS STRING) ELSE '' END AS comment
 FROM documents""",
     "stored_tiles": """
 SELECT layer, z, x, y, fire_id, bytes FROM (
