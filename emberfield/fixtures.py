@@ -1,8 +1,8 @@
 """Survey tables derived from the given star schema.
 
 Each table is one SELECT that Spark and DuckDB both run, so an operator and the SQL
-that checks it see the same rows. Only integer arithmetic and exact divisions are used. A few
-words differ between the two dialects and stand in braces.
+that checks it see the same rows. Only integer arithmetic and exact divisions are used, but for the
+distance to a grid node. A few words differ between the two dialects and stand in braces.
 """
 
 from __future__ import annotations
@@ -45,9 +45,17 @@ SELECT uuid, k, depth FROM (
   SELECT 'measurement-' || CAST(l_orderkey AS STRING) AS uuid, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS INT) AS k,
          CASE WHEN l_quantity < 6 THEN NULL ELSE l_quantity * 2 END AS depth FROM lineitem) x WHERE k <= 5""",
     "measurements": """
-SELECT m.uuid, m.fire_id, m.lat, m.lon, m.accuracy_m, m.manual_placement, d.depths, m.combustion, m.comment, m.surveyor, m.user_id, m.status, m.created_at, m.photo_count, m.photo_pending, m.true_fire
-FROM (
-  SELECT 'measurement-' || CAST(o_orderkey AS STRING) AS uuid, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE f.id END AS fire_id, f.id AS true_fire,
+SELECT m.uuid, m.fire_id, CASE WHEN m.fire_id IS NOT NULL THEN m.true_name END AS fire_name, m.lat, m.lon, m.accuracy_m, m.manual_placement, d.depths, m.combustion,
+       CASE WHEN m.grid_m <= 60 THEN m.node END AS grid_id, CASE WHEN m.grid_m <= 60 THEN CAST(floor(m.grid_m + 5e-1) AS BIGINT) END AS grid_dist_m, m.comment, m.surveyor, m.user_id, m.user_id || '@example.org' AS user_email, m.status, m.created_at,
+       CASE WHEN NOT m.photo_pending THEN m.created_at + INTERVAL '1' MINUTE * CAST(m.o_orderkey % 600 AS INT) END AS synced_at, CASE WHEN m.o_orderkey % 13 = 0 THEN 'comment-coordinates' END AS location_source,
+       CASE WHEN NOT m.photo_pending AND m.photo_count > 0 THEN m.photo_path || '-0.jpg' END AS photo_url,
+       CASE WHEN NOT m.photo_pending AND m.photo_count > 0 THEN split(m.photo_path || '-0.jpg' || CASE WHEN m.photo_count > 1 THEN ' ' || m.photo_path || '-1.jpg' ELSE '' END || CASE WHEN m.photo_count > 2 THEN ' ' || m.photo_path || '-2.jpg' ELSE '' END, ' ') END AS photo_urls,
+       m.photo_count, m.photo_pending, m.true_fire
+FROM (SELECT x.*, 'E' || CAST(100 * i + 1000 * index_pos + 50 AS STRING) || ' N' || CAST(100 * j + 50 AS STRING) AS node, 'https://example.org/photos/' || coalesce(fire_id, 'unassigned') || '/' || uuid AS photo_path,
+       CASE WHEN fire_id IS NOT NULL THEN sqrt(pow(h * (i * 18 - 99 - dx) / 1e2 * 11132e1 * cos(radians(lat)), 2) + pow(h * (j * 18 - 99 - dy) / 1e2 * 11132e1, 2)) END AS grid_m
+FROM (SELECT y.*, least(11, (dx + 107) {DIV} 18) AS i, least(11, (dy + 107) {DIV} 18) AS j FROM (
+  SELECT 'measurement-' || CAST(o_orderkey AS STRING) AS uuid, o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE f.id END AS fire_id, f.id AS true_fire, f.index_pos, f.h, (o_orderkey % 21 - 10) * 11 + 3 AS dx, ((o_orderkey {DIV} 21) % 21 - 10) * 11 + 3 AS dy,
+         CASE WHEN coalesce(trim(f.commune), '') IN ('', '0') THEN coalesce(f.province, 'Unnamed fire') WHEN f.province IS NULL OR f.province = f.commune THEN f.commune ELSE f.commune || ', ' || f.province END AS true_name,
          f.lat0 + f.h * (((o_orderkey {DIV} 21) % 21 - 10) * 11 + 3) / 1e2 AS lat, f.lon0 + f.h * ((o_orderkey % 21 - 10) * 11 + 3) / 1e2 AS lon,
          CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 7 % 450) / 1e1 END AS accuracy_m, o_orderkey % 5 = 0 AS manual_placement,
          CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'near_complete' WHEN '2' THEN 'moderate' WHEN '3' THEN 'light' WHEN '4' THEN 'unburned' END AS combustion,
@@ -57,7 +65,7 @@ FROM (
          CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'pending_review' ELSE 'rejected' END AS status,
          o_orderdate + INTERVAL '1' SECOND * CAST(o_orderkey % 86400 AS INT) AS created_at,
          CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderkey % 4 AS INT) END AS photo_count, o_orderkey % 7 = 0 AS photo_pending
-  FROM (SELECT *, o_orderkey % nf AS home FROM orders CROSS JOIN (SELECT count(*) AS nf FROM supplier) s) o JOIN fire_base f ON f.index_pos = home) m
+  FROM (SELECT *, o_orderkey % nf AS home FROM orders CROSS JOIN (SELECT count(*) AS nf FROM supplier) s) o JOIN fire_base f ON f.index_pos = home) y) x) m
 LEFT JOIN (SELECT uuid, {LIST} AS depths FROM depth_rows GROUP BY uuid) d ON m.uuid = d.uuid""",
     "grid": """
 SELECT b.id AS fire_id, 100 AS spacing, CAST(i * 12 + j AS INT) AS node_pos, CAST(100 * i + 1000 * b.index_pos + 50 AS BIGINT) AS e, CAST(100 * j + 50 AS BIGINT) AS n,

@@ -213,13 +213,19 @@ def export_columns(measurements: DataFrame) -> DataFrame:
     depth = [F.when(F.get("depths", F.lit(i)).isNull(), "").otherwise(F.format_string("%.1f", F.get("depths", F.lit(i)))).alias(f"depth_{i + 1}") for i in range(5)]
     mean = mean_depth()
     return measurements.select(
-        "uuid", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_iso"), blank(F.col("surveyor")).alias("surveyor"), blank(F.col("fire_id")).alias("fire_id"),
+        "uuid", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_iso"), blank(F.col("surveyor")).alias("surveyor"), blank(F.col("fire_id")).alias("fire_id"), blank(F.col("fire_name")).alias("fire_name"),
         F.format_string("%.6f", "lat").alias("lat"), F.format_string("%.6f", "lon").alias("lon"), F.when(F.col("accuracy_m").isNull(), "").otherwise(geo.half_up("accuracy_m").cast("string")).alias("gps_accuracy_m"),
         F.when(F.col("manual_placement"), "yes").otherwise("no").alias("manual_placement"), *depth, F.when(mean.isNull(), "").otherwise(F.format_string("%.2f", mean)).alias("depth_mean_cm"),
-        F.coalesce(F.size(given_depths()), F.lit(0)).alias("depth_n"), blank(F.col("combustion")).alias("combustion"), blank(F.col("comment")).alias("comment"), F.coalesce("photo_count", F.lit(0)).alias("photo_count"), "status",
+        F.coalesce(F.size(given_depths()), F.lit(0)).alias("depth_n"), blank(F.col("combustion")).alias("combustion"), blank(F.col("grid_id")).alias("grid_id"), blank(F.col("grid_dist_m")).alias("grid_dist_m"),
+        blank(F.col("comment")).alias("comment"), blank(F.col("photo_url")).alias("photo_url"), F.coalesce("photo_count", F.lit(0)).alias("photo_count"), "status",
     )
 
 
 def backup_columns(measurements: DataFrame) -> DataFrame:
-    """The backup's text columns: depths joined, times as ISO text."""
-    return measurements.select("uuid", "status", "lat", "lon", "accuracy_m", mean_depth().alias("depth_mean"), F.array_join(F.transform("depths", lambda d: F.when(d.isNotNull(), F.format_string("%.1f", d)).otherwise("")), "; ").alias("depths"), "combustion", "fire_id", "comment", "surveyor", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"))
+    """The backup's text columns, in order: depths and photo addresses joined, times as ISO text."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
+    depths = F.array_join(F.transform("depths", lambda d: F.when(d.isNotNull(), F.format_string("%.1f", d)).otherwise("")), "; ").alias("depths")
+    return measurements.select(
+        "uuid", "status", "lat", "lon", "accuracy_m", mean_depth().alias("depth_mean"), depths, "combustion", "grid_id", "grid_dist_m", "fire_id", "fire_name", "comment", "surveyor",
+        "user_email", iso("created_at"), iso("synced_at"), "location_source", F.array_join("photo_urls", "; ").alias("photo_urls"),
+    )

@@ -243,9 +243,9 @@ def _depth_sql(i: int) -> str:
 
 @query(
     "export_measurements_csv",
-    f"""SELECT uuid, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_iso, coalesce(surveyor, '') AS surveyor, coalesce(fire_id, '') AS fire_id, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon,
+    f"""SELECT uuid, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_iso, coalesce(surveyor, '') AS surveyor, coalesce(fire_id, '') AS fire_id, coalesce(fire_name, '') AS fire_name, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon,
 coalesce(CAST(CAST(floor(accuracy_m + 0.5) AS BIGINT) AS VARCHAR), '') AS gps_accuracy_m, CASE WHEN manual_placement THEN 'yes' ELSE 'no' END AS manual_placement, {', '.join(map(_depth_sql, range(1, 6)))},
-coalesce(printf('%.2f', {Q.MEAN}), '') AS depth_mean_cm, CAST(coalesce({Q.COUNT}, 0) AS INT) AS depth_n, coalesce(combustion, '') AS combustion, coalesce(comment, '') AS comment, coalesce(photo_count, 0) AS photo_count, status FROM measurements""",
+coalesce(printf('%.2f', {Q.MEAN}), '') AS depth_mean_cm, CAST(coalesce({Q.COUNT}, 0) AS INT) AS depth_n, coalesce(combustion, '') AS combustion, coalesce(grid_id, '') AS grid_id, coalesce(CAST(grid_dist_m AS VARCHAR), '') AS grid_dist_m, coalesce(comment, '') AS comment, coalesce(photo_url, '') AS photo_url, coalesce(photo_count, 0) AS photo_count, status FROM measurements""",
 )
 def _(t):
     return S.export_columns(t["measurements"])
@@ -253,7 +253,8 @@ def _(t):
 
 @query(
     "export_backup",
-    f"""SELECT uuid, status, lat, lon, accuracy_m, round({Q.MEAN}, 6) AS depth_mean, array_to_string(list_transform(depths, lambda d: coalesce(printf('%.1f', d), '')), '; ') AS depths, combustion, fire_id, comment, surveyor, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at FROM measurements""",
+    f"""SELECT uuid, status, lat, lon, accuracy_m, round({Q.MEAN}, 6) AS depth_mean, array_to_string(list_transform(depths, lambda d: coalesce(printf('%.1f', d), '')), '; ') AS depths, combustion, grid_id, grid_dist_m, fire_id, fire_name, comment, surveyor,
+user_email, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at, strftime(synced_at, '%Y-%m-%dT%H:%M:%S.000Z') AS synced_at, location_source, array_to_string(photo_urls, '; ') AS photo_urls FROM measurements""",
 )
 def _(t):
     return S.backup_columns(t["measurements"]).withColumn("depth_mean", F.round("depth_mean", 6))

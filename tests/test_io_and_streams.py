@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberfield.fixtures import Tables
-from emberfield.operators import raster, survey
+from emberfield.functions import text
+from emberfield.operators import raster, spatial, survey
 from emberfield.sources import io
 from emberfield.streaming import flows
 
@@ -59,6 +60,19 @@ def test_sinks(spark, tmp_path, t):
     assert spark.read.json(str(tmp_path / "stats")).count() == spark.read.option("header", True).csv(str(tmp_path / "summary")).count()
 
 
+def test_exports_have_the_columns_of_the_reference(t):
+    field, backup = survey.export_columns(t["measurements"]), survey.backup_columns(t["measurements"])
+    assert field.columns == ["uuid", "created_iso", "surveyor", "fire_id", "fire_name", "lat", "lon", "gps_accuracy_m", "manual_placement", *[f"depth_{i}" for i in range(1, 6)], "depth_mean_cm", "depth_n", "combustion", "grid_id", "grid_dist_m", "comment", "photo_url", "photo_count", "status"]
+    assert backup.columns == ["uuid", "status", "lat", "lon", "accuracy_m", "depth_mean", "depths", "combustion", "grid_id", "grid_dist_m", "fire_id", "fire_name", "comment", "surveyor", "user_email", "created_at", "synced_at", "location_source", "photo_urls"]
+    m = t["measurements"]
+    names = {r["id"]: r["name"] for r in t["fires"].select("id", text.place_name("commune", "province").alias("name")).collect()}
+    nodes = {r["pid"]: (r["grid_id"], r["grid_dist_m"]) for r in spatial.attach_grid_nodes(m.select(F.col("uuid").alias("pid"), "fire_id", "lat", "lon"), t["grid"]).collect()}
+    found = m.collect()
+    assert all(r["fire_name"] == names.get(r["fire_id"]) and (r["grid_id"], r["grid_dist_m"]) == nodes.get(r["uuid"], (None, None)) for r in found) and nodes
+    row = next(r for r in backup.collect() if r["photo_urls"] and "; " in r["photo_urls"])
+    assert row["photo_urls"].count("; ") == next(r["photo_count"] for r in found if r["uuid"] == row["uuid"]) - 1
+
+
 def test_ingest_stream_equals_batch(spark, tmp_path, t):
     rows = t["measurements"].withColumn("depth_mean", survey.mean_depth()).withColumn("grid_id", F.lit(None).cast("string")).withColumn("submitter", F.col("user_id")).withColumn("arrived", F.col("created_at"))
     rows.where("pmod(xxhash64(uuid), 3) <> 0").write.parquet(str(tmp_path / "in" / "a"))
