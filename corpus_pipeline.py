@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberfield.llm import language, mixing, toxicity
 from emberfield.llm.common import durable, table
-from emberfield.llm.ngram_join import jaccard_join
+from emberfield.llm.ngram_join import jaccard_join, row_key
 from emberfield.llm.packing import pack
 from emberfield.llm.queries import tokenizer_path
 
@@ -30,19 +30,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 500_000) -> DataFrame:
-    """Of each group of linked texts the document with the smallest doc_id.
+    """Of each group of linked texts the row with the smallest doc_id.
 
-    Documents without a doc_id stay. Of rows that repeat a doc_id in a group, one stays. Ids that go
-    are joined by broadcast if they are few, else by shuffle.
+    Rows are judged one by one, so texts that share a doc_id go or stay on their own; rows without a doc_id stay.
+    Of rows that repeat a doc_id and its text, one stays. Rows that go are joined by broadcast if they are few, else by shuffle.
     """
-    groups = durable(jaccard_join(docs, width=4, percent=85).where("doc_id IS NOT NULL").select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.limit(1).count():  # rows that share an id: only these are compared as rows
-        again = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        docs = docs.join(twice, "doc_id", "left_anti").unionByName(again)
+    rows = durable(jaccard_join(docs, width=5, percent=80, keyed=True).where("doc_id IS NOT NULL").select("row_key", "first_key"))
+    gone = rows.where("row_key <> first_key").select("row_key").distinct()
+    twice = rows.groupBy("row_key").count().where("count > 1").select("row_key")
+    docs = docs.withColumn("row_key", row_key())
+    if twice.limit(1).count():  # repeated rows: only these are compared
+        again = docs.join(twice, "row_key", "left_semi").dropDuplicates(["doc_id", "text"])
+        docs = docs.join(twice, "row_key", "left_anti").unionByName(again)
     few = gone.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, "row_key", "left_anti").drop("row_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
@@ -133,6 +133,11 @@ def _equal_signs(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.n
     return signs[first], nodes[first], ea, eb
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text: rows that share it are repetitions of one row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def jaccard_join(
     docs: DataFrame,
     width: int = 4,
@@ -140,6 +145,7 @@ def jaccard_join(
     cell_shingles: int = 1_500_000,
     shard_bytes: int = 24 << 20,
     broadcast_rows: int = 500_000,
+    keyed: bool = False,
 ) -> DataFrame:
     """Link documents whose shingle sets have 100 * |A and B| >= percent * |A or B|.
 
@@ -148,9 +154,10 @@ def jaccard_join(
     copies included). A null or wordless text has no shingle, no link, and its own doc_id as
     component; repeated rows are documents of their own with the same doc_id; a null doc_id stays null and never
     names a component that has another. A text with fewer words than `width` is one shingle.
+    keyed: also row_key, the row_key() of the row, and first_key, that of the row with the least doc_id in its component.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row_key().alias("row_key"))
     bounds = Bounds(percent)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,10 +166,11 @@ def jaccard_join(
             for i, values in _sets(pdf["text"], width):
                 size[i] = len(values)
                 node[i] = _node(values) if len(values) else None
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "node": pd.array(node, "Int64"), "n_shingles": size})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row_key": pdf["row_key"], "node": pd.array(node, "Int64"), "n_shingles": size})
 
-    rows = durable(docs.mapInPandas(describe, "doc_id long, node long, n_shingles long"))
-    classes = durable(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
+    rows = durable(docs.mapInPandas(describe, "doc_id long, row_key long, node long, n_shingles long"))
+    lead = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("lead")
+    classes = durable(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), lead, F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     shards = max(shuffle_partitions(spark), math.ceil(total * 0.5 * 16 / shard_bytes))
 
@@ -248,14 +256,14 @@ def jaccard_join(
     found = durable(seated.groupBy("task").applyInPandas(multiply, "a long, b long, links long"))
     group = components(found.select("a", "b"))
     group = group.union(group.select("component", "component").distinct())
-    group = group.join(classes, "node").select("node", "component", "rep")
-    least = durable(group.groupBy("component").agg(F.min("rep").alias("component_id")))
-    by_node = group.join(least, "component").select("node", "component_id")
+    group = group.join(classes, "node").select("node", "component", "rep", "lead")
+    least = durable(group.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("lead").alias("first")))
+    by_node = group.join(least, "component").select("node", "component_id", "first")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     by_node = durable(by_node.join(links, "node", "left"))
-    by_node = durable(classes.join(by_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    by_node = durable(classes.join(by_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first.row_key", "lead.row_key").alias("first_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = rows.join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *(["row_key", F.coalesce("first_key", "row_key").alias("first_key")] if keyed else []))
 
 
 def product(values: list[np.ndarray], side: np.ndarray, percent: int, rows: int = 256, columns: int = 1024, pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:

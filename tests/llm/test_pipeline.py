@@ -49,3 +49,16 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_near_copies_go_by_row(spark):
+    words = lambda a, n=60: " ".join(f"w{a}x{k}" for k in range(n))
+    rows = [(1, words(1)), (1, words(1)), (2, words(1)), (2, words(2)), (3, words(3)), (3, f"{words(3)} more"), (4, None), (4, "!"), (None, words(1)), (5, words(5)), (6, f"{words(5, 48)} " + words(6, 7)), (1, words(7)), (7, words(7))]
+    edited = [f"w8x{k}" if k % 46 != 23 else f"other{k}" for k in range(460)]
+    rows += [(8, words(8, 460)), (9, " ".join(edited))]  # 406 of 506 five-word shingles shared, 417 of 497 four-word ones
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    three = [k for k in kept if k[0] == 3]
+    assert len(three) == 1 and kept.pop(three[0]) == 1  # of two like texts of one id, one
+    # 44 of 56 and 51 five-word shingles are shared by 5 and 6: under four fifths
+    assert kept == Counter([(1, words(1)), (2, words(2)), (4, None), (4, "!"), (None, words(1)), (5, words(5)), (6, rows[10][1]), (1, words(7)), (8, words(8, 460))])
