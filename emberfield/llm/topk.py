@@ -1,10 +1,10 @@
-"""Exact top-k inner products by MaxScore.
+"""Exact top-k inner products with bounds in the manner of MaxScore.
 
 A vector is a bag of weighted terms: component d with a positive value is the posting
-(d, value). A query term's bound in a shard is the largest product it can add there. Per query, the
-terms with the smallest bounds, together less than the k-th best score so far, are
-non-essential: the essential postings are traversed and summed for the whole shard, and the others are probed
-only for vectors that the remaining bounds still let compete. Shards' lists are merged by rank.
+(d, value). A query term's bound in a shard is the largest product it can add there. The split into essential and other
+terms is fixed, not MaxScore's split by bounds: the 16 terms of widest spread are traversed and summed for the whole shard. The
+exact scores of the k vectors that lead after them give one floor, which is not raised; the other terms are summed 16 at a time,
+only for vectors that the remaining bounds still let reach the floor. Shards' lists are merged by rank.
 """
 
 from __future__ import annotations
