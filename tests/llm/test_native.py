@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
 import re
+import struct
 
 import duckdb
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from emberfield.llm import fingerprints as fp
@@ -98,12 +101,56 @@ def test_fingerprints_of_edited_texts(spark, n):
         assert sum(x["near_edited"] > x["near_next"] for x in long) > 0.98 * len(long)
 
 
+def vector(text):
+    """The vector by its definition, in plain Python."""
+    h = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)
+    lines = [t for t in (x.strip(" ") for x in text.split("\n")) if t]
+    identity, count = [0] * 4, [0] * 64
+    for t in lines:
+        identity = [(s + h(struct.pack("<i", k), h(t.encode()))) & (1 << 62) - 1 for k, s in enumerate(identity)]
+        words = re.split(r"[\x20\x09-\x0D]+", t)
+        for i in range(max(1, len(words) - 1)):
+            count[(h(words[i + 1].encode(), h(words[i].encode())) if len(words) > 1 else h(words[0].encode())) & 63] += 1
+    return [*identity, sum(count), *[count[k] + (count[k + 1] << 31) for k in range(0, 64, 2)]], count
+
+
+def alike(a, b):
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) - sum(x) * sum(y) / 64
+    (va, a), (vb, b) = vector(a), vector(b)
+    norm = math.sqrt(dot(a, a) * dot(b, b))
+    return 1.0 if va == vb else max(0.0, min(1.0, dot(a, b) / norm)) if norm else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i * 3 - 40, "\n".join(" ".join(r.choice(["a", "bb", "é", "😀x"]) + str(r.randrange(30)) for _ in range(r.randrange(0, 14))) for _ in range(r.randrange(0, 9)))) for i in range(120)]
+    rows += [((1 << 60) + k, f"line one\nline {k}\n\n  and \t more " * 5) for k in range(20)] + [(5000, None), (5001, ""), (5002, "word"), (5003, " "), (5004, "one line of twelve words, and the cut falls within this line")]
+    rows += [(6000, " ".join(f"w{k % 977}" for k in range(1_100_000)) + "\nlast line")]  # over 2^20 pairs
+    got = {x["doc_id"]: x for x in fp.fingerprints(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, v int").repartition(3), bucket_chars=3000).collect()}
+    rows.sort()
+    text = lambda v: "".join(f"{x:016x}" for x in v[0])
+    for k, (i, t) in enumerate(rows):
+        t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        changed = t[: len(t) - q] + following[:q]
+        assert got[i]["fingerprint"] == text(vector(t)) and got[i]["edited_fingerprint"] == text(vector(changed))
+        assert got[i]["near_edited"] == pytest.approx(alike(t, changed), abs=1e-9) and got[i]["near_next"] == pytest.approx(alike(t, following), abs=1e-9)
+
+
+def test_ranges_start_at_keys(spark):
+    frame = spark.createDataFrame([((1 << 62) + k // 2,) for k in range(300)] + [(-(1 << 63),), ((1 << 63) - 1,)], "_key long")
+    starts = fp._starts(frame, 9)
+    assert starts == sorted(set(starts)) and starts[0] == -(1 << 63) and len(starts) > 1
+    got = frame.select("_key", fp._rank(starts, "_key").alias("r")).collect()
+    assert all(x["r"] == sum(s <= x["_key"] for s in starts) for x in got)
+
+
 def test_fingerprint_is_a_sum_of_paragraphs(spark):
     frame = spark.createDataFrame([("a b c\nd e\nlone", "lone\n a b c \nd e", "d e\nlone", "a b c")], "x string, y string, z string, p string")
     for c in "xyzp":
         frame = fp.with_vector(frame, c, c + "v")
     row = frame.select(fp.text_of("xv").alias("x"), fp.text_of("yv").alias("y"), fp.add("zv", "pv").alias("grown"), "xv", "zv", fp.add("xv", "pv", -1).alias("cut")).first()
-    assert row["x"] == row["y"] and row["grown"] == row["xv"] and row["cut"] == row["zv"] and re.fullmatch("[0-9a-f]{400}", row["x"])
+    assert row["x"] == row["y"] and row["grown"] == row["xv"] and row["cut"] == row["zv"] and re.fullmatch("[0-9a-f]{592}", row["x"])
 
 
 def test_fingerprints_empty(spark):
