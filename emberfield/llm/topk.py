@@ -1,102 +1,124 @@
-"""Exact top-k inner products with bounds in the manner of MaxScore.
-
-A vector is a bag of weighted terms: component d with a positive value is the posting
-(d, value). A query term's bound in a shard is the largest product it can add there. The split into essential and other
-terms is fixed, not MaxScore's split by bounds: the 16 terms of widest spread are traversed and summed for the whole shard. The
-exact scores of the k vectors that lead after them give one floor, which is not raised; the other terms are summed 16 at a time,
-only for vectors that the remaining bounds still let reach the floor. Shards' lists are merged by rank.
+"""Exact top-k inner products by MaxScore.
+
+A vector is a bag of weighted terms: component d is a posting (d, weight). Vectors are dealt into shards, a shard is kept
+as posting lists in blocks of ascending vec_id, and a block knows the largest and the smallest weight of each term.
+From these follows the most that a query's term can add in the block. Terms are ordered by that bound. Those at the end whose
+bounds together stay within the k-th best score so far are non-essential: no vector gets into the result by them alone. The
+postings of the essential terms are traversed, and only vectors that are still competitive are probed for the others, step by step.
+The k-th score rises with every block, and the split moves with it; a block whose bounds stay below it is skipped.
+Shards' lists are merged by rank.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, shuffle_partitions
 
 
 def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id and v, array<int> of floor(scale * x); vectors null, empty, or with null or non-finite components are left out."""
+    """vec_id and v, array<bigint> of floor(scale * x); vectors null, empty, or with null or non-finite components are left out.
+
+    Components beyond 64 bits become the nearest 64-bit integer.
+    """
     ok = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("v"))
 
 
-def max_score(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k best in one shard, ties to the smaller id, its own id left out.
-
-    Exact in int64. Vectors are ordered by id, so positions break ties as ids do.
-    """
-    order = np.argsort(ids, kind="stable")
-    ids, shard = ids[order], shard[order]
-    high, low = shard.max(0), shard.min(0)
-    postings = np.ascontiguousarray(shard.T)  # one list of weights for each term
-    out: tuple[list, list, list] = ([], [], [])
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * shard.shape[1] < 2**52
-    postings = postings.astype(np.float64) if exact else postings
-    for row, q in enumerate(queries):
-        bound = np.maximum(q * high, q * low)  # the most that a term can add, negative where it can only take
-        spread = bound - np.minimum(q * high, q * low)
-        terms = np.argsort(-spread, kind="stable")  # essential terms first
-        rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])
-        q = q.astype(postings.dtype)
-        use = ids != own[row]
-        # a first threshold: the exact scores of the vectors that lead after the essential terms
-        head = terms[:step]
-        partial = q[head] @ postings[head]
-        at = np.flatnonzero(use)
-        if len(at) > k:
-            lead = at[np.argpartition(-partial[at], k - 1)[:k]]
-            floor = (partial[lead] + q[terms[step:]] @ postings[terms[step:]][:, lead]).min()
-        else:
-            floor = -math.inf
-        at = at[partial[at] + rest[min(step, len(terms))] >= floor]
-        score = partial[at]
-        for a in range(step, len(terms), step):
-            part = terms[a : a + step]
-            score = score + q[part] @ postings[np.ix_(part, at)]
-            still = score + rest[min(a + step, len(terms))] >= floor
-            at, score = at[still], score[still]
-        best = np.lexsort((at, -score))[:k]
-        out[0].append(np.full(len(best), row))
-        out[1].append(ids[at[best]])
-        out[2].append(score[best].astype(np.int64))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-
-
-def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, shard_rows: int = 20_000, block_rows: int = 2_000) -> DataFrame:
+class Shard:
+    """Posting lists of vectors, in blocks by ascending id. `products` counts the products of weights that searches have made."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block: int = 4096):
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        self.blocks = [(ids[a : a + block], float(np.abs(vectors[a : a + block].astype(float)).max(initial=0)), {np.int64: np.ascontiguousarray(vectors[a : a + block].T)}) for a in range(0, len(ids), block)]
+        self.bounds = [(p[np.int64].max(1), p[np.int64].min(1)) for _, _, p in self.blocks]
+        self.products = 0
+
+    def search(self, q: np.ndarray, own: int, k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best for one query, ties to the smaller id, its own id left out. Exact: products too large for
+        doubles, or for 64 bits, are made in integers, or in Python's; a score beyond 64 bits counts as the nearest integer of 64 bits."""
+        widest = float(np.abs(q.astype(float)).max(initial=0)) * len(q)
+        given, best_ids, best, floor = q, np.zeros(0, np.int64), np.zeros(0), -math.inf
+        for (ids, most, kinds), (high, low) in zip(self.blocks, self.bounds, strict=True):
+            kind = np.float64 if widest * most < 2**52 else np.int64 if widest * most < 2**62 else object
+            if kind not in kinds:
+                kinds[kind] = kinds[np.int64].astype(kind)
+            postings, q, high, low = kinds[kind], given.astype(kind), high.astype(kind), low.astype(kind)
+            bound = np.maximum(q * high, q * low)
+            terms = np.argsort(-bound, kind="stable")
+            rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # the most that the terms from here on can add
+            within = np.flatnonzero(rest <= floor)
+            essential = int(within[0]) if len(within) else len(terms)
+            if not essential and len(best) == k:
+                continue
+            score, product = np.zeros(len(ids), kind), np.zeros(len(ids), kind)
+            for t in terms[:essential]:
+                np.multiply(postings[t], q[t], out=product)
+                score += product
+            self.products += essential * len(ids)
+            at = np.flatnonzero((score + rest[essential] > floor) & (ids != own))
+            score = score[at]
+            for a in range(essential, len(terms), step):
+                if not len(at):
+                    break
+                part = terms[a : a + step]
+                score = score + q[part] @ postings[np.ix_(part, at)]
+                self.products += len(part) * len(at)
+                still = score + rest[min(a + step, len(terms))] > floor
+                at, score = at[still], score[still]
+            if kind is object:
+                score = np.clip(score, -(1 << 63), (1 << 63) - 1)
+            best_ids, best = np.concatenate([best_ids, ids[at]]), np.concatenate([best, score])
+            order = np.lexsort((best_ids, -best))[:k]
+            best_ids, best = best_ids[order], best[order]
+            floor = best[-1] if len(best) == k else -math.inf  # later blocks have larger ids, so equals come too late
+        return best_ids, np.array([int(x) for x in best], np.int64)
+
+
+def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, shard_rows: int = 100_000, block_rows: int = 4096) -> DataFrame:
     """The k best vectors, by integer inner product, for each vector whose vec_id is divisible by `modulus`.
 
     vectors: vec_id and embedding; other columns are ignored. Returns query_id, rank (from 1), vec_id, score, ties
     to the smaller vec_id. Rows left out by integers() take no part, nor do rows with a null vec_id. A repeated vec_id is as
     many candidates, and one query for each of its distinct vectors is answered once for the id's first vector in array order.
-    Vectors of another length than the query have no product with it and are no candidates.
-    Every task holds one shard of vectors and one block of queries; both sides are cut, so neither has to fit in memory.
+    Vectors of another length than the query have no product with it and are no candidates. Scores beyond 64 bits count
+    as the nearest 64-bit integer. An empty table gives an empty table.
+    A task holds one shard of vectors, `shard_rows` or so; queries pass through it in batches. Vectors are shuffled once, queries to
+    every shard.
     """
     rows = integers(vectors, scale).where("vec_id IS NOT NULL").withColumn("n", F.size("v"))
-    counts = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % modulus == 0, 1))).first()
-    shards, blocks = max(1, math.ceil(counts[0] / shard_rows)), max(1, math.ceil(counts[1] / block_rows))
-    packed = rows.withColumn("data", F.col("v").cast("array<bigint>"))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "data"), F.lit(n)).cast("int")
-    candidates = packed.withColumn("shard", deal(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("n", "shard", "block", F.lit(False).alias("query"), "vec_id", "data")
-    asked = packed.where(F.col("vec_id") % modulus == 0).groupBy("vec_id", "n").agg(F.min("data").alias("data"))
-    first = asked.groupBy("vec_id").agg(F.min("n").alias("n"))
-    asked = asked.join(first, ["vec_id", "n"])
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("n", "shard", "block", F.lit(True).alias("query"), "vec_id", "data")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_query = pdf["query"].to_numpy()
-        q, c = pdf[is_query], pdf[~is_query]
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        own = q["vec_id"].to_numpy()
-        row, ids, score = max_score(np.stack(q["data"].to_numpy()).astype(np.int64), own, c["vec_id"].to_numpy(), np.stack(c["data"].to_numpy()).astype(np.int64), k)
-        return pd.DataFrame({"query_id": own[row], "vec_id": ids, "score": score})
-
-    found = durable(candidates.union(asked).groupBy("n", "shard", "block").applyInPandas(search, "query_id long, vec_id long, score long"))
+    total = rows.count()
+    shards = max(math.ceil(total / shard_rows), min(shuffle_partitions(vectors.sparkSession), math.ceil(total / block_rows)), 1)
+    # the number of the input's partition spreads rows that repeat an id and its vector
+    shard = F.pmod(F.xxhash64("vec_id", "v", F.spark_partition_id()), F.lit(shards)).cast("int")
+    candidates = rows.select("n", shard.alias("shard"), F.lit(False).alias("query"), "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min(F.struct("n", "v")).alias("q"))
+    asked = asked.select("q.n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "q.v")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, data, shard = [], [], None
+        for pdf in batches:
+            query = pdf["query"].to_numpy(bool)
+            if not query.all():
+                ids.append(pdf["vec_id"].to_numpy()[~query])
+                data.append(np.stack(pdf["v"].to_numpy()[~query]).astype(np.int64))
+            if not query.any() or not ids:
+                continue
+            shard = shard or Shard(np.concatenate(ids), np.concatenate(data), block_rows)
+            own = pdf["vec_id"].to_numpy()[query]
+            found = [shard.search(np.asarray(q, np.int64), i, k) for q, i in zip(pdf["v"].to_numpy()[query], own, strict=True)]
+            yield pd.DataFrame({"query_id": np.repeat(own, [len(x) for x, _ in found]), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([s for _, s in found])})
+
+    # sorted within a shard: its vectors come before the queries
+    dealt = candidates.union(asked).repartition(max(shards, shuffle_partitions(vectors.sparkSession)), "n", "shard").sortWithinPartitions("n", "shard", "query")
+    found = durable(dealt.groupBy("n", "shard").applyInPandas(search, "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

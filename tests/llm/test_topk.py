@@ -1,9 +1,12 @@
 import math
+import os
 
 import numpy as np
 import pytest
 
-from emberfield.llm.topk import top_k
+from emberfield.llm.topk import Shard, integers, top_k
+
+DATA = "/root/testdata/sf0.1"
 
 
 def brute(rows, k=10):
@@ -19,10 +22,10 @@ def brute(rows, k=10):
 def test_equals_brute_force(spark, shard):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 24))
-    rows = [(i, [float(np.float32(x)) for x in base[i % 6] + 0.3 * rng.normal(size=24)]) for i in range(1000)]
+    rows = [(i, [float(np.float32(x)) for x in base[i % 6] + 0.3 * rng.normal(size=24)]) for i in range(400)]
     rows += [(2000, rows[0][1]), (2001, rows[0][1]), (3000, None), (3100, []), (3200, [1.0, None]), (3300, [float("nan")] * 24), (3400, [float("inf")] * 24), (3500, [1.0, 2.0]), (3501, [0.5, -2.0]), (None, rows[0][1])]
     rows += [(5000, [0.0] * 24)]
-    out = top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int"), shard_rows=shard, block_rows=5 if shard < 100 else 2000)
+    out = top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int"), shard_rows=shard, block_rows=10 if shard < 100 else 4096)
     assert sorted(map(tuple, out.collect())) == brute(rows)
 
 
@@ -30,3 +33,22 @@ def test_few_and_none(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     got = top_k(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (7, [2.0]), (8, [2.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted(map(tuple, got)) == [(0, 1, 7, 2097152), (0, 2, 8, 2097152)]
+
+
+def test_wide_components_are_exact(spark):
+    rows = [(0, [4e6, 1e16]), (1, [4e6, 1e16]), (2, [-4e6, -1e16]), (3, [1.0, 1.0]), (4, [4e6, 1e15]), (100, [2.0, 1.0]), (5, [1e300, 0.0])]
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).orderBy("query_id", "rank").collect()]
+    top = (1 << 63) - 1
+    assert got == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, top), (100, 1, 0, top), (100, 2, 1, top), (100, 3, 4, top)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_the_split_moves_and_saves_products(spark):
+    rows = integers(spark.read.parquet(f"{DATA}/embeddings.parquet")).orderBy("vec_id").toPandas()
+    ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
+    shard = Shard(ids, vectors, block=100)
+    for i in range(0, len(ids), 100):
+        got, score = shard.search(vectors[i], ids[i], 10)
+        want = sorted((-int(s), int(j)) for s, j in zip(vectors @ vectors[i], ids, strict=True) if j != ids[i])[:10]
+        assert list(zip(-score, got, strict=True)) == want
+    assert shard.products < 0.8 * len(ids[::100]) * vectors.size
