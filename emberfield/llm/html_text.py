@@ -3,12 +3,14 @@
 A page is read into a small element tree. Navigation, notices, adverts, forms, comments
 and the like are taken out. Every paragraph then passes points, for its length and its
 commas, to its ancestors, less with distance; a container's points are discounted by the share of
-its text that stands in links. The best container is kept, with those siblings whose points come near
-or that are plain prose; an enclosing article element is kept whole.
+its text that stands in links. The best container, or the article or main element around it, is kept, with those
+siblings whose points come near or that are plain prose, and what stands between these. Of containers with equal
+points the one that got its first points first is the best.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -16,8 +18,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+)>|<[!?/][^>]*+>", re.S)
+from .textnum import release
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^>]*+)>")
+NAME = re.compile("</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
 COMMAS = re.compile("[,،、，﹐︑︐]")
@@ -28,13 +33,18 @@ DROP = RAW | {"head", "nav", "footer", "aside", "form", "noscript", "template",
 BLOCK = {"html", "body", "address", "article", "blockquote", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "header", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "nav", "aside", "footer", "form"}
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"p": BLOCK - {"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "head": {"body"}}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WALLS = {"ul": {"li"}, "ol": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th", "p", "li", "dt", "dd"}, "td": {"p", "li"}, "th": {"p", "li"}, "article": {"p"}, "section": {"p"}, "div": {"p", "li", "dt", "dd"}, "body": {"p"}, "html": set()}
 UNLIKELY = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist disqus reply replies respond discussion pagination pager paging skip hidden copyright legal disclaimer alert teaser teasers trending outbrain taboola".split()
 )
+#: Words that an article's own parts may bear too, beside one of the following words.
+EITHER = {"header", "masthead", "teaser", "teasers"}
 LIKELY = {"article", "main", "content", "body", "post", "entry", "story", "text"}
+#: A name with one of these speaks of the page around, as has-sidebar.
+ABOUT = {"has", "with", "no", "without", "layout"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form", "status"}
 
 
@@ -46,6 +56,12 @@ class Node:
         self.children: list[Node | str] = []
         self.score, self.size, self.link = 0.0, 0, 0
 
+    @classmethod
+    def of_text(cls, text: str) -> Node:
+        node = cls("p", None, False)
+        node.children.append(text)
+        return node
+
 
 def _unlikely(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element, by its tag or attributes, is not part of the text. inside: of an article or main."""
@@ -59,8 +75,27 @@ def _unlikely(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    words = set(WORD.findall((found.get("class", "") + " " + found.get("id", "")).lower()))
-    return bool(words & UNLIKELY) and not words & LIKELY
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        words = set(WORD.findall(name.lower()))
+        if words & UNLIKELY and not words & ABOUT and not (words & LIKELY and words & UNLIKELY <= EITHER):
+            return True
+    return False
+
+
+class _Ends:
+    """Where tags end, for a page on which one has no end by its quotes: made once, then asked by position."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in re.finditer("[>\"']", page)]
+        end, after = [-1] * (len(self.at) + 1), {}
+        for k in range(len(self.at) - 1, -1, -1):  # from outside quotes: at > itself, else as after the closing quote
+            mark = page[self.at[k]]
+            end[k] = self.at[k] if mark == ">" else end[after[mark] + 1] if mark in after else -1
+            after[mark] = k
+        self.end = end
+
+    def __call__(self, start: int) -> int:
+        return self.end[bisect.bisect_left(self.at, start)]
 
 
 def parse(page: str) -> Node:
@@ -68,6 +103,7 @@ def parse(page: str) -> Node:
     root = Node("html", None, False)
     at, now, end, depth, last = 0, root, len(page), 0, page.rfind(">")
     open_tags: list[Node] = [root]
+    ends: _Ends | None = None
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -79,7 +115,14 @@ def parse(page: str) -> Node:
         if lt > last and not page.startswith("<!--", lt):
             now.children.append(page[lt:])
             break
-        m = TOKEN.match(page, lt) or LOOSE.match(page, lt)
+        if not ends or not NAME.match(page, lt):
+            m = TOKEN.match(page, lt)
+        elif (stop := ends(lt)) >= 0:
+            m = TOKEN.match(page, lt, stop + 1)
+        else:
+            m = None
+        if not m and (m := LOOSE.match(page, lt)):
+            ends = ends or _Ends(page)
         if not m:
             now.children.append("<")
             at = lt + 1
@@ -223,30 +266,51 @@ def main_text(page: str | None) -> str:
     up = best
     while up is not None:
         if up.tag in ("article", "main") and density(up) < 0.5:
-            return "\n\n".join(blocks([up]))
+            best = up
+            break
         up = up.parent
-    if best.parent is None:
-        return "\n\n".join(blocks([best]))
-    kept = []
-    for s in best.parent.children:
-        if isinstance(s, str) or s.drop:
-            continue
-        prose = s.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and (s.size > 70 and density(s) < 0.25 or s.size and not s.link and (s.tag[0] == "h" or "." in "".join(blocks([s]))[-2:]))
-        if s is best or prose or s.score * (1 - density(s)) >= max(8, 0.2 * points):
-            kept.append(s)
-    return "\n\n".join(blocks(kept))
+    return "\n\n".join(blocks(_with_siblings(best, points)))
+
+
+def _with_siblings(best: Node, points: float) -> list[Node]:
+    """The best container and those siblings that belong to it, in page order."""
+    if best.parent is None or best.tag == "main":
+        return [best]
+    around = [s for s in best.parent.children if not (isinstance(s, str) and not s.strip()) and not (isinstance(s, Node) and s.drop)]
+
+    def belongs(s: Node | str) -> bool:
+        if s is best:
+            return True
+        if isinstance(s, str) or not s.size:
+            return False
+        density = s.link / s.size
+        if s.tag in ("p", "pre", "blockquote"):
+            return s.size > 70 and density < 0.25 or not s.link and "." in "".join(blocks([s]))[-2:]
+        return s.score * (1 - density) >= 0.2 * points or s.tag == best.tag and s.tag in ("article", "section") and s.score > 0 and density < 0.25
+
+    def joins(s: Node | str) -> bool:
+        """Whether it belongs if its neighbours do: bare text, headings, lists and the like with few links."""
+        return isinstance(s, str) or s.tag in HEADINGS and not s.link or s.tag not in ("p", "div") and s.link < 0.25 * s.size
+
+    kept = [k for k, s in enumerate(around) if belongs(s)]
+    first = kept[0]
+    while first and isinstance(around[first - 1], Node) and around[first - 1].tag in HEADINGS and not around[first - 1].link:
+        first -= 1
+    return [Node.of_text(s) if isinstance(s, str) else s for k, s in enumerate(around) if first <= k <= kept[-1] and (k in kept or joins(s))]
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """Main text of every page.
 
-    pages: page_id, url, html; other columns are ignored. A null or empty html gives an empty text. Returns one
-    row for each row: page_id, url, text, n_chars (code points). A page is handled alone, in memory linear in its length.
+    pages: page_id, url, html; other columns are ignored. A null or empty html gives an empty text; repeated rows give equal texts;
+    an empty table gives an empty table. Returns one row for each row: page_id, url, text, n_chars (code points). A page is handled
+    alone, in time and memory linear in its length.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [main_text(h).encode("utf-8", "replace").decode() for h in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            release()
 
     return pages.selectExpr("cast(page_id as long) AS page_id", "url", "html").mapInPandas(task, "page_id long, url string, text string, n_chars long")
