@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,14 @@ WORD_CHARS = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Only a local session, which is one process on one
+    machine, may leave it unset and then gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 _LOCAL: dict[str, str] = {}
@@ -45,6 +52,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def join_small(df: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = 50_000) -> DataFrame:
+    """Join with a table of one short row a key: broadcast only if it has at most `most` rows."""
+    return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, key, how)
+
+
 def ascii_lower(text):
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

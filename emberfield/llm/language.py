@@ -9,8 +9,8 @@ labelled rows against centroids that were learnt without them: the median of eac
 number of distinct grams, so that repetition adds no length), with straight lines between. Where too many labelled rows
 of a language would fall under that, a low quantile of their own shares is the bound.
 
-The model is fitted on a bounded sample: about `per_language` labelled rows of each language, picked by a
-hash of doc_id. Prediction reads every whole text.
+The model is fitted on a bounded sample of labelled rows of each language (see fit), picked by a hash of doc_id. Prediction reads
+every whole text.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import textnum as N
+from .common import durable, join_small
 from .letters import gram_counts
 
 ANY_LETTER = re.compile(r"[^\W\d_]")
@@ -105,14 +105,20 @@ class Centroids:
         return self.owner[best], np.clip(cosine[np.arange(len(best)), best], 0, 1)
 
 
-def fit(docs: DataFrame, per_language: int = 800, dims: int = 2048, clusters: int = 4) -> Centroids | None:
-    """Fit on rows with doc_id, text and lang; None if no row has all three."""
+def fit(docs: DataFrame, per_language: int = 800, dims: int = 2048, clusters: int = 4, sample_rows: int = 20_000, least_rows: int = 8) -> Centroids | None:
+    """Fit on rows with doc_id, text and lang; None if no row has all three.
+
+    Every language is learnt. The sample that the driver fits on has about `per_language` rows of each; with many languages
+    their number falls, so that the sample has about `sample_rows` rows, but not below `least_rows` of each. Rows of a language that repeat
+    a doc_id count once, with the least text. Null ids, texts and languages are left out.
+    """
     docs = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1 << 30, per_language * (1 << 20) // r["count"] + 1)).otherwise(share)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share)
+    hashed = docs.withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)))
+    found = durable(hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("first")))
+    rows = min(per_language, max(least_rows, sample_rows // max(1, found.count())))
+    # a share of the hash range for each language, which holds one of its rows at least: one row a language
+    shares = found.select("lang", F.greatest("first", F.expr(f"bigint({rows}) * {1 << 20} div n")).alias("share"))
+    picked = join_small(hashed, shares, "lang").where("at <= share").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -128,18 +134,18 @@ def fit(docs: DataFrame, per_language: int = 800, dims: int = 2048, clusters: in
     return Centroids(np.stack([np.frombuffer(d, np.uint16) for d in rows["data"]]), rows["lang"].to_numpy(), clusters)
 
 
-def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
-    """Adds lang_pred, score (the cosine, 0 to 1) and lang_rejected to docs, which needs only text.
+def predicted(model: Centroids | None, text: str = "text") -> Column:
+    """struct(lang_pred, score, lang_rejected) of a text column; only the texts go to Python.
 
-    A null text, or one without a letter, is `und` with score 0 and rejected; so is every text if there is no model.
-    Columns of these names are replaced.
+    score is the cosine, 0 to 1; of centroids with one cosine the first counts, by language and then by order of clusters. A
+    null text, or one without a letter, is `und` with score 0 and rejected; so is every text if there is no model. A very
+    long text is one slice of its own, in memory linear in its length.
     """
-    names = ("lang_pred", "score", "lang_rejected")
-    docs = docs.drop(*names)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf["text"]]
+    @F.pandas_udf("lang_pred string, score double, lang_rejected boolean")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch]
             lang, score, least = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
             for a, b in _slices(texts) if model else ():
                 counts = gram_counts(texts[a:b], model.dims)
@@ -148,10 +154,18 @@ def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
                 letters = np.array([bool(ANY_LETTER.search(t)) for t in texts[a:b]])
                 lang[a:b][letters] = np.array(model.names, object)[name[letters]]
                 score[a:b][letters] = cosine[letters]
-            yield pdf.assign(lang_pred=lang, score=score, lang_rejected=(lang == "und") | (score < least))
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "lang_rejected": (lang == "und") | (score < least)})
+            N.release()
 
-    schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("lang_rejected", "boolean")
-    return docs.mapInPandas(task, schema)
+    return predict(text)
+
+
+def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
+    """Adds lang_pred, score and lang_rejected of predicted() to docs, which needs only text. Columns of these names are replaced."""
+    names = ("lang_pred", "score", "lang_rejected")
+    free = next(f"_predicted{k}" for k in range(len(docs.columns) + 1) if f"_predicted{k}" not in docs.columns)
+    out = docs.withColumn(free, predicted(model))
+    return out.select(*[c for c in docs.columns if c not in names], *[F.col(free)[c].alias(c) for c in names])
 
 
 def training_rows(docs: DataFrame, parts: int = 3) -> DataFrame:
@@ -162,7 +176,8 @@ def training_rows(docs: DataFrame, parts: int = 3) -> DataFrame:
 def predict_languages(docs: DataFrame, per_language: int = 800) -> DataFrame:
     """doc_id, held_out, lang_pred, score, lang_rejected of every document, learnt from those not held out.
 
-    docs: doc_id, text, lang; other columns are ignored. A null doc_id is not held out and not learnt from.
+    docs: doc_id, text, lang; other columns are ignored. A null doc_id is not held out and not learnt from. Repeated rows are
+    predicted as often as they occur, alike; an empty table gives an empty table. Nulls, ties and very long texts: see predicted().
     """
     model = fit(training_rows(docs), per_language)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

@@ -13,16 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CHARS, durable
+from .common import WORD_CHARS, durable, forget, join_small
 
 BITS, LEVELS = 12, 5
 
 
-def join_small(df: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = 50_000) -> DataFrame:
-    """Join with a table of one short row a key: broadcast only if it has at most `most` rows."""
-    return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, key, how)
-
-
 def source_key() -> Column:
     """The source, told apart from null and sorted before it."""
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
@@ -70,7 +65,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     shift = BITS * (LEVELS - 1)
     base = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     state = durable(goals.withColumn("base", base.cast("int")).withColumn("left", F.col("target") - F.col("base") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")))
-    rows = sizes.select("key", "size", "position")
+    rows, scratch_rows = sizes.select("key", "size", "position"), []
     for level in range(LEVELS):
         at = shift - BITS * level
         sums = rows.groupBy("key", F.shiftright("position", at).alias("bucket")).agg(F.sum("size").alias("n"))
@@ -85,7 +80,10 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         state = durable(state.select("key", "source_size", "target", "base", (F.col("left") - F.coalesce(F.col("edge")["before"], F.lit(0))).alias("left"), prefix.alias("prefix"), F.col("edge").isNotNull().alias("open")))
         if level < LEVELS - 1:
             rows = join_small(rows, state.where("open").select("key", F.col("prefix").alias("edge_prefix")), "key")
-            rows = durable(rows.where(F.shiftright("position", at) == F.shiftright("edge_prefix", at)).select("key", "size", "position"))
+            inner = durable(rows.where(F.shiftright("position", at) == F.shiftright("edge_prefix", at)).select("key", "size", "position"))
+            forget(*scratch_rows)
+            rows, scratch_rows = inner, [inner]
+    forget(*scratch_rows)
     return state.select("key", "source_size", "target", "base", (F.col("prefix") - 1).alias("last"))
 
 
@@ -106,14 +104,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, salt: str = "") -> DataFrame:
-    """The mix itself: every document as often as the mix takes it, with the columns of docs. Texts are not shuffled."""
+    """The mix itself: every document as often as the mix takes it, with the columns of docs, whatever their names.
+
+    docs: doc_id, text, source and any others. Nulls, repeated rows, ties and empty tables: as in mix(). Documents of which the
+    mix takes no copy are left out. Texts are read whole, however long, and not shuffled.
+    """
     sizes = durable(sized(docs, salt))
     limits = thresholds(sizes, durable(targets(sizes, weights, percent, most)))
-    limits = limits.select(F.col("key").alias("_key"), F.col("base").alias("_base"), F.col("last").alias("_last"))
-    out = join_small(docs.withColumn("_key", source_key()), limits, "_key")
-    copies = F.least(F.col("_base") + (position(salt) <= F.col("_last")).cast("int"), F.lit(most))
-    out = out.withColumn("_copies", copies).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    forget(sizes)
+    rows = docs.select(F.struct("*").alias("row"), source_key().alias("key"), position(salt).alias("position"))
+    out = join_small(rows, limits.select("key", "base", "last"), "key")
+    copies = F.least(F.col("base") + (F.col("position") <= F.col("last")).cast("int"), F.lit(most))
+    return out.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = """

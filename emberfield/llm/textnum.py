@@ -7,7 +7,10 @@ a whole-array operation, so the cost is some nanoseconds a byte.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -32,13 +35,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POWERS = [np.zeros(0, U64), np.zeros(0, U64)]
+KEPT_POWERS = 2_000_000
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the next batch."""
-    if len(_POWERS[0]) < n:
-        _POWERS[0], _POWERS[1] = _powers(_BASE, n + n // 8), _powers(_INVERSE, n + n // 8)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of the base and of its inverse, kept for the next batch unless a very long text needed them."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    up, down = _powers(_BASE, n + n // 8), _powers(_INVERSE, n + n // 8)
+    if n <= KEPT_POWERS:
+        _POWERS[:] = up, down
+    return up[:n], down[:n]
+
+
+def release() -> None:
+    """Give freed buffers back to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # not glibc
 
 
 def words(texts) -> tuple[np.ndarray, np.ndarray]:

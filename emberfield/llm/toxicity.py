@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import textnum as N
 from .letters import word_features
@@ -102,50 +101,58 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = 6000, folds: int = 5) -> Chain | None:
     """Fit a chain on labelled documents. categories: name to a condition on labels, in chain order. None without labelled rows.
 
-    Rows of labels with a null doc_id or category are left out, and those whose document is missing.
+    Rows of labels with a null doc_id or category are left out, and those whose document is missing. Documents that repeat a
+    doc_id count once, with the least text.
     """
     known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(f"_y{k}") for k, c in enumerate(categories.values())]).dropna()
     n = known.count()
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < min(1 << 20, rows * (1 << 20) // max(1, n) + 1))
     sample = sample.groupBy("doc_id").agg(*[F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(categories))])
     # the sample has about `rows` rows of a few bytes, whatever the size of labels
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    ys = [f"_y{k}" for k in range(len(categories))]
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", *ys).agg(F.min("text").alias("text"))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = features(["" if t is None else t for t in pdf["text"]])
             yield pdf.drop(columns="text").assign(data=[x.astype(np.int32).tobytes() for x in found])
 
-    schema = "doc_id long, " + ", ".join(f"_y{k} boolean" for k in range(len(categories))) + ", data binary"
-    got = joined.select("doc_id", *[f"_y{k}" for k in range(len(categories))], "text").mapInPandas(task, schema).toPandas()
+    schema = "doc_id long, " + ", ".join(f"{y} boolean" for y in ys) + ", data binary"
+    got = joined.mapInPandas(task, schema).toPandas()
     if not len(got):
         return None
     got = got.sort_values(["doc_id", "data"])  # the same model whatever order tasks end in
     found = [np.frombuffer(d, np.int32).astype(np.int64) for d in got["data"]]
     fold = (N.mix(got["doc_id"].to_numpy().astype(np.int64).view(N.U64), 3) % N.U64(folds)).astype(int)
-    return Chain(found, got[[f"_y{k}" for k in range(len(categories))]].to_numpy(bool), fold)
+    return Chain(found, got[ys].to_numpy(bool), fold)
 
 
-def score(docs: DataFrame, chain: Chain | None, categories: list[str]) -> DataFrame:
-    """Adds a probability column p_<category> for each category; docs needs only text. Columns of these names are replaced.
+def probabilities(chain: Chain | None, categories: list[str], text: str = "text") -> Column:
+    """struct of a double p_<category> for each category of a text column; only the texts go to Python.
 
-    A null text counts as empty. Without a chain every probability is 0.
+    A null text counts as empty. Without a chain every probability is 0. A very long text is one slice of its own.
     """
     names = [f"p_{c}" for c in categories]
-    docs = docs.drop(*names)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            p = np.zeros((len(pdf), len(names)))
-            texts = ["" if t is None else t for t in pdf["text"]]
-            for a, b in N.slices([1] * len(texts) if chain else [], 128):
+    @F.pandas_udf(", ".join(f"`{c}` double" for c in names))
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = np.zeros((len(batch), len(names)))
+            texts = ["" if t is None else t for t in batch]
+            for a, b in N.slices([len(t) + SLICE_CHARS // 128 for t in texts] if chain else [], SLICE_CHARS):
                 p[a:b] = chain.predict(list(features(texts[a:b])))
-            yield pdf.assign(**{c: p[:, k] for k, c in enumerate(names)})
+            yield pd.DataFrame(p, columns=names)
+            N.release()
 
-    schema = StructType(list(docs.schema))
-    for c in names:
-        schema = schema.add(c, "double")
-    return docs.mapInPandas(task, schema)
+    return predict(text)
+
+
+def score(docs: DataFrame, chain: Chain | None, categories: list[str]) -> DataFrame:
+    """Adds the columns of probabilities() to docs, which needs only text. Columns of these names are replaced."""
+    names = [f"p_{c}" for c in categories]
+    free = next(f"_predicted{k}" for k in range(len(docs.columns) + 1) if f"_predicted{k}" not in docs.columns)
+    out = docs.withColumn(free, probabilities(chain, categories))
+    return out.select(*[c for c in docs.columns if c not in names], *[F.col(free)[c].alias(c) for c in names])
 
 
 def standard_categories() -> dict[str, Column]:
@@ -154,7 +161,12 @@ def standard_categories() -> dict[str, Column]:
 
 
 def rate_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 6000) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and the decision toxic for every document."""
+    """doc_id, p_low_quality, p_toxic and the decision toxic (p_toxic of at least `threshold`) for every document.
+
+    docs: doc_id, text; labels: doc_id, quality, toxic; other columns are ignored. A null text counts as empty; a null doc_id is
+    rated, but never learnt from. Repeated rows are rated as often as they occur, alike; labels that repeat a doc_id count once,
+    toxic or of poor quality if one of them says so. Without labelled documents nothing is toxic; an empty table gives an empty table.
+    """
     categories = standard_categories()
     out = score(docs.select("doc_id", "text"), fit(docs, labels, categories, rows), list(categories))
     return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= threshold).alias("toxic"))
