@@ -10,49 +10,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield.llm import language, mixing, toxicity
-from emberfield.llm.common import durable, table
+from emberfield.llm.common import durable, forget, table
 from emberfield.llm.ngram_join import jaccard_join, row_key
 from emberfield.llm.packing import pack
 from emberfield.llm.queries import tokenizer_path
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a learned language; those without letters or far from every centroid go."""
-    known = language.identify(docs, language.fit(language.training_rows(docs)))
-    return known.where("NOT lang_rejected").select(*docs.columns)
+    """Texts in a learned language; null texts, those without letters and those far from every centroid go.
+
+    Repeated rows are judged alike. Any further columns stay as they are; an empty table stays empty.
+    """
+    model = language.fit(language.training_rows(docs))
+    return docs.where(~language.predicted(model)["lang_rejected"])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the classifier chain does not call toxic."""
+    """Texts that the classifier chain does not call toxic, p_toxic below a half.
+
+    A null text is judged as an empty one. Repeated rows are judged alike. Any further columns stay as they are; an empty table
+    stays empty, and without labelled documents every row stays.
+    """
     categories = toxicity.standard_categories()
-    rated = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), categories), list(categories))
-    return rated.where(F.col("p_toxic") < 0.5).select(*docs.columns)
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), categories)
+    return docs.where(toxicity.probabilities(chain, list(categories))["p_toxic"] < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 500_000) -> DataFrame:
     """Of each group of linked texts the row with the smallest doc_id.
 
     Rows are judged one by one, so texts that share a doc_id go or stay on their own; rows without a doc_id stay.
-    Of rows that repeat a doc_id and its text, one stays. Rows that go are joined by broadcast if they are few, else by shuffle.
+    Of rows that repeat a doc_id and its text, one stays. Texts without words stay. Any further columns stay as they are; an
+    empty table stays empty. Rows that go are joined by broadcast if they are few, else by shuffle.
     """
     rows = durable(jaccard_join(docs, width=5, percent=80, keyed=True).where("doc_id IS NOT NULL").select("row_key", "first_key"))
     gone = rows.where("row_key <> first_key").select("row_key").distinct()
     twice = rows.groupBy("row_key").count().where("count > 1").select("row_key")
-    docs = docs.withColumn("row_key", row_key())
+    docs = docs.select(F.struct("*").alias("row"), row_key().alias("row_key"))  # no column of docs is in the way
     if twice.limit(1).count():  # repeated rows: only these are compared
-        again = docs.join(twice, "row_key", "left_semi").dropDuplicates(["doc_id", "text"])
-        docs = docs.join(twice, "row_key", "left_anti").unionByName(again)
+        again = docs.join(twice, "row_key", "left_semi").withColumns({"id": F.col("row.doc_id"), "text": F.col("row.text")}).dropDuplicates(["id", "text"])
+        docs = docs.join(twice, "row_key", "left_anti").unionByName(again.select("row", "row_key"))
     few = gone.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(gone) if few else gone, "row_key", "left_anti").drop("row_key")
+    return docs.join(F.broadcast(gone) if few else gone, "row_key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them; a document without words may come or go.
+
+    A null source is a source of its own, a null text has no words. Rows that share a doc_id are taken alike. Any further
+    columns stay as they are; an empty table stays empty.
+    """
     return mixing.mixed(docs, weights=(3, 1, 2), percent=150, most=2)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens, as pack() makes them: nulls, repeated rows, very long texts and
+    empty tables too. Further columns are left out."""
     return pack(docs, tokenizer_path(), window=4096, end_id=2, slice_chars=500_000, shared=False)
 
 
@@ -69,7 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
