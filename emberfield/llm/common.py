@@ -83,14 +83,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: every round is joins and minimums,
     the number of rows never grows past the number of edges, and the end state has one
     row (node, component) for every node but the smallest of each component. Loops and
-    repeated edges are allowed; an empty table gives an empty table.
+    repeated edges are allowed; an empty table gives an empty table. The result is a table of durable().
     """
     now = durable(edges.select("a", "b").where("a <> b").distinct())
     for _ in range(max_rounds):
         # stars around their smallest node: every node has one edge, and none leads on
         state = now.agg(F.count("*"), F.count_distinct("a")).first()
         if state[0] == state[1] and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").where("a > b").limit(1).count() == 0 and now.where("a < b").limit(1).count() == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out.written = now.written
+            return out
         wide, low = _star(now, True)
         wide = durable(wide)
         small, lower = _star(wide, False)

@@ -4,14 +4,17 @@ The join is a sparse matrix product of the document by n-gram incidence with its
 transpose, cut into blocks of documents that may be similar:
 
 1. *Classes.* Documents with equal shingle sets become one node (a hash of the set).
-2. *Blocks.* For Jaccard >= t, two sets of sizes a and b differ in at most
+2. *Shared shingles.* Texts are dealt into groups, each of which asks shards of the hash range which of its shingles
+   any other set has. A set of which less than t is shared is similar to none and goes no further; of the others only the
+   shared shingles are looked at, for a pair differs in these by no more than it does in all.
+3. *Blocks.* For Jaccard >= t, two sets of sizes a and b differ in at most
    (1-t)/(1+t) * (a+b) shingles. The shingles of a set are dealt by hash into one part
    more than that bound, so two sets that can be similar agree in a whole part. Equal
    parts give edges, and the connected components of these edges are the blocks: no
    similar pair crosses two of them. A part without shingles says nothing; a set with
    more empty parts than the spare ones is dealt again with other hashes, and at last
    meets the others of its kind under a common mark, so that no pair is lost.
-3. *Product.* In each block, overlap counts are accumulated over chunks of n-gram columns;
+4. *Product.* In each block, overlap counts are accumulated over chunks of n-gram columns;
    only row ranges whose sizes allow the threshold are multiplied, and counts below
    the size-derived bound are discarded. Blocks above a size are cut into cells, and each pair of
    cells with compatible sizes is one task. Only links inside the task's cells leave it, as a spanning forest.
@@ -30,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .common import components, durable, shuffle_partitions
+from .common import components, durable, forget, shuffle_partitions
 
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 700_000
 
 
 def _node(values: np.ndarray) -> int:
@@ -62,22 +65,26 @@ class Bounds:
             at = high[-1] + 1
         self.high = np.array(high, np.int64)
         top = self.high + self.high * 100 // percent
+        self.low = np.concatenate([[1], self.high[:-1] + 1])
         self.differ = [(100 - percent) * int(x) // (100 + percent) for x in top]
 
     def interval(self, size: int) -> int:
         return int(np.searchsorted(self.high, size))
 
     def parts(self, k: int) -> int:
-        """Parts for sets that meet in interval k: one more than may differ, and spare ones for empty parts."""
-        d = self.differ[k]
-        empty = d * math.exp(-float(self.high[k]) / max(1, d))
-        return d + 1 + (int(empty + 4 * math.sqrt(empty)) if empty > 1 else 0)
+        """Parts for sets that meet in interval k: one more than may differ, and spare ones for empty parts, as many as the
+        smallest set with the least share of shared shingles may have."""
+        d, n = self.differ[k], self.differ[k] + 1
+        for _ in range(6):
+            empty = n * math.exp(-self.percent / 100 * float(self.low[k]) / n)
+            n = d + 1 + (int(empty + 4 * math.sqrt(empty)) if empty > 1 else 0)
+        return n
 
 
-def _signatures(values: np.ndarray, bounds: Bounds, tries: int = 4) -> np.ndarray:
-    """Hashes of the parts of one set, for its own interval and the one below."""
+def _signatures(values: np.ndarray, size: int, bounds: Bounds, tries: int = 4) -> np.ndarray:
+    """Hashes of the parts of one set's shared shingles, for the interval of its whole size and the one below."""
     out = []
-    own = bounds.interval(len(values))
+    own = bounds.interval(size)
     for k in (own, own - 1):
         if k < 0 or not bounds.differ[k]:
             continue  # only equal sets can be similar, and those are one class
@@ -143,7 +150,8 @@ def jaccard_join(
     width: int = 4,
     percent: int = 85,
     cell_shingles: int = 1_500_000,
-    shard_bytes: int = 24 << 20,
+    shard_keys: int = 3_000_000,
+    group_chars: int = 8_000_000,
     broadcast_rows: int = 500_000,
     keyed: bool = False,
 ) -> DataFrame:
@@ -153,65 +161,101 @@ def jaccard_join(
     input row: doc_id, n_shingles, component_id, n_links (other documents that link directly,
     copies included). A null or wordless text has no shingle, no link, and its own doc_id as
     component; repeated rows are documents of their own with the same doc_id; a null doc_id stays null and never
-    names a component that has another. A text with fewer words than `width` is one shingle.
+    names a component that has another. A text with fewer words than `width` is one shingle. Texts are read whole, however long,
+    in memory linear in the longest. An empty table gives an empty table. Of rows that share the least doc_id of a component the
+    least row_key counts as first.
     keyed: also row_key, the row_key() of the row, and first_key, that of the row with the least doc_id in its component.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row_key().alias("row_key"))
     bounds = Bounds(percent)
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            node, size = [None] * len(pdf), np.zeros(len(pdf), np.int64)
-            for i, values in _sets(pdf["text"], width):
-                size[i] = len(values)
-                node[i] = _node(values) if len(values) else None
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row_key": pdf["row_key"], "node": pd.array(node, "Int64"), "n_shingles": size})
-
-    rows = durable(docs.mapInPandas(describe, "doc_id long, row_key long, node long, n_shingles long"))
-    lead = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("lead")
-    classes = durable(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), lead, F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
-    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    shards = max(shuffle_partitions(spark), math.ceil(total * 0.5 * 16 / shard_bytes))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def packed(signs, nodes):
-            signs, nodes, ea, eb = _equal_signs(np.concatenate(signs), np.concatenate(nodes))
-            # signs are sorted, so the high bits deal them to shards in runs
-            cut = np.searchsorted((signs >> N.U64(32)) * N.U64(shards) >> N.U64(32), np.arange(shards + 1, dtype=N.U64))
-            return pd.DataFrame([{"shard": s, "signs": signs[cut[s] : cut[s + 1]].tobytes(), "nodes": nodes[cut[s] : cut[s + 1]].tobytes(), "ea": ea[s::shards].tobytes(), "eb": eb[s::shards].tobytes()} for s in range(shards) if cut[s + 1] > cut[s] or len(ea[s::shards])], columns=["shard", "signs", "nodes", "ea", "eb"])
-
-        signs, nodes, held, seen = [], [], 0, set()
-        for pdf in batches:
-            for _, values in _sets(pdf["text"], width):
-                if not len(values) or (node := _node(values)) in seen:
-                    continue
-                seen.add(node)
-                signs.append(_signatures(values, bounds))
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    floor = shuffle_partitions(spark)
+    groups = max(floor, math.ceil(chars / group_chars))
+    # most words have five letters and a space
+    shards = max(floor, math.ceil(chars / 6 / shard_keys))
+    bits = max(32, min(62, math.ceil(math.log2(chars + 2)) + 4))  # one shingle in some hundred has the hash of another
+    gap = 2 if bits < 35 else 3 if bits < 43 else 4
+    # the number of the input's partition spreads repeated rows
+    dealt = docs.withColumn("dealt", F.pmod(F.xxhash64("row_key", F.spark_partition_id()), F.lit(groups)).cast("int"))
+
+    def distinct(texts) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
+        """(node and size of each text, distinct sets with their nodes, their shingles' hashes, places of these, counts)."""
+        rows, sets = [], {}
+        for _, values in _sets(texts, width):
+            rows.append((_node(values) if len(values) else None, len(values)))
+            if len(values):
+                sets.setdefault(rows[-1][0], values)
+        short = np.concatenate([np.zeros(0, N.U64), *sets.values()]) >> N.U64(64 - bits)
+        keys, at, count = np.unique(short, return_inverse=True, return_counts=True)
+        return rows, sets, keys, at.astype(np.int32), count
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, keys, _, count = distinct(pdf["text"])
+        cut = N.cuts(keys, bits, shards)
+        parts = [slice(cut[s], cut[s + 1]) for s in range(shards)]
+        out = pd.DataFrame([(s, int(pdf["dealt"].iat[0]), N.packed_keys(keys[p], gap), np.packbits(count[p] > 1).tobytes()) for s, p in enumerate(parts) if p.stop > p.start], columns=["shard", "dealt", "keys", "often"])
+        N.release()
+        return out
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [N.unpacked_keys(k, gap) for k in pdf["keys"]]
+        often = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(k)) for o, k in zip(pdf["often"], keys, strict=True)]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        shared = np.bincount(at, 1.0 + np.concatenate(often)) > 1
+        cut = np.cumsum([0, *map(len, keys)])
+        out = pd.DataFrame({"dealt": pdf["dealt"], "shard": pdf["shard"], "shared": [np.packbits(shared[at[cut[i] : cut[i + 1]]]).tobytes() for i in range(len(keys))], "n": np.diff(cut)})
+        N.release()
+        return out
+
+    def sign(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows, sets, keys, at, _ = distinct(pdf["text"])
+        answers = answers.sort_values("shard")
+        shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(answers["shared"], answers["n"], strict=True)]]).astype(bool)[at]
+        signs, nodes, first = [np.zeros(0, N.U64)], [np.zeros(0, np.int64)], 0
+        for node, values in sets.items():
+            own = values[shared[first : first + len(values)]]
+            first += len(values)
+            if 100 * len(own) >= percent * len(values):
+                signs.append(_signatures(own, len(values), bounds))
                 nodes.append(np.full(len(signs[-1]), node, np.int64))
-                held += len(signs[-1])
-                if held > 1_500_000:
-                    yield packed(signs, nodes)
-                    signs, nodes, held, seen = [], [], 0, set()
-        if held:
-            yield packed(signs, nodes)
+        signs, nodes, ea, eb = _equal_signs(np.concatenate(signs), np.concatenate(nodes))
+        # signs are sorted, so the high bits deal them to shards in runs
+        cut = N.cuts(signs, 64, shards)
+        messages = [{"shard": s, "signs": signs[cut[s] : cut[s + 1]].tobytes(), "nodes": nodes[cut[s] : cut[s + 1]].tobytes(), "ea": ea[s::shards].tobytes(), "eb": eb[s::shards].tobytes()} for s in range(shards) if cut[s + 1] > cut[s] or len(ea[s::shards])]
+        described = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row_key": pdf["row_key"].astype("Int64"), "node": pd.array([r[0] for r in rows], "Int64"), "n_shingles": [r[1] for r in rows]})
+        N.release()
+        return pd.concat([described, pd.DataFrame(messages, columns=["shard", "signs", "nodes", "ea", "eb"])]).astype({"shard": "Int32", "doc_id": "Int64", "row_key": "Int64", "node": "Int64", "n_shingles": "Int64"})
+
+    # all columns of dealt, so that the texts are shuffled once for this and for the next step
+    asked = dealt.groupBy("dealt").applyInPandas(ask, "shard int, dealt int, keys binary, often binary")
+    answered = asked.groupBy("shard").applyInPandas(answer, "dealt int, shard int, shared binary, n int")
+    signed = durable(dealt.groupBy("dealt").cogroup(answered.groupBy("dealt")).applyInPandas(sign, "doc_id long, row_key long, node long, n_shingles long, shard int, signs binary, nodes binary, ea binary, eb binary"))
+    rows = signed.where("shard IS NULL").select("doc_id", "row_key", "node", "n_shingles")
+    # a class is read again by the key of one of its rows, which is never null
+    lead = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("lead")
+    classes = durable(rows.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("rep"), lead, F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         joined = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
         _, _, ea, eb = _equal_signs(joined("signs", N.U64), joined("nodes", np.int64))
         pairs = np.unique(np.stack([np.concatenate([ea, joined("ea", np.int64)]), np.concatenate([eb, joined("eb", np.int64)])], 1), axis=0)
+        N.release()
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    signed = docs.select("text").mapInPandas(sign, "shard int, signs binary, nodes binary, ea binary, eb binary")
+    signed = signed.where("shard IS NOT NULL").select("shard", "signs", "nodes", "ea", "eb")
     near = components(signed.groupBy("shard").applyInPandas(meet, "a long, b long"))
 
     # every node of a block, with its class; blocks are sums, not lists
     member = near.select("node", F.col("component").alias("block")).union(near.select("component", "component").distinct())
-    member = durable(member.join(classes, "node"))
+    member = joined = durable(member.join(classes, "node"))
+    forget(near)
     small = member.groupBy("block").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_nodes")).withColumn("whole", (F.col("all_n") <= cell_shingles) & (F.col("all_nodes") <= 8192))
     # k: the size interval, so that similar sets are in the same or in neighbouring ones
     interval = F.expr(f"size(filter(array({', '.join(f'{h}L' for h in bounds.high)}), h -> h < n))")
-    member = member.join(durable(small), "block").withColumn("k", F.when(F.col("whole"), F.lit(0)).otherwise(interval).cast("int"))
+    small = durable(small)
+    member = member.join(small, "block").withColumn("k", F.when(F.col("whole"), F.lit(0)).otherwise(interval).cast("int"))
     cells = member.groupBy("block", "k").agg(F.sum("n").alias("cell_n"), F.count("*").alias("cell_nodes"))
     cells = durable(cells.withColumn("cells", F.greatest(F.ceil(F.col("cell_n") / cell_shingles), F.ceil(F.col("cell_nodes") / 8192)).cast("int")))
     member = member.join(cells.select("block", "k", "cells"), ["block", "k"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
@@ -229,54 +273,59 @@ def jaccard_join(
     seats = seats.union(pairs.where(f"NOT ({same})").select("task", "block", F.col("k2").alias("k"), F.col("c2").alias("cell"), F.lit(1).alias("side")))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # of repeated rows, one in a task is enough
         for pdf in batches:
             ok, values = np.zeros(len(pdf), bool), [b""] * len(pdf)
+            nodes = pdf["node"].tolist()
             for i, v in _sets(pdf["text"], width):
-                if ok_i := (len(v) and _node(v) == pdf["node"].iat[i]):
-                    ok[i], values[i] = ok_i, v.tobytes()
+                if len(v) and nodes[i] not in seen and _node(v) == nodes[i]:
+                    ok[i], values[i] = True, v.tobytes()
+                    seen.add(nodes[i])
             yield pdf.drop(columns="text").assign(values=values)[ok]
+        N.release()
 
     # few members are broadcast, behind a count; more are joined by shuffling the texts
-    members = durable(member.select(F.col("rep").alias("doc_id"), "node", "copies", "block", "k", "cell"))
+    members = durable(member.select("row_key", "node", "copies", "block", "k", "cell"))
     few = members.limit(broadcast_rows + 1).count() <= broadcast_rows
-    sets = docs.join(F.broadcast(members) if few else members, "doc_id")
+    sets = docs.select("row_key", "text").join(F.broadcast(members) if few else members, "row_key")
     sets = sets.select("node", "copies", "block", "k", "cell", "text").mapInPandas(encode, "node long, copies long, block long, k int, cell int, values binary")
     seated = sets.join(seats, ["block", "k", "cell"]).select("task", "side", "node", "copies", "values")
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
-        values = [np.frombuffer(x, N.U64) for x in pdf["values"]]
-        a, b = product(values, pdf["side"].to_numpy(), percent)
-        nodes, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-        links = np.bincount(np.concatenate([a, b]), np.concatenate([copies[b], copies[a]]).astype(float), len(nodes)).astype(np.int64)
-        label = _local_labels(a, b, len(nodes))
+        nodes = pdf["node"].to_numpy()
+        label, links = link(product([np.frombuffer(x, N.U64) for x in pdf["values"]], pdf["side"].to_numpy(), percent), pdf["copies"].to_numpy())
+        N.release()
         linked = np.flatnonzero(links)
         return pd.DataFrame({"a": nodes[linked], "b": nodes[label[linked]], "links": links[linked]})
 
     found = durable(seated.groupBy("task").applyInPandas(multiply, "a long, b long, links long"))
-    group = components(found.select("a", "b"))
-    group = group.union(group.select("component", "component").distinct())
+    stars = components(found.select("a", "b"))
+    group = stars.union(stars.select("component", "component").distinct())
     group = group.join(classes, "node").select("node", "component", "rep", "lead")
+    group = durable(group)
     least = durable(group.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("lead").alias("first")))
     by_node = group.join(least, "component").select("node", "component_id", "first")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    by_node = durable(by_node.join(links, "node", "left"))
+    by_node = by_node.join(links, "node", "left")
     by_node = durable(classes.join(by_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first.row_key", "lead.row_key").alias("first_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    forget(classes, joined, members, small, cells, pairs, found, stars, group, least)
     out = rows.join(by_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *(["row_key", F.coalesce("first_key", "row_key").alias("first_key")] if keyed else []))
 
 
-def product(values: list[np.ndarray], side: np.ndarray, percent: int, rows: int = 256, columns: int = 1024, pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (a, b) whose overlap reaches the bound. side: 2 meets all, 0 and 1 meet the other.
+def product(values: list[np.ndarray], side: np.ndarray, percent: int, rows: int = 256, columns: int = 1024, pairs: int = 1_500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row indices, column indices, whether the overlap of each pair reaches the bound), range of rows by range of rows.
 
-    Rows are ordered by size, so each block of rows meets one range of rows. Columns held by
-    many rows are multiplied as dense chunks; the others are counted pair by pair.
+    side: 2 meets all, 0 and 1 meet the other. Rows are ordered by size, so each range of rows meets one range of columns, from
+    its own first row on. N-grams held by many rows are multiplied as dense chunks; the others are counted pair by pair. What is
+    held at once is bounded by `pairs`, however many pairs are similar.
     """
     order = np.argsort([len(v) for v in values], kind="stable")
     values, kind = [values[i] for i in order], side[order]
     size = np.array([len(v) for v in values], np.int64)
     if len(size) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     row = np.repeat(np.arange(len(size)), size)
     _, column, held = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     keep = held[column] > 1
@@ -288,11 +337,10 @@ def product(values: list[np.ndarray], side: np.ndarray, percent: int, rows: int
     thin_column, thin_row = column[~dense][by_column], row[~dense][by_column]
     last = np.searchsorted(thin_column, thin_column, "right")
     reach = last - np.arange(len(thin_row)) - 1  # the later rows of the same column
-    found_a, found_b = [], []
     dense_at = np.searchsorted(dense_row, np.arange(len(size) + 1))
     thin_order = np.argsort(thin_row, kind="stable")
     thin_at = np.searchsorted(thin_row[thin_order], np.arange(len(size) + 1))
-    weight = np.bincount(thin_row, reach, len(size)) + pairs // rows
+    weight = np.bincount(thin_row, reach, len(size)) + pairs // rows + len(size) - np.arange(len(size))
     for r0, r1 in N.slices(weight, pairs):
         top = int(np.searchsorted(size * percent, size[r1 - 1] * 100, "right"))  # larger sets cannot reach the bound
         counts = np.zeros((r1 - r0, top - r0), np.float32)
@@ -312,11 +360,25 @@ def product(values: list[np.ndarray], side: np.ndarray, percent: int, rows: int
             ok = b < top
             flat = (thin_row[base[ok]] - r0) * (top - r0) + b[ok] - r0
             counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
-        both = size[r0:r1, None] + size[None, r0:top]
-        good = 100 * counts.astype(np.int64) >= percent * (both - counts.astype(np.int64))
+        overlap = counts.astype(np.int64)
+        good = (100 + percent) * overlap >= percent * (size[r0:r1, None] + size[None, r0:top])
         good &= np.arange(r0, top)[None, :] > np.arange(r0, r1)[:, None]
         good &= (kind[r0:r1, None] == 2) | (kind[r0:r1, None] != kind[None, r0:top])
-        a, b = np.nonzero(good)
-        found_a.append(a + r0)
-        found_b.append(b + r0)
-    return order[np.concatenate(found_a)], order[np.concatenate(found_b)]
+        yield order[r0:r1], order[r0:top], good
+
+
+def link(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least index of each component, links of each node with copies counted) from a product's ranges, none of which is kept."""
+    label, links = np.arange(len(copies)), np.zeros(len(copies))
+    weight = copies.astype(float)
+    for rows, columns, good in found:
+        links[rows] += good @ weight[columns]
+        links[columns] += weight[rows] @ good
+        for k in np.flatnonzero(good.any(1)):
+            near = label[columns[good[k]]]
+            least = min(int(near.min()), int(label[rows[k]]))
+            if least != label[rows[k]] or (near != least).any():  # each time there is one component less
+                met = np.zeros(len(label), bool)
+                met[near] = met[label[rows[k]]] = True
+                label[met[label]] = least
+    return label, np.rint(links).astype(np.int64)

@@ -108,3 +108,36 @@ def slices(sizes, most: int):
         total += int(n)
     if len(sizes) > at:
         yield at, len(sizes)
+
+
+def packed(x: np.ndarray, width: int = 1) -> bytes:
+    """Numbers as `width` bytes each, and the larger ones in full after them."""
+    most = (1 << 8 * width) - 1
+    x = x.astype("<u8")
+    large = x >= U64(most)
+    small = np.where(large, U64(most), x).view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.uint32(len(x)).tobytes() + np.ascontiguousarray(small.T).tobytes() + x[large].tobytes()
+
+
+def unpacked(data: bytes, width: int = 1) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, 4).reshape(width, n).T
+    out = out.view("<u8").ravel()
+    out[out == U64((1 << 8 * width) - 1)] = np.frombuffer(data, "<u8", -1, 4 + n * width)
+    return out
+
+
+def packed_keys(keys: np.ndarray, width: int) -> bytes:
+    """Ascending keys by the distance of each to the one before it, in `width` bytes if that is enough."""
+    return packed(np.diff(keys, prepend=U64(0)), width)
+
+
+def unpacked_keys(data: bytes, width: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, width), dtype=U64)
+
+
+def cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard begins among ascending keys of so many bits: shards are equal ranges of the key's high bits."""
+    high = keys >> U64(bits - 32) if bits > 32 else keys << U64(32 - bits)
+    return np.searchsorted((high * U64(shards)) >> U64(32), np.arange(shards + 1, dtype=U64))

@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from emberfield.llm.ngram_join import jaccard_join
+from emberfield.llm.ngram_join import jaccard_join, link, product
 
 
 def brute(rows, width=4, percent=85):
@@ -57,3 +59,34 @@ def test_empty_extra_columns_and_repeats(spark):
     rows = [(1, "a b c d e", 4, 4), (1, "a b c d e", 4, 4), (2, "A b c D e", 4, 4), (None, "q r s t u", 1, 1)]
     out = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, node long, k int"))
     assert sorted(map(tuple, out.collect()), key=str) == [(1, 2, 1, 2), (1, 2, 1, 2), (2, 2, 1, 2), (None, 2, None, 0)]
+
+
+def test_classes_without_ids_still_link(spark):
+    words = [f"w{k}" for k in range(100)]
+    change = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    # the middle text has no id, and the two others link through it alone
+    rows = [(1, change()), (None, change(20)), (2, change(20, 60)), (None, "one two"), (None, None)]
+    out = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=91)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 97, 1, 1), (None, 97, 1, 2), (2, 97, 1, 1), (None, 1, None, 0), (None, 0, None, 0)], key=str)
+
+
+def test_very_long_text(spark):
+    long = " ".join(str(k) for k in range(400_000))
+    out = jaccard_join(spark.createDataFrame([(4, long), (3, f"{long} more"), (9, "short")], "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == [(3, 399_998, 3, 1), (4, 399_997, 3, 1), (9, 1, 9, 0)]
+
+
+def test_a_full_block_of_near_copies_in_bounded_memory():
+    rng = np.random.default_rng(0)
+    base = rng.integers(1, 1 << 60, 90).astype(np.uint64)
+    sets = []
+    for k in range(16_384):
+        own = base.copy()
+        own[k % 90] = k + 1  # any two share 88 of 92
+        sets.append(np.sort(own))
+    tracemalloc.start()
+    label, links = link(product(sets, np.full(len(sets), 2), 85), np.ones(len(sets), np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == 0).all() and (links == len(sets) - 1).all()
+    assert most < 700e6
