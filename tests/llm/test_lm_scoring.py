@@ -4,27 +4,40 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from emberfield.llm import lm_scoring
 
 
-def brute(rows, keep=0.97, power=0.06):
+KEEP, POWER = (0.97, 0.97), (0.06, 0.06)
+
+
+def brute(rows, keep=KEEP, power=POWER):
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     learnt = [split(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
     c = collections.Counter(w for t in learnt for w in t)
-    pairs = collections.Counter(p for t in learnt for p in zip(["<"] + t, t))  # noqa: RUF005, B905
+    pairs = collections.Counter(p for t in learnt for p in zip(["<", *t], t))  # noqa: B905
+    triples = collections.Counter(p for t in learnt for p in zip(["<", *t], t, t[1:]))  # noqa: B905
     n, v, once = sum(c.values()), len(c), sum(x == 1 for x in c.values())
     u = min(0.5, max(once, 1) / n)
+    fail = lambda count, k: keep[k] / (1 + count) ** power[k] if count else 1
+
+    def p(w, h=None, g=None):
+        """Of w after h, after g and h."""
+        if h is None:
+            return (1 - u) * c[w] / n if c[w] else u
+        if g is None:
+            ch = c[None] if h == "<" else c[h]
+            return fail(ch, 0) * p(w) + ((1 - fail(ch, 0)) * pairs[h, w] / ch if ch else 0)
+        return fail(pairs[g, h], 1) * p(w, h) + ((1 - fail(pairs[g, h], 1)) * triples[g, h, w] / pairs[g, h] if pairs[g, h] else 0)
+
     out = []
     for i, t in rows:
         t, base, score = split(t), 0, 0
-        for h, w in zip(["<", *t], t):  # noqa: B905
+        for k, w in enumerate(t):
             base += math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1)))
-            p = (1 - u) * c[w] / n if c[w] else u
-            ch = c[None] if h == "<" else c[h]
-            f = keep / (1 + ch) ** power if ch else 1
-            score += math.log10((1 - f) * pairs[h, w] / ch + f * p if pairs[h, w] else f * p)
+            score += math.log10(p(w, "<") if not k else p(w, t[k - 1], t[k - 2] if k > 1 else "<"))
         out.append((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 1, len(t), sum(c[w] > 0 for w in t), n, base, score))
     return sorted(out, key=str)
 
@@ -48,18 +61,45 @@ def test_empty_and_untrained(spark):
     assert row["score"] == 0 and row["base_score"] == 0 and row["held_out"] and row["train_tokens"] == 0
 
 
-def test_a_state_sums_to_one():
-    import numpy as np
-
-    grams = lm_scoring.Grams(["a b a c", "a b"])
-    words, pairs = grams.counts(np.array([True, True]))
-    n = int(words.sum())
-    for history in ("a", "b", "c"):
-        total = 0
-        for w in ("a", "b", "c", "unseen"):
-            probe = lm_scoring.Grams([f"{history} {w}"])
-            look = lambda k: np.array([dict(zip(grams.keys[k].tolist(), (words, pairs)[k].tolist())).get(x, 0) for x in probe.keys[k].tolist()])  # noqa: B023, B905, E731
-            steps = 10 ** lm_scoring.Automaton(probe, look(0), look(1), n, 0.1, 0.9, 0.1).traverse()
-            total += steps[1]
-            end = 10 ** lm_scoring.Automaton(lm_scoring.Grams([history]), *[np.array([dict(zip(grams.keys[k].tolist(), (words, pairs)[k].tolist())).get(x, 0) for x in lm_scoring.Grams([history]).keys[k].tolist()]) for k in (0, 1)], n, 0.1, 0.9, 0.1).traverse()[1]  # noqa: B905
-        assert total + end == pytest.approx(1)
+def automaton(texts, probe, keep=(0.9, 0.8), power=(0.1, 0.2)):
+    grams, probe = lm_scoring.Grams(texts), lm_scoring.Grams(probe)
+    counts = grams.counts(np.ones(len(texts), bool))
+    look = [dict(zip(k.tolist(), c.tolist(), strict=True)) for k, c in zip(grams.keys, counts, strict=True)]
+    return lm_scoring.Automaton(probe, [np.array([d.get(x, 0) for x in k.tolist()]) for d, k in zip(look, probe.keys, strict=True)], int(counts[0].sum()), 0.1, keep, power)
+
+
+def test_states_sum_to_one():
+    texts = ["a b a c", "a b", "b a b c a"]
+    for history in ("a b ", "b a ", "a ", "c a ", "c c ", ""):
+        # the probability of a word is that of the text less that of its end; "unseen" stands for all other words together
+        ends = lambda t: 10 ** automaton(texts, [t]).traverse()[0]
+        total = sum(ends(history + w) / 10 ** last(texts, history + w) for w in ("a", "b", "c", "unseen")) + ends(history.strip())
+        start = ends(history.strip()) / 10 ** last(texts, history.strip())
+        assert total == pytest.approx(start)
+
+
+def last(texts, text):
+    """log10 probability of the end after a text: the text's less that of its steps before."""
+    machine = automaton(texts, [text])
+    whole = machine.traverse()[0]
+    machine.grams.size = machine.grams.size - 1
+    return whole - machine.traverse()[0]
+
+
+def test_failure_arcs_are_followed_twice():
+    texts = ["a b c", "b d", "e"]
+    machine = automaton(texts, ["a b e"])
+    machine.grams.size = np.array([3])
+    before = automaton(texts, ["a b"])
+    before.grams.size = np.array([2])
+    f2, f1 = 0.8 / 2**0.2, 0.9 / 3**0.1  # (a, b) once, b twice; e after neither
+    assert machine.traverse()[0] - before.traverse()[0] == pytest.approx(math.log10(f2 * f1 * 0.9 * 1 / 9))
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7])
+def test_stretches_do_not_matter(monkeypatch, stretch):
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(0, 40))) for _ in range(30)]
+    whole = automaton(texts[:20], texts).traverse()
+    monkeypatch.setattr(lm_scoring, "STRETCH", stretch)
+    assert automaton(texts[:20], texts).traverse() == pytest.approx(whole)
