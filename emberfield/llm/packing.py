@@ -4,14 +4,15 @@ Each task packs the rows it reads, online: a document's last piece goes to the f
 level that keeps the sum of squared counts of partly filled windows smallest, so levels
 stay evenly used and windows fill up. Counts and open windows by level are arrays; a
 document costs one pass over the levels, whatever came before. At the end of a task,
-the windows still open are emptied and their pieces laid end to end, cut where
-a window is full; the last stretch is cut at powers of two, which need no padding.
+the fullest windows still open are filled up with pieces of the emptiest, cut where
+a window is full; what the last one holds is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import itertools
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,7 @@ class Windows:
         self.size = size
         self.count = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list]] = {}
+        self.moved = 0
 
     def place(self, piece: tuple) -> list[tuple] | None:
         """Put a piece of at most one window somewhere; returns the window if that fills it."""
@@ -175,11 +177,32 @@ class Windows:
         return None
 
     def rest(self) -> Iterator[list[tuple]]:
-        """The pieces of all open windows laid end to end in full windows, then powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        left = sum(p[2] for p in pieces)
-        room, window = 0, []
-        for d, start, n in pieces:
+        """All open windows, filled: the pieces of the emptiest are cut to fill the gaps of the fullest, until one is left,
+        whose pieces go to windows of powers of two. `moved` counts the pieces that leave the window of their placement."""
+        windows = deque(w for level in sorted(self.open) for w in self.open[level])
+        givers: list[tuple] = []  # the next piece is the last
+        while windows:
+            window = windows.pop()
+            gap = self.size - sum(p[2] for p in window)
+            while gap and (givers or windows):
+                if not givers:
+                    givers = windows.popleft()[::-1]
+                    self.moved += len(givers)
+                    continue
+                d, start, n = givers.pop()
+                part = min(n, gap)
+                window.append((d, start, part))
+                gap -= part
+                if part < n:
+                    givers.append((d, start + part, n - part))
+            if gap:  # no other is left: what this one holds is the rest
+                self.moved += len(window)
+                givers = window[::-1]
+            else:
+                yield window
+        givers = givers[::-1]
+        left, room, window = sum(p[2] for p in givers), 0, []
+        for d, start, n in givers:
             while n:
                 if not room:
                     room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
@@ -196,7 +219,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
 
     docs: doc_id and text; other columns are ignored. A null or empty text is its end token
     alone. A document longer than a window fills windows of its own and its remainder is
-    placed like any other piece. Repeated rows are packed as often as they occur. Returns one
+    placed like any other piece, at the fullest of levels that are equally good. Repeated rows are packed as often as they occur;
+    an empty table gives an empty table. Returns one
     row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Sequence ids carry the task's number, so they are unique and come out the same when a task runs again.
     shared: a worker keeps what it learnt of the tokenizer for its next task, which takes some 200 MB; else a task forgets it.
@@ -244,6 +268,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
                 # only the open pieces stay
                 alive = {p[0]: p for level in windows.open.values() for w in level for p in w}
                 kept = {d: (kept[d][0], kept[d][1], p[1], kept[d][3][p[1] - kept[d][2] :].copy()) if kept[d][2] != p[1] else kept[d] for d, p in alive.items()}
+            N.release()
         if rest := list(windows.rest()):
             yield rows(rest)
 

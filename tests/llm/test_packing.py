@@ -66,3 +66,19 @@ def test_level_choice_is_the_least_sum_of_squares():
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_most_pieces_stay_where_the_levels_put_them():
+    rng = np.random.default_rng(4)
+    for documents, share in ((1000, 0.4), (10_000, 0.25), (80_000, 0.12)):
+        windows, sizes = Windows(4096), np.minimum(rng.lognormal(6, 1.2, documents).astype(int) + 1, 30_000)
+        total = dict.fromkeys(range(documents), 0)
+        done = [windows.place((d, 0, int(n % 4096))) for d, n in enumerate(sizes) if n % 4096]
+        for w in [*filter(None, done), *windows.rest()]:
+            n = sum(p[2] for p in w)
+            assert n == 4096 or n & (n - 1) == 0
+            for d, _, part in w:
+                total[d] += part
+        assert total == {d: int(n % 4096) for d, n in enumerate(sizes)}
+        assert windows.moved < share * documents
+        print(documents, windows.moved / documents)
