@@ -1,3 +1,4 @@
+import math
 import os
 import zlib
 
@@ -34,6 +35,33 @@ def test_language_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(1200):  # each language has letters of its own
+        letters_ = [chr(0x4E00 + 6 * k + c) for c in range(6)]
+        rows += [(3 * len(rows), " ".join("".join(rng.choice(letters_, 3)) for _ in range(12)), f"lang{k:04}") for _ in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dims=512, clusters=1)
+    assert len(model.names) == 1200
+    got = language.identify(spark.createDataFrame(rows[::40], "doc_id long, text string, lang string"), model).toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.95
+
+
+def test_predictions_equal_brute_force(spark):
+    """Grams, weights and cosines by dictionaries, with the fitted centroids."""
+    rows = [(i, ("the cat and that hat " if i % 2 else "der hund und das haus ") * (1 + i % 5), "en" if i % 2 else "de") for i in range(80)] + [(900, "das hat the und", None), (901, "Zwölf cats!", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, dims=256)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
+    for i, text, _ in rows:
+        count = letters.gram_counts([text], 256)[0]
+        v = {d: math.log1p(int(c)) * float(model.idf[d]) for d, c in enumerate(count) if c}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [(sum(x * float(c[d]) for d, x in v.items()) / norm, -k) for k, c in enumerate(model.centres)]
+        best, k = max(cosines)
+        assert got[i] == (model.names[model.owner[-k]], pytest.approx(best, abs=1e-5))
+
+
 def test_language_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.predict_languages(empty).collect() == []
@@ -96,6 +124,28 @@ def test_toxicity_edges(spark):
     assert toxicity.rate_toxicity(docs.limit(0), some).count() == 0
 
 
+def test_toxicity_equals_brute_force(spark):
+    """The chain's weights applied by hand; a tie at the threshold is toxic; a very long text is read to its end."""
+    rng = np.random.default_rng(1)
+    common = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(i, " ".join([*rng.choice(common, 12), *(["foul"] if i % 4 == 0 else []), *(["bad"] if i % 3 == 0 else [])])) for i in range(240)]
+    docs = spark.createDataFrame([*rows, (999, "alpha " * 300_000 + "foul"), (998, "alpha " * 300_000)], "doc_id long, text string")
+    names = toxicity.standard_categories()
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs, labels, names)
+    out = {r["doc_id"]: r for r in toxicity.rate_toxicity(docs, labels).collect()}
+    for i, text in rows[:40]:
+        own, before = set(next(toxicity.features([text])).tolist()), []
+        for chosen, w in chain.models:
+            x = [float(c in own) for c in chosen.tolist()] + before
+            before.append(1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1]))))
+        assert (out[i]["p_low_quality"], out[i]["p_toxic"]) == (pytest.approx(before[0], abs=1e-9), pytest.approx(before[1], abs=1e-9))
+        assert out[i]["toxic"] == (i % 4 == 0)
+    assert out[999]["toxic"] and not out[998]["toxic"]
+    tie = out[5]["p_toxic"]
+    assert {r["doc_id"]: r["toxic"] for r in toxicity.rate_toxicity(docs, labels, threshold=tie).collect()}[5]
+
+
 @needs_data
 def test_toxicity_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))

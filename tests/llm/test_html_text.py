@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from emberfield.llm.html_text import extract_text, main_text
 
 PROSE = "A first sentence, with commas, that is long enough to count as prose. And more of it, to be sure."
@@ -35,3 +40,50 @@ def test_table(spark):
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [tuple(r) for r in got] == [(1, "u", PROSE + "é", len(PROSE) + 1), (1, "u", "", 0), (None, None, "", 0)]
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["post-comments", "comments content", "sidebar-content", "main-sidebar", "entry-footer", "post footer", "content-menu", "main-nav", "entry-share", "story-related", "newsletter body", "article-ad"])
+def test_parts_with_names_of_both_kinds_go(name):
+    part = f'<div class="{name}"><p>{PROSE} Not this one, though.</p><p>{PROSE} Nor, of course, that one.</p></div>'
+    assert main_text(f"<body><article><h1>T</h1><p>{PROSE}</p>{part}<p>{PROSE} End.</p></article></body>") == f"T\n\n{PROSE}\n\n{PROSE} End."
+    assert main_text(f'<body><div id="main"><p>{PROSE}</p><p>{PROSE} End.</p></div>{part}</body>') == f"{PROSE}\n\n{PROSE} End."
+
+
+def test_names_of_the_page_around_stay():
+    for name in ("page has-sidebar", "content with-comments", "no-footer", "layout-sidebar-right main"):
+        assert main_text(f'<body class="{name}"><div class="{name}"><div class="entry-header"><h1>T</h1></div><p>{PROSE}</p></div></body>') == f"T\n\n{PROSE}"
+
+
+def test_siblings():
+    short = "A short one, but prose it is, as one can see."
+    articles = f"<main><article><p>{PROSE * 4}</p></article><article><p>{short}</p></article></main>"
+    assert main_text(f"<body>{articles}</body>") == f"{PROSE * 4}\n\n{short}"
+    sections = f"<div><h2>One</h2><section><p>{PROSE * 3}</p><p>{PROSE * 3}</p></section>bare text<h4>Two</h4><section><p>{short}</p></section><ul><li>a</li></ul><section><p>{PROSE}</p></section><div><a href=/>more</a></div></div>"
+    assert main_text(f"<body>{sections}</body>") == "\n\n".join(["One", PROSE * 3, PROSE * 3, "bare text", "Two", short, "a", PROSE])
+
+
+def test_tags_of_any_length():
+    for n in (100, 201, 1000, 50_000):
+        tag = "<p " + " ".join(f'd{k}="a>b"' for k in range(n)) + ">"
+        assert main_text(f"<article>{tag}{PROSE}</p></article>") == PROSE
+    # no end by its quotes: read up to the first bracket, in linear time
+    began = time.time()
+    assert main_text('<article><p title="x>' + PROSE + "</p>" + f"<p a='>'>{PROSE}</p>" * 3 + "</article>") == "\n\n".join([PROSE] * 4)
+    assert main_text("<article>" + '<a ">" x' * 100_000 + PROSE) is not None
+    assert time.time() - began < 20
+
+
+def test_round_trip_of_made_pages():
+    """Texts put into pages of many shapes come out as they went in."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ", " + " ".join(word() for _ in range(n)) + "."
+    junk = ["<nav><a href=/>Home</a> <a href=/b>News</a></nav>", '<div class="sidebar"><p>{}</p></div>', '<ul class="menu"><li><a href=/>{}</a></li></ul>', "<aside><p>{}</p></aside>", '<div id="cookie-banner">{}</div>', "<script>var x = '<p>{}</p>';</script>", '<section class="post-comments"><p>{}</p><p>{}</p></section>', '<form action="/s"><label>{}</label><input></form>', "<!-- {} -->", '<div class="ad-box content"><p>{}</p></div>']
+    for _ in range(300):
+        blocks = [sentence(r.randrange(6, 30)) for _ in range(r.randrange(2, 9))]
+        made = [r.choice(["<p>{}</p>", "<p>{}", "<p class='x'><b>{}</b></p>", "<blockquote>{}</blockquote>", "<p>{}\n</p>"]).format(b.replace(" ", r.choice([" ", "\n  "]))) for b in blocks]
+        mess = lambda: "".join(r.choice(junk).replace("{}", sentence(8)) for _ in range(r.randrange(3)))
+        inner = "".join(m + mess() for m in made)
+        shape = r.choice(["<article>{}</article>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post-body">{}</div></div>', "<table><tr><td>{}</td></tr></table>"])
+        page = f"<html><head><title>{sentence(3)}</title></head><body><header><h1>{word()}</h1></header>{mess()}{shape.format(inner)}{mess()}<footer><p>{sentence(9)}</p></footer></body></html>"
+        assert main_text(page) == "\n\n".join(blocks), page

@@ -62,3 +62,24 @@ def test_near_copies_go_by_row(spark):
     assert len(three) == 1 and kept.pop(three[0]) == 1  # of two like texts of one id, one
     # 44 of 56 and 51 five-word shingles are shared by 5 and 6: under four fifths
     assert kept == Counter([(1, words(1)), (2, words(2)), (4, None), (4, "!"), (None, words(1)), (5, words(5)), (6, rows[10][1]), (1, words(7)), (8, words(8, 460))])
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, lang_rejected boolean, p_toxic double, p_low_quality double, _key string, row_key long, row string, key string, copies int, copy int, _predicted0 int, position long, id long"
+
+
+def test_stages_leave_other_columns_alone_and_take_empty_tables(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    extra = {"score": "7.5D", "lang_pred": "'mine'", "lang_rejected": "false", "p_toxic": "0.9D", "p_low_quality": "0.8D", "_key": "'k'", "row_key": "doc_id * 2", "row": "'r'", "key": "'own'", "copies": "3", "copy": "4", "_predicted0": "5", "position": "6L", "id": "doc_id"}
+    docs = documents.selectExpr("doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars", *[f"{v} AS {k}" for k, v in extra.items()])
+    more = spark.createDataFrame([(None, None, None, None, None, *[None] * 14), (7, "", "en", "s", 0, *[None] * 14), (8, "word " * 200_000, "en", "s", 0, *[None] * 14)], EXTRA)
+    docs = docs.select([c.split()[0] for c in EXTRA.split(", ")]).union(more)
+    known = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r) == known[r["doc_id"]] for r in rows), name
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    packed = corpus_pipeline.pack_sequences(spark, docs, DATA)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(known)
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), DATA).count() == 0
