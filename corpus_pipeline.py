@@ -16,11 +16,23 @@ from emberfield.llm.packing import pack
 from emberfield.llm.queries import tokenizer_path
 
 
+#: Rows that go to Python at once. Spark's default of 10,000 takes some hundred MB of each worker with texts of usual length.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit batches for the session, unless its user has chosen a limit."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learned language; null texts, those without letters and those far from every centroid go.
 
     Repeated rows are judged alike. Any further columns stay as they are; an empty table stays empty.
     """
+    small_batches(spark)
     model = language.fit(language.training_rows(docs))
     return docs.where(~language.predicted(model)["lang_rejected"])
 
@@ -31,6 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is judged as an empty one. Repeated rows are judged alike. Any further columns stay as they are; an empty table
     stays empty, and without labelled documents every row stays.
     """
+    small_batches(spark)
     categories = toxicity.standard_categories()
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), categories)
     return docs.where(toxicity.probabilities(chain, list(categories))["p_toxic"] < 0.5)
@@ -43,6 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, most: in
     Of rows that repeat a doc_id and its text, one stays. Texts without words stay. Any further columns stay as they are; an
     empty table stays empty. Rows that go are joined by broadcast if they are few, else by shuffle.
     """
+    small_batches(spark)
     rows = durable(jaccard_join(docs, width=5, percent=80, keyed=True).where("doc_id IS NOT NULL").select("row_key", "first_key"))
     gone = rows.where("row_key <> first_key").select("row_key").distinct()
     twice = rows.groupBy("row_key").count().where("count > 1").select("row_key")
@@ -66,6 +80,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens, as pack() makes them: nulls, repeated rows, very long texts and
     empty tables too. Further columns are left out."""
+    small_batches(spark)
     return pack(docs, tokenizer_path(), window=4096, end_id=2, slice_chars=500_000, shared=False)
 
 
