@@ -31,13 +31,16 @@ SELECT CAST(s_suppkey AS INT) AS index_pos, CAST(s_suppkey AS STRING) AS id, -6e
        {TS} '2024-01-12 00:00:00' + INTERVAL '1' HOUR * CAST(s_suppkey % 96 + (s_suppkey % 6) * (s_suppkey % 6) * 4 AS INT) AS finaldate,
        CASE WHEN s_suppkey % 17 = 7 THEN NULL ELSE (s_suppkey % 7 + 1) * (s_suppkey % 7 + 1) * 51 / 1e1 + s_suppkey % 3 END AS area_ha
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    # a ring's eight vertices: corners of a square, and the middles of its sides, which the waist draws towards the centre
+    "corners": "SELECT * FROM (VALUES (0, -1, -1, 0), (1, 0, -1, 1), (2, 1, -1, 0), (3, 1, 0, 1), (4, 1, 1, 0), (5, 0, 1, 1), (6, -1, 1, 0), (7, -1, 0, 1)) AS corner(k, sx, sy, mid)",
     "rings": """
-SELECT id AS fire_id, 0 AS poly, 0 AS ring, lon0 AS cx, lat0 AS cy, h AS half FROM fire_base
-UNION ALL SELECT id, 0, 1, lon0, lat0, h / 2 FROM fire_base WHERE index_pos % 3 = 0
-UNION ALL SELECT id, 1, 0, lon0 + h * 2, lat0, h / 2 FROM fire_base WHERE index_pos % 5 = 0""",
+SELECT id AS fire_id, 0 AS poly, 0 AS ring, lon0 AS cx, lat0 AS cy, h AS half, CASE WHEN index_pos % 2 = 0 THEN 55e-2 ELSE 1e0 END AS waist FROM fire_base
+UNION ALL SELECT id, 0, 1, lon0, lat0, h / 2, CASE WHEN index_pos % 4 < 2 THEN 4e-1 ELSE 1e0 END FROM fire_base WHERE index_pos % 3 = 0
+UNION ALL SELECT id, 1, 0, lon0 + h * 2, lat0, h / 2, 7e-1 FROM fire_base WHERE index_pos % 5 = 0""",
     "edges": """
-SELECT fire_id, poly, ring, k, cx + sx * half AS ax, cy + sy * half AS ay, cx + tx * half AS bx, cy + ty * half AS by
-FROM rings CROSS JOIN (VALUES (0, -1, -1, 1, -1), (1, 1, -1, 1, 1), (2, 1, 1, -1, 1), (3, -1, 1, -1, -1)) AS corner(k, sx, sy, tx, ty)""",
+SELECT fire_id, poly, ring, a.k AS k, cx + a.sx * half * CASE WHEN a.mid = 1 THEN waist ELSE 1e0 END AS ax, cy + a.sy * half * CASE WHEN a.mid = 1 THEN waist ELSE 1e0 END AS ay,
+       cx + b.sx * half * CASE WHEN b.mid = 1 THEN waist ELSE 1e0 END AS bx, cy + b.sy * half * CASE WHEN b.mid = 1 THEN waist ELSE 1e0 END AS by
+FROM rings CROSS JOIN corners AS a JOIN corners AS b ON b.k = (a.k + 1) % 8""",
     "bounds": """
 SELECT fire_id AS id, min(cx - half) AS w, min(cy - half) AS s, max(cx + half) AS e, max(cy + half) AS n FROM rings GROUP BY fire_id""",
     "depth_rows": """
@@ -115,7 +118,9 @@ SELECT 'photos/' || coalesce(fire_id, 'unassigned') || '/' || name AS path, name
 SELECT CAST(user_id AS STRING) AS device, event_id AS seq, ts, 54e0 + sum(CASE WHEN event_id % 3 = 0 THEN 7 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1e5 AS lat,
        -2e0 + sum(CASE WHEN event_id % 4 = 0 THEN 9 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1e5 AS lon, value / 10 AS accuracy_m
 FROM events""",
-    "nav_targets": "SELECT CAST(c_custkey AS STRING) AS device, 'node-' || CAST(c_custkey AS STRING) AS node_id, 54e0 + (c_custkey % 40) / 1e4 AS lat, -2e0 + (c_custkey % 30) / 1e4 AS lon FROM customer",
+    "nav_targets": """
+SELECT CAST(c_custkey AS STRING) AS device, 'node-' || CAST(c_custkey AS STRING) AS node_id, 54e0 + (c_custkey % 40) / 1e4 AS lat, -2e0 + (c_custkey % 30) / 1e4 AS lon FROM customer
+UNION ALL SELECT device, 'last-' || device, lat + 2e-5, lon - 1e-5 FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY seq DESC) AS back FROM gps_fixes) g WHERE back % 7 = 1""",
     "comments": """
 SELECT doc_id, 54e0 + (doc_id % 100) / 1e3 AS lat, -2e0 - (doc_id % 90) / 1e3 AS lon, coalesce(text, '') || CASE doc_id % 6
          WHEN 0 THEN ' moved to 54.' || CAST(100 + doc_id % 800 AS STRING) || ', -2.' || CAST(100 + doc_id % 700 AS STRING) || ' by eye'
@@ -185,8 +190,9 @@ class Tables:
 
     def fires(self) -> DataFrame:
         """Fires with nested geometry: polygons, their rings, closed lists of vertices."""
-        corner = lambda sx, sy: F.struct((F.col("cx") + sx * F.col("half")).alias("lon"), (F.col("cy") + sy * F.col("half")).alias("lat"))
-        ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+        at = lambda c, k: F.col(c) + k[0] * F.col("half") * (F.col("waist") if k[1] else F.lit(1.0))
+        vertices = ((-1, -1, 0), (0, -1, 1), (1, -1, 0), (1, 0, 1), (1, 1, 0), (0, 1, 1), (-1, 1, 0), (-1, 0, 1), (-1, -1, 0))
+        ring = F.array(*[F.struct(at("cx", (x, m)).alias("lon"), at("cy", (y, m)).alias("lat")) for x, y, m in vertices])
         rings = self["rings"].select("fire_id", "poly", "ring", ring.alias("points"))
         polys = rings.groupBy("fire_id", "poly").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", "points"))), lambda x: x["points"]).alias("rings"))
         geom = polys.groupBy("fire_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("poly", "rings"))), lambda x: x["rings"]).alias("geom"))

@@ -23,6 +23,29 @@ def hectares(ha) -> Column:
     return F.when(c(ha) >= 100, F.concat(F.format_number(half_up(ha), 0), F.lit(" ha"))).when(c(ha) > 0, F.concat(F.format_string("%.1f", c(ha)), F.lit(" ha")))
 
 
+def fixed(x, digits: int) -> Column:
+    """A number with so many decimals, halves upward."""
+    return F.format_string(f"%.{digits}f", F.floor(c(x) * 10**digits + 0.5) / 10**digits)
+
+
+def number(x) -> Column:
+    """A number as short as it can be: 12, 12.5; null stays null."""
+    return F.when(c(x) == F.floor(c(x)), F.floor(c(x)).cast("string")).otherwise(c(x).cast("string"))
+
+
+def byte_size(n) -> Column:
+    """A number of bytes for people: 512 B, 19 kB, 1.6 MB, 2.05 GB; a dash for null."""
+    kb, mb, gb = 1024, 1024**2, 1024**3
+    whole = F.concat(fixed(c(n) / kb, 0), F.lit(" kB"))
+    return F.when(c(n).isNull(), "-").when(c(n) < kb, F.concat(c(n).cast("string"), F.lit(" B"))).when(c(n) < mb, whole).when(c(n) < gb, F.concat(fixed(c(n) / mb, 1), F.lit(" MB"))).otherwise(F.concat(fixed(c(n) / gb, 2), F.lit(" GB")))
+
+
+def distance(m) -> Column:
+    """A number of metres for people: 870 m, 1.3 km, 24 km."""
+    km = c(m) / 1000
+    return F.when(c(m) < 1000, F.concat(fixed(m, 0), F.lit(" m"))).when(c(m) < 10000, F.concat(fixed(km, 1), F.lit(" km"))).otherwise(F.concat(fixed(km, 0), F.lit(" km")))
+
+
 def subtitle(firedate, ha, country) -> Column:
     return F.concat_ws(" · ", F.date_format(c(firedate), "yyyy-MM-dd"), hectares(ha), c(country))
 

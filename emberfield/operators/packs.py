@@ -123,15 +123,25 @@ def prune_blank_tiles(pixels: DataFrame, most_bytes: int = 800) -> DataFrame:
     return tiles.groupBy("z").agg(F.count("*").alias("checked"), F.count_if(blank).alias("removed"), F.coalesce(F.sum(F.when(blank, F.col("bytes"))), F.lit(0)).alias("freed"))
 
 
-def build_pack_table(fires: DataFrame, detail: DataFrame, severity: DataFrame, stats: DataFrame, grid: DataFrame) -> DataFrame:
-    """A pack row for each fire: the detailed geometry if there is one, box, severity, area and node count."""
+def build_pack_table(fires: DataFrame, detail: DataFrame, severity: DataFrame, stats: DataFrame, grid: DataFrame, stored: DataFrame) -> DataFrame:
+    """A pack row for each fire: its properties, the detailed geometry if there is one, box, tiles of the plan and bytes stored,
+    severity, the statistics document, node count, version and base map.
+
+    stats: documents as stats_documents() makes them. stored: tiles with fire_id and bytes. Severity, statistics and bytes are
+    null where there are none.
+    """
     nodes = grid.groupBy(F.col("fire_id").alias("id")).agg(F.count("*").alias("grid_count"))
-    total = stats.select(F.col("fire_id").alias("id"), "total_ha").distinct()
+    total = stats.select(F.col("fire_id").alias("id"), F.struct("total_ha", "matrix").alias("stats"))
     sev = severity.select(F.col("fire_id").alias("id"), F.struct("severe_frac", "mean", "p90").alias("dnbr"))
+    size = stored.groupBy(F.col("fire_id").alias("id")).agg(F.sum("bytes").alias("bytes"))
     out = fires.join(detail.select("id", F.col("geom").alias("detail")), "id", "left").withColumn("geom", F.coalesce("detail", "geom"))
     boxes = bounding_boxes(out).select("id", F.struct("w", "s", "e", "n").alias("bbox"))
-    out = out.select("id", text.place_name("commune", "province").alias("name"), F.col("detail").isNotNull().alias("detailed"))
-    return out.join(boxes, "id").join(sev, "id", "left").join(total, "id", "left").join(nodes, "id", "left").withColumn("grid_count", F.coalesce("grid_count", F.lit(0)))
+    tiles = pack_estimate(fires).select("id", "tile_count")
+    props = F.struct(*[c for c in fires.columns if c not in ("geom", "index_pos")]).alias("props")
+    out = out.select("id", text.place_name("commune", "province").alias("name"), props, "geom", F.col("detail").isNotNull().alias("detailed"))
+    for part in (sev, total, nodes, size, tiles):
+        out = out.join(part, "id", "left")
+    return out.join(boxes, "id").withColumn("grid_count", F.coalesce("grid_count", F.lit(0))).withColumn("failed", F.lit(0)).withColumn("version", F.lit(VERSION)).withColumn("basemap", F.lit(BASEMAP))
 
 
 def top_area_per_landcover(crosstab: DataFrame, k: int = 3) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 ZOOM = 12
+#: Degrees of latitude in a band of edges, some 200 m.
+BAND = 0.002
 
 
 def edges(fires: DataFrame) -> DataFrame:
@@ -52,10 +54,19 @@ def _candidates(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
 
 
 def _measured(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
-    """pid, fire_id, index_pos, inside, dist_m for candidate pairs. Edges are rows; rings are closed by parity."""
-    pairs = _candidates(points, fires, pad_m).join(edges(fires), "fire_id")
+    """pid, fire_id, index_pos, inside, dist_m for candidate pairs; dist_m is null or too large beyond pad_m.
+
+    Edges are rows, dealt into bands of latitude that they span or come near. A point meets the edges of its own band only:
+    those that decide parity cross its latitude, and those within pad_m are near it.
+    """
+    dlat = pad_m / geo.METRES_PER_DEGREE
+    band = lambda lat: F.floor(lat / BAND)
+    low, high = band(F.least("ay", "by") - dlat), band(F.greatest("ay", "by") + dlat)
+    dealt = edges(fires).withColumn("band", F.explode(F.sequence(low, high)))
+    pairs = _candidates(points, fires, pad_m).withColumn("band", band(F.col("lat"))).join(dealt, ["fire_id", "band"])
     ring = pairs.groupBy("pid", "fire_id", "index_pos", "poly", "ring").agg((F.count_if(geo.crosses("lon", "lat")) % 2).alias("odd"), F.min(geo.edge_m("lat", "lon")).alias("d"))
-    poly = ring.groupBy("pid", "fire_id", "index_pos", "poly").agg((F.max(F.when(F.col("ring") == 0, F.col("odd"))) - F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd"))), F.lit(0))).alias("inside"), F.min("d").alias("d"))
+    outer = F.max(F.when(F.col("ring") == 0, F.col("odd")))
+    poly = ring.groupBy("pid", "fire_id", "index_pos", "poly").agg((F.coalesce(outer, F.lit(0)) - F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd"))), F.lit(0))).alias("inside"), F.min("d").alias("d"))
     return poly.groupBy("pid", "fire_id", "index_pos").agg((F.max("inside") == 1).alias("inside"), F.min("d").alias("dist_m"))
 
 
@@ -131,16 +142,45 @@ def sampling_lattice(fires: DataFrame, spacing: int = 100) -> DataFrame:
     return out.select("fire_id", "e", "n", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), "fallback")
 
 
-def fires_near(queries: DataFrame, fires: DataFrame, k: int = 25) -> DataFrame:
-    """K1: the k nearest fires by haversine to their mean vertex, for each query point (qid, lat, lon).
+def fires_near(queries: DataFrame, fires: DataFrame, k: int = 25, most: int = 20_000, first_degrees: float = 0.5) -> DataFrame:
+    """K1: the k nearest fires by haversine to their mean vertex, for each query point (qid, lat, lon), ties by fire_id.
 
-    The fires' centres, some thousands, are one array that every query row ranks for itself: no pairs leave the row.
+    Up to `most` fires, counted first, are one array that every query row ranks for itself. More are met cell by cell: a query
+    sees the fires of its own cell and the eight around it, and is done if the k-th is nearer than the edge of these. The
+    others go on to cells of twice the size, in the end to one that holds all.
     """
-    centre = representative_points(fires).where("lat IS NOT NULL").select(F.struct("id", F.col("lat").alias("flat"), F.col("lon").alias("flon")).alias("f"))
-    all_fires = centre.agg(F.collect_list("f").alias("fires"))
-    far = F.transform("fires", lambda f: F.struct(geo.haversine_m("lat", "lon", f["flat"], f["flon"]).alias("dist_m"), f["id"].alias("fire_id")))
-    ranked = queries.crossJoin(F.broadcast(all_fires)).select("qid", F.posexplode(F.slice(F.array_sort(far), 1, k)).alias("pos", "f"))
-    return ranked.select("qid", (F.col("pos") + 1).alias("rank"), "f.fire_id", "f.dist_m")
+    centre = representative_points(fires).where("lat IS NOT NULL").select("id", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
+    found = centre.limit(most + 1).count()
+    if found <= most:
+        all_fires = centre.agg(F.collect_list(F.struct("id", "flat", "flon")).alias("fires"))
+        far = F.transform("fires", lambda f: F.struct(geo.haversine_m("lat", "lon", f["flat"], f["flon"]).alias("dist_m"), f["id"].alias("fire_id")))
+        ranked = queries.crossJoin(F.broadcast(all_fires)).select("qid", F.posexplode(F.slice(F.array_sort(far), 1, k)).alias("pos", "f"))
+        return ranked.select("qid", (F.col("pos") + 1).alias("rank"), "f.fire_id", "f.dist_m")
+    rank = Window.partitionBy("qid").orderBy("dist_m", "fire_id")
+    # metres to a degree of longitude where it is shortest within the cells, and to the meridian that cells don't cross
+    left, size, done = queries.select("qid", "lat", "lon"), first_degrees, []
+    while True:
+        whole = size >= 360
+        cell = lambda c: F.lit(0) if whole else F.floor(F.col(c) / size)  # noqa: B023, E731
+        around = F.array(*map(F.lit, (0,) if whole else (-1, 0, 1)))
+        spread = left.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("cy", cell("lat") + F.col("dy")).withColumn("cx", cell("lon") + F.col("dx"))
+        met = spread.join(centre.withColumn("cy", cell("flat")).withColumn("cx", cell("flon")), ["cy", "cx"]).select("qid", "lat", "lon", F.col("id").alias("fire_id"), geo.haversine_m("lat", "lon", "flat", "flon").alias("dist_m"))
+        best = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+        if whole:
+            done.append(best)
+            break
+        degree = geo.EARTH_M * geo.PI / 180 * 0.99
+        narrow = F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + size))) * degree
+        reach = F.least(F.lit(size * degree), F.lit(size) * narrow, (180 - F.abs("lon")) * narrow)
+        full = best.where(F.col("rank") == k).where(F.col("dist_m") < reach).select("qid")
+        done.append(best.join(full, "qid", "left_semi"))
+        left, size = left.join(full, "qid", "left_anti"), size * 4
+        if not left.limit(1).count():
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("qid", F.col("rank").cast("int").alias("rank"), "fire_id", "dist_m")
 
 
 def viewport_fires(views: DataFrame, fires: DataFrame, most: int = 60) -> DataFrame:

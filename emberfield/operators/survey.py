@@ -44,9 +44,16 @@ def failed_rules(submitter="submitter") -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items()]))
 
 
+def odd_depths() -> Column:
+    """What is odd about a row's depths and blocks nothing: a mean that is not theirs, and a depth outside 0 to 500."""
+    mean = F.coalesce(F.abs(F.col("depth_mean") - mean_depth()) > 1e-6, F.col("depth_mean").isNotNull() != mean_depth().isNotNull())
+    odd = {"mean_of_depths": mean, "depth_range": F.exists(given_depths(), lambda d: (d < 0) | (d > 500))}
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in odd.items()]))
+
+
 def validate_measurements(rows: DataFrame) -> DataFrame:
-    """P5: adds failed (names of broken rules) and valid. rows also has depth_mean, grid_id and submitter."""
-    out = rows.withColumn("failed", failed_rules())
+    """P5: adds failed (names of broken rules), valid, and odd (names that block nothing). rows also has depth_mean, grid_id and submitter."""
+    out = rows.withColumn("failed", failed_rules()).withColumn("odd", odd_depths())
     return out.withColumn("valid", F.size("failed") == 0)
 
 
@@ -90,13 +97,15 @@ def pending_uploads(points: DataFrame) -> DataFrame:
     return points.where((F.col("status") == "pending") | F.coalesce("photo_pending", F.lit(False)))
 
 
-def cloud_document(points: DataFrame) -> DataFrame:
-    """Local rows in the shape of the shared table, with defaults for what is absent."""
-    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+def cloud_document(points: DataFrame, now: Column | None = None) -> DataFrame:
+    """Local rows in the shape of the shared table, with defaults for what is absent. now: the time of the upload."""
+    blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    urls = F.coalesce("photo_urls", F.array().cast("array<string>"))
     return points.select(
-        "uuid", blank("fire_id").alias("fire_id"), "lat", "lon", "accuracy_m", "depths", mean_depth().alias("depth_mean"), F.coalesce(F.size(given_depths()), F.lit(0)).alias("depth_count"),
-        blank("combustion").alias("combustion"), F.coalesce("comment", F.lit("")).alias("comment"), F.coalesce("surveyor", F.lit("")).alias("surveyor"),
-        F.coalesce("photo_count", F.lit(0)).alias("photo_count"), "user_id", F.lit("pending_review").alias("status"), "created_at",
+        "uuid", blank("fire_id"), blank("fire_name"), "lat", "lon", "accuracy_m", "depths", mean_depth().alias("depth_mean"), F.coalesce(F.size(given_depths()), F.lit(0)).alias("depth_count"),
+        blank("combustion"), blank("grid_id"), "grid_dist_m", F.coalesce("comment", F.lit("")).alias("comment"), F.coalesce("surveyor", F.lit("")).alias("surveyor"),
+        F.coalesce(F.get(urls, F.lit(0)), F.when(F.col("photo_url") != "", F.col("photo_url"))).alias("photo_url"), urls.alias("photo_urls"), F.coalesce("photo_count", F.lit(0)).alias("photo_count"),
+        "user_id", blank("user_email"), F.lit("pending_review").alias("status"), "created_at", F.lit(1).alias("client_version"), (F.current_timestamp() if now is None else now).alias("synced_at"),
     )
 
 
@@ -134,14 +143,17 @@ def campaigns(measurements: DataFrame, fires: DataFrame, most: int | None = 10,
     return out if most is None else out.orderBy(F.desc("latest"), "fire_id").limit(most)
 
 
-def relocate_and_reattach(measurements: DataFrame, fires: DataFrame, grid: DataFrame, moved_m: float = 15.0) -> DataFrame:
-    """Rows whose comment holds coordinates more than moved_m away: new position, fire and node, with the source of it."""
+def relocate_and_reattach(measurements: DataFrame, fires: DataFrame, grid: DataFrame, admin: str, now: Column | None = None, moved_m: float = 15.0) -> DataFrame:
+    """Rows whose comment holds coordinates more than moved_m away: new position, fire, its name and node, and who moved it when."""
     found = measurements.withColumn("at", text.coordinates("comment")).where("at IS NOT NULL")
     found = found.withColumn("moved_m", geo.local_m("lat", "lon", "at.lat", "at.lon")).where(F.col("moved_m") > moved_m)
     moved = found.select(F.col("uuid").alias("pid"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), "moved_m")
     placed = attach_fires(moved, fires).withColumnRenamed("near_fire", "fire_id").drop("dist_m")
     nodes = attach_grid_nodes(placed.where("fire_id IS NOT NULL"), grid).select("pid", "grid_id", "grid_dist_m")
-    return placed.join(nodes, "pid", "left").select(F.col("pid").alias("uuid"), "lat", "lon", "moved_m", "fire_id", "grid_id", "grid_dist_m", F.lit("comment").alias("location_source"))
+    names = fires.select(F.col("id").alias("fire_id"), text.place_name("commune", "province").alias("fire_name"))
+    out = placed.join(nodes, "pid", "left").join(names, "fire_id", "left")
+    audit = [F.lit("comment-coordinates").alias("location_source"), (F.current_timestamp() if now is None else now).alias("location_corrected_at"), F.lit(admin).alias("location_corrected_by")]
+    return out.select(F.col("pid").alias("uuid"), "lat", "lon", "moved_m", "fire_id", "fire_name", "grid_id", "grid_dist_m", *audit)
 
 
 def comment_coordinates(comments: DataFrame, bounded: bool = True) -> DataFrame:
@@ -203,14 +215,14 @@ def density_by_tile(points: DataFrame, zooms: tuple[int, int] = (6, 12)) -> Data
 def depth_by_severity(measurements: DataFrame, grid: DataFrame) -> DataFrame:
     """Burn depth by the severity class of the node that each measurement is attached to."""
     points = measurements.where("fire_id IS NOT NULL").select(F.col("uuid").alias("pid"), "fire_id", "lat", "lon", mean_depth().alias("depth"))
-    at = attach_grid_nodes(points, grid, max_m=250.0).select("pid", "sev")
+    at = attach_grid_nodes(points, grid).select("pid", "sev")
     return points.where("depth IS NOT NULL").join(at, "pid").groupBy("sev").agg(F.count("*").alias("n"), F.avg("depth").alias("mean_depth"), F.stddev("depth").alias("sd_depth"))
 
 
 def export_columns(measurements: DataFrame) -> DataFrame:
-    """The text columns of the field export, in order: fixed decimals, yes or no, one column a depth, empty for null."""
+    """The text columns of the field export, in order: fixed decimals, yes or no, one column a depth as written, empty for null."""
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    depth = [F.when(F.get("depths", F.lit(i)).isNull(), "").otherwise(F.format_string("%.1f", F.get("depths", F.lit(i)))).alias(f"depth_{i + 1}") for i in range(5)]
+    depth = [F.coalesce(text.number(F.get("depths", F.lit(i))), F.lit("")).alias(f"depth_{i + 1}") for i in range(5)]
     mean = mean_depth()
     return measurements.select(
         "uuid", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_iso"), blank(F.col("surveyor")).alias("surveyor"), blank(F.col("fire_id")).alias("fire_id"), blank(F.col("fire_name")).alias("fire_name"),
@@ -224,7 +236,7 @@ def export_columns(measurements: DataFrame) -> DataFrame:
 def backup_columns(measurements: DataFrame) -> DataFrame:
     """The backup's text columns, in order: depths and photo addresses joined, times as ISO text."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
-    depths = F.array_join(F.transform("depths", lambda d: F.when(d.isNotNull(), F.format_string("%.1f", d)).otherwise("")), "; ").alias("depths")
+    depths = F.array_join(F.transform("depths", lambda d: F.coalesce(text.number(d), F.lit(""))), "; ").alias("depths")
     return measurements.select(
         "uuid", "status", "lat", "lon", "accuracy_m", mean_depth().alias("depth_mean"), depths, "combustion", "grid_id", "grid_dist_m", "fire_id", "fire_name", "comment", "surveyor",
         "user_email", iso("created_at"), iso("synced_at"), "location_source", F.array_join("photo_urls", "; ").alias("photo_urls"),

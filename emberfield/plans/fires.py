@@ -8,6 +8,7 @@ from ..functions import geo
 from ..operators import packs as P
 from ..operators import raster as R
 from ..operators import spatial as X
+from ..sources import io
 from . import sqlparts as Q
 
 QUERIES = {}
@@ -67,7 +68,9 @@ def _(t):
     return X.bounding_boxes(t["fires"]).select("id", *[F.round(c, 9).alias(c) for c in "wsen"])
 
 
-POINT = "SELECT fire_id AS id, avg(cy + sy * half) AS lat, avg(cx + sx * half) AS lon FROM rings CROSS JOIN (VALUES (-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)) v(sx, sy) GROUP BY fire_id"
+#: The first vertex closes the ring, so it counts twice.
+_VERTEX = "{0} + {1} * half * CASE WHEN mid = 1 THEN waist ELSE 1e0 END"
+POINT = f"SELECT fire_id AS id, avg({_VERTEX.format('cy', 'sy')}) AS lat, avg({_VERTEX.format('cx', 'sx')}) AS lon FROM rings CROSS JOIN (SELECT * FROM corners UNION ALL SELECT * FROM corners WHERE k = 0) v GROUP BY fire_id"
 
 
 @query("representative_point", f"SELECT id, round(lat, 9) + 0.0 AS lat, round(lon, 9) + 0.0 AS lon FROM ({POINT})")
@@ -98,7 +101,7 @@ SELECT custkey AS qid, CAST(rank AS INT) AS rank, id AS fire_id, round(m, 3) AS
 )
 def _(t):
     places = t["customer"].select(F.col("c_custkey").alias("qid"), (50 + F.col("c_custkey") % 90 / 10).alias("lat"), (-6 + F.col("c_custkey") % 70 / 10).alias("lon"))
-    return X.fires_near(places, t["fires"], 5).withColumn("dist_m", F.round("dist_m", 3))
+    return X.fires_near(places, t["fires"], 5, most=50).withColumn("dist_m", F.round("dist_m", 3))  # by cells from fifty fires on
 
 
 @query(
@@ -191,7 +194,30 @@ def _(t):
     return X.node_directions(at, t["nav_targets"]).withColumn("dist_m", F.round("dist_m", 3))
 
 
-@query("sampling_lattice")
+#: Vertices of the rings on the national grid, step by step: to space, to the older datum, back to the ground, projected. Fixed values as in the functions.
+_A, _B, _K = "6377563.396::DOUBLE", "6356256.909::DOUBLE", "0.9996012717::DOUBLE"
+_ARC = f"({_A} - {_B}) / ({_A} + {_B})"
+ON_GRID = f"""v AS (SELECT fire_id, poly, ring, k, radians(ay) AS la, radians(ax) AS lo, 6378137.0::DOUBLE / sqrt(1 - (1 - (6356752.314245::DOUBLE / 6378137.0::DOUBLE) ** 2) * sin(radians(ay)) ** 2) AS nu FROM edges),
+space AS (SELECT * EXCLUDE (la, lo, nu), nu * cos(la) * cos(lo) AS x, nu * cos(la) * sin(lo) AS y, nu * (6356752.314245::DOUBLE / 6378137.0::DOUBLE) ** 2 * sin(la) AS z FROM v),
+turn AS (SELECT radians(-0.1502::DOUBLE / 3600) AS rx, radians(-0.2470::DOUBLE / 3600) AS ry, radians(-0.8421::DOUBLE / 3600) AS rz, 1 + 20.4894e-6::DOUBLE AS s),
+older AS (SELECT fire_id, poly, ring, k, -446.448::DOUBLE + s * x - rz * y + ry * z AS x, 125.157::DOUBLE + rz * x + s * y - rx * z AS y, -542.060::DOUBLE - ry * x + rx * y + s * z AS z FROM space, turn),
+bowring AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {_A}, sqrt(x * x + y * y) * {_B}) AS t, 1 - ({_B} / {_A}) ** 2 AS e2 FROM older),
+ground AS (SELECT *, atan2(z + (({_A} / {_B}) ** 2 - 1) * {_B} * sin(t) ** 3, p - e2 * {_A} * cos(t) ** 3) AS la, atan2(y, x) - radians(-2.0::DOUBLE) AS d FROM bowring),
+radii AS (SELECT *, {_A} * {_K} / sqrt(1 - e2 * sin(la) ** 2) AS nu, {_A} * {_K} * (1 - e2) / (1 - e2 * sin(la) ** 2) ** 1.5::DOUBLE AS rho, tan(la) ** 2 AS t2, {_ARC} AS m, la - radians(49.0::DOUBLE) AS u, la + radians(49.0::DOUBLE) AS w FROM ground),
+terms AS (SELECT *, nu / rho - 1 AS eta, sin(la) AS si, cos(la) AS co, {_B} * {_K} * ((1 + m + 1.25 * m ** 2 + 1.25 * m ** 3) * u - (3 * m + 3 * m ** 2 + 2.625 * m ** 3) * sin(u) * cos(w) + (1.875 * m ** 2 + 1.875 * m ** 3) * sin(2 * u) * cos(2 * w) - 35.0::DOUBLE / 24 * m ** 3 * sin(3 * u) * cos(3 * w)) AS arc FROM radii),
+gridded AS (SELECT fire_id, poly, ring, k, 400000 + d * nu * co * (1 + d * d * co * co * ((nu / rho - t2) / 6 + d * d * co * co * (5 - 18 * t2 + t2 * t2 + 14 * eta - 58 * t2 * eta) / 120)) AS e,
+  arc - 100000 + d * d * nu * si * co * (0.5 + d * d * co * co * ((5 - t2 + 9 * eta) / 24 + d * d * co * co * (61 - 58 * t2 + t2 * t2) / 720)) AS n FROM terms)"""
+
+
+@query(
+    "sampling_lattice",
+    f"""WITH {ON_GRID},
+sides AS (SELECT a.fire_id, a.e AS ae, a.n AS an, b.e AS be, b.n AS bn FROM gridded a JOIN gridded b ON b.fire_id = a.fire_id AND b.poly = a.poly AND b.ring = a.ring AND b.k = (a.k + 1) % 8),
+scan AS (SELECT *, line * 100 + 50 AS y FROM (SELECT *, unnest(range(CAST(ceil((least(an, bn) - 50) / 100) AS BIGINT), CAST(floor((greatest(an, bn) - 50) / 100) AS BIGINT) + 1)) AS line FROM sides) s),
+met AS (SELECT fire_id, y, ae + (y - an) / (bn - an) * (be - ae) AS x FROM scan WHERE (an > y) <> (bn > y)),
+pairs AS (SELECT fire_id, y, x, lead(x) OVER (PARTITION BY fire_id, y ORDER BY x) AS x1, row_number() OVER (PARTITION BY fire_id, y ORDER BY x) AS rn FROM met)
+SELECT DISTINCT fire_id, 100 * unnest(range(CAST(ceil((x - 50) / 100) AS BIGINT), CAST(floor((x1 - 50) / 100) AS BIGINT) + 1)) + 50 AS e, y AS n, FALSE AS fallback FROM pairs WHERE rn % 2 = 1""",
+)
 def _(t):
     return X.sampling_lattice(t["fires"]).select("fire_id", "e", "n", "fallback")
 
@@ -375,15 +401,42 @@ def _(t):
 
 @query(
     "build_pack_table",
-    f"""SELECT f.id, {NAME} AS name, CAST(f.id AS INT) % 2 = 0 AS detailed, round(b.w, 9) AS w, round(b.n, 9) AS n, s.severe_frac, c.total_ha, coalesce(g.k, 0) AS grid_count FROM fire_base f JOIN bounds b ON b.id = f.id
-LEFT JOIN (SELECT fire_id, round(avg(CASE WHEN dnbr >= 440 THEN 1 ELSE 0 END), 3) AS severe_frac FROM pixels WHERE {Q.VALID} GROUP BY fire_id) s ON s.fire_id = f.id
-LEFT JOIN (SELECT DISTINCT fire_id, total_ha FROM ({Q.CROSSTAB})) c ON c.fire_id = f.id LEFT JOIN (SELECT fire_id, count(*) AS k FROM grid GROUP BY fire_id) g ON g.fire_id = f.id""",
+    f"""SELECT f.id, {NAME} AS name, CAST(f.id AS INT) % 2 = 0 AS detailed, round(b.w, 9) AS w, round(b.s, 9) AS s, round(b.e, 9) AS e, round(b.n, 9) AS n, k.vertices, s.severe_frac, s.mean, s.p90, c.total_ha, c.peat_high, coalesce(g.k, 0) AS grid_count,
+  z.tile_count, t.bytes, 0 AS failed, 4 AS version, 'topo' AS basemap, f.commune, f.firedate FROM fire_base f JOIN bounds b ON b.id = f.id
+JOIN (SELECT fire_id, CAST(count(*) * 9 AS INT) AS vertices FROM rings GROUP BY fire_id) k ON k.fire_id = f.id JOIN ({ESTIMATE}) z ON z.id = f.id
+LEFT JOIN (SELECT fire_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM stored_tiles GROUP BY fire_id) t ON t.fire_id = f.id
+LEFT JOIN (SELECT fire_id, round(avg(CASE WHEN dnbr >= 440 THEN 1 ELSE 0 END), 3) AS severe_frac, round(avg(dnbr), 1) AS mean, round(quantile_cont(dnbr, 0.9), 1) AS p90 FROM pixels WHERE {Q.VALID} GROUP BY fire_id) s ON s.fire_id = f.id
+LEFT JOIN (SELECT fire_id, max(total_ha) AS total_ha, max(high) FILTER (landcover = 'Peat bogs') AS peat_high FROM ({Q.CROSSTAB}) GROUP BY fire_id) c ON c.fire_id = f.id LEFT JOIN (SELECT fire_id, count(*) AS k FROM grid GROUP BY fire_id) g ON g.fire_id = f.id""",
 )
 def _(t):
-    out = P.build_pack_table(t["fires"], t["fires"].where("index_pos % 2 = 0"), R.severity_stats(t["pixels"]), _crosstab(t), t["grid"])
-    return out.select("id", "name", "detailed", F.round("bbox.w", 9).alias("w"), F.round("bbox.n", 9).alias("n"), "dnbr.severe_frac", "total_ha", "grid_count")
+    stats = io.stats_documents(_crosstab(t), R.SEVERITIES)
+    out = P.build_pack_table(t["fires"], t["fires"].where("index_pos % 2 = 0"), R.severity_stats(t["pixels"]), stats, t["grid"], t["stored_tiles"])
+    box = [F.round(f"bbox.{c}", 9).alias(c) for c in "wsen"]
+    return out.select("id", "name", "detailed", *box, F.size(F.flatten(F.flatten("geom"))).alias("vertices"), "dnbr.severe_frac", "dnbr.mean", "dnbr.p90", "stats.total_ha", F.element_at(F.col("stats.matrix")["Peat bogs"], 6).alias("peat_high"), "grid_count", "tile_count", "bytes", "failed", "version", "basemap", "props.commune", "props.firedate")
 
 
 @query("raster_bounds", f"SELECT fire_id, round(degrees(x0 / 6378137.0::DOUBLE), 6) AS w, round({Q.inverse_lat('y0 + height * py')}, 6) AS s, round(degrees((x0 + width * px) / 6378137.0::DOUBLE), 6) AS e, round({Q.inverse_lat('y0')}, 6) AS n FROM ({PLACED})")
 def _(t):
     return R.raster_bounds(_placed(t)).select("fire_id", *[F.round(c, 6).alias(c) for c in "wsen"])
+
+
+@query(
+    "number_formats",
+    """SELECT fire_id, CASE WHEN bytes IS NULL THEN '-' WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN CAST(floor(bytes / 1024 + 0.5) AS BIGINT) || ' kB' WHEN bytes < 1073741824 THEN printf('%.1f', floor(bytes / 1048576 * 10 + 0.5) / 10) || ' MB' ELSE printf('%.2f', floor(bytes / 1073741824 * 100 + 0.5) / 100) || ' GB' END AS size,
+  CASE WHEN m < 1000 THEN CAST(floor(m + 0.5) AS BIGINT) || ' m' WHEN m < 10000 THEN printf('%.1f', floor(m / 1000 * 10 + 0.5) / 10) || ' km' ELSE CAST(floor(m / 1000 + 0.5) AS BIGINT) || ' km' END AS distance
+FROM (SELECT fire_id, bytes * CAST(fire_id AS BIGINT) * CAST(fire_id AS BIGINT) AS bytes, tile_count * 173 AS m FROM packs) x""",
+)
+def _(t):
+    from ..functions import text
+
+    n = F.col("fire_id").cast("bigint")
+    return t["packs"].select("fire_id", text.byte_size(F.col("bytes") * n * n).alias("size"), text.distance(F.col("tile_count") * 173).alias("distance"))
+
+
+@query(
+    "tile_corners",
+    "SELECT DISTINCT layer, z, x, y, round(x / pow(2.0::DOUBLE, z) * 360 - 180, 9) AS lon, round(degrees(atan((exp(pi() * (1 - 2 * y / pow(2.0::DOUBLE, z))) - exp(-pi() * (1 - 2 * y / pow(2.0::DOUBLE, z)))) / 2)), 9) AS lat FROM stored_tiles",
+)
+def _(t):
+    corner = (F.round(geo.tile_lon("x", "z"), 9).alias("lon"), F.round(geo.tile_lat("y", "z"), 9).alias("lat"))
+    return t["stored_tiles"].select("layer", "z", "x", "y").distinct().select("*", *corner)

@@ -9,7 +9,7 @@ from ..sources import io
 from ..streaming import flows as W
 from . import sqlparts as Q
 from .fires import BURN, PLACED, _composite, _placed
-from .survey import VALIDATED
+from .survey import VALIDATED, submitted
 
 QUERIES = {}
 
@@ -22,37 +22,76 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("split_by_fire", r"SELECT regexp_replace(id || '/' || class, '[^A-Za-z0-9._-]', '_', 'g') AS safe_id, id || '/' || class AS id FROM fire_base WHERE id <> '3'")
-def _(t):
-    fires = t["fires"].withColumn("id", F.when(F.col("id") != "3", F.concat("id", F.lit("/"), "class")))
-    return io.split_manifest(fires)
+_RINGS = "SELECT fire_id, count(DISTINCT poly) AS polygons, count(*) * 9 AS vertices FROM rings GROUP BY fire_id"
 
 
-@query("publish_samples", "SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, uuid FROM measurements WHERE status = 'verified'")
+@query(
+    "load_perimeters",
+    f"""SELECT id, row_number() OVER (ORDER BY index_pos) - 1 AS index_pos, commune, province, country, class, firedate, finaldate, CAST(area_ha AS DOUBLE) AS area_ha, polygons, vertices, round(x, 4) AS x, round(y, 4) AS y
+FROM fire_base JOIN ({_RINGS}) r ON fire_id = id JOIN (SELECT fire_id, sum(round(ax, 5)) AS x, sum(round(ay, 5)) AS y FROM edges GROUP BY fire_id) e USING (fire_id)""",
+)
 def _(t):
-    return t["measurements"].where("status = 'verified'").select(F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "uuid")
+    path = io.scratch(t.spark, "perimeters")
+    lines = io.feature_lines(t["fires"]).repartitionByRange(4, "index_pos").sortWithinPartitions("index_pos")
+    lines.select(F.concat("value", F.lit(",")).alias("value")).write.text(path)
+    fires = io.load_perimeters(t.spark, path, lines=True)
+    # edges are counted once, so the vertex that closes a ring is left out
+    flat = F.flatten(F.transform("geom", lambda poly: F.flatten(F.transform(poly, lambda r: F.slice(r, 1, F.size(r) - 1)))))
+    total = lambda k: F.round(F.aggregate(flat, F.lit(0.0), lambda s, v: s + v[k]), 4)
+    vertices = F.size(F.flatten(F.flatten("geom"))).cast("bigint")
+    return fires.select("id", F.col("index_pos").cast("bigint").alias("index_pos"), "commune", "province", "country", "class", "firedate", "finaldate", "area_ha", F.size("geom").cast("bigint").alias("polygons"), vertices.alias("vertices"), total("lon").alias("x"), total("lat").alias("y"))
+
+
+@query("split_by_fire", rf"SELECT regexp_replace(id || '/' || class, '[^A-Za-z0-9._-]', '_', 'g') AS safe_id, id || '/' || class AS id, index_pos, commune, polygons FROM fire_base JOIN ({_RINGS}) r ON fire_id = id WHERE id <> '3'")
+def _(t):
+    path = io.scratch(t.spark, "fires")
+    fires = t["fires"].withColumn("id", F.when(F.col("id") != "3", F.concat("id", F.lit("/"), "class")))
+    io.split_by_fire(fires, path)
+    back = t.spark.read.schema(f"safe_id string, {', '.join(f'{c} {kind}' for c, kind in fires.dtypes)}").json(path)
+    return back.select("safe_id", "id", "index_pos", "commune", F.size("geom").cast("bigint").alias("polygons"))
 
 
-@query("write_grid", "SELECT fire_id, CAST(count(*) AS INT) AS nodes, CAST(arg_max(e, node_pos) AS DOUBLE) AS last_e FROM grid GROUP BY fire_id")
+@query("publish_samples", "SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, uuid, TRUE AS empty_refused FROM measurements WHERE status = 'verified'")
+def _(t):
+    path = io.scratch(t.spark, "samples")
+    verified = t["measurements"].where("status = 'verified'").select("lon", "lat", "uuid")
+    io.publish_samples(verified, path)
+    refused = False
+    try:
+        io.publish_samples(verified.where("uuid IS NULL"), path)
+    except io.EmptyInput:
+        refused = True  # and what was published is still there
+    return t.spark.read.schema("lon double, lat double, uuid string").json(path).withColumn("empty_refused", F.lit(refused))
+
+
+@query("write_grid", "SELECT fire_id, spacing, node_pos, e, n, lat, lon, sev FROM grid")
 def _(t):
-    return io.grid_documents(t["grid"]).select("fire_id", F.size("points").alias("nodes"), F.element_at(F.element_at("points", -1), 1).alias("last_e"))
+    path = io.scratch(t.spark, "grid")
+    io.write_grid(t["grid"], path)
+    return io.read_grid(t.spark, path)
 
 
-@query("write_stats", f"SELECT fire_id, max(total_ha) AS total_ha, count(*) AS groups, round(sum(high), 2) AS high FROM ({Q.CROSSTAB}) GROUP BY fire_id")
+@query("write_stats", f"SELECT fire_id, total_ha, landcover, {', '.join(Q.NAMES)} FROM ({Q.CROSSTAB})")
 def _(t):
-    docs = io.stats_documents(R.severity_landcover_crosstab(t["pixels"], t["raster"]), R.SEVERITIES)
-    return docs.select("fire_id", "total_ha", F.size("matrix").cast("bigint").alias("groups"), F.round(F.aggregate(F.map_values("matrix"), F.lit(0.0), lambda s, v: s + v[5]), 2).alias("high"))
+    path = io.scratch(t.spark, "stats")
+    io.write_stats(R.severity_landcover_crosstab(t["pixels"], t["raster"]), R.SEVERITIES, path)
+    docs = t.spark.read.schema("fire_id string, total_ha double, matrix map<string, array<double>>").json(path)
+    return docs.select("fire_id", "total_ha", F.explode("matrix").alias("landcover", "ha")).select("fire_id", "total_ha", "landcover", *[F.col("ha")[k].alias(s) for k, s in enumerate(R.SEVERITIES)])
 
 
 @query(
     "write_severity_index",
-    f"""WITH s AS (SELECT DISTINCT fire_id FROM pixels WHERE {Q.VALID} AND CAST(fire_id AS INT) % 4 <> 1), r AS (SELECT fire_id FROM ({PLACED}) x WHERE CAST(fire_id AS INT) % 3 <> 1)
-SELECT id AS fire_id, CASE WHEN id NOT IN (SELECT fire_id FROM r) THEN 'no raster' WHEN id NOT IN (SELECT fire_id FROM s) THEN 'no valid pixel' ELSE 'indexed' END AS reason FROM fire_base""",
+    f"""WITH s AS (SELECT fire_id, count(*) AS px, round(avg(dnbr), 1) AS mean, round(quantile_cont(dnbr, 0.9), 1) AS p90, round(avg(CASE WHEN dnbr >= 440 THEN 1 ELSE 0 END), 3) AS severe_frac FROM pixels WHERE {Q.VALID} AND CAST(fire_id AS INT) % 4 <> 1 GROUP BY fire_id),
+r AS (SELECT fire_id, round(degrees(x0 / 6378137.0::DOUBLE), 6) AS w, round({Q.inverse_lat('y0 + height * py')}, 6) AS s, round(degrees((x0 + width * px) / 6378137.0::DOUBLE), 6) AS e, round({Q.inverse_lat('y0')}, 6) AS n FROM ({PLACED}) x WHERE CAST(fire_id AS INT) % 3 <> 1)
+SELECT f.id AS fire_id, CASE WHEN r.fire_id IS NULL THEN 'no raster' WHEN s.fire_id IS NULL THEN 'no valid pixel' ELSE 'indexed' END AS reason, CASE WHEN r.fire_id IS NOT NULL THEN px END AS px, CASE WHEN r.fire_id IS NOT NULL THEN mean END AS mean, CASE WHEN r.fire_id IS NOT NULL THEN p90 END AS p90,
+  CASE WHEN r.fire_id IS NOT NULL THEN severe_frac END AS severe_frac, CASE WHEN s.fire_id IS NOT NULL THEN r.w END AS w, CASE WHEN s.fire_id IS NOT NULL THEN r.s END AS s, CASE WHEN s.fire_id IS NOT NULL THEN r.e END AS e, CASE WHEN s.fire_id IS NOT NULL THEN r.n END AS n
+FROM fire_base f LEFT JOIN s ON s.fire_id = f.id LEFT JOIN r ON r.fire_id = f.id""",
 )
 def _(t):
     stats = R.severity_stats(t["pixels"].where("CAST(fire_id AS INT) % 4 <> 1"))
     index, skipped = io.severity_index(stats, R.raster_bounds(_placed(t)).where("CAST(fire_id AS INT) % 3 <> 1"), t["fires"].select(F.col("id").alias("fire_id")))
-    return index.select("fire_id", F.lit("indexed").alias("reason")).union(skipped)
+    index = index.select("fire_id", F.lit("indexed").alias("reason"), "px", "mean", "p90", "severe_frac", *[F.round(c, 6).alias(c) for c in "wsen"])
+    return index.unionByName(skipped, allowMissingColumns=True)
 
 
 @query("write_severity_pixels", "SELECT fire_id, row, col, CAST(greatest(-32768, least(32767, dnbr)) AS SMALLINT) AS dnbr FROM pixels WHERE fire_id IN (SELECT id FROM fire_base WHERE area_ha >= 50)")
@@ -73,11 +112,10 @@ AND user_id = submitter AND coalesce(length(comment) <= 500, TRUE) AND length(gr
 def _(t):
     from ..operators import survey as S
 
-    rows = t["measurements"].withColumn("depth_mean", S.mean_depth()).withColumn("grid_id", F.when(F.col("photo_pending"), F.concat(F.lit("E"), F.lit("9" * 45))).otherwise("E1 N2"))
-    rows = rows.withColumn("submitter", F.when(F.col("accuracy_m") > 40, "someone").otherwise(F.col("user_id")))
+    rows = submitted(t)
     # every row arrives, and every second one again later: retries leave one row
     log = rows.withColumn("batch_id", F.lit(0)).unionByName(rows.where("pmod(xxhash64(uuid), 2) = 0").withColumn("batch_id", F.lit(1)))
-    valid = S.validate_measurements(log).where("valid").drop("valid", "failed").withColumn("arrived", F.col("created_at"))
+    valid = S.validate_measurements(log).where("valid").drop("valid", "failed", "odd").withColumn("arrived", F.col("created_at"))
     return W.current_from_log(valid).select("uuid", "status", F.round("lat", 6).alias("lat"))
 
 
@@ -96,10 +134,10 @@ def _(t):
 
 @query(
     "arrivals",
-    """SELECT device, seq, node_id, round(d, 3) AS dist_m FROM (SELECT f.device, f.seq, t.node_id, sqrt(((t.lon - f.lon) * 111320 * cos(radians(f.lat))) ** 2 + ((t.lat - f.lat) * 111320) ** 2) AS d FROM gps_fixes f JOIN nav_targets t USING (device)) x WHERE d <= 60""",
+    """SELECT device, seq, node_id, round(d, 3) AS dist_m FROM (SELECT f.device, f.seq, t.node_id, sqrt(((t.lon - f.lon) * 111320 * cos(radians(f.lat))) ** 2 + ((t.lat - f.lat) * 111320) ** 2) AS d FROM gps_fixes f JOIN nav_targets t USING (device)) x WHERE d <= 5""",
 )
 def _(t):
-    return W.arrivals(t["gps_fixes"], t["nav_targets"], 60.0).withColumn("dist_m", F.round("dist_m", 3))
+    return W.arrivals(t["gps_fixes"], t["nav_targets"]).withColumn("dist_m", F.round("dist_m", 3))
 
 
 @query("latest_fix", "SELECT device, max(seq) AS seq, arg_max(ts, seq) AS ts, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon FROM gps_fixes GROUP BY device")

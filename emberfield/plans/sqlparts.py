@@ -27,9 +27,10 @@ ATTACH = f"""SELECT uuid, near_fire, dist_m FROM (
   SELECT x.uuid, x.fire_id AS near_fire, CASE WHEN inside = 1 THEN 0 ELSE d END AS dist_m, row_number() OVER (PARTITION BY x.uuid ORDER BY 1 - inside, CASE WHEN inside = 1 THEN 0 ELSE d END, f.index_pos) AS rn
   FROM ({MEASURED}) x JOIN fire_base f ON f.id = x.fire_id WHERE inside = 1 OR d <= 100) y WHERE rn = 1"""
 
+# fixed values: bounds of severity classes, and the land-cover codes of each group
 SEVERITY = "CASE WHEN dnbr < -100 THEN 0 WHEN dnbr < 100 THEN 1 WHEN dnbr < 270 THEN 2 WHEN dnbr < 440 THEN 3 WHEN dnbr < 660 THEN 4 ELSE 5 END"
 GROUP = """CASE WHEN code = 412 THEN 'Peat bogs' WHEN code = 411 THEN 'Inland marshes' WHEN code = 322 THEN 'Moors & heathland' WHEN code = 321 THEN 'Natural grassland' WHEN code = 324 THEN 'Transitional scrub'
-WHEN code = 312 THEN 'Coniferous forest' WHEN code IN (311, 313) THEN 'Broadleaved forest' WHEN code BETWEEN 331 AND 335 THEN 'Sparsely vegetated' WHEN code IN (211, 212, 213, 221, 222, 223, 231, 241, 242, 243, 244) THEN 'Pasture & arable'
+WHEN code = 312 THEN 'Coniferous forest' WHEN code IN (311, 313) THEN 'Broadleaved forest' WHEN code IN (331, 332, 333, 334, 335) THEN 'Sparsely vegetated' WHEN code IN (211, 212, 213, 221, 222, 223, 231, 241, 242, 243, 244) THEN 'Pasture & arable'
 WHEN code IN (111, 112, 121, 122, 123, 124, 131, 132, 133, 141, 142) THEN 'Built-up' WHEN code IN (421, 422, 423, 511, 512, 521, 522, 523) THEN 'Water & coastal' ELSE 'Other' END"""
 VALID = "dnbr IS NOT NULL AND dnbr <> -32768"
 
@@ -38,6 +39,7 @@ def inverse_lat(y: str) -> str:
     return f"degrees(2 * atan(exp(({y}) / 6378137.0::DOUBLE)) - pi() / 2)"
 
 
+# fixed values: names of the severity classes
 NAMES = ("regrowth", "unburned", "low", "moderate_low", "moderate_high", "high")
 _HA = f"(SELECT fire_id, abs(px * cos(radians(c)) * py * cos(radians(c))) / 10000 AS ha FROM (SELECT *, {inverse_lat('y0 + height / 2 * py')} AS c FROM raster) z)"
 CROSSTAB = f"""SELECT *, round(sum(row_ha) OVER (PARTITION BY fire_id), 2) AS total_ha FROM (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import survey as S
 from . import sqlparts as Q
+from .fires import NAME
 
 QUERIES = {}
 
@@ -25,24 +26,29 @@ def _(t):
     return t["measurements"].where(geo.in_uk()).select("uuid", "lat", "lon")
 
 
-VALIDATED = f"""SELECT uuid, lat, lon, depths, user_id, status, created_at, comment, combustion, {Q.MEAN} AS depth_mean,
+VALIDATED = f"""SELECT uuid, lat, lon, depths, user_id, status, created_at, comment, combustion, {Q.MEAN} + CASE WHEN manual_placement THEN 1 ELSE 0 END AS depth_mean, {Q.MEAN} AS own_mean,
   CASE WHEN photo_pending THEN 'E' || repeat('9', 45) ELSE 'E1 N2' END AS grid_id, CASE WHEN accuracy_m > 40 THEN 'someone' ELSE user_id END AS submitter FROM measurements"""
 
 
+def submitted(t):
+    """Measurements as they come in, some breaking a rule."""
+    rows = t["measurements"].withColumn("depth_mean", S.mean_depth() + F.when(F.col("manual_placement"), 1).otherwise(0))
+    rows = rows.withColumn("grid_id", F.when(F.col("photo_pending"), F.concat(F.lit("E"), F.lit("9" * 45))).otherwise("E1 N2"))
+    return rows.withColumn("submitter", F.when(F.col("accuracy_m") > 40, "someone").otherwise(F.col("user_id")))
+
+
 @query(
     "validate_measurements",
-    f"""WITH v AS ({VALIDATED}), r AS (SELECT uuid, list_filter([
+    f"""WITH v AS ({VALIDATED}), r AS (SELECT uuid, list_filter([CASE WHEN abs(depth_mean - own_mean) > 1e-6 THEN 'mean_of_depths' END, CASE WHEN len(list_filter(depths, lambda d: d < 0 OR d > 500)) > 0 THEN 'depth_range' END], lambda x: x IS NOT NULL) AS odd, list_filter([
   CASE WHEN uuid IS NULL OR lat IS NULL OR lon IS NULL OR depths IS NULL OR user_id IS NULL OR status IS NULL OR created_at IS NULL THEN 'missing' END,
   CASE WHEN NOT (length(uuid) > 10 AND length(uuid) < 64) THEN 'uuid' END, CASE WHEN NOT ({Q.IN_UK}) THEN 'bounds' END, CASE WHEN len(depths) > 5 THEN 'depths' END,
   CASE WHEN NOT (depth_mean BETWEEN 0 AND 500) THEN 'depth_mean' END, CASE WHEN user_id <> submitter THEN 'user' END, CASE WHEN length(comment) > 500 THEN 'comment' END,
   CASE WHEN length(grid_id) >= 40 THEN 'grid_id' END, CASE WHEN combustion NOT IN ('unburned', 'light', 'moderate', 'near_complete') THEN 'combustion' END,
   CASE WHEN status <> 'pending_review' THEN 'status' END], lambda x: x IS NOT NULL) AS failed FROM v)
-SELECT uuid, array_to_string(failed, ',') AS failed, len(failed) = 0 AS valid FROM r""",
+SELECT uuid, array_to_string(failed, ',') AS failed, array_to_string(odd, ',') AS odd, len(failed) = 0 AS valid FROM r""",
 )
 def _(t):
-    rows = t["measurements"].withColumn("depth_mean", S.mean_depth()).withColumn("grid_id", F.when(F.col("photo_pending"), F.concat(F.lit("E"), F.lit("9" * 45))).otherwise("E1 N2"))
-    rows = rows.withColumn("submitter", F.when(F.col("accuracy_m") > 40, "someone").otherwise(F.col("user_id")))
-    return S.validate_measurements(rows).select("uuid", F.array_join("failed", ",").alias("failed"), "valid")
+    return S.validate_measurements(submitted(t)).select("uuid", F.array_join("failed", ",").alias("failed"), F.array_join("odd", ",").alias("odd"), "valid")
 
 
 @query(
@@ -85,11 +91,13 @@ def _(t):
 
 @query(
     "entry_projection",
-    f"""SELECT uuid, nullif(fire_id, '') AS fire_id, lat, lon, accuracy_m, round({Q.MEAN}, 6) AS depth_mean, CAST(coalesce({Q.COUNT}, 0) AS INT) AS depth_count, nullif(combustion, '') AS combustion,
-coalesce(comment, '') AS comment, coalesce(surveyor, '') AS surveyor, coalesce(photo_count, 0) AS photo_count, user_id, 'pending_review' AS status, created_at FROM measurements""",
+    f"""SELECT uuid, nullif(fire_id, '') AS fire_id, nullif(fire_name, '') AS fire_name, lat, lon, accuracy_m, array_to_string(list_transform(depths, lambda d: coalesce(printf('%.1f', d), '-')), ' ') AS depths, round({Q.MEAN}, 6) AS depth_mean,
+CAST(coalesce({Q.COUNT}, 0) AS INT) AS depth_count, nullif(combustion, '') AS combustion, nullif(grid_id, '') AS grid_id, grid_dist_m, coalesce(comment, '') AS comment, coalesce(surveyor, '') AS surveyor, coalesce(photo_urls[1], photo_url) AS photo_url,
+array_to_string(coalesce(photo_urls, []), ' ') AS photo_urls, coalesce(photo_count, 0) AS photo_count, user_id, nullif(user_email, '') AS user_email, 'pending_review' AS status, created_at, 1 AS client_version, created_at + INTERVAL 1 HOUR AS synced_at FROM measurements""",
 )
 def _(t):
-    return S.cloud_document(t["measurements"]).drop("depths").withColumn("depth_mean", F.round("depth_mean", 6))
+    out = S.cloud_document(t["measurements"], F.expr("created_at + INTERVAL 1 HOUR")).withColumn("depth_mean", F.round("depth_mean", 6))
+    return out.withColumn("depths", F.when(F.col("depths").isNotNull(), F.array_join(F.transform("depths", lambda d: F.when(d.isNull(), "-").otherwise(F.format_string("%.1f", d))), " "))).withColumn("photo_urls", F.array_join("photo_urls", " "))
 
 
 @query(
@@ -208,37 +216,55 @@ def _(t):
     return S.comment_coordinates(t["comments"]).withColumn("moved_m", F.round("moved_m", 3))
 
 
-@query("relocate_and_reattach")
+RELOCATED = """moved AS (SELECT uuid, lat AS la, lon AS lo, floor((lat + 0.0005) * 1e5 + 0.5) / 1e5 AS lat, floor((lon + 0.0003) * 1e5 + 0.5) / 1e5 AS lon FROM measurements WHERE CAST(substring(uuid, 13) AS INT) % 5 = 0)"""
+
+
+@query(
+    "relocate_and_reattach",
+    f"""WITH {RELOCATED}, near AS ({Q.ATTACH.replace("{where}", "").replace("FROM measurements", "FROM moved")}),
+n AS (SELECT m.uuid, m.la, m.lo, m.lat, m.lon, near.near_fire FROM moved m LEFT JOIN near USING (uuid)),
+d AS (SELECT n.uuid, g.e, g.n, sqrt(((g.lon - n.lon) * 111320 * cos(radians(n.lat))) ** 2 + ((g.lat - n.lat) * 111320) ** 2) AS dist, g.node_pos FROM n JOIN grid g ON g.fire_id = n.near_fire),
+r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY dist, node_pos) AS rn FROM d)
+SELECT n.uuid, round(n.lat, 5) AS lat, round(n.lon, 5) AS lon, round(sqrt(((n.lon - n.lo) * 111320 * cos(radians(n.la))) ** 2 + ((n.lat - n.la) * 111320) ** 2), 3) AS moved_m, n.near_fire AS fire_id, CASE WHEN f.id IS NOT NULL THEN {NAME.replace("province", "f.province").replace("commune", "f.commune")} END AS fire_name,
+  CASE WHEN r.dist <= 60 THEN 'E' || r.e || ' N' || r.n END AS grid_id, CASE WHEN r.dist <= 60 THEN CAST(floor(r.dist + 0.5) AS BIGINT) END AS grid_dist_m, 'comment-coordinates' AS location_source, TIMESTAMP '2025-06-01 12:00:00' AS location_corrected_at, 'user-1' AS location_corrected_by
+FROM n LEFT JOIN fire_base f ON f.id = n.near_fire LEFT JOIN r ON r.uuid = n.uuid AND r.rn = 1""",
+)
 def _(t):
-    moved = t["measurements"].withColumn("comment", F.when(F.expr("CAST(substring(uuid, 13) AS INT) % 5 = 0"), F.concat(F.lit("really at "), F.format_string("%.5f", F.col("lat") + 0.0005), F.lit(", "), F.format_string("%.5f", F.col("lon") + 0.0003))).otherwise(F.col("comment")))
-    return S.relocate_and_reattach(moved, t["fires"], t["grid"]).withColumn("moved_m", F.round("moved_m", 3))
+    spot = lambda c, d: F.format_string("%.5f", F.floor((F.col(c) + d) * 1e5 + 0.5) / 1e5)
+    moved = t["measurements"].withColumn("comment", F.when(F.expr("CAST(substring(uuid, 13) AS INT) % 5 = 0"), F.concat(F.lit("really at "), spot("lat", 0.0005), F.lit(", "), spot("lon", 0.0003))))
+    out = S.relocate_and_reattach(moved, t["fires"], t["grid"], "user-1", F.expr("TIMESTAMP_NTZ '2025-06-01 12:00:00'"))
+    return out.withColumn("moved_m", F.round("moved_m", 3)).withColumn("lat", F.round("lat", 5)).withColumn("lon", F.round("lon", 5))
 
 
 @query(
     "attach_grid_nodes",
     """WITH d AS (SELECT m.uuid, g.e, g.n, g.sev, sqrt(((g.lon - m.lon) * 111320 * cos(radians(m.lat))) ** 2 + ((g.lat - m.lat) * 111320) ** 2) AS dist, g.node_pos FROM measurements m JOIN grid g USING (fire_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY dist, node_pos) AS rn FROM d)
-SELECT uuid, 'E' || e || ' N' || n AS grid_id, CAST(floor(dist + 0.5) AS BIGINT) AS grid_dist_m, sev FROM r WHERE rn = 1 AND dist <= 400""",
+SELECT uuid, 'E' || e || ' N' || n AS grid_id, CAST(floor(dist + 0.5) AS BIGINT) AS grid_dist_m, sev FROM r WHERE rn = 1 AND dist <= 60""",
 )
 def _(t):
     from ..operators.spatial import attach_grid_nodes
 
     points = t["measurements"].select(F.col("uuid").alias("pid"), "fire_id", "lat", "lon")
-    return attach_grid_nodes(points, t["grid"], max_m=400.0).select(F.col("pid").alias("uuid"), "grid_id", "grid_dist_m", "sev")
+    return attach_grid_nodes(points, t["grid"]).select(F.col("pid").alias("uuid"), "grid_id", "grid_dist_m", "sev")
 
 
 @query(
     "depth_by_severity",
     f"""WITH d AS (SELECT m.uuid, {Q.MEAN.replace('depths', 'm.depths')} AS depth, g.sev, sqrt(((g.lon - m.lon) * 111320 * cos(radians(m.lat))) ** 2 + ((g.lat - m.lat) * 111320) ** 2) AS dist, g.node_pos FROM measurements m JOIN grid g USING (fire_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY dist, node_pos) AS rn FROM d)
-SELECT sev, count(*) AS n, round(avg(depth), 6) AS mean_depth, round(stddev_samp(depth), 6) AS sd_depth FROM r WHERE rn = 1 AND dist <= 250 AND depth IS NOT NULL GROUP BY sev""",
+SELECT sev, count(*) AS n, round(avg(depth), 6) AS mean_depth, round(stddev_samp(depth), 6) AS sd_depth FROM r WHERE rn = 1 AND dist <= 60 AND depth IS NOT NULL GROUP BY sev""",
 )
 def _(t):
     return S.depth_by_severity(t["measurements"], t["grid"]).withColumn("mean_depth", F.round("mean_depth", 6)).withColumn("sd_depth", F.round("sd_depth", 6))
 
 
+def _number(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
 def _depth_sql(i: int) -> str:
-    return f"coalesce(printf('%.1f', depths[{i}]), '') AS depth_{i}"
+    return f"coalesce({_number(f'depths[{i}]')}, '') AS depth_{i}"
 
 
 @query(
@@ -253,7 +279,7 @@ def _(t):
 
 @query(
     "export_backup",
-    f"""SELECT uuid, status, lat, lon, accuracy_m, round({Q.MEAN}, 6) AS depth_mean, array_to_string(list_transform(depths, lambda d: coalesce(printf('%.1f', d), '')), '; ') AS depths, combustion, grid_id, grid_dist_m, fire_id, fire_name, comment, surveyor,
+    f"""SELECT uuid, status, lat, lon, accuracy_m, round({Q.MEAN}, 6) AS depth_mean, array_to_string(list_transform(depths, lambda d: coalesce({_number('d')}, '')), '; ') AS depths, combustion, grid_id, grid_dist_m, fire_id, fire_name, comment, surveyor,
 user_email, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at, strftime(synced_at, '%Y-%m-%dT%H:%M:%S.000Z') AS synced_at, location_source, array_to_string(photo_urls, '; ') AS photo_urls FROM measurements""",
 )
 def _(t):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.survey import backup_columns, export_columns
 
-FEATURES = "features array<struct<properties:struct<id:string,COMMUNE:string,PROVINCE:string,COUNTRY:string,FIREDATE:string,FINALDATE:string,CLASS:string,areaHA_geo:double>,geometry:struct<type:string,coordinates:string>>>"
+FEATURE = "struct<properties:struct<id:string,COMMUNE:string,PROVINCE:string,COUNTRY:string,FIREDATE:string,FINALDATE:string,CLASS:string,areaHA_geo:double>,geometry:struct<type:string,coordinates:string>>"
+#: The byte order mark by which spreadsheets tell UTF-8.
+MARK = "\ufeff"
 GRID = "spacing int, crs string, points array<array<double>>"
 
 
@@ -20,10 +26,40 @@ def _vertices(digits: int):
     return lambda ring: F.transform(ring, lambda v: F.struct(F.round(v[0], digits).alias("lon"), F.round(v[1], digits).alias("lat")))
 
 
-def load_perimeters(spark: SparkSession, path: str, digits: int = 5) -> DataFrame:
-    """GeoJSON features as fires. A polygon becomes a list of one; coordinates are rounded; index_pos is the order in the file."""
-    schema = StructType.fromDDL(FEATURES)
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("index_pos", "f"))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that driver and executors share. Only a local session may leave that unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-scratch-"))
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with index_pos, their order in the file: ranks within a block, and before these the counts of the blocks before."""
+    rows = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.where(F.col("value").rlike(r'"type"\s*:\s*"Feature"'))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    return rows.withColumn("rank", rank).join(blocks.select("file", "block", before.alias("before")), ["file", "block"]).select((F.col("before") + F.col("rank")).cast("int").alias("index_pos"), "value")
+
+
+def load_perimeters(spark: SparkSession, path: str, digits: int = 5, lines: bool = False) -> DataFrame:
+    """GeoJSON features as fires. A polygon becomes a list of one; coordinates are rounded; index_pos is the order in the file.
+
+    lines: each feature stands on a line of its own, as exporters write them, with or without the collection around; such a file
+    is read in blocks by many tasks. Else the document may be laid out in any way, and one task reads it.
+    """
+    if lines:
+        rows = _numbered(spark.read.text(path)).select("index_pos", F.from_json(F.regexp_replace("value", r",\s*$", ""), FEATURE).alias("f"))
+    else:
+        schema = StructType.fromDDL(f"features array<{FEATURE}>")
+        rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("index_pos", "f"))
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     raw = F.when(F.col("f.geometry.type") == "MultiPolygon", many).otherwise(F.array(one))
@@ -35,6 +71,16 @@ def load_perimeters(spark: SparkSession, path: str, digits: int = 5) -> DataFram
     )
 
 
+def feature_lines(fires: DataFrame) -> DataFrame:
+    """Fires as GeoJSON features, one a line (column value); several polygons, or none, are a MultiPolygon."""
+    rings = F.transform("geom", lambda poly: F.transform(poly, lambda ring: F.transform(ring, lambda v: F.array(v["lon"], v["lat"]))))
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    properties = F.struct("id", F.col("commune").alias("COMMUNE"), F.col("province").alias("PROVINCE"), F.col("country").alias("COUNTRY"), time("firedate").alias("FIREDATE"), time("finaldate").alias("FINALDATE"), F.col("class").alias("CLASS"), F.col("area_ha").alias("areaHA_geo"))
+    head = F.concat(F.lit('{"type": "Feature", "properties": '), F.to_json(properties), F.lit(', "geometry": {"type": "'))
+    shape = F.when(F.size("geom") == 1, F.concat(F.lit('Polygon", "coordinates": '), F.to_json(F.get(rings, F.lit(0))))).otherwise(F.concat(F.lit('MultiPolygon", "coordinates": '), F.to_json(rings)))
+    return fires.select("index_pos", F.concat(head, shape, F.lit("}}")).alias("value"))
+
+
 def safe_id(column="id") -> Column:
     """An id as a file name: other characters than letters, digits, dot, underscore and dash become an underscore."""
     return F.regexp_replace(column, r"[^A-Za-z0-9._-]", "_")
@@ -62,8 +108,9 @@ def publish_samples(samples: DataFrame, path: str, digits: int = 6) -> None:
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    """One row a node from documents named after their fire."""
-    docs = spark.read.schema(GRID).option("multiLine", True).json(path).withColumn("fire_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    """One row a node from documents named after their fire, or in a folder that is, as write_grid() leaves them."""
+    name = F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"/fire_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    docs = spark.read.schema(GRID).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("fire_id", F.url_decode(name))
     rows = docs.select("fire_id", "spacing", F.posexplode("points").alias("node_pos", "p"))
     at = lambda k, kind: F.col("p")[k].cast(kind)
     return rows.select("fire_id", "spacing", "node_pos", at(0, "bigint").alias("e"), at(1, "bigint").alias("n"), at(2, "double").alias("lat"), at(3, "double").alias("lon"), at(4, "int").alias("sev"))
@@ -116,11 +163,14 @@ def write_summary_csv(summary: DataFrame, path: str) -> None:
 
 
 def write_measurements_csv(measurements: DataFrame, path: str) -> None:
-    """Quoted where needed, quotes doubled."""
-    export_columns(measurements).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """Quoted where needed, quotes doubled, and a byte order mark before the header of each file."""
+    out = export_columns(measurements)
+    out = out.withColumnRenamed("uuid", MARK + "uuid")
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_backup(measurements: DataFrame, path: str) -> None:
-    """All rows as JSON, null fields kept, and as CSV with every field quoted."""
+    """All rows as JSON, null fields kept, and as CSV with every field quoted, after a byte order mark."""
     measurements.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
-    backup_columns(measurements).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/csv")
+    out = backup_columns(measurements).withColumnRenamed("uuid", MARK + "uuid")
+    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/csv")

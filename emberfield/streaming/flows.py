@@ -27,29 +27,34 @@ def ingest_measurements(arrivals: DataFrame, log_path: str, rejected_path: str,
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = validate_measurements(batch).persist()
-        checked.where("valid").drop("valid", "failed").write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        checked.where("valid").drop("valid", "failed", "odd").write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         checked.where("NOT valid").write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
         checked.unpersist()
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def review_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame) -> DataFrame:
-    """T5: measurements with the last authorised decision (uuid, decision, reviewer, ts) of each applied."""
+def authorized_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame) -> DataFrame:
+    """T5: the decisions (uuid, decision, reviewer, ts) of reviewers who may take them."""
     asked = decisions.select("uuid", F.col("reviewer").alias("editor_uid"), "decision", "ts", F.lit("update").alias("op"))
     owner = measurements.select("uuid", F.col("user_id").alias("new_user_id"))
     checked = authorize_updates(asked.join(owner, "uuid"), measurements, admins).where("accepted")
-    last = checked.groupBy("uuid").agg(F.max(F.struct("ts", "editor_uid", "decision")).alias("d"))
+    return checked.select("uuid", "decision", F.col("editor_uid").alias("reviewer"), "ts")
+
+
+def review_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame) -> DataFrame:
+    """T5: measurements with the last authorised decision of each applied."""
+    last = authorized_decisions(decisions, measurements, admins).groupBy("uuid").agg(F.max(F.struct("ts", "reviewer", "decision")).alias("d"))
     waits = F.col("status") == "pending_review"
     out = measurements.join(last, "uuid", "left")
-    return out.withColumn("reviewed_at", F.when(waits, F.col("d.ts"))).withColumn("reviewed_by", F.when(waits, F.col("d.editor_uid"))).withColumn("status", F.when(waits & F.col("d").isNotNull(), F.col("d.decision")).otherwise(F.col("status"))).drop("d")
+    return out.withColumn("reviewed_at", F.when(waits, F.col("d.ts"))).withColumn("reviewed_by", F.when(waits, F.col("d.reviewer"))).withColumn("status", F.when(waits & F.col("d").isNotNull(), F.col("d.decision")).otherwise(F.col("status"))).drop("d")
 
 
 def stream_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame, path: str, checkpoint: str):
     """T5 as a stream: authorised decisions are logged by batch; review_decisions over the log gives the table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        authorized_decisions(batch, measurements, admins).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

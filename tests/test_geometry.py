@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -48,6 +49,68 @@ def test_attach_within_a_hundred_metres(spark):
     assert got[3] == ("hole", pytest.approx(77.92, abs=0.05)) and got[5] == ("hole", 0.0)
 
 
+def star(x, y, r, rng):
+    """A ring with slanted edges: radii that vary around a centre."""
+    turn = [2 * math.pi * k / 11 for k in range(11)]
+    ring = [(x + r * s * math.cos(a), y + r * s * math.sin(a)) for a, s in ((a, rng.uniform(0.5, 1)) for a in turn)]
+    return [*ring, ring[0]]
+
+
+def test_slanted_rings_equal_brute_force(spark):
+    r = random.Random(9)
+    fires = [(k, f"f{k}", [[star(-2 + 0.05 * (k % 4), 54 + 0.05 * (k // 4), 0.04, r), *([star(-2 + 0.05 * (k % 4), 54 + 0.05 * (k // 4), 0.018, r)] if k % 2 else [])]]) for k in range(12)]
+    points = [(i, r.uniform(53.95, 54.15), r.uniform(-2.06, -1.8)) for i in range(4000)]
+    table, shapes = spark.createDataFrame(points, "pid long, lat double, lon double"), spark.createDataFrame(fires, FIRE)
+    want = {i: next((f for _, f, g in fires if inside(lon, lat, g)), None) for i, lat, lon in points}
+    assert {x["pid"]: x["fire_id"] for x in spatial.points_in_fires(table, shapes).collect()} == {i: f for i, f in want.items() if f}
+
+    def metres(lat, lon, geom):
+        mo, best = 111320 * math.cos(math.radians(lat)), math.inf
+        for ring in geom[0]:
+            for (ax, ay), (bx, by) in zip(ring, ring[1:]):  # noqa: B905
+                dx, dy, px, py = (bx - ax) * mo, (by - ay) * 111320, (lon - ax) * mo, (lat - ay) * 111320
+                t = max(0.0, min(1.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+                best = min(best, math.hypot(px - t * dx, py - t * dy))
+        return best
+
+    near = {x["pid"]: (x["near_fire"], x["dist_m"]) for x in spatial.attach_fires(table, shapes).collect()}
+    outside = [p for p in points if not want[p[0]]]
+    hits = 0
+    for i, lat, lon in outside:
+        d, _, f = min((metres(lat, lon, g), k, f) for k, f, g in fires)
+        assert near[i] == ((f, pytest.approx(d, abs=1e-4)) if d <= 100 else (None, None))
+        hits += d <= 100
+    assert hits > 50 and all(near[i] == (f, 0.0) for i, f in want.items() if f)
+
+
+def test_clip_equals_brute_force_on_slanted_rings(spark):
+    r = random.Random(3)
+    geom = [[star(-2, 54, 0.1, r), star(-2, 54, 0.04, r)], [star(-1.7, 54, 0.05, r)]]
+    header = spark.createDataFrame([("s", -2.15, 54.15)], "fire_id string, lon double, lat double").select("fire_id", geo.mercator_x("lon").alias("x0"), geo.mercator_y("lat").alias("y0"), F.lit(700.0).alias("px"), F.lit(-900.0).alias("py"))
+    pixels = spark.range(90 * 70).select(F.lit("s").alias("fire_id"), F.expr("cast(id div 90 as int)").alias("row"), F.expr("cast(id % 90 as int)").alias("col"), F.lit(300).alias("dnbr"))
+    got = {(x["row"], x["col"]) for x in raster.clip_to_perimeter(pixels, header, spark.createDataFrame([(0, "s", geom)], FIRE)).collect()}
+    want = {(x["row"], x["col"]) for x in raster.pixel_centres(pixels, header).collect() if inside(x["lon"], x["lat"], geom)}
+    assert got == want and len(got) > 300
+
+
+def test_nearest_fires_by_cells(spark):
+    r = random.Random(4)
+    fires = [(k, f"f{k:03}", [[square(r.gauss(-2, 3), r.gauss(54, 2), 0.01)]]) for k in range(150)] + [(900, "far", [[square(170, -40, 0.01)]])]
+    shapes = spark.createDataFrame(fires, FIRE)
+    queries = spark.createDataFrame([(i, r.uniform(49, 61), r.uniform(-9, 2)) for i in range(120)] + [(1000, -41.0, 179.9), (1001, 80.0, 0.0)], "qid long, lat double, lon double")
+    rows = lambda df: sorted((x["qid"], x["rank"], x["fire_id"], round(x["dist_m"], 6)) for x in df.collect())
+    assert rows(spatial.fires_near(queries, shapes, 7, most=10)) == rows(spatial.fires_near(queries, shapes, 7))
+    assert len(rows(spatial.fires_near(queries.limit(3), shapes, 400, most=10))) == 3 * 151
+
+
+def test_number_formats(spark):
+    sizes = {None: "-", 512: "512 B", 1536: "2 kB", 19456: "19 kB", 1677721: "1.6 MB", 2202009600: "2.05 GB"}
+    got = spark.createDataFrame([(k,) for k in sizes], "n long").select("n", text.byte_size("n").alias("t")).collect()
+    assert {x["n"]: x["t"] for x in got} == sizes
+    metres = {0.4: "0 m", 869.5: "870 m", 1340.0: "1.3 km", 24400.0: "24 km"}
+    assert {x["m"]: x["t"] for x in spark.createDataFrame([(m,) for m in metres], "m double").select("m", text.distance("m").alias("t")).collect()} == metres
+
+
 def test_lattice_is_inside_and_whole(spark):
     rows = spatial.sampling_lattice(spark.createDataFrame(FIRES, FIRE)).collect()
     by = {}
