@@ -143,14 +143,15 @@ class Automaton:
         return np.bincount(text, total, len(g.size))
 
 
-def score(docs: DataFrame, parts: int = 5, keep: tuple = (0.97, 0.97), power: tuple = (0.06, 0.06), block_chars: int = 12_000_000, shard_keys: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, parts: int = 5, keep: tuple = (0.98, 0.95), power: tuple = (0.04, 0.25), block_chars: int = 12_000_000, shard_keys: int = 3_000_000) -> DataFrame:
     """Log10 probabilities of all documents under a model of those whose crc32 of doc_id, modulo `parts`, is not 1.
 
     docs: doc_id and text; other columns are ignored. A null text is empty: its end alone. A null doc_id is neither learnt
     from nor held out. Repeated rows are learnt from and scored as often as they occur. Without training documents all
     probabilities are 1; an empty table gives an empty table. A very long text is a block of its own, in memory linear in its length.
     keep, power: a word state (then a pair state) that occurred c times leaves the share keep / (1 + c) ** power to shorter
-    histories.
+    histories. The defaults gave the held-out rows of a table of 5,000 documents the largest probability among some twenty
+    choices; other texts may want others.
     Returns one row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     check = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
@@ -205,6 +206,8 @@ def score(docs: DataFrame, parts: int = 5, keep: tuple = (0.97, 0.97), power: tu
         grams = Grams(list(pdf["text"]))
         answers = answers.sort_values("shard")
         counts = [np.concatenate([np.zeros(0, np.uint64), *[N.unpacked(c) for c in answers.loc[answers["kind"] == kind, "counts"]]]) for kind in range(ORDER)]
+        if [len(c) for c in counts] != [len(k) for k in grams.keys]:
+            raise RuntimeError("a block of texts changed between its question and the answer: write the table before scoring it")
         steps = Automaton(grams, counts, n, unknown, keep, power).traverse() if n else np.zeros(len(pdf))
         of = np.repeat(np.arange(len(pdf)), grams.size)
         count = counts[0][grams.at[0]]

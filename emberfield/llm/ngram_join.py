@@ -212,7 +212,10 @@ def jaccard_join(
     def sign(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, sets, keys, at, _ = distinct(pdf["text"])
         answers = answers.sort_values("shard")
-        shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(answers["shared"], answers["n"], strict=True)]]).astype(bool)[at]
+        shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(answers["shared"], answers["n"], strict=True)]]).astype(bool)
+        if len(shared) != len(keys):
+            raise RuntimeError("a group of texts changed between its question and the answer: write the table before joining it")
+        shared = shared[at]
         signs, nodes, first = [np.zeros(0, N.U64)], [np.zeros(0, np.int64)], 0
         for node, values in sets.items():
             own = values[shared[first : first + len(values)]]

@@ -79,8 +79,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Host, path, rule and verdict of every page, aliases included.
 
     pages: page_id, url, html; other columns are ignored. A null url, or one without ://, has
-    empty host and path, no rule and no alias. Equal urls are one address. Returns one row for each
-    row: page_id, host, path, rule (null where the method decided), verdict.
+    empty host and path, no rule and no alias. Equal urls are one address. A null html has no links; a very long one is searched
+    whole. Of several canonical links or refreshes of a page the first
+    counts. An empty table gives an empty table. Returns one row for each row: page_id, host, path, rule (null where the method decided), verdict.
     """
     pages = pages.select("page_id", "url", "html")
     links = durable(alias_edges(pages))

@@ -30,6 +30,16 @@ def test_mix_equals_sql_and_reaches_targets(spark):
     assert by.target.sum() == pytest.approx(min(1.5 * by.n.sum(), 2 * by.n.sum()))
 
 
+def test_mixed_repeats_rows_with_any_columns(spark):
+    rows = [(i, f"w{i} " * (i % 9), ["a", "b", None][i % 3], f"own {i}", i) for i in range(200)] + [(5, "w " * 100_000, "a", "long", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, copies int")
+    taken = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(docs).collect()}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    found = [tuple(r) for r in out.collect()]
+    assert set(found) <= set(rows) and all(found.count(r) == taken[r[0], len(r[1].split())] for r in rows)
+
+
 def test_mix_empty_and_repeats(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     out = mixing.mix(spark.createDataFrame([(1, "a b", None), (1, "a b", None), (None, "", "s")], "doc_id long, text string, source string")).collect()
@@ -72,6 +82,13 @@ def test_url_verdicts(spark):
     assert got[16] == ("alone.info", "", None, "allow")
 
 
+def test_url_in_a_very_long_page(spark):
+    page = "<p>" + "word <b>x</b> " * 300_000 + "<link rel='canonical' href='https://x.org/es/9'>"
+    rows = [(1, "http://free.info/a", page), (1, "http://free.info/a", page), (2, "http://free.info/b", page[:3_000_000])]
+    got = sorted(tuple(r) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "rule", "verdict").collect())
+    assert got == [(1, None, "block"), (1, None, "block"), (2, None, "allow")]
+
+
 def test_url_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
