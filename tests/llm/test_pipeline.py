@@ -71,7 +71,7 @@ def test_stages_leave_other_columns_alone_and_take_empty_tables(spark):
     documents = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
     extra = {"score": "7.5D", "lang_pred": "'mine'", "lang_rejected": "false", "p_toxic": "0.9D", "p_low_quality": "0.8D", "_key": "'k'", "row_key": "doc_id * 2", "row": "'r'", "key": "'own'", "copies": "3", "copy": "4", "_predicted0": "5", "position": "6L", "id": "doc_id"}
     docs = documents.selectExpr("doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars", *[f"{v} AS {k}" for k, v in extra.items()])
-    more = spark.createDataFrame([(None, None, None, None, None, *[None] * 14), (7, "", "en", "s", 0, *[None] * 14), (8, "word " * 200_000, "en", "s", 0, *[None] * 14)], EXTRA)
+    more = spark.createDataFrame([(None, None, None, None, None, *[None] * 14), (100_007, "", "en", "s", 0, *[None] * 14), (100_008, "word " * 200_000, "en", "s", 0, *[None] * 14)], EXTRA)
     docs = docs.select([c.split()[0] for c in EXTRA.split(", ")]).union(more)
     known = {r["doc_id"]: tuple(r) for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
