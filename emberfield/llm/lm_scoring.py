@@ -34,7 +34,7 @@ from .common import shuffle_partitions
 
 END, START = np.uint64(0x51A7E0FE9D), np.uint64(0x5EED0FA7EC)
 SLICE_CHARS = 2_000_000
-ORDER, BITS, STRETCH = 3, (64, 48, 56), 1024
+ORDER, STRETCH = 3, 1024
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +50,10 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
 class Grams:
     """The distinct words, pairs and triples of a block (kinds 0 to 2), with the number of each token's among them.
 
-    `where` has a place of each. A text's first pair begins with its start; its first triple stands for nothing.
+    Words are hashed to 64 bits, pairs and triples to `bits`. `where` has a place of each. A text's first pair begins with its start; its first triple stands for nothing.
     """
 
-    def __init__(self, texts: list):
+    def __init__(self, texts: list, bits: int = 56):
         token, self.size = tokens(texts)
         self.first = np.cumsum(self.size) - self.size
         self.keys, self.at, self.where = [], [], []
@@ -64,7 +64,7 @@ class Grams:
                 before[self.first] = START
                 with np.errstate(over="ignore"):
                     gram = N.mix(before * N.U64(0x9E3779B97F4A7C15) + gram, 40 + kind)
-            keys, where, at = np.unique(gram >> N.U64(64 - BITS[kind]), return_index=True, return_inverse=True)
+            keys, where, at = np.unique(gram >> N.U64(64 - bits) if kind else gram, return_index=True, return_inverse=True)
             self.keys.append(keys)
             self.where.append(where.astype(np.int32))
             self.at.append(at.astype(np.int32))
@@ -74,10 +74,6 @@ class Grams:
         return [np.bincount(at, weight, len(k)).astype(np.uint32) for at, k in zip(self.at, self.keys, strict=True)]
 
 
-#: Bytes for the distance of a key to the one before it, by kind.
-GAP = (7, 4, 5)
-
-
 class Automaton:
     """The states and arcs that the texts of a block can visit.
 
@@ -158,18 +154,22 @@ def score(docs: DataFrame, parts: int = 5, keep: tuple = (0.98, 0.95), power: tu
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(check == 1, F.lit(False)).alias("held_out"), F.coalesce(check != 1, F.lit(False)).alias("train"))
     floor = shuffle_partitions(docs.sparkSession)
 
+    def wide(bits: int) -> int:
+        """Bytes for the distance of a key to the one before it: a block has a million pairs or triples or two, and some ten thousand words."""
+        return 7 if bits == 64 else -(-(bits - 17) // 8)
+
     # vocabulary: distinct words of each batch, added up by shards
     def vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             token, size = tokens(list(pdf["text"]))
             keys, count = np.unique(token[np.repeat(pdf["train"].to_numpy(), size)], return_counts=True)
-            cut = N.cuts(keys, BITS[0], floor)
+            cut = N.cuts(keys, 64, floor)
             chars = sum(len(t) for t in pdf["text"] if t is not None)
-            yield pd.DataFrame([(s, N.packed_keys(keys[cut[s] : cut[s + 1]], GAP[0]), N.packed(count[cut[s] : cut[s + 1]]), 0 if s else chars, 0 if s else len(token)) for s in range(floor)], columns=["shard", "keys", "counts", "chars", "tokens"])
+            yield pd.DataFrame([(s, N.packed_keys(keys[cut[s] : cut[s + 1]], wide(64)), N.packed(count[cut[s] : cut[s + 1]]), 0 if s else chars, 0 if s else len(token)) for s in range(floor)], columns=["shard", "keys", "counts", "chars", "tokens"])
             N.release()
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, at = np.unique(np.concatenate([N.unpacked_keys(k, GAP[0]) for k in pdf["keys"]]), return_inverse=True)
+        keys, at = np.unique(np.concatenate([N.unpacked_keys(k, wide(64)) for k in pdf["keys"]]), return_inverse=True)
         total = np.bincount(at, np.concatenate([N.unpacked(c) for c in pdf["counts"]]), len(keys))
         return pd.DataFrame([(int(total.sum()), len(keys), int((total == 1).sum()), int(pdf["chars"].sum()), int(pdf["tokens"].sum()))], columns=["n", "v", "once", "chars", "tokens"])
 
@@ -179,21 +179,24 @@ def score(docs: DataFrame, parts: int = 5, keep: tuple = (0.98, 0.95), power: tu
     unknown = min(0.5, max(once, 1) / n) if n else 1.0
     blocks = max(floor, math.ceil(chars / block_chars))
     shards = max(floor, math.ceil(seen * 0.9 / shard_keys))
+    # of pairs and triples, about one in ten thousand shares its count with another, whatever the size of the corpus
+    short = max(40, min(62, math.ceil(math.log2(seen + 1)) + 13))
+    bits = (64, short, short)
     # the number of the input's partition spreads repeated rows over blocks
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(list(pdf["text"]))
+        grams = Grams(list(pdf["text"]), short)
         rows = []
         for kind, (keys, count) in enumerate(zip(grams.keys, grams.counts(pdf["train"].to_numpy()), strict=True)):
-            cut = N.cuts(keys, BITS[kind], shards)
-            rows += [(kind, s, int(pdf["block"].iat[0]), N.packed_keys(keys[cut[s] : cut[s + 1]], GAP[kind]), N.packed(count[cut[s] : cut[s + 1]])) for s in np.flatnonzero(np.diff(cut)).tolist()]
+            cut = N.cuts(keys, bits[kind], shards)
+            rows += [(kind, s, int(pdf["block"].iat[0]), N.packed_keys(keys[cut[s] : cut[s + 1]], wide(bits[kind])), N.packed(count[cut[s] : cut[s + 1]])) for s in np.flatnonzero(np.diff(cut)).tolist()]
         N.release()
         return pd.DataFrame(rows, columns=["kind", "shard", "block", "keys", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["kind"].iat[0])
-        keys = [N.unpacked_keys(k, GAP[kind]) for k in pdf["keys"]]
+        keys = [N.unpacked_keys(k, wide(bits[kind])) for k in pdf["keys"]]
         cut = np.cumsum([0, *map(len, keys)])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate([N.unpacked(c) for c in pdf["counts"]]))
@@ -203,7 +206,7 @@ def score(docs: DataFrame, parts: int = 5, keep: tuple = (0.98, 0.95), power: tu
         return out
 
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(list(pdf["text"]))
+        grams = Grams(list(pdf["text"]), short)
         answers = answers.sort_values("shard")
         counts = [np.concatenate([np.zeros(0, np.uint64), *[N.unpacked(c) for c in answers.loc[answers["kind"] == kind, "counts"]]]) for kind in range(ORDER)]
         if [len(c) for c in counts] != [len(k) for k in grams.keys]:
