@@ -10,6 +10,7 @@ a window is full; what the last one holds is cut at powers of two, which need no
 
 from __future__ import annotations
 
+import gc
 import itertools
 import zlib
 from collections import deque
@@ -94,19 +95,14 @@ class WordTokens:
 
     def _learn(self) -> None:
         words, self.index.new = self.index.new, []
-        bases, tails, stems = [], [], self.stems
-        for w in words:
-            if w.isascii():
-                w = w.lower()
-            last = w[-1]
-            if last in ".,!?" and len(w) > 1 and w[-2].lower().isalnum():
-                bases.append(w[:-1])
-                tails.append(last)
-            else:
-                bases.append(w)
-                tails.append("")
+        stems = self.stems
+        bases = [w.lower() if w.isascii() else w for w in words]
+        tails = [""] * len(bases)
+        for k, w in enumerate(bases):
+            if w[-1] in ".,!?" and len(w) > 1 and w[-2].lower().isalnum():
+                bases[k], tails[k] = w[:-1], w[-1]
         stems[""] = []
-        self._stem_ids([s for s in dict.fromkeys(itertools.chain(bases, tails)) if s not in stems])
+        self._stem_ids(list((set(bases) | set(tails)) - stems.keys()))
         ids = [stems[b] + stems[t] if t else stems[b] for b, t in zip(bases, tails)]  # noqa: B905
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum()))
@@ -117,9 +113,15 @@ class WordTokens:
         if len(self.index) + len(self.stems) > self.most:
             self._shrink()
         number = self.index.__getitem__
-        plain = [None if any(o in t for o in _ODD) else np.array(list(map(number, t.split())), np.int64) for t in texts]
+        chunks = [None if any(o in t for o in _ODD) else t.split() for t in texts]
+        plain = [c if c is None else np.fromiter(map(number, c), np.int64, len(c)) for c in chunks]
+        del chunks
         if self.index.new:
-            self._learn()
+            gc.disable()  # very many lists of ids and no cycles among them: looking for these takes a fifth of the time
+            try:
+                self._learn()
+            finally:
+                gc.enable()
         self.used = np.concatenate([self.used, np.zeros(len(self.index) - len(self.used), np.int64)])
         self.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *[a for a in plain if a is not None]]), minlength=len(self.used))
         out = []
