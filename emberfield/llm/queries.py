@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, lm_scoring, mixing, topk, toxicity, url_filter
+from . import hard_negatives, language, lm_scoring, mixing, quality, spelling, topk, toxicity, url_filter
 from .common import table
 from .fingerprints import fingerprints
 from .html_text import extract_text
@@ -61,9 +62,24 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    return quality.rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_text, op4_packing, op5_url_filters, op6_source_mixing, op7_language_id, op8_exact_top_k, op9_document_fingerprints, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_text, op4_packing, op5_url_filters, op6_source_mixing, op7_language_id, op8_exact_top_k, op9_document_fingerprints, op10_lm_scoring, op11_hard_negatives, op12_quality_classifier, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filter.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_exact_top_k": topk.ORACLE}
+    return {"op5_url_filters": url_filter.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_exact_top_k": topk.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_spelling_variants": spelling.ORACLE}

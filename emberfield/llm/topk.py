@@ -1,12 +1,12 @@
 """Exact top-k inner products by MaxScore.
 
-A vector is a bag of weighted terms: component d is a posting (d, weight). Vectors are dealt into shards, a shard is kept
-as posting lists in blocks of ascending vec_id, and a block knows the largest and the smallest weight of each term.
-From these follows the most that a query's term can add in the block. Terms are ordered by that bound. Those at the end whose
-bounds together stay within the k-th best score so far are non-essential: no vector gets into the result by them alone. The
-postings of the essential terms are traversed, and only vectors that are still competitive are probed for the others, step by step.
-The k-th score rises with every block, and the split moves with it; a block whose bounds stay below it is skipped.
-Shards' lists are merged by rank.
+A vector is a bag of weighted terms: component d is a posting (d, weight). Vectors are dealt into shards, and a shard is kept as
+posting lists. The terms of a query are taken from the heaviest on, and two bounds say what the terms after a
+point can add together: the sum of their largest additions, and the length of that part of the query times the length that a vector has left.
+Terms before the point where the bound of the rest falls to the k-th best score are essential: their postings are traversed.
+Only vectors that are still competitive are probed for the others, some terms at a time. The k-th score starts from a sample of
+all vectors that is sent with the query, and rises early, as the most promising vectors are completed first. Shards' lists are
+merged by rank.
 """
 
 from __future__ import annotations
@@ -16,118 +16,131 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import durable, shuffle_partitions
+from .shards import best_without_own, exact_kind, integers, products, search_shards, told_apart
 
 
-def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id and v, array<bigint> of floor(scale * x); vectors null, empty, or with null or non-finite components are left out.
+class Shard:
+    """Posting lists of the vectors of one length. `products` counts the products of weights that searches have made."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.products = ids, 0
+        self.most = float(np.abs(vectors.astype(float)).max(initial=0))
+        # doubles hold the weights exactly unless they are very large
+        self.kinds = {np.float64 if self.most < 2**53 else np.int64: np.ascontiguousarray(vectors.T).astype(np.float64 if self.most < 2**53 else np.int64)}
+        base = next(iter(self.kinds.values()))
+        self.high, self.low = (base.max(1, initial=0), base.min(1, initial=0)) if base.size else (np.zeros(len(base)), np.zeros(len(base)))
+        self.square = np.zeros(len(ids))
+        for row in base:
+            self.square += row.astype(float) ** 2
+
+    def _postings(self, kind: type) -> np.ndarray:
+        if kind not in self.kinds:
+            self.kinds[kind] = next(iter(self.kinds.values())).astype(kind)
+        return self.kinds[kind]
+
+    def search(self, q: np.ndarray, k: int, floor: float = -math.inf, steps: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best for one query, ties to the smaller id; of those below `floor` any may be missing. Exact: products
+        too large for doubles, or for 64 bits, are made in integers, or in Python's; a score beyond 64 bits counts as the nearest of 64 bits."""
+        widest = float(np.abs(q.astype(float)).max(initial=0))
+        kind = exact_kind(self.most, widest, len(q))
+        if kind is object or not len(q):
+            score = products(self._postings(np.int64 if np.int64 in self.kinds else np.float64).T.astype(object if kind is object else np.int64), q)
+            self.products += len(q) * len(self.ids)
+            return self._best(np.arange(len(self.ids)), score, k)
+        postings, q = self._postings(kind), q.astype(kind)
+        adds = np.maximum(q * self.high.astype(float), q * self.low.astype(float))
+        terms = np.argsort(-np.abs(q), kind="stable")
+        rest = np.append(np.cumsum(adds[terms][::-1])[::-1], 0)
+        length = np.append(np.cumsum(q[terms].astype(float)[::-1] ** 2)[::-1], 0)  # squares of the query from each term on
+        slack = 1e-9 * math.sqrt(length[0] * self.square.max(initial=0)) + 1e-9
+        at, score, square, all_rows = np.arange(len(self.ids)), np.zeros(len(self.ids), kind), self.square, True
+        step, raise_at = -(-len(q) // steps), [0.4, 0.15]
+        for a in range(0, len(q), step):
+            b = min(a + step, len(q))
+            part = terms[a:b]
+            score = score + q[part] @ (postings[part] if all_rows else postings[np.ix_(part, at)])
+            self.products += len(part) * len(at)
+            if raise_at and length[b] <= raise_at[0] * length[0] and k < len(at):
+                raise_at.pop(0)
+                ahead = np.argpartition(-score, k - 1)[: 2 * k]
+                whole = score[ahead] + q[terms[b:]] @ postings[np.ix_(terms[b:], at[ahead])]
+                self.products += (len(q) - b) * len(ahead)
+                floor = max(floor, float(np.partition(whole, -k)[-k]))
+            if b < len(q) and floor > -math.inf:
+                so_far = score.astype(float)
+                # a vector whose first terms have given so much has no more length left than this
+                left = np.sqrt(length[b] * np.maximum(square - so_far**2 / max(length[0] - length[b], 1e-300), 0))
+                keep = so_far + np.minimum(left + slack, rest[b]) >= floor
+                if len(keep) and keep.mean() < 0.97:
+                    at, score, square, all_rows = at[keep], score[keep], square[keep], False
+        return self._best(at, score.astype(np.int64), k)
+
+    def _best(self, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((self.ids[at], ~score))[:k]  # ~ turns the order round and has no overflow
+        return self.ids[at][order], score[order]
+
+
+def with_floors(queries: DataFrame, rows: DataFrame, total: int, k: int, sample_rows: int, sample_bytes: int) -> DataFrame:
+    """Adds `floor`, the k-th best score among a sample of the rows, at most about `sample_rows` of them or `sample_bytes` of components and a sixteenth of all."""
+    size = rows.agg(F.sum(F.col("n") * 8)).first()[0] or 0
+    share = min(1 / 16, sample_rows / max(total, 1), sample_bytes / max(size, 1))
+    picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30))).select("n", "v").toPandas()
+    sample = {n: np.stack(g["v"].to_numpy()) for n, g in picked.groupby("n")}
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            floors = []
+            for n, v in zip(pdf["n"], pdf["v"], strict=True):
+                score = products(sample[n], np.asarray(v, np.int64)) if n in sample else []
+                floors.append(float(np.partition(score, -k)[-k]) if len(score) >= k else -math.inf)
+            yield pdf.assign(floor=floors)
 
-    Components beyond 64 bits become the nearest 64-bit integer.
-    """
-    ok = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
-    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("v"))
+    schema = StructType([*queries.schema.fields, StructField("floor", DoubleType())])
+    return queries.mapInPandas(task, schema)
 
 
-class Shard:
-    """Posting lists of vectors, in blocks by ascending id. `products` counts the products of weights that searches have made."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block: int = 4096):
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
-        self.blocks = [(ids[a : a + block], float(np.abs(vectors[a : a + block].astype(float)).max(initial=0)), {np.int64: np.ascontiguousarray(vectors[a : a + block].T)}) for a in range(0, len(ids), block)]
-        self.bounds = [(p[np.int64].max(1), p[np.int64].min(1)) for _, _, p in self.blocks]
-        self.products = 0
-
-    def search(self, q: np.ndarray, own: int, k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best for one query, ties to the smaller id, its own id left out. Exact: products too large for
-        doubles, or for 64 bits, are made in integers, or in Python's; a score beyond 64 bits counts as the nearest integer of 64 bits."""
-        widest = float(np.abs(q.astype(float)).max(initial=0)) * len(q)
-        given, best_ids, best, floor = q, np.zeros(0, np.int64), np.zeros(0), -math.inf
-        for (ids, most, kinds), (high, low) in zip(self.blocks, self.bounds, strict=True):
-            kind = np.float64 if widest * most < 2**52 else np.int64 if widest * most < 2**62 else object
-            if kind not in kinds:
-                kinds[kind] = kinds[np.int64].astype(kind)
-            postings, q, high, low = kinds[kind], given.astype(kind), high.astype(kind), low.astype(kind)
-            bound = np.maximum(q * high, q * low)
-            terms = np.argsort(-bound, kind="stable")
-            rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # the most that the terms from here on can add
-            within = np.flatnonzero(rest <= floor)
-            essential = int(within[0]) if len(within) else len(terms)
-            if not essential and len(best) == k:
-                continue
-            score, product = np.zeros(len(ids), kind), np.zeros(len(ids), kind)
-            for t in terms[:essential]:
-                np.multiply(postings[t], q[t], out=product)
-                score += product
-            self.products += essential * len(ids)
-            at = np.flatnonzero((score + rest[essential] > floor) & (ids != own))
-            score = score[at]
-            for a in range(essential, len(terms), step):
-                if not len(at):
-                    break
-                part = terms[a : a + step]
-                score = score + q[part] @ postings[np.ix_(part, at)]
-                self.products += len(part) * len(at)
-                still = score + rest[min(a + step, len(terms))] > floor
-                at, score = at[still], score[still]
-            if kind is object:
-                score = np.clip(score, -(1 << 63), (1 << 63) - 1)
-            best_ids, best = np.concatenate([best_ids, ids[at]]), np.concatenate([best, score])
-            order = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[order], best[order]
-            floor = best[-1] if len(best) == k else -math.inf  # later blocks have larger ids, so equals come too late
-        return best_ids, np.array([int(x) for x in best], np.int64)
-
-
-def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, shard_rows: int = 100_000, block_rows: int = 4096) -> DataFrame:
-    """The k best vectors, by integer inner product, for each vector whose vec_id is divisible by `modulus`.
+def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, shard_bytes: int = 64 << 20, sample_rows: int = 2048, sample_bytes: int = 16 << 20) -> DataFrame:
+    """The k best vectors, by integer inner product, for each row whose vec_id is divisible by `modulus`.
 
     vectors: vec_id and embedding; other columns are ignored. Returns query_id, rank (from 1), vec_id, score, ties
-    to the smaller vec_id. Rows left out by integers() take no part, nor do rows with a null vec_id. A repeated vec_id is as
-    many candidates, and one query for each of its distinct vectors is answered once for the id's first vector in array order.
+    to the smaller vec_id. Rows left out by integers() take no part. Rows that repeat a vec_id are queries and candidates
+    of their own: only the row itself is no candidate of its query, and a query_id has as many lists as rows.
     Vectors of another length than the query have no product with it and are no candidates. Scores beyond 64 bits count
     as the nearest 64-bit integer. An empty table gives an empty table.
-    A task holds one shard of vectors, `shard_rows` or so; queries pass through it in batches. Vectors are shuffled once, queries to
+    A task holds one shard of vectors, `shard_bytes` or so; queries pass through it in batches. Vectors are shuffled once, queries to
     every shard.
     """
-    rows = integers(vectors, scale).where("vec_id IS NOT NULL").withColumn("n", F.size("v"))
+    rows = integers(vectors, scale)
     total = rows.count()
-    shards = max(math.ceil(total / shard_rows), min(shuffle_partitions(vectors.sparkSession), math.ceil(total / block_rows)), 1)
-    # the number of the input's partition spreads rows that repeat an id and its vector
-    shard = F.pmod(F.xxhash64("vec_id", "v", F.spark_partition_id()), F.lit(shards)).cast("int")
-    candidates = rows.select("n", shard.alias("shard"), F.lit(False).alias("query"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min(F.struct("n", "v")).alias("q"))
-    asked = asked.select("q.n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "q.v")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, data, shard = [], [], None
-        for pdf in batches:
-            query = pdf["query"].to_numpy(bool)
-            if not query.all():
-                ids.append(pdf["vec_id"].to_numpy()[~query])
-                data.append(np.stack(pdf["v"].to_numpy()[~query]).astype(np.int64))
-            if not query.any() or not ids:
-                continue
-            shard = shard or Shard(np.concatenate(ids), np.concatenate(data), block_rows)
-            own = pdf["vec_id"].to_numpy()[query]
-            found = [shard.search(np.asarray(q, np.int64), i, k) for q, i in zip(pdf["v"].to_numpy()[query], own, strict=True)]
-            yield pd.DataFrame({"query_id": np.repeat(own, [len(x) for x, _ in found]), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-    # sorted within a shard: its vectors come before the queries
-    dealt = candidates.union(asked).repartition(max(shards, shuffle_partitions(vectors.sparkSession)), "n", "shard").sortWithinPartitions("n", "shard", "query")
-    found = durable(dealt.groupBy("n", "shard").applyInPandas(search, "query_id long, vec_id long, score long"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    key = ["query_id", "h1", "h2"]
+    asked = rows.where(F.col("vec_id") % modulus == 0).groupBy("n", F.col("vec_id").alias("query_id"), "v").agg(F.count("*").alias("copies"))
+    asked = with_floors(asked.select("n", "query_id", "v", "copies", *told_apart()), rows, total, k + 1, sample_rows, sample_bytes)
+
+    def search(shard: dict, asked: dict) -> Iterator[pd.DataFrame]:
+        # the lists are kept from batch to batch
+        held = shard.get("held") or Shard(shard["vec_id"], shard.pop("v"))
+        shard["held"] = held
+        queries = [np.asarray(v, np.int64) for v in asked["v"]]
+        found = [held.search(q, k + 1, floor) for q, floor in zip(queries, asked["floor"], strict=True)]
+        sizes = [len(i) for i, _ in found]
+        frame = pd.DataFrame({c: np.repeat(asked[c].to_numpy(), sizes) for c in [*key, "copies"]})
+        own = np.array([products(q[None], q)[0] for q in queries], np.int64)
+        yield frame.assign(own=np.repeat(own, sizes), vec_id=np.concatenate([i for i, _ in found]), score=np.concatenate([s for _, s in found]))
+
+    found = search_shards(rows, asked, search, "query_id long, h1 long, h2 int, copies long, own long, vec_id long, score long", shard_bytes)
+    best = best_without_own(found, key, "query_id", "own", k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+WITH e AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.i AS q, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.i <> c.i AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
