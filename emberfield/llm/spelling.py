@@ -68,10 +68,17 @@ def affected(grams: list[tuple[str, int]], length: int) -> int:
 
 
 def rarest(grams: list[tuple[str, int]], least: int, counts: dict[str, int]) -> list[tuple[str, int]]:
-    """The `least` rarest grams, and whatever equals the last of them. Grams that are not frequent come first, in their own order."""
-    ranked = sorted(((counts.get(g, 0), g, p) for g, p in grams))
-    last = ranked[: least][-1][:2]
-    return [(g, p) for c, g, p in ranked if (c, g) <= last]
+    """The `least` rarest grams. Grams that are not frequent come first, in their own order; equal grams by place, an order that an edit does not change."""
+    return [(g, p) for _, g, p in sorted((counts.get(g, 0), g, p) for g, p in grams)[:least]]
+
+
+def one_edit(word: str, other: str, long: int = 64) -> Column:
+    """Whether two columns of different words differ by one code point inserted, deleted or replaced; `other` is not the longer one.
+    The edit distance costs the square of the length, so long words are compared up to their first difference and after it."""
+    at = F.array_position(F.zip_with(F.split(word, ""), F.split(other, ""), lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    further = F.when(F.length(word) == F.length(other), at + 1).otherwise(at)
+    by_parts = (F.length(word) - F.length(other) <= 1) & (F.substr(word, at + 1) == F.substr(other, further))
+    return F.when(F.length(word) <= long, F.levenshtein(word, other, 1) == 1).otherwise(by_parts)
 
 
 def frequent_grams(words: DataFrame, entries: int) -> DataFrame:
@@ -130,8 +137,8 @@ def near_words(words: DataFrame, entries: int = 100_000) -> DataFrame:
     moved = longer.select(F.explode(F.array(place, place - 1)).alias("at"), "word", "n", "g").where("at >= 0")
     probes = own.select(key(place, length), "word", "n").union(moved.select(key(F.col("at"), length - 1), "word", "n"))
     # words of equal length meet once
-    met = probes.join(index, "key").where((F.length("word") > F.length("other")) | (F.col("word") < F.col("other")))
-    near = durable(met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n"))
+    met = probes.join(index, "key").where((F.length("word") > F.length("other")) | ((F.length("word") == F.length("other")) & (F.col("word") < F.col("other"))))
+    near = durable(met.where(one_edit("word", "other")).select("word", "n", "other", "other_n"))
     forget(lists)
     both = near.union(near.select("other", "other_n", "word", "n")).repartition("word")
     out = durable(both.groupBy("word", "n", "other", "other_n").agg(F.lit(1).alias("_")).drop("_"))

@@ -48,6 +48,7 @@ def texts():
     stock = ["".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(150)]
     stock += [w[:i] + "x" + w[i + k :] for w in stock[:60] for i in (0, 2, len(w)) for k in (0, 1)]
     rows = [(i, " ".join(rng.choice(stock, 120, p=None)) + " 12-" + "·".join(rng.choice(stock, 5))) for i in range(60)]
+    rows.append((61, "karlix " * 3 + "karlax " * 7 + "marlax " * 20))  # a form that has a form
     long = "abcdefgh" * 4000
     return [*rows, rows[0], (None, rows[1][1]), (70, None), (71, ""), (72, "÷×÷×÷ " * 3), (73, f"{long} {long} {long} {long[:-1]} {long[:-1]}_{long[:-1]}")]
 
