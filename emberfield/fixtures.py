@@ -136,6 +136,18 @@ SELECT layer, z, x, y, fire_id, bytes FROM (
 SELECT CAST(8 AS INT) AS z, CAST(l_orderkey % 200 AS BIGINT) AS x, CAST(l_suppkey % 3 AS BIGINT) AS y, CAST(l_linenumber AS INT) AS px, CAST(l_partkey % 64 AS INT) AS py,
        CASE WHEN l_orderkey % 200 % 3 = 0 THEN 0 ELSE CAST(l_partkey % 256 AS INT) END AS alpha, CAST(300 + l_orderkey % 200 * 4 AS BIGINT) AS bytes
 FROM lineitem""",
+    # footprints that know no fire
+    "scenes": """
+SELECT 'scene-' || CAST(event_id AS STRING) AS scene_id, ts AS scene_ts, -62e-1 + (event_id * 31 % 72) / 1e1 AS w, 504e-1 + (event_id * 17 % 82) / 1e1 AS s, -53e-1 + (event_id * 31 % 72) / 1e1 AS e, 511e-1 + (event_id * 17 % 82) / 1e1 AS n FROM events""",
+    # views one after another, as a map is moved
+    "sessions": """
+SELECT c_custkey % 20 AS session, c_custkey AS seq, CAST(8 + c_custkey % 9 AS INT) AS zoom, -6e0 + (c_custkey {DIV} 20 * 7 % 70) / 1e1 AS w, 505e-1 + (c_custkey {DIV} 20 * 3 % 70) / 1e1 AS s, -48e-1 + (c_custkey {DIV} 20 * 7 % 70) / 1e1 AS e, 515e-1 + (c_custkey {DIV} 20 * 3 % 70) / 1e1 AS n
+FROM customer""",
+    # three land-cover files with origins of their own that lie over one another in part
+    "cover_files": """
+SELECT CAST(k AS INT) AS file_order, 100e0 * (k * 5 - 3) AS x0, 9000e0 - 50e0 * (k * 7 % 11) AS y0, 100e0 AS px, -50e0 AS py, CASE WHEN k = 2 THEN 999 ELSE -1 END AS nodata FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3) x""",
+    "cover_cells": """
+SELECT CAST(CAST(fire_id AS INT) % 3 AS INT) AS file_order, row + 32 * (CAST(fire_id AS INT) {DIV} 3 % 6) AS row, col + 24 * (CAST(fire_id AS INT) {DIV} 18 % 6) AS col, max(code) AS code FROM pixels GROUP BY 1, 2, 3""",
     "viewports": "SELECT n_nationkey AS view_id, -6e0 + (n_nationkey * 29 % 60) / 1e1 AS w, 51e0 + (n_nationkey * 31 % 70) / 1e1 AS s, -5e0 + (n_nationkey * 29 % 60) / 1e1 AS e, 52e0 + (n_nationkey * 31 % 70) / 1e1 AS n FROM nation",
 }
 

@@ -35,7 +35,8 @@ def tile_y(lat, z) -> Column:
 
 
 def clamp_tile(t, z) -> Column:
-    return F.greatest(F.lit(0), F.least(c(t), F.shiftleft(F.lit(1).cast("bigint"), c(z).cast("int")) - 1)) if isinstance(z, int) else F.greatest(F.lit(0), F.least(c(t), F.pow(F.lit(2.0), c(z)).cast("bigint") - 1))
+    last = F.lit((1 << z) - 1).cast("bigint") if isinstance(z, int) else F.pow(F.lit(2.0), c(z)).cast("bigint") - 1
+    return F.greatest(F.lit(0), F.least(c(t), last))
 
 
 def tile_lon(x, z) -> Column:

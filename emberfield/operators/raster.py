@@ -76,6 +76,22 @@ def mosaic_landcover(rasters: DataFrame) -> DataFrame:
     return rasters.groupBy("row", "col").agg(F.max_by("code", "file_order").alias("code"))
 
 
+def mosaic_rasters(cells: DataFrame, rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S5 over files with origins of their own: (row, col, code on a common lattice; that lattice as one row x0, y0, px, py).
+
+    cells: file_order, row, col, code; rasters: file_order, x0, y0, px, py, nodata. The lattice has the first file's pixels and starts
+    at the outermost corner of all files; a cell goes where its centre lies. A later file is drawn over an earlier one, and
+    cells without data are transparent.
+    """
+    size = rasters.agg(F.min_by(F.struct("px", "py"), "file_order").alias("p"), F.min("x0").alias("left"), F.max("x0").alias("right"), F.min("y0").alias("low"), F.max("y0").alias("high"))
+    lattice = size.select(F.when(F.col("p.px") > 0, F.col("left")).otherwise(F.col("right")).alias("x0"), F.when(F.col("p.py") > 0, F.col("low")).otherwise(F.col("high")).alias("y0"), "p.px", "p.py")
+    placed = rasters.crossJoin(F.broadcast(lattice.select(*[F.col(c).alias("l" + c) for c in ("x0", "y0", "px", "py")])))  # one row
+    at = cells.join(placed, "file_order").where("code IS NOT NULL AND NOT code <=> nodata")
+    place = lambda i, o, p: F.floor((F.col(o) + (F.col(i) + 0.5) * F.col(p) - F.col("l" + o)) / F.col("l" + p)).cast("int")
+    at = at.select(place("row", "y0", "py").alias("row"), place("col", "x0", "px").alias("col"), "code", "file_order")
+    return mosaic_landcover(at), lattice
+
+
 def landcover_group(code="code") -> Column:
     """J16 as an expression over a dozen groups."""
     out = F.lit("Other")
@@ -198,6 +214,38 @@ def fire_scene_windows(observations: DataFrame, fires: DataFrame, before: int =
     return joined.withColumn("phase", phase).where("phase IS NOT NULL").select(*observations.columns, "phase")
 
 
+def scenes_of_fires(scenes: DataFrame, boxes: DataFrame, before: int = 120, after: int = 120, gap: int = 3, zoom: int = 6) -> DataFrame:
+    """J7 for scenes that know no fire: scene_id, fire_id and phase of each scene whose footprint meets a fire's box in time.
+
+    scenes: scene_id, scene_ts and footprint w, s, e, n; boxes: id, firedate, finaldate, w, s, e, n. The phases are those of
+    fire_scene_windows(). Scenes and fires are dealt to cells of a tile and a month, and meet in the first cell that both touch, so
+    no pair is found twice; dates and boxes are compared exactly.
+    """
+    day = lambda c: F.date_trunc("day", F.col(c)).cast("timestamp_ntz")
+    start, end = day("firedate"), day("finaldate")
+    days = lambda n: F.expr(f"INTERVAL {n} DAYS")
+    span = lambda name, a, b: F.struct(F.lit(name).alias("phase"), a.alias("from"), b.alias("to"))
+    spans = F.array(span("pre", start - days(before), start - days(gap)), span("post", end + days(gap), end + days(after)))
+    windows = boxes.withColumn("span", F.explode(spans)).where("span.from < span.to").select("id", "w", "s", "e", "n", "span.*")
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    first = lambda lon, lat: (geo.clamp_tile(geo.tile_x(lon, zoom), zoom), geo.clamp_tile(geo.tile_y(lat, zoom), zoom))
+
+    def dealt(df: DataFrame, months: tuple[Column, Column], p: str) -> DataFrame:
+        (x0, y0), (x1, y1) = first("w", "n"), first("e", "s")
+        df = df.select("*", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), months[0].alias("m0"), months[1].alias("m1")).where("w <= e AND s <= n")
+        for c in "xym":
+            df = df.withColumn(f"c{c}", F.explode(F.sequence(f"{c}0", f"{c}1")))
+        return df.select(*[F.col(c).alias(p + c) for c in df.columns if c not in ("cx", "cy", "cm")], "cx", "cy", "cm")
+
+    asked = dealt(windows, (month("from"), month("to")), "f_")
+    seen = dealt(scenes.where("scene_ts IS NOT NULL"), (month("scene_ts"), month("scene_ts")), "s_")
+    met = seen.join(asked, ["cx", "cy", "cm"])
+    for c in "xym":
+        met = met.where(F.col(f"c{c}") == F.greatest(f"s_{c}0", f"f_{c}0"))
+    met = met.where("s_w <= f_e AND s_e >= f_w AND s_s <= f_n AND s_n >= f_s AND s_scene_ts >= f_from AND s_scene_ts < f_to")
+    return met.select(F.col("s_scene_id").alias("scene_id"), F.col("f_id").alias("fire_id"), F.col("f_phase").alias("phase"))
+
+
 def median_composite(windowed: DataFrame) -> DataFrame:
     """The median NBR of each fire, pixel and phase; a pixel with no reflectance has none."""
     nbr = (F.col("b8a") - F.col("b12")) / F.nullif(F.col("b8a") + F.col("b12"), F.lit(0.0))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.storage import written
 
 ZOOM = 12
 #: Degrees of latitude in a band of edges, some 200 m.
@@ -142,45 +143,58 @@ def sampling_lattice(fires: DataFrame, spacing: int = 100) -> DataFrame:
     return out.select("fire_id", "e", "n", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), "fallback")
 
 
-def fires_near(queries: DataFrame, fires: DataFrame, k: int = 25, most: int = 20_000, first_degrees: float = 0.5) -> DataFrame:
+#: Edge of the cells of the sphere's unit cube at each level; the first holds the sphere.
+CELL_EDGES = [2.0 / 4**k for k in range(9)]
+
+
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    """x, y, z on the unit sphere: no edge at a pole or a meridian, and chords grow with distances along the surface."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [(F.cos(a) * F.cos(b)).alias("x"), (F.cos(a) * F.sin(b)).alias("y"), F.sin(a).alias("z")]
+
+
+def _cell(level: int) -> Column:
+    """The cell of a level that holds x, y, z, as one number; the first level has one cell."""
+    if not level:
+        return F.lit(0).cast("bigint")
+    part = lambda c: F.floor((F.col(c) + 1.0) / CELL_EDGES[level])
+    return (part("x") * 2_097_152 + part("y")) * 2_097_152 + part("z")
+
+
+def fires_near(queries: DataFrame, fires: DataFrame, k: int = 25, most_in_cell: int = 200) -> DataFrame:
     """K1: the k nearest fires by haversine to their mean vertex, for each query point (qid, lat, lon), ties by fire_id.
 
-    Up to `most` fires, counted first, are one array that every query row ranks for itself. More are met cell by cell: a query
-    sees the fires of its own cell and the eight around it, and is done if the k-th is nearer than the edge of these. The
-    others go on to cells of twice the size, in the end to one that holds all.
+    Fires lie in a tree of cells of the unit sphere, each with the box of its fires and their number. Every query starts at the root and
+    goes down level by level: of the children of its cells it keeps those that are no farther than the boxes which surely hold k
+    fires. What it keeps is written between levels; in the end it meets the fires of its last cells. A level is deep enough when no
+    cell holds more than `most_in_cell` fires. Queries without a place have no rows; with fewer than k fires all are returned.
     """
-    centre = representative_points(fires).where("lat IS NOT NULL").select("id", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
-    found = centre.limit(most + 1).count()
-    if found <= most:
-        all_fires = centre.agg(F.collect_list(F.struct("id", "flat", "flon")).alias("fires"))
-        far = F.transform("fires", lambda f: F.struct(geo.haversine_m("lat", "lon", f["flat"], f["flon"]).alias("dist_m"), f["id"].alias("fire_id")))
-        ranked = queries.crossJoin(F.broadcast(all_fires)).select("qid", F.posexplode(F.slice(F.array_sort(far), 1, k)).alias("pos", "f"))
-        return ranked.select("qid", (F.col("pos") + 1).alias("rank"), "f.fire_id", "f.dist_m")
+    spark = queries.sparkSession
+    centre = representative_points(fires).where("lat IS NOT NULL AND lon IS NOT NULL").select("id", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
+    places = centre.select("*", *_on_sphere("flat", "flon"))
+    places = written(places.select("*", *[_cell(level).alias(f"c{level}") for level in range(len(CELL_EDGES))]), "places")
+    deepest = len(CELL_EDGES) - 1
+    largest = places.groupBy(*[f"c{i}" for i in range(deepest + 1)]).count()
+    fullest = [largest.groupBy(f"c{i}").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0 for i in range(1, deepest + 1)]
+    depth = next((i for i, n in enumerate(fullest, 1) if n <= most_in_cell), deepest)
+    left = queries.where("lat IS NOT NULL AND lon IS NOT NULL").select("qid", "lat", "lon").select("qid", "lat", "lon", *_on_sphere("lat", "lon"), _cell(0).alias("cell"))
+    by_reach = Window.partitionBy("qid").orderBy("far").rangeBetween(Window.unboundedPreceding, 0)
+    square = lambda ends: sum((e * e for e in ends[1:]), ends[0] * ends[0])
+    for level in range(1, depth + 1):
+        box = [f(c).alias(f"{c}{n}") for c in "xyz" for n, f in (("0", F.min), ("1", F.max))]
+        children = places.groupBy(F.col(f"c{level - 1}").alias("cell"), F.col(f"c{level}").alias("child")).agg(F.count("*").alias("n"), *box)
+        met = left.join(children, "cell")
+        near = F.sqrt(square([F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0)) for c in "xyz"]))
+        far = F.sqrt(square([F.greatest(F.abs(F.col(f"{c}0") - F.col(c)), F.abs(F.col(f"{c}1") - F.col(c))) for c in "xyz"]))
+        met = met.select("qid", "lat", "lon", "x", "y", "z", F.col("child").alias("cell"), "n", near.alias("near"), far.alias("far"))
+        held = met.withColumn("held", F.sum("n").over(by_reach))
+        reach = F.min(F.when(F.col("held") >= k, F.col("far"))).over(Window.partitionBy("qid"))
+        kept = held.withColumn("reach", reach).where("reach IS NULL OR near <= reach * 1.000000001 + 1e-9")
+        left = written(kept.select("qid", "lat", "lon", "x", "y", "z", "cell"), "near")
+    last = left.join(places.select(F.col(f"c{depth}").alias("cell"), "id", "flat", "flon"), "cell")
     rank = Window.partitionBy("qid").orderBy("dist_m", "fire_id")
-    # metres to a degree of longitude where it is shortest within the cells, and to the meridian that cells don't cross
-    left, size, done = queries.select("qid", "lat", "lon"), first_degrees, []
-    while True:
-        whole = size >= 360
-        cell = lambda c: F.lit(0) if whole else F.floor(F.col(c) / size)  # noqa: B023, E731
-        around = F.array(*map(F.lit, (0,) if whole else (-1, 0, 1)))
-        spread = left.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("cy", cell("lat") + F.col("dy")).withColumn("cx", cell("lon") + F.col("dx"))
-        met = spread.join(centre.withColumn("cy", cell("flat")).withColumn("cx", cell("flon")), ["cy", "cx"]).select("qid", "lat", "lon", F.col("id").alias("fire_id"), geo.haversine_m("lat", "lon", "flat", "flon").alias("dist_m"))
-        best = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        if whole:
-            done.append(best)
-            break
-        degree = geo.EARTH_M * geo.PI / 180 * 0.99
-        narrow = F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + size))) * degree
-        reach = F.least(F.lit(size * degree), F.lit(size) * narrow, (180 - F.abs("lon")) * narrow)
-        full = best.where(F.col("rank") == k).where(F.col("dist_m") < reach).select("qid")
-        done.append(best.join(full, "qid", "left_semi"))
-        left, size = left.join(full, "qid", "left_anti"), size * 4
-        if not left.limit(1).count():
-            break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.select("qid", F.col("rank").cast("int").alias("rank"), "fire_id", "dist_m")
+    found = last.select("qid", F.col("id").alias("fire_id"), geo.haversine_m("lat", "lon", "flat", "flon").alias("dist_m"))
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("qid", "rank", "fire_id", "dist_m")
 
 
 def viewport_fires(views: DataFrame, fires: DataFrame, most: int = 60) -> DataFrame:
@@ -192,6 +206,54 @@ def viewport_fires(views: DataFrame, fires: DataFrame, most: int = 60) -> DataFr
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select("view_id", F.col("id").alias("fire_id"), "rank")
 
 
+def viewport_overlays(views: DataFrame, fires: DataFrame, most: int = 60, pad: float = 1.0, least_zoom: int = 9, refill: bool = True) -> DataFrame:
+    """P14 over time: the overlays (fire_id, place in the order they were put there) that a session shows after each of its views.
+
+    views: session, seq, zoom, w, s, e, n. Below least_zoom a view drops everything. Else overlays stay while they meet the view
+    grown by `pad` of its size on each side; then fires that meet the view join in index order: with `refill` until there are `most`, else
+    those of the first `most` that are not shown yet. A fold over a session's views in order, with its overlays as the state;
+    a view brings no more candidates than can matter, as of twice `most` at least `most` are new.
+    """
+    import pandas as pd
+
+    boxes = _cells(bounding_boxes(fires).where("w IS NOT NULL").join(fires.select("id", "index_pos"), "id"), "w", "s", "e", "n", 6)
+    seen = _cells(views.select("session", "seq", *[F.col(x).alias("v" + x) for x in "wsen"]), "vw", "vs", "ve", "vn", 6)
+    met = seen.join(boxes, ["cx", "cy"]).where("w <= ve AND e >= vw AND s <= vn AND n >= vs").select("session", "seq", "id", "index_pos", "w", "s", "e", "n").distinct()
+    first = met.withColumn("rank", F.row_number().over(Window.partitionBy("session", "seq").orderBy("index_pos"))).where(F.col("rank") <= 2 * most)
+    lists = first.groupBy("session", "seq").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "id", "w", "s", "e", "n")))).alias("candidates"))
+    ordered = views.join(lists, ["session", "seq"], "left").select("session", "seq", "zoom", *"wsen", "candidates").repartition("session").sortWithinPartitions("session", "seq")
+
+    def step(shown: dict, v, candidates: list[dict]) -> dict:
+        if v.zoom < least_zoom:
+            return {}
+        dx, dy = (v.e - v.w) * pad, (v.n - v.s) * pad
+        shown = {i: b for i, b in shown.items() if b[0] <= v.e + dx and b[2] >= v.w - dx and b[1] <= v.n + dy and b[3] >= v.s - dy}
+        room = most - len(shown)
+        for c in candidates if refill else candidates[:most]:
+            if refill and room <= 0:
+                break
+            if c["id"] not in shown:
+                shown[c["id"]] = (c["w"], c["s"], c["e"], c["n"])
+                room -= 1
+        return shown
+
+    def task(batches):
+        import json
+
+        session, shown = None, {}
+        for pdf in batches:
+            out = []
+            for v in pdf.itertuples():
+                if v.session != session:
+                    session, shown = v.session, {}
+                shown = step(shown, v, json.loads(v.candidates) if v.candidates else [])
+                out += [(v.session, v.seq, i, at) for at, i in enumerate(shown, 1)]
+            yield pd.DataFrame(out, columns=["session", "seq", "fire_id", "place"])
+
+    kinds = dict(views.dtypes)
+    return ordered.mapInPandas(task, f"session {kinds['session']}, seq {kinds['seq']}, fire_id string, place int")
+
+
 def node_directions(positions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distance, bearing and compass point from a device to its target node: device, lat, lon and node_id, lat, lon."""
     to = nodes.select("device", "node_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))

@@ -77,7 +77,7 @@ def accuracy_flag(poor_m: float = 30.0) -> Column:
 
 def validate_photos(photos: DataFrame, stored: DataFrame) -> DataFrame:
     """Photos that are small enough, images, well named, and whose path is new; of repeated paths the first by name and size."""
-    ok = photos.where("uploaded_by IS NOT NULL").where((F.col("size_bytes") < MAX_PHOTO) & F.col("content_type").startswith("image/") & F.col("name").rlike(r"^[a-zA-Z0-9-]+\.jpg$"))
+    ok = photos.where("uploaded_by IS NOT NULL").where((F.col("size_bytes") < MAX_PHOTO) & F.col("content_type").startswith("image/") & F.col("name").rlike(r"\A[a-zA-Z0-9-]+\.jpg\z"))
     fresh = ok.join(stored.select("path"), "path", "left_anti")
     return fresh.groupBy("path").agg(F.min(F.struct("name", "size_bytes", "content_type", "uploaded_by")).alias("p")).select("path", "p.*")
 
@@ -124,6 +124,18 @@ def push_upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select(*cols)
 
 
+def push_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """J14 by document: uuid and doc, a map. A key that an incoming document has replaces, with null too; a key that it lacks stays.
+
+    incoming also has seq: several documents of one uuid are applied in its order. Keys, not whole documents, are aggregated.
+    """
+    entries = lambda df, seq: df.select("uuid", seq.alias("seq"), F.explode_outer("doc").alias("key", "value"))
+    rows = entries(current, F.lit(-1).cast("bigint")).unionByName(entries(incoming, F.col("seq").cast("bigint")))
+    last = rows.groupBy("uuid", "key").agg(F.max_by(F.struct("value"), "seq").alias("v"))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.col("v.value").alias("value")))))
+    return last.groupBy("uuid").agg(F.map_from_entries(pairs).alias("doc"))
+
+
 def layered_lookup(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The first table's row of a key, else the second's. Both have the same columns. Adds layer (1 or 2)."""
     rows = first.withColumn("layer", F.lit(1)).unionByName(second.withColumn("layer", F.lit(2)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.sql import sql_functions
 from ..operators import packs as P
 from ..operators import raster as R
 from ..operators import spatial as X
@@ -101,7 +102,7 @@ SELECT custkey AS qid, CAST(rank AS INT) AS rank, id AS fire_id, round(m, 3) AS
 )
 def _(t):
     places = t["customer"].select(F.col("c_custkey").alias("qid"), (50 + F.col("c_custkey") % 90 / 10).alias("lat"), (-6 + F.col("c_custkey") % 70 / 10).alias("lon"))
-    return X.fires_near(places, t["fires"], 5, most=50).withColumn("dist_m", F.round("dist_m", 3))  # by cells from fifty fires on
+    return X.fires_near(places, t["fires"], 5).withColumn("dist_m", F.round("dist_m", 3))
 
 
 @query(
@@ -112,6 +113,30 @@ def _(t):
     return X.viewport_fires(t["viewports"], t["fires"], 4)
 
 
+def _overlays(most: int, pad: float, refill: bool) -> str:
+    """A recursion over the views of each session; the state is the list of its overlays."""
+    unseen = "list_filter({}, lambda c: NOT list_contains(list_transform(keep, lambda k: k.id), c.id))"
+    added = f"({unseen.format('cands')})[1:greatest(0, {most} - len(keep))]" if refill else unseen.format(f"cands[1:{most}]")
+    return f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS rn FROM sessions),
+c AS (SELECT v.session, v.rn, list({{'id': b.id, 'w': b.w, 's': b.s, 'e': b.e, 'n': b.n}} ORDER BY f.index_pos) AS cands FROM v JOIN bounds b ON b.w <= v.e AND b.e >= v.w AND b.s <= v.n AND b.n >= v.s JOIN fire_base f ON f.id = b.id GROUP BY v.session, v.rn),
+vc AS (SELECT v.*, coalesce(cands, []) AS cands FROM v LEFT JOIN c USING (session, rn)),
+st AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, CAST([] AS STRUCT(id VARCHAR, w DOUBLE, s DOUBLE, e DOUBLE, n DOUBLE)[]) AS shown FROM v
+ UNION ALL SELECT session, rn, seq, CASE WHEN zoom < 9 THEN [] ELSE list_concat(keep, {added}) END FROM (
+  SELECT vc.session, vc.rn, vc.seq, vc.zoom, vc.cands, list_filter(st.shown, lambda b: b.w <= vc.e + (vc.e - vc.w) * {pad} AND b.e >= vc.w - (vc.e - vc.w) * {pad} AND b.s <= vc.n + (vc.n - vc.s) * {pad} AND b.n >= vc.s - (vc.n - vc.s) * {pad}) AS keep
+  FROM st JOIN vc ON vc.session = st.session AND vc.rn = st.rn + 1) k)
+SELECT session, seq, shown[place].id AS fire_id, CAST(place AS INT) AS place FROM (SELECT session, seq, shown, unnest(range(1, len(shown) + 1)) AS place FROM st) u"""
+
+
+@query("viewport_overlays", _overlays(6, 1.0, True))
+def _(t):
+    return X.viewport_overlays(t["sessions"], t["fires"], 6)
+
+
+@query("viewport_grids", _overlays(4, 0.5, False))
+def _(t):
+    return X.viewport_overlays(t["sessions"], t["fires"], 4, pad=0.5, refill=False)
+
+
 @query("pack_state", "SELECT f.id, CASE WHEN p.version IS NULL THEN 'none' WHEN p.version <> 4 OR p.basemap <> 'topo' OR p.failed > 0 THEN 'stale' ELSE 'ready' END AS state FROM fire_base f LEFT JOIN packs p ON p.fire_id = f.id")
 def _(t):
     return P.pack_state(t["fires"], t["packs"])
@@ -222,9 +247,21 @@ def _(t):
     return X.sampling_lattice(t["fires"]).select("fire_id", "e", "n", "fallback")
 
 
-@query("simplify_perimeters")
+def _vertices(fires):
+    """A row a vertex."""
+    rings = fires.select(F.col("id").alias("fire_id"), F.posexplode("geom").alias("poly", "rings")).select("fire_id", "poly", F.posexplode("rings").alias("ring", "points"))
+    return rings.select("fire_id", "poly", "ring", F.posexplode("points").alias("pos", "v")).select("fire_id", "poly", "ring", "pos", F.round("v.lon", 9).alias("lon"), F.round("v.lat", 9).alias("lat"))
+
+
+@query(
+    "simplify_perimeters",
+    # a middle that no waist moved lies on its side and goes; every other vertex is farther than the tolerance from all lines between others
+    """WITH v AS (SELECT fire_id, poly, ring, k, cx + sx * half * CASE WHEN mid = 1 THEN waist ELSE 1 END AS lon, cy + sy * half * CASE WHEN mid = 1 THEN waist ELSE 1 END AS lat FROM rings CROSS JOIN corners WHERE mid = 0 OR waist < 1),
+closed AS (SELECT * FROM v UNION ALL SELECT fire_id, poly, ring, 8, lon, lat FROM v WHERE k = 0)
+SELECT fire_id, poly, ring, CAST(row_number() OVER (PARTITION BY fire_id, poly, ring ORDER BY k) - 1 AS INT) AS pos, round(lon, 9) AS lon, round(lat, 9) AS lat FROM closed""",
+)
 def _(t):
-    return X.simplify_perimeters(t["fires"]).select("id", F.size(F.flatten(F.flatten("geom"))).alias("vertices"))
+    return _vertices(X.simplify_perimeters(t["fires"]))
 
 
 # pixels
@@ -273,6 +310,15 @@ def _(t):
     return R.mosaic_landcover(t["pixels"].select("row", "col", "code", F.col("fire_id").cast("int").alias("file_order")))
 
 
+@query(
+    "mosaic_rasters",
+    """WITH o AS (SELECT min(x0) AS lx, max(y0) AS ly FROM cover_files), placed AS (SELECT CAST(round((f.y0 - ly) / f.py) AS INT) + c.row AS row, CAST(round((f.x0 - lx) / f.px) AS INT) + c.col AS col, c.code, f.file_order FROM cover_cells c JOIN cover_files f USING (file_order) CROSS JOIN o WHERE c.code <> f.nodata)
+SELECT row, col, arg_max(code, file_order) AS code FROM placed GROUP BY row, col""",
+)
+def _(t):
+    return R.mosaic_rasters(t["cover_cells"], t["cover_files"])[0]
+
+
 @query("landcover_groups", f"SELECT fire_id, row, col, {Q.GROUP} AS landcover FROM pixels")
 def _(t):
     return R.landcover_groups(t["pixels"]).select("fire_id", "row", "col", "landcover")
@@ -368,6 +414,17 @@ def _(t):
     return R.fire_scene_windows(t["observations"], t["fires"], 8, 8, 1).select("scene_id", "fire_id", "phase")
 
 
+@query(
+    "scenes_of_fires",
+    """WITH f AS (SELECT b.*, date_trunc('day', firedate) AS f0, date_trunc('day', finaldate) AS f1 FROM bounds b JOIN fire_base USING (id)),
+p AS (SELECT id, w, s, e, n, 'pre' AS phase, f0 - INTERVAL 8 DAY AS a, f0 - INTERVAL 1 DAY AS b FROM f UNION ALL SELECT id, w, s, e, n, 'post', f1 + INTERVAL 1 DAY, f1 + INTERVAL 8 DAY FROM f)
+SELECT scene_id, id AS fire_id, phase FROM scenes c JOIN p ON scene_ts >= a AND scene_ts < b AND c.w <= p.e AND c.e >= p.w AND c.s <= p.n AND c.n >= p.s""",
+)
+def _(t):
+    boxes = t["bounds"].join(t["fire_base"].select("id", "firedate", "finaldate"), "id")
+    return R.scenes_of_fires(t["scenes"], boxes, 8, 8, 1)
+
+
 COMPOSITE = f"SELECT fire_id, row, col, phase, quantile_cont((r8 - r12) / (r8 + r12), 0.5) AS nbr FROM ({_windowed(MASKED)}) w WHERE r8 + r12 <> 0 GROUP BY ALL"
 
 
@@ -440,3 +497,32 @@ def _(t):
 def _(t):
     corner = (F.round(geo.tile_lon("x", "z"), 9).alias("lon"), F.round(geo.tile_lat("y", "z"), 9).alias("lat"))
     return t["stored_tiles"].select("layer", "z", "x", "y").distinct().select("*", *corner)
+
+
+@query(
+    "sql_tile_cover",
+    f"""WITH t AS (SELECT id, {Q.tile_x('w', '8')} AS x0, {Q.tile_x('e', '8')} AS x1, {Q.tile_y('n', '8')} AS y0, {Q.tile_y('s', '8')} AS y1 FROM bounds), x AS (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM t), y AS (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM x)
+SELECT id AS fire_id, x, y, round(x / pow(2.0::DOUBLE, 8) * 360 - 180, 9) AS lon FROM y""",
+)
+def _(t):
+    sql_functions(t.spark)
+    return t.spark.sql("SELECT id AS fire_id, c.x, c.y, round(tile_lon(c.x, 8), 9) AS lon FROM {bounds} b, LATERAL tiles_of_box(b.w, b.s, b.e, b.n, 8) c", bounds=t["bounds"])
+
+
+@query(
+    "sql_severity_area",
+    f"SELECT fire_id, {Q.SEVERITY} AS sev, count(*) AS n FROM pixels WHERE {Q.VALID} GROUP BY ALL",
+)
+def _(t):
+    sql_functions(t.spark)
+    return t.spark.sql("SELECT fire_id, severity_class(CAST(dnbr AS DOUBLE)) AS sev, count(*) AS n FROM {pixels} WHERE dnbr IS NOT NULL AND dnbr <> -32768 GROUP BY 1, 2", pixels=t["pixels"])
+
+
+@query(
+    "sql_box_nodes",
+    """SELECT fire_id, 1000 * i + 500 AS easting, 1000 * unnest(range(CAST(ceil(s / 1000.0::DOUBLE - 0.5::DOUBLE) AS BIGINT), CAST(floor(n / 1000.0::DOUBLE - 0.5::DOUBLE) AS BIGINT) + 1)) + 500 AS northing
+FROM (SELECT *, unnest(range(CAST(ceil(w / 1000.0::DOUBLE - 0.5::DOUBLE) AS BIGINT), CAST(floor(e / 1000.0::DOUBLE - 0.5::DOUBLE) AS BIGINT) + 1)) AS i FROM (SELECT id AS fire_id, 100000 + index_pos * 437 AS w, 200000 + index_pos * 911 AS s, 107300 + index_pos * 437 AS e, 204800 + index_pos * 911 AS n FROM fire_base) b) x""",
+)
+def _(t):
+    sql_functions(t.spark)
+    return t.spark.sql("SELECT id AS fire_id, c.easting, c.northing FROM {fires} f, LATERAL nodes_of_box(100000D + index_pos * 437, 200000D + index_pos * 911, 107300D + index_pos * 437, 204800D + index_pos * 911, 1000) c", fires=t["fire_base"])

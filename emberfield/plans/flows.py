@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
-from ..sources import io
+from ..sources import io, keyed
 from ..streaming import flows as W
 from . import sqlparts as Q
 from .fires import BURN, PLACED, _composite, _placed
@@ -96,12 +96,16 @@ def _(t):
 
 @query("write_severity_pixels", "SELECT fire_id, row, col, CAST(greatest(-32768, least(32767, dnbr)) AS SMALLINT) AS dnbr FROM pixels WHERE fire_id IN (SELECT id FROM fire_base WHERE area_ha >= 50)")
 def _(t):
-    return io.severity_pixels(t["pixels"], t["fires"])
+    path = io.scratch(t.spark, "severity")
+    io.write_severity_pixels(t["pixels"], t["fires"], path)
+    return t.spark.read.schema("row int, col int, dnbr smallint, fire_id string").parquet(path).select("fire_id", "row", "col", "dnbr")
 
 
 @query("write_summary_csv", f"SELECT fire_id, count(*) AS n, round(avg(dnbr), 3) AS mean FROM ({BURN}) GROUP BY fire_id")
 def _(t):
-    return R.burn_severity(_composite(t)).groupBy("fire_id").agg(F.count("*").alias("n"), F.round(F.avg("dnbr"), 3).alias("mean"))
+    path = io.scratch(t.spark, "summary")
+    io.write_summary_csv(R.burn_severity(_composite(t)).groupBy("fire_id").agg(F.count("*").alias("n"), F.round(F.avg("dnbr"), 3).alias("mean")), path)
+    return t.spark.read.schema("fire_id string, n bigint, mean double").option("header", True).csv(path)
 
 
 @query(
@@ -119,6 +123,17 @@ def _(t):
     return W.current_from_log(valid).select("uuid", "status", F.round("lat", 6).alias("lat"))
 
 
+@query("keyed_measurements", """SELECT uuid, status, round(lat + CASE WHEN CAST(substr(uuid, 13) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END, 6) AS lat FROM measurements""")
+def _(t):
+    path = io.scratch(t.spark, "keyed")
+    rows = t["measurements"].select("uuid", "status", "lat", F.lit(1).alias("arrived"))
+    later = rows.where("CAST(substr(uuid, 13) AS BIGINT) % 2 = 0").select("uuid", "status", (F.col("lat") + 1).alias("lat"), F.lit(2).alias("arrived"))
+    # the later rows come first, and some of the earlier ones twice
+    for batch_id, batch in enumerate((later, rows, rows.where("CAST(substr(uuid, 13) AS BIGINT) % 5 = 0"))):
+        keyed.merge_batch(batch, path, batch_id, ("uuid",), ("arrived",), buckets=8)
+    return keyed.read_keyed(t.spark, path, rows.schema).select("uuid", "status", F.round("lat", 6).alias("lat"))
+
+
 @query(
     "track_heading",
     """WITH RECURSIVE o AS (SELECT device, seq, lat, lon, row_number() OVER (PARTITION BY device ORDER BY seq) AS rn FROM gps_fixes),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import survey as S
+from ..sources import io
 from . import sqlparts as Q
 from .fires import NAME
 
@@ -130,6 +131,27 @@ def _(t):
     return S.push_upsert(t["local_points"].select("uuid", "comment", "fire_id", "lat", "status"), t["remote"].select("uuid", "comment", "fire_id")).withColumn("uuid", F.col("uuid"))
 
 
+@query(
+    "push_documents",
+    # odd orders lack the key fire_id, every third sends a null comment, and some are pushed twice
+    """WITH i AS (SELECT r.uuid, o_orderkey, r.fire_id, r.comment FROM remote r JOIN orders ON r.uuid = 'measurement-' || CAST(o_orderkey AS VARCHAR))
+SELECT coalesce(c.uuid, i.uuid) AS uuid, CASE WHEN i.uuid IS NULL THEN c.comment WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN 'second' ELSE i.comment END AS comment,
+  CASE WHEN i.uuid IS NULL OR o_orderkey % 2 = 1 THEN c.fire_id ELSE i.fire_id END AS fire_id, c.status AS status, CASE WHEN i.uuid IS NULL THEN 3 WHEN c.uuid IS NULL THEN 1 + CAST(o_orderkey % 2 = 0 AS INT) ELSE 3 END AS n_keys
+FROM local_points c FULL JOIN i ON c.uuid = i.uuid""",
+)
+def _(t):
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    current = t["local_points"].select("uuid", F.map_from_entries(F.array(entry("comment", F.col("comment")), entry("fire_id", F.col("fire_id")), entry("status", F.col("status")))).alias("doc"))
+    order = t["orders"].select(F.concat(F.lit("measurement-"), F.col("o_orderkey").cast("string")).alias("uuid"), "o_orderkey")
+    rows = t["remote"].join(order, "uuid")
+    comment = entry("comment", F.when(F.col("o_orderkey") % 9 != 0, F.col("comment")))
+    one = F.map_from_entries(F.when(F.col("o_orderkey") % 2 == 1, F.array(comment)).otherwise(F.array(comment, entry("fire_id", F.col("fire_id")))))
+    first = rows.select("uuid", F.lit(1).alias("seq"), one.alias("doc"))
+    second = rows.where("o_orderkey % 6 = 0 AND o_orderkey % 9 <> 0").select("uuid", F.lit(2).alias("seq"), F.create_map(F.lit("comment"), F.lit("second")).alias("doc"))
+    out = S.push_documents(current, first.unionByName(second))
+    return out.select("uuid", *[F.col("doc")[c].alias(c) for c in ("comment", "fire_id", "status")], F.size("doc").alias("n_keys"))
+
+
 @query(
     "layered_lookup",
     """WITH u AS (SELECT id AS fire_id, w, 1 AS layer FROM bounds WHERE CAST(id AS INT) % 3 = 0 UNION ALL SELECT fire_id, w - 1 AS w, 2 FROM packs), r AS (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY layer) AS rn FROM u)
@@ -274,7 +296,20 @@ coalesce(CAST(CAST(floor(accuracy_m + 0.5) AS BIGINT) AS VARCHAR), '') AS gps_ac
 coalesce(printf('%.2f', {Q.MEAN}), '') AS depth_mean_cm, CAST(coalesce({Q.COUNT}, 0) AS INT) AS depth_n, coalesce(combustion, '') AS combustion, coalesce(grid_id, '') AS grid_id, coalesce(CAST(grid_dist_m AS VARCHAR), '') AS grid_dist_m, coalesce(comment, '') AS comment, coalesce(photo_url, '') AS photo_url, coalesce(photo_count, 0) AS photo_count, status FROM measurements""",
 )
 def _(t):
-    return S.export_columns(t["measurements"])
+    path = io.scratch(t.spark, "export")
+    io.write_measurements_csv(t["measurements"], path)
+    _starts_with(t.spark, path, ["uuid", "created_iso", "surveyor"])
+    shape = S.export_columns(t["measurements"])
+    back = io.read_export(t.spark, path, shape.columns)
+    return back.select(*[F.coalesce(F.col(c), F.lit("")).cast(kind).alias(c) if kind == "string" else F.col(c).cast(kind) for c, kind in shape.dtypes])
+
+
+def _starts_with(spark, path, names):
+    """Every file begins with the byte order mark and the plain names of the first columns."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    head = b"\xef\xbb\xbf" + ",".join(names).encode()
+    if not files.where("length > 0").agg(F.min(F.substring("content", 1, len(head)) == F.lit(head))).first()[0]:
+        raise ValueError("an exported file has no byte order mark before its header")
 
 
 @query(
@@ -283,4 +318,10 @@ def _(t):
 user_email, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at, strftime(synced_at, '%Y-%m-%dT%H:%M:%S.000Z') AS synced_at, location_source, array_to_string(photo_urls, '; ') AS photo_urls FROM measurements""",
 )
 def _(t):
-    return S.backup_columns(t["measurements"]).withColumn("depth_mean", F.round("depth_mean", 6))
+    path = io.scratch(t.spark, "backup")
+    io.write_backup(t["measurements"], path)
+    _starts_with(t.spark, f"{path}/csv", ["uuid", "status", "lat"])
+    shape = S.backup_columns(t["measurements"])
+    back = io.read_export(t.spark, f"{path}/csv", shape.columns)
+    # an empty field is null in the table, but for depths and comments, which are texts
+    return back.select(*[(F.round(F.col(c).cast("double"), 6) if c == "depth_mean" else F.col(c).cast(kind)).alias(c) for c, kind in shape.dtypes])

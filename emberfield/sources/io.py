@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.storage import scratch  # noqa: F401
 from ..operators.survey import backup_columns, export_columns
 
 FEATURE = "struct<properties:struct<id:string,COMMUNE:string,PROVINCE:string,COUNTRY:string,FIREDATE:string,FINALDATE:string,CLASS:string,areaHA_geo:double>,geometry:struct<type:string,coordinates:string>>"
@@ -26,19 +23,6 @@ def _vertices(digits: int):
     return lambda ring: F.transform(ring, lambda v: F.struct(F.round(v[0], digits).alias("lon"), F.round(v[1], digits).alias("lat")))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the folder that driver and executors share. Only a local session may leave that unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-scratch-"))
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
-_LOCAL: dict[str, str] = {}
-
-
 def _numbered(lines: DataFrame) -> DataFrame:
     """Lines with index_pos, their order in the file: ranks within a block, and before these the counts of the blocks before."""
     rows = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
@@ -49,11 +33,11 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).join(blocks.select("file", "block", before.alias("before")), ["file", "block"]).select((F.col("before") + F.col("rank")).cast("int").alias("index_pos"), "value")
 
 
-def load_perimeters(spark: SparkSession, path: str, digits: int = 5, lines: bool = False) -> DataFrame:
+def load_perimeters(spark: SparkSession, path: str, digits: int = 5, lines: bool = True) -> DataFrame:
     """GeoJSON features as fires. A polygon becomes a list of one; coordinates are rounded; index_pos is the order in the file.
 
     lines: each feature stands on a line of its own, as exporters write them, with or without the collection around; such a file
-    is read in blocks by many tasks. Else the document may be laid out in any way, and one task reads it.
+    is read in blocks by many tasks. Without, the document may be laid out in any way, and one task reads it.
     """
     if lines:
         rows = _numbered(spark.read.text(path)).select("index_pos", F.from_json(F.regexp_replace("value", r",\s*$", ""), FEATURE).alias("f"))
@@ -169,8 +153,31 @@ def write_measurements_csv(measurements: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def _quoted(column: str) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def write_backup(measurements: DataFrame, path: str) -> None:
-    """All rows as JSON, null fields kept, and as CSV with every field quoted, after a byte order mark."""
+    """All rows as JSON, null fields kept, and as CSV: in each file a byte order mark and the plain names of the columns, then rows
+    with every field quoted and quotes doubled, ended by CR LF."""
     measurements.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
-    out = backup_columns(measurements).withColumnRenamed("uuid", MARK + "uuid")
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/csv")
+    out = backup_columns(measurements)
+    lines = out.select(F.concat_ws(",", *[_quoted(c) for c in out.columns]).alias("value"))
+    head = MARK + ",".join(out.columns)
+
+    # the text writer has no header, so the first line of each task's rows carries it
+    def headed(batches):
+        first = True
+        for pdf in batches:
+            if first and len(pdf):
+                pdf["value"] = pdf["value"].where(pdf.index != pdf.index[0], head + "\r\n" + pdf["value"])
+                first = False
+            yield pdf
+
+    lines.mapInPandas(headed, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/csv")
+
+
+def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of exported CSV as strings; the byte order mark and the header of each file are left out."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators.survey import authorize_updates, validate_measurements
+from ..sources.keyed import delete, merge_batch
 
 
 def current_from_log(log: DataFrame, order: tuple[str, ...] = ("batch_id", "arrived")) -> DataFrame:
@@ -34,12 +35,18 @@ def ingest_measurements(arrivals: DataFrame, log_path: str, rejected_path: str,
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def judged_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame) -> DataFrame:
+    """T5: decisions (uuid, decision, reviewer, ts) with verdict: accepted, refused, or waiting while no measurement has the uuid."""
+    asked = decisions.select("uuid", F.col("reviewer").alias("editor_uid"), "decision", "ts", F.lit("update").alias("op"))
+    owner = measurements.select("uuid", F.col("user_id").alias("new_user_id"), F.lit(True).alias("known"))
+    checked = authorize_updates(asked.join(owner, "uuid", "left"), measurements, admins)
+    verdict = F.when(F.col("known").isNull(), "waiting").when(F.col("accepted"), "accepted").otherwise("refused")
+    return checked.select("uuid", "decision", F.col("editor_uid").alias("reviewer"), "ts", verdict.alias("verdict"))
+
+
 def authorized_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame) -> DataFrame:
     """T5: the decisions (uuid, decision, reviewer, ts) of reviewers who may take them."""
-    asked = decisions.select("uuid", F.col("reviewer").alias("editor_uid"), "decision", "ts", F.lit("update").alias("op"))
-    owner = measurements.select("uuid", F.col("user_id").alias("new_user_id"))
-    checked = authorize_updates(asked.join(owner, "uuid"), measurements, admins).where("accepted")
-    return checked.select("uuid", "decision", F.col("editor_uid").alias("reviewer"), "ts")
+    return judged_decisions(decisions, measurements, admins).where("verdict = 'accepted'").drop("verdict")
 
 
 def review_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame) -> DataFrame:
@@ -50,11 +57,24 @@ def review_decisions(decisions: DataFrame, measurements: DataFrame, admins: Data
     return out.withColumn("reviewed_at", F.when(waits, F.col("d.ts"))).withColumn("reviewed_by", F.when(waits, F.col("d.reviewer"))).withColumn("status", F.when(waits & F.col("d").isNotNull(), F.col("d.decision")).otherwise(F.col("status"))).drop("d")
 
 
-def stream_decisions(decisions: DataFrame, measurements: DataFrame, admins: DataFrame, path: str, checkpoint: str):
-    """T5 as a stream: authorised decisions are logged by batch; review_decisions over the log gives the table."""
+def stream_decisions(decisions: DataFrame, measurements: Callable[[], DataFrame], admins: Callable[[], DataFrame], path: str, checkpoint: str):
+    """T5 as a stream: authorised decisions are logged by batch; review_decisions over the log gives the table.
+
+    Both tables are asked for in each batch, so rows that come later count. Under `path` are log, refused (the dead letters) and
+    waiting: decisions whose measurement is not there yet are judged again with each later batch. A batch reads what waited after the one
+    before it and overwrites its own folders, so a replayed batch leaves no double.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        authorized_decisions(batch, measurements, admins).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        asked = batch.select("uuid", "decision", "reviewer", "ts")
+        if batch_id:
+            asked = asked.unionByName(spark.read.schema(asked.schema).parquet(f"{path}/waiting/batch_id={batch_id - 1}"))
+        judged = judged_decisions(asked, measurements(), admins()).persist()
+        for verdict, folder in (("accepted", "log"), ("refused", "refused"), ("waiting", "waiting")):
+            judged.where(F.col("verdict") == verdict).drop("verdict").write.mode("overwrite").parquet(f"{path}/{folder}/batch_id={batch_id}")
+        judged.unpersist()
+        delete(spark, f"{path}/waiting/batch_id={batch_id - 2}")
 
     return decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -64,6 +84,36 @@ def latest_fix(fixes: DataFrame) -> DataFrame:
     return fixes.groupBy("device").agg(F.max_by(F.struct("seq", "ts", "lat", "lon"), "seq").alias("f")).select("device", "f.*")
 
 
+def stream_latest_fix(fixes: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """T4 as a stream: each batch's latest fixes are merged by device into the keyed table at `path`, in whatever order they come."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(latest_fix(batch), path, batch_id, ("device",), ("seq",), buckets)
+
+    return fixes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+
+
+def stream_arrivals(fixes: DataFrame, targets: Callable[[], DataFrame], path: str, checkpoint: str, within_m: float = 5.0, buckets: int = 64):
+    """T3 as a stream: arrivals are merged by device, fix and node into the keyed table at `path`. Targets are asked for in each batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(arrivals(batch, targets(), within_m), path, batch_id, ("device", "seq", "node_id"), ("dist_m",), buckets)
+
+    return fixes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+
+
+def stream_measurements(arriving: DataFrame, path: str, rejected_path: str, checkpoint: str, buckets: int = 64):
+    """T1 into a keyed table: valid rows are merged by uuid, the later `arrived` wins; rows that break a rule go to another log."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        checked = validate_measurements(batch).persist()
+        merge_batch(checked.where("valid").drop("valid", "failed", "odd"), path, batch_id, ("uuid",), ("arrived",), buckets)
+        checked.where("NOT valid").write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
+        checked.unpersist()
+
+    return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def arrivals(fixes: DataFrame, targets: DataFrame, within_m: float = 5.0) -> DataFrame:
     """Fixes within reach of their device's target; a stream of fixes joins a table of targets."""
     to = targets.select("device", "node_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
@@ -138,10 +188,3 @@ def stream_heading(fixes: DataFrame, least_m: float = 4.0) -> DataFrame:
             pass
 
     return fixes.groupBy("device").transformWithStateInPandas(Anchor(), HEADING, "append", "none")
-
-
-def sql_functions(spark: SparkSession) -> None:
-    """Registers tile_x, tile_y and severity_class as SQL functions of the session."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tile_x(lon DOUBLE, z INT) RETURNS BIGINT RETURN floor((lon + 180D) / 360D * pow(2D, z))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tile_y(lat DOUBLE, z INT) RETURNS BIGINT RETURN floor((1D - ln(tan(radians(lat)) + 1D / cos(radians(lat))) / pi()) / 2D * pow(2D, z))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION severity_class(dnbr DOUBLE) RETURNS INT RETURN CASE WHEN dnbr < -100 THEN 0 WHEN dnbr < 100 THEN 1 WHEN dnbr < 270 THEN 2 WHEN dnbr < 440 THEN 3 WHEN dnbr < 660 THEN 4 ELSE 5 END")

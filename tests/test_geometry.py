@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -99,8 +100,8 @@ def test_nearest_fires_by_cells(spark):
     shapes = spark.createDataFrame(fires, FIRE)
     queries = spark.createDataFrame([(i, r.uniform(49, 61), r.uniform(-9, 2)) for i in range(120)] + [(1000, -41.0, 179.9), (1001, 80.0, 0.0)], "qid long, lat double, lon double")
     rows = lambda df: sorted((x["qid"], x["rank"], x["fire_id"], round(x["dist_m"], 6)) for x in df.collect())
-    assert rows(spatial.fires_near(queries, shapes, 7, most=10)) == rows(spatial.fires_near(queries, shapes, 7))
-    assert len(rows(spatial.fires_near(queries.limit(3), shapes, 400, most=10))) == 3 * 151
+    assert rows(spatial.fires_near(queries, shapes, 7, most_in_cell=3)) == rows(spatial.fires_near(queries, shapes, 7))
+    assert len(rows(spatial.fires_near(queries.limit(3), shapes, 400, most_in_cell=3))) == 3 * 151
 
 
 def test_number_formats(spark):
@@ -183,3 +184,85 @@ def test_empty_tables(spark):
     assert spatial.points_in_fires(points, none).collect() == []
     assert spatial.attach_fires(points, none).first()["near_fire"] is None
     assert spatial.sampling_lattice(none).collect() == []
+
+
+def point(lat, lon):
+    return [[[(float(lon), float(lat))]]]
+
+
+def test_nearest_fires_anywhere_on_the_globe(spark):
+    r = random.Random(11)
+    places = [(r.gauss(54, 1), r.gauss(-2, 1)) for _ in range(400)] + [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(60)] + [(89.9, 10), (89.9, -170), (-60, 179.9), (-60, -179.9), (54.5, -2.5), (54.5, -2.5)]
+    fires = spark.createDataFrame([(i, f"f{i:03}", point(a, b)) for i, (a, b) in enumerate(places)] + [(999, "none", [])], FIRE)
+    asked = [(1, 54.5, -2.5), (2, -54.0, 178.0), (3, 90.0, 0.0), (4, -60.0, 180.0), (5, 0.0, 0.0), (6, None, 1.0), (7, -89.0, -90.0)] + [(10 + i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(40)]
+    queries = spark.createDataFrame(asked, "qid int, lat double, lon double")
+
+    def far(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1, math.sqrt(h)))
+
+    want = {q: sorted((round(far(a, b, c, d), 3), f"f{i:03}") for i, (c, d) in enumerate(places))[:9] for q, a, b in asked if a is not None}
+    for most in (1, 25, 1000):
+        got = {}
+        for row in spatial.fires_near(queries, fires, 9, most_in_cell=most).orderBy("qid", "rank").collect():
+            got.setdefault(row["qid"], []).append((round(row["dist_m"], 3), row["fire_id"]))
+        assert {q: [d for d, _ in v] for q, v in got.items()} == {q: [d for d, _ in v] for q, v in want.items()}
+        assert {f for _, f in got[1][:2]} == {"f464", "f465"} and got[1][0][1] == "f464"  # ties by id
+    assert spatial.fires_near(queries, fires.limit(0), 3).count() == 0 == spatial.fires_near(queries.limit(0), fires, 3).count()
+
+
+def test_a_scene_serves_all_fires_that_it_shows(spark):
+    r = random.Random(5)
+    start = datetime.datetime(2024, 3, 20, 13)
+    days = lambda n: datetime.timedelta(days=n)
+    fires = []
+    for i in range(60):
+        w, s, h = r.uniform(-6, 2), r.uniform(50, 59), r.uniform(0.01, 0.4)
+        first = start + days(r.uniform(0, 60))
+        fires.append((f"f{i}", first, first + days(r.choice([0, 0, 3.5, 20])), w, s, w + h, s + h))
+    fires += [("null", None, None, -2.0, 54.0, -1.0, 55.0), ("none", start, start, None, None, None, None)]
+    scenes = []
+    for i in range(400):
+        w, s, h = r.uniform(-7, 2), r.uniform(49, 59), r.choice([0.2, 1.1, 3.0])
+        scenes.append((f"s{i}", start + days(r.uniform(-130, 200)), w, s, w + h, s + h))
+    scenes += [("wide", start + days(10), -179.0, -85.0, 179.0, 85.0), ("edge", datetime.datetime(2024, 3, 1), -7.0, 49.0, 3.0, 60.0), ("untimed", None, -7.0, 49.0, 3.0, 60.0)]
+    box = "w double, s double, e double, n double"
+    got = raster.scenes_of_fires(spark.createDataFrame(scenes, f"scene_id string, scene_ts timestamp_ntz, {box}"), spark.createDataFrame(fires, f"id string, firedate timestamp_ntz, finaldate timestamp_ntz, {box}"), 40, 30, 2)
+    midnight = lambda d: d.replace(hour=0, minute=0, second=0, microsecond=0)
+    want = []
+    for i, at, w, s, e, n in scenes:
+        for f, a, b, w1, s1, e1, n1 in fires:
+            if at and a and w1 is not None and w <= e1 and e >= w1 and s <= n1 and n >= s1:
+                want += [(i, f, p) for p, x, y in (("pre", midnight(a) - days(40), midnight(a) - days(2)), ("post", midnight(b) + days(2), midnight(b) + days(30))) if x <= at < y]
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want) and len(rows) == len(set(rows)) > 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_mosaic_of_files_with_their_own_origins(spark):
+    files = [(0, 100.0, 500.0, 10.0, -5.0, -1), (1, 120.0, 510.0, 10.0, -5.0, 999), (2, 90.0, 495.0, 10.0, -5.0, None)]
+    cells = [(0, 0, 0, 1), (0, 0, 2, 2), (0, 3, 3, -1), (0, 1, 1, 7), (1, 2, 0, 5), (1, 0, 0, 6), (1, 5, 1, 999), (2, 0, 3, 8), (2, 0, 0, None), (2, 4, 2, 9)]
+    mosaic, lattice = raster.mosaic_rasters(spark.createDataFrame(cells, "file_order int, row int, col int, code int"), spark.createDataFrame(files, "file_order int, x0 double, y0 double, px double, py double, nodata int"))
+    assert tuple(lattice.first()) == (90.0, 510.0, 10.0, -5.0)
+    want = {}
+    for f, row, col, code in cells:
+        _, x0, y0, px, py, nodata = files[f]
+        if code is not None and code != nodata:
+            want[(round((y0 - 510) / py) + row, round((x0 - 90) / px) + col)] = code
+    assert {(r["row"], r["col"]): r["code"] for r in mosaic.collect()} == want and want[(2, 3)] == 5
+
+
+def test_overlays_keep_what_is_near(spark):
+    fires = spark.createDataFrame([(i, f"f{i}", [[square(i, 50.0, 0.1)]]) for i in range(12)], FIRE)
+    views = [(1, 0, 10, 0.0, 49.5, 4.0, 50.5), (1, 1, 10, 5.0, 49.5, 9.0, 50.5), (1, 2, 10, 5.0, 49.5, 6.0, 50.5), (1, 3, 8, 5.0, 49.5, 6.0, 50.5), (1, 4, 10, 5.0, 49.5, 6.0, 50.5), (2, 0, 10, 11.0, 49.5, 12.0, 50.5), (2, 1, 10, 30.0, 49.5, 31.0, 50.5)]
+    table = spark.createDataFrame(views, "session int, seq int, zoom int, w double, s double, e double, n double")
+
+    def shown(**how):
+        out = {}
+        for r in spatial.viewport_overlays(table, fires, least_zoom=9, **how).orderBy("session", "seq", "place").collect():
+            out.setdefault((r["session"], r["seq"]), []).append(int(r["fire_id"][1:]))
+        return out
+
+    assert shown(most=4) == {(1, 0): [0, 1, 2, 3], (1, 1): [1, 2, 3, 5], (1, 2): [5, 6], (1, 4): [5, 6], (2, 0): [11]}
+    assert shown(most=2, pad=0.5, refill=False) == {(1, 0): [0, 1], (1, 1): [5, 6], (1, 2): [5, 6], (1, 4): [5, 6], (2, 0): [11]}

@@ -1,13 +1,16 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberfield.fixtures import Tables
-from emberfield.functions import text
+from emberfield.functions import geo, text
+from emberfield.functions.sql import sql_functions
 from emberfield.operators import raster, spatial, survey
-from emberfield.sources import io
+from emberfield.sources import io, keyed
 from emberfield.streaming import flows
 
 DATA = "/root/testdata/sf0.001"
@@ -24,13 +27,13 @@ def test_perimeters(spark, tmp_path):
     feature = lambda i, g: {"type": "Feature", "properties": {"id": i, "COMMUNE": "A", "FIREDATE": "2025-05-07 11:28:00", "areaHA_geo": 3.5}, "geometry": g}
     doc = {"type": "FeatureCollection", "features": [feature("1", {"type": "Polygon", "coordinates": [ring]}), feature(None, {"type": "MultiPolygon", "coordinates": [[ring], [ring]]})]}
     (tmp_path / "f.geojson").write_text(json.dumps(doc))
-    rows = io.load_perimeters(spark, str(tmp_path / "f.geojson")).orderBy("index_pos").collect()
+    rows = io.load_perimeters(spark, str(tmp_path / "f.geojson"), lines=False).orderBy("index_pos").collect()
     assert [len(r["geom"]) for r in rows] == [1, 2] and rows[0]["geom"][0][0][0]["lon"] == -2.0
     assert str(rows[0]["firedate"]) == "2025-05-07 11:28:00" and rows[1]["id"] is None
     lines = "\n".join(["{", '"type": "FeatureCollection",', '"features": [', ",\n".join(json.dumps(f) for f in doc["features"]), "]", "}"])
     (tmp_path / "lines.geojson").write_text(lines)
     assert io.load_perimeters(spark, str(tmp_path / "lines.geojson"), lines=True).orderBy("index_pos").collect() == rows
-    assert io.split_by_fire(io.load_perimeters(spark, str(tmp_path / "f.geojson")), str(tmp_path / "split")) == 1
+    assert io.split_by_fire(io.load_perimeters(spark, str(tmp_path / "lines.geojson")), str(tmp_path / "split")) == 1
     assert (tmp_path / "split" / "safe_id=1").is_dir()
 
 
@@ -93,17 +96,130 @@ def test_ingest_stream_equals_batch(spark, tmp_path, t):
 def test_decision_stream_equals_batch(spark, tmp_path, t):
     t["decisions"].repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(t["decisions"].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    flows.stream_decisions(stream, t["measurements"], t["admins"], str(tmp_path / "log"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    log = spark.read.parquet(str(tmp_path / "log")).drop("batch_id")
+    flows.stream_decisions(stream, lambda: t["measurements"], lambda: t["admins"], str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    log = spark.read.parquet(str(tmp_path / "out" / "log")).drop("batch_id")
     allowed = flows.authorized_decisions(t["decisions"], t["measurements"], t["admins"])
     assert sorted(map(tuple, log.select(allowed.columns).collect())) == sorted(map(tuple, allowed.collect()))
     assert 0 < log.count() < t["decisions"].count()
+    assert spark.read.parquet(str(tmp_path / "out" / "refused")).count() == t["decisions"].count() - log.count()
     got = flows.review_decisions(log, t["measurements"], t["admins"])
     want = flows.review_decisions(t["decisions"], t["measurements"], t["admins"])
     pick = ("uuid", "status", "reviewed_by")
     assert got.select(*pick).exceptAll(want.select(*pick)).count() == 0
 
 
+def test_decisions_wait_for_their_rows(spark, tmp_path):
+    rows, out, cp = str(tmp_path / "rows"), str(tmp_path / "out"), str(tmp_path / "cp")
+    schema = "uuid string, decision string, reviewer string, ts long"
+    current = "uuid string, user_id string, status string"
+    admins = spark.createDataFrame([("boss",)], "uid string")
+
+    def arrive(*new):
+        spark.createDataFrame(new, current).write.mode("append").parquet(rows)
+
+    def decide(name, *new):
+        spark.createDataFrame(new, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        flows.stream_decisions(stream, lambda: spark.read.schema(current).parquet(rows), lambda: admins, out, cp).trigger(availableNow=True).start().awaitTermination(120)
+
+    def seen(kind):
+        return sorted((r["uuid"], r["decision"], r["reviewer"]) for r in spark.read.schema(schema).parquet(f"{out}/{kind}").collect())
+
+    arrive(("a", "ann", "pending_review"))
+    # one after its row, one before it, one refused, and one that is refused once its row is there
+    decide("1", ("a", "verified", "boss", 1), ("b", "verified", "boss", 2), ("a", "rejected", "bob", 3), ("c", "verified", "bob", 4))
+    assert seen("log") == [("a", "verified", "boss")] and seen("refused") == [("a", "rejected", "bob")]
+    arrive(("b", "ben", "pending_review"), ("d", "dan", "pending_review"))
+    decide("2", ("d", "rejected", "boss", 5))
+    assert seen("log") == [("a", "verified", "boss"), ("b", "verified", "boss"), ("d", "rejected", "boss")]
+    arrive(("c", "cid", "pending_review"))
+    # the last batch is run again, as after a crash before its commit, and a further one comes
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    decide("3", ("e", "verified", "boss", 6))
+    assert seen("log") == [("a", "verified", "boss"), ("b", "verified", "boss"), ("d", "rejected", "boss")]
+    assert seen("refused") == [("a", "rejected", "bob"), ("c", "verified", "bob")]
+
+
+def test_keyed_table_equals_the_log(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(80)}", at, f"v{at}", rng.choice([None, at * 1.5])) for at in range(400)]
+    path, schema = str(tmp_path / "t"), "uuid string, arrived long, value string, depth double"
+    batches = [rows[i : i + 60] for i in range(0, 400, 60)]
+    rng.shuffle(batches)
+    log = []
+    for n, batch in enumerate([*batches, batches[0], [r for r in rows if r[0] == "k7"]]):
+        frame = spark.createDataFrame(batch, schema)
+        touched = keyed.merge_batch(frame, path, n, ("uuid",), ("arrived",), buckets=16)
+        if n == 2:
+            keyed.merge_batch(frame, path, n, ("uuid",), ("arrived",), buckets=16)  # a replay
+        files = [p for p in (tmp_path / "t" / "data" / f"v={n}").rglob("*.parquet") if not p.name.startswith(".")]
+        assert len(files) == len(touched) <= 16
+        log += [(n, *r) for r in batch]
+    assert len(touched) == 1
+    want = flows.current_from_log(spark.createDataFrame(log, f"batch_id int, {schema}"), ("arrived", "batch_id")).select("uuid", "value", "depth")
+    read = lambda: sorted(map(tuple, keyed.read_keyed(spark, path, StructType.fromDDL(schema)).select("uuid", "value", "depth").collect()))
+    assert read() == sorted(map(tuple, want.collect()))
+    before = len(list((tmp_path / "t" / "data").iterdir()))
+    keyed.compact(spark, path)
+    assert read() == sorted(map(tuple, want.collect())) and len(list((tmp_path / "t" / "data").iterdir())) <= before
+    keyed.merge_batch(spark.createDataFrame(batches[1], schema), path, n, ("uuid",), ("arrived",), buckets=16)  # the last batch can be run again after compaction
+    assert len(read()) == len({r[0] for r in rows})
+
+
+def test_position_streams_equal_batch(spark, tmp_path, t):
+    fixes = t["gps_fixes"].where("seq < 400")
+    late = fixes.where("seq % 3 = 0").coalesce(1)
+    fixes.where("seq % 3 <> 0").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    stream = spark.readStream.schema(fixes.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+    def run():
+        flows.stream_latest_fix(stream, str(tmp_path / "last"), str(tmp_path / "cp1"), 4).trigger(availableNow=True).start().awaitTermination(120)
+        flows.stream_arrivals(stream, lambda: t["nav_targets"], str(tmp_path / "met"), str(tmp_path / "cp2"), buckets=4).trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
+    late.write.parquet(str(tmp_path / "in" / "b"))  # fixes of earlier numbers come later
+    run()
+    last, met = flows.latest_fix(fixes), flows.arrivals(fixes, t["nav_targets"])
+    assert sorted(map(tuple, keyed.read_keyed(spark, str(tmp_path / "last"), last.schema).collect())) == sorted(map(tuple, last.collect()))
+    assert sorted(map(tuple, keyed.read_keyed(spark, str(tmp_path / "met"), met.schema).collect())) == sorted(map(tuple, met.collect()))
+
+
+def test_measurement_stream_into_a_keyed_table(spark, tmp_path, t):
+    rows = t["measurements"].withColumn("depth_mean", survey.mean_depth()).withColumn("grid_id", F.lit(None).cast("string")).withColumn("submitter", F.col("user_id")).withColumn("arrived", F.col("created_at"))
+    rows.where("pmod(xxhash64(uuid), 3) <> 0").coalesce(2).write.parquet(str(tmp_path / "in" / "a"))
+    rows.where("pmod(xxhash64(uuid), 3) <> 1").coalesce(2).write.parquet(str(tmp_path / "in" / "b"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    flows.stream_measurements(stream, str(tmp_path / "t"), str(tmp_path / "bad"), str(tmp_path / "cp"), 4).trigger(availableNow=True).start().awaitTermination(120)
+    want = survey.validate_measurements(rows).where("valid").drop("valid", "failed", "odd")
+    got = keyed.read_keyed(spark, str(tmp_path / "t"), want.schema)
+    assert got.count() == want.count() and got.select("uuid", "lat", "comment").exceptAll(want.select("uuid", "lat", "comment")).count() == 0
+
+
+def test_documents_of_one_batch_have_different_keys(spark):
+    schema = "uuid string, doc map<string, string>"
+    current = spark.createDataFrame([("a", {"x": "1", "y": "2", "z": None}), ("b", {"x": "5"}), ("n", None), ("e", {})], schema)
+    incoming = spark.createDataFrame([("a", 1, {"x": None}), ("a", 2, {"y": "3", "w": "4"}), ("a", 0, {"y": "0"}), ("c", 1, {"x": None}), ("b", 1, {}), ("d", 1, None)], "uuid string, seq int, doc map<string, string>")
+    got = {r["uuid"]: r["doc"] for r in survey.push_documents(current, incoming).collect()}
+    assert got == {"a": {"x": None, "y": "3", "z": None, "w": "4"}, "b": {"x": "5"}, "c": {"x": None}, "d": {}, "n": {}, "e": {}}
+
+
+def test_photo_names(spark):
+    photos = spark.createDataFrame([(n, n, 10, "image/jpeg", "u") for n in ("a.jpg", "a.jpg\n", "b.jpg\nx", "\na.jpg", "c d.jpg")], "path string, name string, size_bytes int, content_type string, uploaded_by string")
+    assert [r["name"] for r in survey.validate_photos(photos, photos.select("path").limit(0)).collect()] == ["a.jpg"]
+
+
+def test_backup_bytes(spark, tmp_path, t):
+    rows = t["measurements"].where("CAST(substr(uuid, 13) AS INT) % 37 = 0").withColumn("comment", F.lit('a "q", b\nc'))
+    io.write_backup(rows, str(tmp_path / "b"))
+    columns = survey.backup_columns(rows).columns
+    files = [p.read_bytes() for p in (tmp_path / "b" / "csv").glob("part-*") if p.stat().st_size]
+    assert all(f.startswith(b"\xef\xbb\xbf" + ",".join(columns).encode() + b'\r\n"') and f.endswith(b'"\r\n') for f in files)
+    assert sum(f.count(b'"a ""q"", b\nc"') for f in files) == rows.count()
+    back = io.read_export(spark, str(tmp_path / "b" / "csv"), columns)
+    assert sorted(map(tuple, back.select("uuid", "comment").collect())) == sorted(map(tuple, rows.select("uuid", "comment").collect()))
+
+
 def test_heading_stream_equals_batch(spark, tmp_path, t):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     fixes = t["gps_fixes"].where("seq < 300")
@@ -125,9 +241,16 @@ def test_heading_anchor(spark):
     assert [(r["seq"], r["bearing_deg"]) for r in got] == [(3, 0), (5, 180)]
 
 
-def test_sql_functions(spark):
-    flows.sql_functions(spark)
+def test_sql_functions(spark, t):
+    sql_functions(spark)
     assert tuple(spark.sql("SELECT tile_x(-2D, 10), tile_y(54D, 10), severity_class(270D)").first()) == (506, 328, 3)
+    point = spark.sql("SELECT 54D AS lat, -2D AS lon, 55.5D AS lat1, -3D AS lon1")
+    point.createOrReplaceTempView("point_of_test")
+    got = spark.sql("SELECT haversine_m(lat, lon, lat1, lon1), local_m(lat, lon, lat1, lon1), tile_lon(tile_x(lon, 9), 9), tile_lat(tile_y(lat, 9), 9), in_uk(lat, lon) FROM point_of_test").first()
+    want = point.select(geo.haversine_m("lat", "lon", "lat1", "lon1"), geo.local_m("lat", "lon", "lat1", "lon1"), geo.tile_lon(geo.tile_x("lon", 9), 9), geo.tile_lat(geo.tile_y("lat", 9), 9), geo.in_uk()).first()
+    assert tuple(got) == pytest.approx(tuple(want))
+    assert sorted(map(tuple, spark.sql("SELECT * FROM nodes_of_box(40, 40, 260, 150, 100)").collect())) == [(50, 50), (50, 150), (150, 50), (150, 150), (250, 50), (250, 150)]
+    assert spark.sql("SELECT grid_node_id(49.5D, 150D), nbr(3D, 1D), nbr(0D, 0D)").first()[:] == ("E50 N150", 0.5, None)
 
 
 def test_keyset_cursor(spark, t):
