@@ -11,6 +11,7 @@ points the one that got its first points first is the best.
 from __future__ import annotations
 
 import bisect
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -24,15 +25,18 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']++|\"
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^>]*+)>")
 NAME = re.compile("</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+SENTENCE = re.compile("[.!?…。！？؟।։,،、，]")
 COMMAS = re.compile("[,،、，﹐︑︐]")
 
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROP = RAW | {"head", "nav", "footer", "aside", "form", "noscript", "template", "object", "svg", "math", "canvas", "button", "select", "option", "dialog", "menu", "audio", "video", "map", "fieldset", "label", "progress", "meter", "output", "datalist"}
+DROP = RAW | {"head", "nav", "footer", "aside", "form", "noscript", "template", "object", "canvas", "desc", "metadata", "defs", "symbol", "annotation", "annotation-xml", "button", "select", "option", "dialog", "menu", "audio", "video", "map", "fieldset", "label", "progress", "meter", "output", "datalist"}
 BLOCK = {"html", "body", "address", "article", "blockquote", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "header", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "nav", "aside", "footer", "form"}
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"p": BLOCK - {"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "head": {"body"}}
+#: Blocks that hold sentences themselves.
+SENTENCES = {"p", "li", "td", "th", "dd", "dt", "blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WALLS = {"ul": {"li"}, "ol": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th", "p", "li", "dt", "dd"}, "td": {"p", "li"}, "th": {"p", "li"}, "article": {"p"}, "section": {"p"}, "div": {"p", "li", "dt", "dd"}, "body": {"p"}, "html": set()}
 UNLIKELY = set(
@@ -40,6 +44,17 @@ UNLIKELY = set(
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist disqus reply replies respond discussion pagination pager paging skip hidden copyright legal disclaimer alert teaser teasers trending outbrain taboola".split()
 )
+UNLIKELY |= {"notification", "notifications", "adsbygoogle"}
+#: Words of UNLIKELY that an author may use for a part of the text as well.
+WEAK = {"legal", "disclaimer", "copyright", "discussion", "hidden", "header", "masthead", "teaser", "teasers", "promotion", "skip", "respond"}
+#: Words that say nothing about what a part is; with these a name is still that of furniture, with others it may be that of a topic.
+HELPERS = set(
+    "area article articles author avatar bar block body bottom box button buttons by cell col column container content count count facebook featured feed follow form google global group icon icons "
+    "id inline inner item items label latest left link links list main media meta middle module more news outer page panel popular policy post posts primary products reading recent right row secondary section "
+    "site slot stories story text the thread title toggle tools top topics twitter unit videos wrap wrapper zone entry you your us our all js".split()
+)
+#: Headings of lists that belong to a text though they are links, in the languages of the pages.
+SOURCES = set("sources source references reference citations bibliography notes footnotes quellen quelle literatur einzelnachweise fuentes fuente referencias notas bibliografía références référence bibliographie".split())
 #: Words that an article's own parts may bear too, beside one of the following words.
 EITHER = {"header", "masthead", "teaser", "teasers"}
 LIKELY = {"article", "main", "content", "body", "post", "entry", "story", "text"}
@@ -49,10 +64,10 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 
 
 class Node:
-    __slots__ = ("children", "drop", "link", "parent", "score", "size", "tag")
+    __slots__ = ("children", "doubt", "drop", "link", "parent", "score", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, doubt: str = ""):
+        self.tag, self.parent, self.drop, self.doubt = tag, parent, drop, doubt
         self.children: list[Node | str] = []
         self.score, self.size, self.link = 0.0, 0, 0
 
@@ -63,23 +78,45 @@ class Node:
         return node
 
 
-def _unlikely(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element, by its tag or attributes, is not part of the text. inside: of an article or main."""
+@functools.cache
+def _words(name: str) -> tuple[str, ...]:
+    """The words of a name, in lower case: parted at capitals and signs, and where a word of UNLIKELY stands beside one of HELPERS."""
+    out = []
+    for word in map(str.lower, WORD.findall(name)):
+        cut = next((k for k in range(2, len(word) - 1) if {word[:k], word[k:]} & UNLIKELY and {word[:k], word[k:]} & HELPERS), 0) if word not in UNLIKELY else 0
+        out += [word[:cut], word[cut:]] if cut else [word]
+    return tuple(out)
+
+
+def _judge_name(name: str, inside: bool) -> str:
+    """What a class or id says: "drop", "weak" (if the element's text agrees), "about" (unless the page around bears it) or nothing."""
+    words = _words(name[:200])
+    about = next((k for k, w in enumerate(words) if w in ABOUT), None)
+    if about is not None:
+        if set(words[about:]) & UNLIKELY and not set(words[:about]) & UNLIKELY:
+            return "about"
+        words = words[:about]
+    unlikely = set(words) & UNLIKELY
+    if not unlikely or set(words) & LIKELY and unlikely <= EITHER:
+        return ""
+    topic = set(words) - UNLIKELY - HELPERS - LIKELY
+    return "weak" if unlikely <= WEAK or inside and topic else "drop"
+
+
+def _unlikely(tag: str, attributes: str, inside: bool) -> str:
+    """Whether an element, by its tag or attributes, is not part of the text, as _judge_name() says it. inside: of an article or main."""
     if tag in DROP or tag == "header" and not inside:
-        return True
+        return "drop"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     style = found.get("style", "").replace(" ", "").lower()
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" and tag != "math" or "display:none" in style or "visibility:hidden" in style:
+        return "drop"
     if found.get("role", "").lower() in ROLES:
-        return True
-    for name in (found.get("class", "") + " " + found.get("id", "")).split():
-        words = set(WORD.findall(name.lower()))
-        if words & UNLIKELY and not words & ABOUT and not (words & LIKELY and words & UNLIKELY <= EITHER):
-            return True
-    return False
+        return "drop"
+    said = {_judge_name(name, inside) for name in (found.get("class", "") + " " + found.get("id", "")).split()}
+    return next((x for x in ("drop", "weak", "about") if x in said), "")
 
 
 class _Ends:
@@ -154,7 +191,10 @@ def parse(page: str) -> Node:
                 if kind in WALLS.get(open_tags[k].tag, ()):
                     break
         now = open_tags[-1]
-        node = Node(tag, now, now.drop or _unlikely(tag, m[3] or "", depth > 0))
+        said = _unlikely(tag, m[3] or "", depth > 0)
+        if tag == "svg" and next((n.tag for n in reversed(open_tags) if n.tag in BLOCK), "") not in SENTENCES:
+            said = "drop"  # a drawing, not a sign in a sentence
+        node = Node(tag, now, now.drop or said == "drop", said)
         now.children.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
@@ -244,11 +284,61 @@ def _score(root: Node) -> list[Node]:
     return list(scored.values())
 
 
+def _settle(root: Node) -> None:
+    """Decide about elements whose names leave a doubt.
+
+    A weak name drops an element with many links, or with bare text alone. The name of a page around drops an element that holds
+    neither an article, main or h1 nor half of the page's text: then it is the part that the name speaks of.
+    """
+    if not any(isinstance(n, Node) and n.doubt in ("weak", "about") for n, done in _walk(root) if done):
+        return
+    sizes, links, held = {}, {}, {}
+    stack: list[tuple[Node, int, int, set]] = []
+    size = link = inside = 0
+    tags: list[tuple[str, int]] = []
+    for item, done in _walk(root):
+        if isinstance(item, str):
+            n = len(item) - item.count(" ") if not item.isspace() else 0
+            size += n
+            link += n if inside else 0
+        elif not done:
+            inside += item.tag == "a"
+            stack.append((item, size, link, len(tags)))
+        else:
+            inside -= item.tag == "a"
+            node, a, b, first = stack.pop()
+            if node.doubt:
+                sizes[id(node)], links[id(node)] = size - a, link - b
+                held[id(node)] = {tag for tag, n in tags[first:] if n}
+            tags.append((node.tag, size - a))
+    for node, done in list(_walk(root)):
+        if not done or not isinstance(node, Node) or id(node) not in sizes:
+            continue
+        n, within = sizes[id(node)], held[id(node)]
+        if node.doubt == "weak":
+            node.drop = links[id(node)] >= 0.25 * n or not within & (SENTENCES | {"pre", "section"}) and node.tag not in SENTENCES
+        elif node.doubt == "about":
+            node.drop = not within & {"article", "main", "h1"} and n < 0.5 * size
+
+
+def _lists_sources(node: Node) -> bool:
+    """Whether a list stands after a heading of sources, inside an article or main."""
+    up = node.parent
+    around = [c for c in (up.children if up else ()) if not (isinstance(c, str) and not c.strip())]
+    at = next((k for k, c in enumerate(around) if c is node), 0)
+    if not at or not isinstance(around[at - 1], Node) or around[at - 1].tag not in HEADINGS:
+        return False
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None and bool(set(re.findall(r"\w+", " ".join(blocks([around[at - 1]])).lower())) & SOURCES)
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: blocks in page order, joined by two line ends; empty if there is none."""
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     density = lambda n: n.link / n.size if n.size else 0.0
     scored = _score(root)
     if not scored:
@@ -258,9 +348,13 @@ def main_text(page: str | None) -> str:
                 tags.setdefault(item.tag, item)
         whole = tags.get("article") or tags.get("main") or tags.get("body") or root
         return "\n\n".join(blocks([whole])) if density(whole) < 0.5 else ""
+    sources = set()
     for item, done in _walk(root):
         if done and isinstance(item, Node) and item.tag in ("div", "section", "ul", "ol", "table", "dl", "p") and not item.score and density(item) > 0.6:
-            item.drop = True  # a menu: links and little else
+            if item.tag in ("ul", "ol", "dl", "table") and _lists_sources(item):
+                sources |= {id(n) for n in _above(item)}
+            elif id(item) not in sources:
+                item.drop = True  # a menu: links and little else
     best = max(scored, key=lambda n: n.score * (1 - density(n)))
     points = best.score * (1 - density(best))
     up = best
@@ -272,6 +366,12 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(blocks(_with_siblings(best, points)))
 
 
+def _above(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
 def _with_siblings(best: Node, points: float) -> list[Node]:
     """The best container and those siblings that belong to it, in page order."""
     if best.parent is None or best.tag == "main":
@@ -285,7 +385,7 @@ def _with_siblings(best: Node, points: float) -> list[Node]:
             return False
         density = s.link / s.size
         if s.tag in ("p", "pre", "blockquote"):
-            return s.size > 70 and density < 0.25 or not s.link and "." in "".join(blocks([s]))[-2:]
+            return density < 0.25 and bool(SENTENCE.search(" ".join(blocks([s]))))
         return s.score * (1 - density) >= 0.2 * points or s.tag == best.tag and s.tag in ("article", "section") and s.score > 0 and density < 0.25
 
     def joins(s: Node | str) -> bool:

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, components, durable
+from .common import ascii_lower, components, durable, forget
 
 #: (host, path, verdict) of the contract.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+LINK = r"(?is)<link\b[^>]*(?<![\w-])rel\s*=\s*[\"']?canonical\b[^>]*>"
+META = r"(?is)<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: What a browser does not read as tags.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript)\b.*?(?:</\1\b[^>]*>|\z)"
 
 
 def host_of(url: str) -> Column:
@@ -56,20 +58,26 @@ def _absolute(base: str, link: str) -> Column:
 
 
 def _node(url: str) -> Column:
-    """Address without fragment, its scheme and host in lower case: what a server can tell apart."""
-    head = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
-    tail = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
-    return F.concat(ascii_lower(head), F.when(tail == "", "/").otherwise(tail))
+    """Address without fragment, its scheme and host in lower case: what a server can tell apart. Null for one without ://."""
+    scheme = F.expr(f"substring({url}, 1, instr({url}, '://') - 1)")
+    scheme = F.when(scheme.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*\z"), ascii_lower(scheme)).otherwise(scheme)
+    tail = F.regexp_extract(F.expr(f"substring({url}, instr({url}, '://') + 3)"), r"\A[^/?#]*([^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), F.when(tail == "", "/").otherwise(tail)))
+
+
+def _number(url: str) -> Column:
+    return F.when(F.instr(url, "://") > 0, F.xxhash64(_node(url)))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(url, target) for each canonical link and each meta refresh with an address."""
+    """(url, target) for each canonical link and each meta refresh with an address; tags in comments, scripts and the like are none."""
     quoted = r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    link = F.regexp_extract("html", LINK, 0)
-    meta = F.regexp_extract("html", META, 0)
-    href = F.concat(*[F.regexp_extract("link", "(?is)" + quoted, i) for i in (1, 2, 3)])
+    some = pages.where("instr(url, '://') > 0").where(F.col("html").rlike(LINK) | F.col("html").rlike(META))
+    read = F.regexp_replace("html", UNREAD, " ")
+    link, meta = F.regexp_extract(read, LINK, 0), F.regexp_extract(read, META, 0)
+    href = F.concat(*[F.regexp_extract("link", r"(?is)(?<![\w-])" + quoted.removeprefix(r"\b"), i) for i in (1, 2, 3)])
     moved = F.regexp_extract("meta", r"(?is)\burl\s*=\s*['\"]?\s*([^'\"\s>]+)", 1)
-    found = pages.where("instr(url, '://') > 0").select("url", link.alias("link"), meta.alias("meta")).where("link <> '' OR meta <> ''")
+    found = some.select("url", link.alias("link"), meta.alias("meta")).where("link <> '' OR meta <> ''")
     found = found.select("url", F.explode(F.array(F.trim(href), F.trim(moved))).alias("href"))
     found = found.withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&")))
     return found.withColumn("target", _absolute("url", "href")).where("target IS NOT NULL AND instr(target, '://') > 0").select("url", "target")
@@ -86,15 +94,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     links = durable(alias_edges(pages))
     ends = links.select(F.col("url").alias("at")).union(links.select("target"))
-    ends = ends.select(F.xxhash64(_node("at")).alias("node"), host_of("at").alias("h"), path_of("at").alias("p"))
+    ends = ends.select(_number("at").alias("node"), host_of("at").alias("h"), path_of("at").alias("p"))
     ends = ends.select("node", matched_rule(rules, "h", "p").getField("verdict").alias("v")).groupBy("node").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"))
-    group = components(links.select(F.xxhash64(_node("url")).alias("a"), F.xxhash64(_node("target")).alias("b")))
-    group = group.union(group.select("component", "component").distinct())
+    parts = components(links.select(_number("url").alias("a"), _number("target").alias("b")))
+    group = parts.union(parts.select("component", "component").distinct())
     group = durable(group.join(ends, "node"))
     decided = durable(group.groupBy("component").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")))
     passed = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block")
     passed = durable(group.join(decided.select("component", passed.alias("passed")), "component").where("passed IS NOT NULL").select("node", "passed"))
-    own = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), F.xxhash64(_node("url")).alias("node"))
+    forget(links, parts, group, decided)
+    own = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), _number("url").alias("node"))
     own = own.withColumn("own", matched_rule(rules))
     out = own.join(passed, "node", "left")
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "passed", F.lit("allow")).alias("verdict"))

@@ -87,3 +87,34 @@ def test_round_trip_of_made_pages():
         shape = r.choice(["<article>{}</article>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post-body">{}</div></div>', "<table><tr><td>{}</td></tr></table>"])
         page = f"<html><head><title>{sentence(3)}</title></head><body><header><h1>{word()}</h1></header>{mess()}{shape.format(inner)}{mess()}<footer><p>{sentence(9)}</p></footer></body></html>"
         assert main_text(page) == "\n\n".join(blocks), page
+
+
+@pytest.mark.parametrize("name", ["adsbygoogle", "googleads", "sharebar", "relatedPosts", "cookiebar", "adbox", "notification", "AdSlot", "newsletterBox", "has-comments", "sidebar-with-ads", "with-sidebar-ads"])
+def test_names_in_one_word_or_about_the_part_itself(name):
+    part = f'<div class="{name}"><p>{PROSE} Not this one, though.</p></div>'
+    assert main_text(f"<body><article><h1>T</h1><p>{PROSE}</p>{part}<p>{PROSE} End.</p></article></body>") == f"T\n\n{PROSE}\n\n{PROSE} End."
+
+
+@pytest.mark.parametrize("name", ["legal", "alert-level", "social-history", "comment-on-results", "related-work", "promotion-to-captain", "shareholders", "menu-of-1890"])
+def test_names_of_topics_stay_inside_an_article(name):
+    for kind in ("id", "class"):
+        part = f'<section {kind}="{name}"><h2>Of it</h2><p>{PROSE} This one, too.</p></section>'
+        assert main_text(f"<body><main><p>{PROSE}</p>{part}</main></body>") == f"{PROSE}\n\nOf it\n\n{PROSE} This one, too."
+        assert main_text(f'<body><article><p>{PROSE}</p><h2 {kind}="{name}">Of it</h2><p>{PROSE}</p></article></body>') == f"{PROSE}\n\nOf it\n\n{PROSE}"
+    links = f'<div class="{name}"><a href=/a>One of many</a> <a href=/b>Another, to be clicked</a></div>'
+    if name != "shareholders":  # no name of furniture at all
+        assert main_text(f"<body><article><p>{PROSE}</p>{links}</article></body>") == PROSE
+
+
+def test_sources_and_signs():
+    items = '<ul><li><a href="/a">First one</a></li><li><a href="/b">Second one</a></li></ul>'
+    assert main_text(f"<article><p>{PROSE}</p><h2>Sources and notes</h2>{items}</article>") == f"{PROSE}\n\nSources and notes\n\nFirst one\n\nSecond one"
+    assert main_text(f"<article><p>{PROSE}</p><h2>More to read</h2>{items}</article>") == f"{PROSE}\n\nMore to read"
+    signs = f"<p>{PROSE} Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and <svg><title>no</title><text>y</text></svg> be.</p><svg><text>a drawing</text></svg>"
+    assert main_text(f"<article>{signs}</article>") == f"{PROSE} Let x=2 and y be."
+
+
+@pytest.mark.parametrize("text", ["Why did nobody see it coming?", "It was over!", "这是一个句子。", "So it was.", "هل انتهى الأمر؟", "“It was.”"])
+def test_short_paragraphs_beside_the_best_container(text):
+    assert main_text(f"<body><div><div><p>{PROSE * 3}</p></div><p>{text}</p></div></body>") == f"{PROSE * 3}\n\n{text}"
+    assert main_text(f"<body><div><div><p>{PROSE * 3}</p></div><p><a href=/>{text}</a></p></div></body>") == PROSE * 3

@@ -177,3 +177,14 @@ def test_fingerprints_empty(spark):
 def test_likeness_of_equal_and_empty(spark):
     frame = fp.with_vector(fp.with_vector(spark.createDataFrame([("a b", ""), ("", ""), ("a b", "a b")], "x string, y string"), "x", "v"), "y", "w")
     assert [r[0] for r in frame.select(fp.likeness("v", "w"), F.lit(1)).collect()] == [0.0, 1.0, 1.0]
+
+
+def test_only_real_addresses_are_aliases(spark):
+    link = lambda to: f'<html><head><link rel="canonical" href="{to}"></head></html>'
+    pages = [
+        (1, "foo?next=http://a.com/en/1", link("/x")), (2, "bar?next=http://ok.org/1", ""), (3, "/x?u=http://fine.org/", ""), (4, "foo?next=http://b.net/1", link("http://c.com/en/2")),
+        (5, "http://d.net/1", f'<!-- {link("http://c.com/en/2")} -->'), (6, "http://e.net/1", f'<script>var x = \'{link("http://c.com/en/2")}\'</script>'),
+        (7, "http://f.net/1", '<link data-rel="canonical" href="http://c.com/en/2">'), (8, "HTTP://G.net/1#top", link("http://c.com/en/2")), (9, "http://g.net/1", None), (10, None, link("http://c.com/en/2")), (11, "//x", ""),
+    ]
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("a.com", "block"), 2: ("ok.org", "allow"), 3: ("fine.org", "allow"), 4: ("b.net", "block"), 5: ("d.net", "allow"), 6: ("e.net", "allow"), 7: ("f.net", "allow"), 8: ("g.net", "block"), 9: ("g.net", "block"), 10: ("", "allow"), 11: ("", "allow")}
