@@ -15,11 +15,11 @@ every whole text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +27,10 @@ from . import textnum as N
 from .common import durable, join_small
 from .letters import gram_counts
 
-ANY_LETTER = re.compile(r"[^\W\d_]")
+ANY_LETTER = regex.compile(r"\p{L}")
 SLICE_CHARS, SLICE_ROWS = 500_000, 128
+#: Beyond so many times in one text a gram counts no more: counts of labelled texts travel in 16 bits.
+MOST_OF_GRAM = 65_535
 #: The least share of the usual cosine that is accepted, the part of labelled rows that may fall under it, and
 #: the rows that a language needs for a quantile of its own, and a bin for its median.
 SHARE, UNUSUAL, OWN_ROWS, BIN_ROWS = 0.5, 0.003, 200, 5
@@ -95,7 +97,8 @@ class Centroids:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts.astype(np.float32)) * self.idf
+        """Unit vectors of texts. A gram counts MOST_OF_GRAM times at most, where a model is fitted and where it is used."""
+        x = np.log1p(np.minimum(counts, MOST_OF_GRAM).astype(np.float32)) * self.idf
         return self._unit(x).astype(np.float32)
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +127,7 @@ def fit(docs: DataFrame, per_language: int = 800, dims: int = 2048, clusters: in
         for pdf in batches:
             texts = list(pdf["text"])
             for a, b in _slices(texts):
-                found = np.minimum(gram_counts(texts[a:b], dims), 65535).astype(np.uint16)
+                found = np.minimum(gram_counts(texts[a:b], dims), MOST_OF_GRAM).astype(np.uint16)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "lang": pdf["lang"].to_numpy()[a:b], "data": [x.tobytes() for x in found]})
 
     rows = picked.mapInPandas(features, "doc_id long, lang string, data binary").toPandas()

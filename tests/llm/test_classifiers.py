@@ -154,3 +154,19 @@ def test_toxicity_on_labelled_rows(spark):
     caught = out.loc[out["truth"] == 1, "toxic"].mean()
     wrong = out.loc[out["truth"] == 0, "toxic"].mean()
     assert wrong < 0.05 and caught > 0.5  # some twenty toxic rows to learn from
+
+
+def test_numbers_in_other_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta", "en") for i in range(30)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    texts = ["\u00b2", "\u00bd 12", "\u2460_\u0967", "\u2167", "a\u00b2", "\u4e2d", "\u02b0"]  # powers, fractions, circled and other digits, a Roman numeral sign; letters
+    got = language.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    assert [r["lang_pred"] == "und" for r in got] == [True, True, True, True, False, False, False]
+
+
+def test_counts_are_cut_alike_in_fitting_and_use():
+    counts = np.random.default_rng(0).integers(0, 9, (40, 64)).astype(np.int64)
+    model = language.Centroids(counts, np.array(["a", "b"] * 20))
+    counts[0, 3] = 10**6
+    cut = np.minimum(counts, language.MOST_OF_GRAM)
+    assert np.array_equal(model.vectors(counts), model.vectors(cut))
