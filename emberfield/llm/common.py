@@ -21,7 +21,9 @@ def scratch(spark: SparkSession) -> str:
         return folder
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return _LOCAL["folder"]
 
 
 _LOCAL: dict[str, str] = {}

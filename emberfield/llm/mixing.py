@@ -1,6 +1,6 @@
 """Mixing sources to target weights without sorting: thresholds on a hash of each document.
 
-Documents get a 60-bit position from a hash of their id. Tokens are summed by source and
+Documents get a 60-bit position from a hash of their id and text. Tokens are summed by source and
 the leading 12 bits; from these sums follows the bucket in which the source's budget
 ends. Only that bucket is summed again by its next 12 bits, and so on, until the
 last position to take is known. Thresholds are nested: a larger budget takes the same
@@ -24,7 +24,9 @@ def source_key() -> Column:
 
 
 def position(salt: str = "") -> Column:
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(salt)).cast("binary"))
+    # with the text, so that many rows of one id, or of none, are not one block
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(salt), text).cast("binary"))
     return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
@@ -74,10 +76,12 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         # the first bucket that does not fit as a whole; on the last level, as a half
         over = 2 * F.col("end") - F.col("n") > 2 * F.col("left") if level == LEVELS - 1 else F.col("end") > F.col("left")
         edge = sums.where(over).groupBy("key").agg(F.min(F.struct("bucket", (F.col("end") - F.col("n")).alias("before"))).alias("edge"))
-        state = join_small(state, edge, "key", "left")
+        met = join_small(state, edge, "key", "left")
         # nothing is over: all of the rest fits, and no bucket is left to look into
         prefix = F.when(F.col("edge").isNull(), F.shiftleft(F.shiftright("prefix", at) + (1 << BITS) if level else F.lit(1 << BITS).cast("long"), at)).otherwise(F.shiftleft(F.col("edge")["bucket"], at))
-        state = durable(state.select("key", "source_size", "target", "base", (F.col("left") - F.coalesce(F.col("edge")["before"], F.lit(0))).alias("left"), prefix.alias("prefix"), F.col("edge").isNotNull().alias("open")))
+        then = durable(met.select("key", "source_size", "target", "base", (F.col("left") - F.coalesce(F.col("edge")["before"], F.lit(0))).alias("left"), prefix.alias("prefix"), F.col("edge").isNotNull().alias("open")))
+        forget(state)
+        state = then
         if level < LEVELS - 1:
             rows = join_small(rows, state.where("open").select("key", F.col("prefix").alias("edge_prefix")), "key")
             inner = durable(rows.where(F.shiftright("position", at) == F.shiftright("edge_prefix", at)).select("key", "size", "position"))
@@ -92,12 +96,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
 
     docs: doc_id, text, source; other columns are ignored. Returns one row for each row: doc_id,
     size, source_size, target, taken (words), copies. A null text has size 0 and takes no words; a null
-    source is a source of its own. Rows with equal doc_id have one position and are taken alike.
-    An empty table gives an empty table.
+    source is a source of its own. Rows with equal doc_id and text have one position and are taken alike. Where exactly half of a
+    position's words fit, it is taken. Texts are read whole, however long. An empty table gives an empty table.
     """
     sizes = durable(sized(docs, salt))
     goals = durable(targets(sizes, weights, percent, most))
     limits = thresholds(sizes, goals)
+    forget(goals)
     out = join_small(sizes, limits, "key")
     copies = F.least(F.col("base") + (F.col("position") <= F.col("last")).cast("int"), F.lit(most)).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
@@ -110,8 +115,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int =
     mix takes no copy are left out. Texts are read whole, however long, and not shuffled.
     """
     sizes = durable(sized(docs, salt))
-    limits = thresholds(sizes, durable(targets(sizes, weights, percent, most)))
-    forget(sizes)
+    goals = durable(targets(sizes, weights, percent, most))
+    limits = thresholds(sizes, goals)
+    forget(sizes, goals)
     rows = docs.select(F.struct("*").alias("row"), source_key().alias("key"), position(salt).alias("position"))
     out = join_small(rows, limits.select("key", "base", "last"), "key")
     copies = F.least(F.col("base") + (F.col("position") <= F.col("last")).cast("int"), F.lit(most))
@@ -122,7 +128,7 @@ ORACLE = """
 WITH s AS (
   SELECT doc_id, coalesce('=' || source, '~') AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS position
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS position
   FROM documents),
 g AS (SELECT key, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY key) - 1 AS i FROM s GROUP BY key),
 w AS (SELECT key, source_size, CASE i % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,

@@ -188,3 +188,11 @@ def test_only_real_addresses_are_aliases(spark):
     ]
     got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: ("a.com", "block"), 2: ("ok.org", "allow"), 3: ("fine.org", "allow"), 4: ("b.net", "block"), 5: ("d.net", "allow"), 6: ("e.net", "allow"), 7: ("f.net", "allow"), 8: ("g.net", "block"), 9: ("g.net", "block"), 10: ("", "allow"), 11: ("", "allow")}
+
+
+def test_rows_of_one_id_or_none_are_no_block(spark):
+    rows = [(7, " ".join(f"w{i}" for _ in range(50)), "a") for i in range(20)] + [(None, f"v{i} " * 20, "b") for i in range(40)] + [(100 + i, "x " * 30, "c") for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, of in got.groupby("source_size"):
+        assert abs(of["taken"].sum() - of["target"].iat[0]) <= 0.5 * of["size"].max()
+    assert len(got) == 120
