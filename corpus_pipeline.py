@@ -30,7 +30,8 @@ def small_batches(spark: SparkSession) -> None:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learned language; null texts, those without letters and those far from every centroid go.
 
-    Repeated rows are judged alike. Any further columns stay as they are; an empty table stays empty.
+    Repeated rows are judged alike. Any further columns stay as they are; an empty table stays empty. A very long text is judged
+    whole, as a slice of its own.
     """
     small_batches(spark)
     model = language.fit(language.training_rows(docs))
@@ -40,7 +41,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the classifier chain does not call toxic, p_toxic below a half.
 
-    A null text is judged as an empty one. Repeated rows are judged alike. Any further columns stay as they are; an empty table
+    A null text is judged as an empty one, a very long one whole. Repeated rows are judged alike. Any further columns stay as they are; an empty table
     stays empty, and without labelled documents every row stays.
     """
     small_batches(spark)
@@ -53,8 +54,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, most: in
     """Of each group of linked texts the row with the smallest doc_id.
 
     Rows are judged one by one, so texts that share a doc_id go or stay on their own; rows without a doc_id stay.
-    Of rows that repeat a doc_id and its text, one stays. Texts without words stay. Any further columns stay as they are; an
-    empty table stays empty. Rows that go are joined by broadcast if they are few, else by shuffle.
+    Of rows that repeat a doc_id and its text, one stays, the same in every run: that whose JSON has the least hash. Texts without
+    words stay. Any further columns stay as they are; an empty table stays empty. Texts are read whole, in memory linear in the
+    longest. Rows that go are joined by broadcast if they are few, else by shuffle.
     """
     small_batches(spark)
     rows = durable(jaccard_join(docs, width=5, percent=80, keyed=True).where("doc_id IS NOT NULL").select("row_key", "first_key"))
@@ -62,7 +64,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, most: in
     twice = rows.groupBy("row_key").count().where("count > 1").select("row_key")
     docs = docs.select(F.struct("*").alias("row"), row_key().alias("row_key"))  # no column of docs is in the way
     if twice.limit(1).count():  # repeated rows: only these are compared
-        again = docs.join(twice, "row_key", "left_semi").withColumns({"id": F.col("row.doc_id"), "text": F.col("row.text")}).dropDuplicates(["id", "text"])
+        again = docs.join(twice, "row_key", "left_semi").withColumn("hash", F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256))
+        again = again.groupBy("row_key", F.col("row.doc_id").alias("id"), F.sha2("row.text", 256).alias("text")).agg(F.min_by("row", "hash").alias("row"))
         docs = docs.join(twice, "row_key", "left_anti").unionByName(again.select("row", "row_key"))
     few = gone.limit(most + 1).count() <= most
     return docs.join(F.broadcast(gone) if few else gone, "row_key", "left_anti").select("row.*")
@@ -71,7 +74,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, most: in
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources take them; a document without words may come or go.
 
-    A null source is a source of its own, a null text has no words. Rows that share a doc_id are taken alike. Any further
+    A null source is a source of its own, a null text has no words. Rows that share a doc_id and its text are taken alike. Any further
     columns stay as they are; an empty table stays empty.
     """
     return mixing.mixed(docs, weights=(3, 1, 2), percent=150, most=2)
