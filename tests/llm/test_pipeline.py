@@ -64,6 +64,16 @@ def test_near_copies_go_by_row(spark):
     assert kept == Counter([(1, words(1)), (2, words(2)), (4, None), (4, "!"), (None, words(1)), (5, words(5)), (6, rows[10][1]), (1, words(7)), (8, words(8, 460))])
 
 
+def test_the_same_one_of_repeated_rows_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, s) for s in ("d", None, "a", "c", "b", "e")] + [(2, "other words", "x"), (2, "other words", "y")]
+    kept = set()
+    for n in (1, 2, 5):
+        docs = spark.createDataFrame(rows[::-1] if n == 2 else rows, "doc_id long, text string, source string").repartition(n)
+        kept.add(tuple(sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()))))
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, lang_rejected boolean, p_toxic double, p_low_quality double, _key string, row_key long, row string, key string, copies int, copy int, _predicted0 int, position long, id long"
 
 
