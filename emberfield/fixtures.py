@@ -193,6 +193,8 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         if name in GIVEN:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if made := self.spark.conf.get(f"emberfield.written.{name}", None):
+            return self.spark.read.parquet(made)
         if name == "fires":
             return self.fires()
         sql = _dialect(TABLES[name], "spark")
@@ -200,6 +202,11 @@ class Tables:
         inner = {n: self[n] for n in [*TABLES, *GIVEN] if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)}
         return self.spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}} AS {m[2]}" if m[2] in inner and not re.match(r"\s+(?:AS\s+)?(?!ON|WHERE|GROUP|JOIN|CROSS|UNION|LEFT|ORDER|INNER)[a-z]\w*", sql[m.end():m.end() + 8]) else f"{m[1]} {{{m[2]}}}" if m[2] in inner else m[0], sql), **inner)
 
+    def write(self, name: str, path: str) -> None:
+        """Writes a derived table; this session reads it from there."""
+        self[name].write.mode("overwrite").parquet(path)
+        self.spark.conf.set(f"emberfield.written.{name}", path)
+
     def fires(self) -> DataFrame:
         """Fires with nested geometry: polygons, their rings, closed lists of vertices."""
         at = lambda c, k: F.col(c) + k[0] * F.col("half") * (F.col("waist") if k[1] else F.lit(1.0))

@@ -88,27 +88,20 @@ def attach_fires(points: DataFrame, fires: DataFrame, max_m: float = 100.0) -> D
     return points.join(best.select("pid", F.col("best.fire_id").alias("near_fire"), F.col("best.dist_m").alias("dist_m")), "pid", "left")
 
 
-def attach_grid_nodes(points: DataFrame, grid: DataFrame, max_m: float = 60.0, everywhere: bool = False) -> DataFrame:
-    """The nearest node of the point's fire, the first on ties; kept within max_m.
+def attach_grid_nodes(points: DataFrame, grid: DataFrame, max_m: float = 60.0) -> DataFrame:
+    """The nearest node of a point's fire within max_m, ties by node order, with its rounded distance.
 
-    points: pid, fire_id, lat, lon. Nodes are looked up in cells of at least max_m and their neighbours. everywhere:
-    report the nearest node of the fire at any distance, by joining on the fire alone.
+    points: pid, fire_id, lat, lon. Nodes are looked up in cells of at least max_m and their neighbours.
     """
     cell = max_m * 2 / geo.METRES_PER_DEGREE
     spot = lambda a, k, d=0: F.floor(F.col(a) / (cell * k)) + d
     nodes = grid.select("fire_id", "node_pos", F.col("e"), F.col("n"), F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), "sev")
-    p = points.select("pid", "fire_id", "lat", "lon")
-    if everywhere:
-        pairs = p.join(nodes, "fire_id")
-    else:
-        around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-        nodes = nodes.withColumn("cy", F.floor(F.col("node_lat") / cell)).withColumn("cx", F.floor(F.col("node_lon") / (cell * 2)))
-        p = p.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("cy", spot("lat", 1) + F.col("dy")).withColumn("cx", spot("lon", 2) + F.col("dx"))
-        pairs = p.join(nodes, ["fire_id", "cx", "cy"])
-    pairs = pairs.withColumn("dist", geo.local_m("lat", "lon", "node_lat", "node_lon"))
-    best = pairs.groupBy("pid").agg(F.min(F.struct("dist", "node_pos", "e", "n", "sev")).alias("b"))
-    if not everywhere:
-        best = best.where(F.col("b.dist") <= max_m)
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    nodes = nodes.withColumn("cy", F.floor(F.col("node_lat") / cell)).withColumn("cx", F.floor(F.col("node_lon") / (cell * 2)))
+    p = points.select("pid", "fire_id", "lat", "lon").withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around))
+    p = p.withColumn("cy", spot("lat", 1) + F.col("dy")).withColumn("cx", spot("lon", 2) + F.col("dx"))
+    pairs = p.join(nodes, ["fire_id", "cx", "cy"]).withColumn("dist", geo.local_m("lat", "lon", "node_lat", "node_lon"))
+    best = pairs.groupBy("pid").agg(F.min(F.struct("dist", "node_pos", "e", "n", "sev")).alias("b")).where(F.col("b.dist") <= max_m)
     return best.select("pid", F.concat(F.lit("E"), F.col("b.e"), F.lit(" N"), F.col("b.n")).alias("grid_id"), geo.half_up(F.col("b.dist")).alias("grid_dist_m"), F.col("b.sev").alias("sev"), F.col("b.e").alias("e"), F.col("b.n").alias("n"))
 
 

@@ -236,6 +236,7 @@ def export_columns(measurements: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     depth = [F.coalesce(text.number(F.get("depths", F.lit(i))), F.lit("")).alias(f"depth_{i + 1}") for i in range(5)]
     mean = mean_depth()
+    # fixed values: the names of the columns and their order
     return measurements.select(
         "uuid", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_iso"), blank(F.col("surveyor")).alias("surveyor"), blank(F.col("fire_id")).alias("fire_id"), blank(F.col("fire_name")).alias("fire_name"),
         F.format_string("%.6f", "lat").alias("lat"), F.format_string("%.6f", "lon").alias("lon"), F.when(F.col("accuracy_m").isNull(), "").otherwise(geo.half_up("accuracy_m").cast("string")).alias("gps_accuracy_m"),
@@ -249,6 +250,7 @@ def backup_columns(measurements: DataFrame) -> DataFrame:
     """The backup's text columns, in order: depths and photo addresses joined, times as ISO text."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
     depths = F.array_join(F.transform("depths", lambda d: F.coalesce(text.number(d), F.lit(""))), "; ").alias("depths")
+    # fixed values: the names of the columns and their order
     return measurements.select(
         "uuid", "status", "lat", "lon", "accuracy_m", mean_depth().alias("depth_mean"), depths, "combustion", "grid_id", "grid_dist_m", "fire_id", "fire_name", "comment", "surveyor",
         "user_email", iso("created_at"), iso("synced_at"), "location_source", F.array_join("photo_urls", "; ").alias("photo_urls"),

@@ -241,10 +241,12 @@ sides AS (SELECT a.fire_id, a.e AS ae, a.n AS an, b.e AS be, b.n AS bn FROM grid
 scan AS (SELECT *, line * 100 + 50 AS y FROM (SELECT *, unnest(range(CAST(ceil((least(an, bn) - 50) / 100) AS BIGINT), CAST(floor((greatest(an, bn) - 50) / 100) AS BIGINT) + 1)) AS line FROM sides) s),
 met AS (SELECT fire_id, y, ae + (y - an) / (bn - an) * (be - ae) AS x FROM scan WHERE (an > y) <> (bn > y)),
 pairs AS (SELECT fire_id, y, x, lead(x) OVER (PARTITION BY fire_id, y ORDER BY x) AS x1, row_number() OVER (PARTITION BY fire_id, y ORDER BY x) AS rn FROM met)
-SELECT DISTINCT fire_id, 100 * unnest(range(CAST(ceil((x - 50) / 100) AS BIGINT), CAST(floor((x1 - 50) / 100) AS BIGINT) + 1)) + 50 AS e, y AS n, FALSE AS fallback FROM pairs WHERE rn % 2 = 1""",
+SELECT DISTINCT fire_id, 100 * unnest(range(CAST(ceil((x - 50) / 100) AS BIGINT), CAST(floor((x1 - 50) / 100) AS BIGINT) + 1)) + 50 AS e, y AS n, FALSE AS fallback, TRUE AS comes_back FROM pairs WHERE rn % 2 = 1""",
 )
 def _(t):
-    return X.sampling_lattice(t["fires"]).select("fire_id", "e", "n", "fallback")
+    # a node's degrees, brought to the grid again, are its own metres: the inverse by a way of its own is compared with to_grid, which the SQL follows
+    nodes = X.sampling_lattice(t["fires"]).withColumn("back", geo.to_grid("lat", "lon"))
+    return nodes.select("fire_id", "e", "n", "fallback", ((F.abs(F.col("back.e") - F.col("e")) < 0.2) & (F.abs(F.col("back.n") - F.col("n")) < 0.2)).alias("comes_back"))
 
 
 def _vertices(fires):

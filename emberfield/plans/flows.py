@@ -97,10 +97,18 @@ def _(t):
 @query("write_severity_pixels", "SELECT fire_id, row, col, CAST(greatest(-32768, least(32767, dnbr)) AS SMALLINT) AS dnbr FROM pixels WHERE fire_id IN (SELECT id FROM fire_base WHERE area_ha >= 50)")
 def _(t):
     path = io.scratch(t.spark, "severity")
-    io.write_severity_pixels(t["pixels"], t["fires"], path)
+    io.write_severity_pixels(t["pixels"], t["fires"], path, buckets=16)
     return t.spark.read.schema("row int, col int, dnbr smallint, fire_id string").parquet(path).select("fire_id", "row", "col", "dnbr")
 
 
+@query("read_fire", "SELECT row, col, CAST(greatest(-32768, least(32767, dnbr)) AS SMALLINT) AS dnbr FROM pixels WHERE fire_id = (SELECT id FROM fire_base WHERE area_ha >= 50 AND id IN (SELECT fire_id FROM pixels) ORDER BY id LIMIT 1)")
+def _(t):
+    path = io.scratch(t.spark, "severity")
+    io.write_severity_pixels(t["pixels"], t["fires"], path, buckets=16)
+    stored = t.spark.read.parquet(path)
+    return io.read_fire(stored, stored.agg(F.min("fire_id")).first()[0], buckets=16).select("row", "col", "dnbr")
+
+
 @query("write_summary_csv", f"SELECT fire_id, count(*) AS n, round(avg(dnbr), 3) AS mean FROM ({BURN}) GROUP BY fire_id")
 def _(t):
     path = io.scratch(t.spark, "summary")

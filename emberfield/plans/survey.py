@@ -225,6 +225,7 @@ def _(t):
     return S.campaigns(t["measurements"], t["fires"]).withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
 
 
+# fixed values: the two patterns of coordinates
 @query(
     "comment_coordinates",
     r"""WITH x AS (SELECT doc_id, lat AS la, lon AS lo, comment, regexp_extract(comment, '(?:^|[^0-9])(-?\d{1,2}\.\d{3,})\s*[,;\s]\s*(-?\d{1,2}\.\d{3,})', ['a', 'b']) AS d,
@@ -314,7 +315,7 @@ def _starts_with(spark, path, names):
 
 @query(
     "export_backup",
-    f"""SELECT uuid, status, lat, lon, accuracy_m, round({Q.MEAN}, 6) AS depth_mean, array_to_string(list_transform(depths, lambda d: coalesce({_number('d')}, '')), '; ') AS depths, combustion, grid_id, grid_dist_m, fire_id, fire_name, comment, surveyor,
+    f"""SELECT uuid, status, lat, lon, accuracy_m, round({Q.MEAN}, 6) AS depth_mean, nullif(array_to_string(list_transform(depths, lambda d: coalesce({_number('d')}, '')), '; '), '') AS depths, combustion, grid_id, grid_dist_m, fire_id, fire_name, comment, nullif(surveyor, '') AS surveyor,
 user_email, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at, strftime(synced_at, '%Y-%m-%dT%H:%M:%S.000Z') AS synced_at, location_source, array_to_string(photo_urls, '; ') AS photo_urls FROM measurements""",
 )
 def _(t):
@@ -323,5 +324,5 @@ def _(t):
     _starts_with(t.spark, f"{path}/csv", ["uuid", "status", "lat"])
     shape = S.backup_columns(t["measurements"])
     back = io.read_export(t.spark, f"{path}/csv", shape.columns)
-    # an empty field is null in the table, but for depths and comments, which are texts
+    # an empty field is read as null, whether the table has null or an empty text
     return back.select(*[(F.round(F.col(c).cast("double"), 6) if c == "depth_mean" else F.col(c).cast(kind)).alias(c) for c, kind in shape.dtypes])

@@ -136,9 +136,34 @@ def severity_pixels(pixels: DataFrame, fires: DataFrame, least_ha: float = 50.0)
     return pixels.join(large, "fire_id", "left_semi").select("fire_id", "row", "col", clipped.alias("dnbr"))
 
 
-def write_severity_pixels(pixels: DataFrame, fires: DataFrame, path: str, least_ha: float = 50.0) -> None:
-    """Partitioned by fire; rows of a fire are dealt to several tasks by their row block, so a large fire is several files."""
-    severity_pixels(pixels, fires, least_ha).repartition("fire_id", F.floor(F.col("row") / 256)).write.mode("overwrite").partitionBy("fire_id").parquet(path)
+def write_by_fire(rows: DataFrame, path: str, buckets: int = 256, spread: int = 4, within: tuple[str, ...] = ()) -> None:
+    """A table of very many fires as a bounded number of files: a folder for each bucket of fires, in it at most `spread` files, sorted by fire.
+
+    A fire's rows go to the `spread` files of its bucket by a hash of the columns `within` (all others, if none), so the largest
+    fire is no single task's work.
+    """
+    bucket = F.pmod(F.xxhash64("fire_id"), F.lit(buckets)).cast("int")
+    part = F.pmod(F.xxhash64(*(within or rows.columns)), F.lit(spread)).cast("int")
+    dealt = rows.withColumn("fire_bucket", bucket).withColumn("part", part).repartition(buckets * spread, "fire_bucket", "part")
+    dealt.sortWithinPartitions("fire_bucket", "fire_id").drop("part").write.mode("overwrite").partitionBy("fire_bucket").parquet(path)
+
+
+def read_fire(table: DataFrame, fire_id: str, buckets: int = 256) -> DataFrame:
+    """One fire of a table of write_by_fire(): only its bucket's folder is read, and there only row groups that may hold it."""
+    bucket = F.pmod(F.xxhash64(F.lit(fire_id)), F.lit(buckets)).cast("int")
+    return table.where((F.col("fire_bucket") == bucket) & (F.col("fire_id") == fire_id)).drop("fire_bucket")
+
+
+def store_fires(fires: DataFrame, path: str, buckets: int = 256) -> None:
+    """S2 for very many fires: write_by_fire() of all with an id, of coinciding file names the last as split_by_fire() has it."""
+    rows = fires.join(split_manifest(fires), "id")
+    write_by_fire(rows.withColumn("fire_id", F.col("id")), path, buckets, 1)
+
+
+def write_severity_pixels(pixels: DataFrame, fires: DataFrame, path: str, least_ha: float = 50.0, buckets: int = 256) -> None:
+    """A table by fire; the rows of a large fire are dealt to several files by row block."""
+    blocks = severity_pixels(pixels, fires, least_ha).withColumn("block", F.floor(F.col("row") / 256))
+    write_by_fire(blocks, path, buckets, within=("fire_id", "block"))
 
 
 def write_summary_csv(summary: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,18 @@ def test_sinks(spark, tmp_path, t):
     assert spark.read.json(str(tmp_path / "stats")).count() == spark.read.option("header", True).csv(str(tmp_path / "summary")).count()
 
 
+def test_one_fire_is_few_files(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("concat('f', id % 500) AS fire_id", "id AS row", "rand(1) AS x").unionByName(spark.range(60_000).selectExpr("'f7' AS fire_id", "id AS row", "rand(2) AS x"))
+    io.write_by_fire(rows, str(tmp_path / "t"), buckets=8, spread=3)
+    files = [p for p in (tmp_path / "t").rglob("*.parquet") if not p.name.startswith(".")]
+    assert len(files) <= 24 and max(p.stat().st_size for p in files) < 0.25 * sum(p.stat().st_size for p in files)
+    one = io.read_fire(spark.read.parquet(str(tmp_path / "t")), "f7", buckets=8)
+    assert one.count() == 60_080
+    assert one.select(F.input_file_name()).distinct().count() <= 3
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(fire_bucket#\d+\), \(fire_bucket#\d+ = \d\)\]", plan) and "PushedFilters: [IsNotNull(fire_id), EqualTo(fire_id,f7)]" in plan
+
+
 def test_exports_have_the_columns_of_the_reference(t):
     field, backup = survey.export_columns(t["measurements"]), survey.backup_columns(t["measurements"])
     assert field.columns == ["uuid", "created_iso", "surveyor", "fire_id", "fire_name", "lat", "lon", "gps_accuracy_m", "manual_placement", *[f"depth_{i}" for i in range(1, 6)], "depth_mean_cm", "depth_n", "combustion", "grid_id", "grid_dist_m", "comment", "photo_url", "photo_count", "status"]
