@@ -10,6 +10,7 @@ after code; those that survive all codes are scored in integers.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,15 @@ def widen(x: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _flips(number: int, size: int) -> np.ndarray:
+    return np.random.default_rng(20 + number).choice([-1.0, 1.0], (2, size))
+
+
 def rotate(x: np.ndarray, number: int) -> np.ndarray:
     """Rows after the rotation of this number."""
     out, size = x.copy(), x.shape[1]
-    for flip in np.random.default_rng(20 + number).choice([-1.0, 1.0], (2, size)):
+    for flip in _flips(number, size):
         out *= flip / np.sqrt(size)
         half = 1
         while half < size:
@@ -68,33 +74,46 @@ def encode(x: np.ndarray, codes: int = CODES) -> tuple[np.ndarray, np.ndarray, n
 class Planes:
     """A rotated query, rounded to 2^PLANES levels, in bit planes; `error` is the norm of what rounding took away."""
 
-    def __init__(self, x: np.ndarray):
-        low, high = x.min(), x.max()
-        step = (high - low) / ((1 << PLANES) - 1) or 1.0
-        level = np.rint((x - low) / step).astype(np.uint8)
-        rounded = low + step * level
-        self.low, self.step, self.sum, self.size = low, step, rounded.sum(), len(x)
-        self.error = float(np.sqrt(((x - rounded) ** 2).sum()))
-        self.planes = [np.packbits((level >> j) & 1, bitorder="little").view("<u8") for j in range(PLANES)]
-
-    def products(self, bits: np.ndarray) -> np.ndarray:
-        """Inner products of the rounded query with unit code vectors, rows of 64-bit words, by popcounts."""
-        total = np.zeros(len(bits))
-        for j, plane in enumerate(self.planes):
-            total += np.bitwise_count(bits & plane).sum(1, dtype=np.int64) * float(1 << j)
-        ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    def __init__(self, low: float, step: float, total: float, error: float, size: int, planes: np.ndarray):
+        self.low, self.step, self.sum, self.error, self.size, self.planes = low, step, total, error, size, planes
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> list[Planes]:
+        """One for each row."""
+        low, high = x.min(1), x.max(1)
+        step = (high - low) / ((1 << PLANES) - 1)
+        step[step == 0] = 1.0
+        level = np.rint((x - low[:, None]) / step[:, None]).astype(np.uint8)
+        rounded = low[:, None] + step[:, None] * level
+        error, total = np.sqrt(((x - rounded) ** 2).sum(1)), rounded.sum(1)
+        planes = np.stack([np.packbits((level >> j) & 1, axis=1, bitorder="little").view("<u8") for j in range(PLANES)], axis=1)
+        return [cls(*row, x.shape[1], bits) for *row, bits in zip(low, step, total, error, planes, strict=True)]
+
+    def products(self, bits: list[np.ndarray]) -> np.ndarray:
+        """Inner products of the rounded query with unit code vectors, given as columns of 64-bit words, by popcounts."""
+        total, ones = np.zeros(len(bits[0]), np.uint32), np.zeros(len(bits[0]), np.uint32)
+        for w, column in enumerate(bits):
+            ones += np.bitwise_count(column)
+            for j, plane in enumerate(self.planes):
+                total += np.bitwise_count(column & plane[w]).astype(np.uint32) << np.uint32(j)
         return (2 * (self.low * ones + self.step * total) - self.sum) / np.sqrt(self.size)
 
 
 class Query:
     """A query of length one under the rotations of all codes, and its length before."""
 
-    def __init__(self, q: np.ndarray, codes: int = CODES):
-        one, norm = unit(q[None])
-        self.norm, x, self.codes = float(norm[0]), widen(one), []
+    def __init__(self, norm: float, codes: list[Planes]):
+        self.norm, self.codes = norm, codes
+
+    @classmethod
+    def of(cls, rows: np.ndarray, codes: int = CODES) -> list[Query]:
+        """One for each row; all are rotated together."""
+        one, norm = unit(rows)
+        x, planes = widen(one), []
         for k in range(codes):
             x = rotate(x, k)
-            self.codes.append(Planes(x[0]))
+            planes.append(Planes.of(x))
+        return [cls(float(n), list(p)) for n, *p in zip(norm, *planes, strict=True)]
 
 
 class Shard:
@@ -105,7 +124,10 @@ class Shard:
         self.ids, self.labels, self.vectors = rows["vec_id"][order], rows["label"][order], rows["v"][order]
         words = rows["codes"][order].view(np.uint64)
         self.aligned, self.left, self.norm = rows["aligned"][order], rows["left"][order], rows["norm"][order]
-        self.bits = words.reshape(len(words), self.aligned.shape[1], -1)
+        # [code][word][row], so that a search reads whole columns
+        self.bits = np.ascontiguousarray(words.reshape(len(words), self.aligned.shape[1], -1).transpose(1, 2, 0))
+        self.aligned, self.left = np.ascontiguousarray(self.aligned.T), np.ascontiguousarray(self.left.T)
+        self.widest = float(np.abs(self.vectors.astype(float)).max(initial=0))
         self.scored = self.met = 0
 
     @classmethod
@@ -121,11 +143,12 @@ class Shard:
         """(rows, lower, upper) after each code; send a mask to go on with a part of the rows."""
         estimate, rounding = np.zeros(len(at)), np.zeros(len(at))
         for k, planes in enumerate(q.codes):
-            c = planes.products(self.bits[at, k])
-            estimate, rounding = estimate + self.aligned[at, k] * c, rounding + self.aligned[at, k] * planes.error
+            c = planes.products([column[at] for column in self.bits[k]])
+            aligned = self.aligned[k][at]
+            estimate, rounding = estimate + aligned * c, rounding + aligned * planes.error
             # the rest lies across its code, so it meets only the query's part across it
             across = np.sqrt(1 - np.clip(np.abs(c) - planes.error, 0, 1) ** 2)
-            reach = self.left[at, k] * across + rounding + 1e-9
+            reach = self.left[k][at] * across + rounding + 1e-9
             scale = self.norm[at] * q.norm
             keep = yield at, scale * (estimate - reach), scale * (estimate + reach)
             at, estimate, rounding = at[keep], estimate[keep], rounding[keep]
@@ -136,35 +159,42 @@ class Shard:
         self.met += len(at)
         steps = self.intervals(q, at)
         at, lower, upper = next(steps)
-        for _ in range(self.bits.shape[1]):
+        for _ in range(len(self.bits)):
             at, lower, upper = steps.send(wanted(lower, upper))
         self.scored += len(at)
         return at
 
-    def positives(self, v: np.ndarray, label: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def positives(self, v: np.ndarray, query: Query, label: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best of the same label."""
 
         def wanted(lower, upper):
             return upper >= (np.partition(lower, -k)[-k] if len(lower) > k else -np.inf)
 
         a, b = np.searchsorted(self.labels, label), np.searchsorted(self.labels, label, "right")
-        at = self.survivors(Query(v), np.arange(a, b), wanted)
-        return self._best(at, products(self.vectors[at], v), k)
+        at = self.survivors(query, np.arange(a, b), wanted)
+        return self._best(at, products(self.vectors[at], v, self.widest), k)
 
-    def negatives(self, v: np.ndarray, label: int, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def negatives(self, v: np.ndarray, query: Query, label: int, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores) of the k best of other labels whose score lies in each window (both ends count)."""
 
+        floors = [low for low, _ in windows]
+
         def wanted(lower, upper):
-            keep = np.zeros(len(lower), bool)
-            for low, high in windows:
-                sure = lower[(lower >= low) & (upper <= high)]
-                floor = max(low, np.partition(sure, -k)[-k]) if len(sure) >= k else low
-                keep |= (upper >= floor) & (lower <= high)
+            for p, (low, high) in enumerate(windows):
+                sure = lower[(lower >= floors[p]) & (upper <= high)]
+                if len(sure) >= k:
+                    floors[p] = max(low, np.partition(sure, -k)[-k])
+            keep = (upper >= min(floors)) & (lower <= max(high for _, high in windows))
+            at = np.flatnonzero(keep)
+            low_, up_, some = lower[at], upper[at], np.zeros(len(at), bool)
+            for floor, (_, high) in zip(floors, windows, strict=True):
+                some |= (up_ >= floor) & (low_ <= high)
+            keep[at] = some
             return keep
 
         a, b = np.searchsorted(self.labels, label), np.searchsorted(self.labels, label, "right")
-        at = self.survivors(Query(v), np.concatenate([np.arange(a), np.arange(b, len(self.ids))]), wanted)
-        score = products(self.vectors[at], v)
+        at = self.survivors(query, np.concatenate([np.arange(a), np.arange(b, len(self.ids))]), wanted)
+        score = products(self.vectors[at], v, self.widest)
         inside = [(score >= low) & (score <= high) for low, high in windows]
         return [self._best(at[i], score[i], k) for i in inside]
 
@@ -209,7 +239,8 @@ def mine(vectors: DataFrame, modulus: int = 100, scale: int = 256, positives: in
 
     def find_positives(shard: dict, asked: dict) -> Iterator[pd.DataFrame]:
         held = Shard.of(shard)
-        got = [held.positives(np.asarray(v, np.int64), y, positives + 1) for v, y in zip(asked["v"], asked["label"], strict=True)]
+        given = np.stack(asked["v"].to_numpy()).astype(np.int64)
+        got = [held.positives(v, q, y, positives + 1) for v, q, y in zip(given, Query.of(given), asked["label"], strict=True)]
         frame = _repeated(asked, key, [len(i) for i, _ in got])
         own = products_own(asked["v"])
         yield frame.assign(own=np.repeat(own, [len(i) for i, _ in got]), vec_id=_joined([i for i, _ in got]), score=_joined([s for _, s in got]))
@@ -222,14 +253,21 @@ def mine(vectors: DataFrame, modulus: int = 100, scale: int = 256, positives: in
 
     def find_negatives(shard: dict, asked: dict) -> Iterator[pd.DataFrame]:
         held = Shard.of(shard)
-        for i, (v, y) in enumerate(zip(asked["v"], asked["label"], strict=True)):
+        given = np.stack(asked["v"].to_numpy()).astype(np.int64)
+        at, place, positive, own, ids, score = [], [], [], [], [], []
+        for i, (v, q, y) in enumerate(zip(given, Query.of(given), asked["label"], strict=True)):
             scores = [int(s) for s in asked["p_score"][i]]
             windows = [(-(-low * s // 100), high * s // 100) for s in scores]
-            got = held.negatives(np.asarray(v, np.int64), y, windows, negatives) if any(a <= b for a, b in windows) else []
-            for p, (ids, score) in enumerate(got):
-                if len(ids):
-                    one = {c: np.repeat(asked[c][i], len(ids)) for c in [*key, "copies"]}
-                    yield pd.DataFrame(one | {"place": p, "positive_id": asked["p_id"][i][p], "positive_score": scores[p], "vec_id": ids, "score": score})
+            got = held.negatives(v, q, y, windows, negatives) if any(a <= b for a, b in windows) else []
+            for p, (found, points) in enumerate(got):
+                at.append(np.full(len(found), i))
+                place.append(np.full(len(found), p))
+                positive.append(np.full(len(found), asked["p_id"][i][p]))
+                own.append(np.full(len(found), scores[p]))
+                ids.append(found)
+                score.append(points)
+        frame = pd.DataFrame({c: asked[c].to_numpy()[_joined(at)] for c in [*key, "copies"]})
+        yield frame.assign(place=_joined(place), positive_id=_joined(positive), positive_score=_joined(own), vec_id=_joined(ids), score=_joined(score))
 
     schema = f"{names}, copies long, place int, positive_id long, positive_score long, vec_id long, score long"
     hard = durable(search_shards(index, lists, find_negatives, schema, shard_bytes))

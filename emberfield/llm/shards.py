@@ -60,7 +60,8 @@ def search_shards(rows: DataFrame, queries: DataFrame, search: Callable, schema:
                 yield from search(shard, asked_here)
 
     # sorted within a shard: its candidates come before the queries
-    dealt = left.union(right).repartition(max(shards, shuffle_partitions(spark)), "n", "shard").sortWithinPartitions("n", "shard", "query")
+    # more partitions than shards, so that few shards share one
+    dealt = left.union(right).repartition(max(4 * shards, shuffle_partitions(spark)), "n", "shard").sortWithinPartitions("n", "shard", "query")
     return dealt.groupBy("n", "shard").applyInPandas(task, schema)
 
 
@@ -80,9 +81,9 @@ def exact_kind(most: float, widest: float, length: int) -> type:
     return np.float64 if largest < 2**52 else np.int64 if largest < 2**62 else object
 
 
-def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in 64-bit integers; what is beyond 64 bits counts as the nearest integer of 64 bits."""
-    kind = exact_kind(_widest(vectors), _widest(q), len(q))
+def products(vectors: np.ndarray, q: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Inner products in 64-bit integers; what is beyond 64 bits counts as the nearest integer of 64 bits. most: the largest component, if known."""
+    kind = exact_kind(_widest(vectors) if most is None else most, _widest(q), len(q))
     out = vectors.astype(kind) @ q.astype(kind) if len(q) else np.zeros(len(vectors), kind)
     if kind is object:
         out = np.clip(out, -WIDEST - 1, WIDEST)

@@ -60,7 +60,7 @@ def test_intervals_hold_and_shrink(length):
     shard = Shard({"vec_id": np.arange(300), "label": np.zeros(300, int), "v": x, "codes": bits.reshape(300, -1).view(np.int64), "aligned": aligned, "left": left, "norm": norm})
     for q in rng.integers(-500, 500, (5, length)):
         score, widths = x @ q, []
-        steps = shard.intervals(Query(q), np.arange(300))
+        steps = shard.intervals(Query.of(q[None])[0], np.arange(300))
         at, lower, upper = next(steps)
         while len(lower):
             assert (lower <= score).all() and (score <= upper).all()
@@ -76,6 +76,6 @@ def test_few_vectors_are_scored():
     bits, aligned, left = encode(widen(one))
     shard = Shard({"vec_id": np.arange(len(x)), "label": np.arange(len(x)) % 10, "v": x, "codes": bits.reshape(len(x), -1).view(np.int64), "aligned": aligned, "left": left, "norm": norm})
     for i in range(0, 2000, 100):
-        ids, score = shard.positives(x[i], i % 10, 6)
+        ids, score = shard.positives(x[i], Query.of(x[i : i + 1])[0], i % 10, 6)
         assert list(score) == sorted(x[np.arange(len(x)) % 10 == i % 10] @ x[i])[::-1][:6]
     assert shard.scored < 0.1 * shard.met
