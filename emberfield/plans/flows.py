@@ -176,3 +176,47 @@ SELECT m.uuid, CASE WHEN m.status = 'pending_review' AND d.uuid IS NOT NULL THEN
 )
 def _(t):
     return W.review_decisions(t["decisions"], t["measurements"], t["admins"]).select("uuid", "status", "reviewed_by")
+
+
+# the streams themselves, over files that arrive a few at a time
+
+
+def _arriving(t, table, name, files=4):
+    """A stream of a table's rows, dealt to files without order, two files a micro-batch."""
+    path = io.scratch(t.spark, name)
+    table.repartition(files).write.parquet(path)
+    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def _finish(writer):
+    running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()  # raises what a batch has raised
+
+
+@query("stream_latest_fix", QUERIES["latest_fix"][1])
+def _(t):
+    out, fixes = io.scratch(t.spark, "last"), t["gps_fixes"]
+    _finish(W.stream_latest_fix(_arriving(t, fixes, "fixes"), out, f"{out}-checkpoint", 8))
+    return keyed.read_keyed(t.spark, out, W.latest_fix(fixes).schema)
+
+
+@query("stream_arrivals", QUERIES["arrivals"][1])
+def _(t):
+    out, fixes, targets = io.scratch(t.spark, "met"), t["gps_fixes"], t["nav_targets"]
+    _finish(W.stream_arrivals(_arriving(t, fixes, "fixes"), lambda: targets, out, f"{out}-checkpoint", buckets=8))
+    return keyed.read_keyed(t.spark, out, W.arrivals(fixes, targets).schema).withColumn("dist_m", F.round("dist_m", 3))
+
+
+@query("stream_decisions", QUERIES["review_decisions"][1])
+def _(t):
+    out, decisions, current, admins = io.scratch(t.spark, "reviews"), t["decisions"], t["measurements"], t["admins"]
+    _finish(W.stream_decisions(_arriving(t, decisions, "decisions"), lambda: current, lambda: admins, out, f"{out}-checkpoint"))
+    log = t.spark.read.schema(decisions.schema).parquet(f"{out}/log")
+    return W.review_decisions(log.select("uuid", "decision", "reviewer", "ts"), current, admins).select("uuid", "status", "reviewed_by")
+
+
+@query("stream_measurements", QUERIES["ingest_measurements"][1])
+def _(t):
+    out, rows = io.scratch(t.spark, "ingested"), submitted(t).withColumn("arrived", F.col("created_at"))
+    _finish(W.stream_measurements(_arriving(t, rows, "arriving"), out, f"{out}-rejected", f"{out}-checkpoint", 8))
+    return keyed.read_keyed(t.spark, out, rows.schema).select("uuid", "status", F.round("lat", 6).alias("lat"))

@@ -61,7 +61,7 @@ def merge_batch(batch: DataFrame, path: str, batch_id: int, key: tuple[str, ...]
     before = _manifest(spark, path, batch_id)
     old = _rows(spark, path, batch.schema, {b: before[b] for b in touched if b in before})
     old = old.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    last = rows.unionByName(old).groupBy("bucket", *key).agg(F.max(F.struct(*order, *rest)).alias("m"))
+    last = rows.unionByName(old).groupBy("bucket", *key).agg(F.max(F.struct(F.lit(0).alias("bucket"), *order, *rest)).alias("m"))
     merged = last.select("bucket", *[F.col("m")[c].alias(c) if c in (*order, *rest) else F.col(c) for c in batch.columns])
     if touched:
         merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={batch_id}")

@@ -94,10 +94,11 @@ def stream_latest_fix(fixes: DataFrame, path: str, checkpoint: str, buckets: int
 
 
 def stream_arrivals(fixes: DataFrame, targets: Callable[[], DataFrame], path: str, checkpoint: str, within_m: float = 5.0, buckets: int = 64):
-    """T3 as a stream: arrivals are merged by device, fix and node into the keyed table at `path`. Targets are asked for in each batch."""
+    """T3 as a stream: arrivals are merged by all their columns into the keyed table at `path`, so a replay gives no double. Targets are asked
+    for in each batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(arrivals(batch, targets(), within_m), path, batch_id, ("device", "seq", "node_id"), ("dist_m",), buckets)
+        merge_batch(arrivals(batch, targets(), within_m), path, batch_id, ("device", "seq", "node_id", "dist_m"), (), buckets)
 
     return fixes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
 
