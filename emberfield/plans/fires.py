@@ -249,6 +249,28 @@ def _(t):
     return nodes.select("fire_id", "e", "n", "fallback", ((F.abs(F.col("back.e") - F.col("e")) < 0.2) & (F.abs(F.col("back.n") - F.col("n")) < 0.2)).alias("comes_back"))
 
 
+@query(
+    "sampling_fallback",
+    # fires a fortieth as wide: many lie between the nodes
+    f"""WITH shrunk AS (SELECT fire_id, poly, ring, k, lon0 + (ax - lon0) / 40 AS ax, lat0 + (ay - lat0) / 40 AS ay FROM edges JOIN fire_base ON id = fire_id), {ON_GRID.replace("FROM edges", "FROM shrunk")},
+sides AS (SELECT a.fire_id, a.e AS ae, a.n AS an, b.e AS be, b.n AS bn FROM gridded a JOIN gridded b ON b.fire_id = a.fire_id AND b.poly = a.poly AND b.ring = a.ring AND b.k = (a.k + 1) % 8),
+scan AS (SELECT *, line * 100 + 50 AS y FROM (SELECT *, unnest(range(CAST(ceil((least(an, bn) - 50) / 100) AS BIGINT), CAST(floor((greatest(an, bn) - 50) / 100) AS BIGINT) + 1)) AS line FROM sides) s),
+met AS (SELECT fire_id, y, ae + (y - an) / (bn - an) * (be - ae) AS x FROM scan WHERE (an > y) <> (bn > y)),
+pairs AS (SELECT fire_id, y, x, lead(x) OVER (PARTITION BY fire_id, y ORDER BY x) AS x1, row_number() OVER (PARTITION BY fire_id, y ORDER BY x) AS rn FROM met),
+nodes AS (SELECT DISTINCT fire_id, 100 * unnest(range(CAST(ceil((x - 50) / 100) AS BIGINT), CAST(floor((x1 - 50) / 100) AS BIGINT) + 1)) + 50 AS e, y AS n FROM pairs WHERE rn % 2 = 1),
+middle AS (SELECT fire_id, (min(n) + max(n)) / 2 AS y FROM gridded WHERE fire_id NOT IN (SELECT fire_id FROM nodes) GROUP BY fire_id),
+across AS (SELECT s.fire_id, m.y, s.ae + (m.y - s.an) / (s.bn - s.an) * (s.be - s.ae) AS x FROM sides s JOIN middle m USING (fire_id) WHERE (s.an > m.y) <> (s.bn > m.y)),
+spans AS (SELECT fire_id, y, x, lead(x) OVER (PARTITION BY fire_id ORDER BY x) AS x1, row_number() OVER (PARTITION BY fire_id ORDER BY x) AS rn FROM across),
+widest AS (SELECT fire_id, max((x1 - x, x, x1, y)) AS s FROM spans WHERE rn % 2 = 1 GROUP BY fire_id)
+SELECT fire_id, CAST(e AS BIGINT) AS e, CAST(n AS BIGINT) AS n, FALSE AS fallback FROM nodes UNION ALL SELECT fire_id, CAST(floor((s[2] + s[3]) / 2 + 0.5) AS BIGINT), CAST(floor(s[4] + 0.5) AS BIGINT), TRUE FROM widest""",
+)
+def _(t):
+    centre = t["fire_base"].select("id", "lon0", "lat0")
+    nearer = lambda v: F.struct((F.col("lon0") + (v["lon"] - F.col("lon0")) / 40).alias("lon"), (F.col("lat0") + (v["lat"] - F.col("lat0")) / 40).alias("lat"))
+    small = t["fires"].join(centre, "id").withColumn("geom", F.transform("geom", lambda poly: F.transform(poly, lambda ring: F.transform(ring, nearer))))
+    return X.sampling_lattice(small).select("fire_id", "e", "n", "fallback")
+
+
 def _vertices(fires):
     """A row a vertex."""
     rings = fires.select(F.col("id").alias("fire_id"), F.posexplode("geom").alias("poly", "rings")).select("fire_id", "poly", F.posexplode("rings").alias("ring", "points"))
