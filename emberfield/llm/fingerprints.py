@@ -98,7 +98,8 @@ def fingerprints(docs: DataFrame, bucket_chars: int = 128_000_000) -> DataFrame:
 
     docs: doc_id and text; other columns are ignored. The next document is the next in ascending
     (doc_id, text), after the last the first; a null doc_id comes first, a null text is empty. With
-    one row, the next document is the row itself; repeated rows follow each other. An empty table gives an empty table.
+    one row, the next document is the row itself; repeated rows follow each other. An empty table gives an empty table. A very long text is
+    one row's work: its word pairs are one sorted array, some ten times its bytes, in one task.
     The table is cut into ranges of doc_id, whose bounds the driver holds as Spark's own range partitioning would; the rows
     at the start of a range are also read at the end of the range before, so neighbours meet in one shuffle. Rows that
     share a doc_id are sorted in one task.

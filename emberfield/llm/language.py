@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .common import durable, join_small
+from .common import durable, forget, join_small
 from .letters import gram_counts
 
 ANY_LETTER = regex.compile(r"\p{L}")
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, per_language: int = 800, dims: int = 2048, clusters: in
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "lang": pdf["lang"].to_numpy()[a:b], "data": [x.tobytes() for x in found]})
 
     rows = picked.mapInPandas(features, "doc_id long, lang string, data binary").toPandas()
+    forget(found)
     if not len(rows):
         return None
     rows = rows.sort_values(["lang", "doc_id", "data"])  # the same model whatever order tasks end in
