@@ -42,16 +42,17 @@ def pixel_centres(pixels: DataFrame, raster: DataFrame) -> DataFrame:
 def clip_to_perimeter(pixels: DataFrame, raster: DataFrame, fires: DataFrame) -> DataFrame:
     """Pixels whose centre lies in their own fire. A fire without perimeter passes whole, with cut = false.
 
-    Adds inside (true, or null if not cut) and cut. Joined by fire and lattice row: an edge meets only the rows it spans.
+    Adds inside (true, or null if not cut) and cut. Joined by fire and lattice row: an edge meets only the rows it spans, whose latitudes
+    follow from the raster alone, so pixels are read once.
     """
     centred = pixel_centres(pixels, raster)
     rings = edges(fires)
-    lines = centred.select("fire_id", "row", "lat").distinct()
     # the rows that an edge spans by its ends' latitudes, and one more on either side; the latitudes then decide
     row = lambda lat: (geo.mercator_y(lat) - F.col("y0")) / F.col("py") - 0.5
     spans = rings.join(raster.select("fire_id", "y0", "py"), "fire_id").withColumn("from", F.floor(F.least(row("ay"), row("by"))) - 1).withColumn("to", F.ceil(F.greatest(row("ay"), row("by"))) + 1)
-    spans = spans.withColumn("row", F.explode(F.sequence("from", "to"))).select("fire_id", F.col("row").cast("int").alias("row"), "ax", "ay", "bx", "by")
-    hit = lines.join(spans, ["fire_id", "row"]).where((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat")))
+    spans = spans.withColumn("row", F.explode(F.sequence(F.col("from").cast("int"), F.col("to").cast("int"))))
+    spans = spans.withColumn("lat", geo.inverse_mercator_lat(F.col("y0") + (F.col("row") + 0.5) * F.col("py")))
+    hit = spans.where((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat")))
     at = (F.col("ax") - F.col("bx")) * (F.col("lat") - F.col("by")) / (F.col("ay") - F.col("by")) + F.col("bx")
     hit = hit.groupBy("fire_id", "row").agg(F.sort_array(F.collect_list(at)).alias("xs"))
     known = rings.select("fire_id", F.lit(True).alias("known")).distinct()
