@@ -67,7 +67,8 @@ def _measured(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
     pairs = _candidates(points, fires, pad_m).withColumn("band", band(F.col("lat"))).join(dealt, ["fire_id", "band"])
     ring = pairs.groupBy("pid", "fire_id", "index_pos", "poly", "ring").agg((F.count_if(geo.crosses("lon", "lat")) % 2).alias("odd"), F.min(geo.edge_m("lat", "lon")).alias("d"))
     outer = F.max(F.when(F.col("ring") == 0, F.col("odd")))
-    poly = ring.groupBy("pid", "fire_id", "index_pos", "poly").agg((F.coalesce(outer, F.lit(0)) - F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd"))), F.lit(0))).alias("inside"), F.min("d").alias("d"))
+    # a point's few rings go to one task, which serves what follows up to the choice of its fire
+    poly = ring.repartition("pid").groupBy("pid", "fire_id", "index_pos", "poly").agg((F.coalesce(outer, F.lit(0)) - F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd"))), F.lit(0))).alias("inside"), F.min("d").alias("d"))
     return poly.groupBy("pid", "fire_id", "index_pos").agg((F.max("inside") == 1).alias("inside"), F.min("d").alias("dist_m"))
 
 
