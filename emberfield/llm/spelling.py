@@ -170,9 +170,11 @@ def spelling_variants(docs: DataFrame, entries: int = 100_000, ratio: int = 2, e
     `ratio` (at least 2) times the word's; else null. root follows forms to the last and is the word itself if it has none. No words: an empty table.
     """
     words = durable(corpus_words(docs, edit_modulus))
-    best = near_words(words, entries).groupBy("word").agg(F.count("*").alias("n_near"), F.max("n").alias("own_n"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("b"))
+    near = near_words(words, entries)
+    best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.max("n").alias("own_n"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("b"))
     ok = -F.col("b.minus") >= ratio * F.col("own_n")
     chosen = durable(best.select("word", "n_near", F.when(ok, F.col("b.other")).alias("form"), F.when(ok, -F.col("b.minus")).alias("form_n")))
+    forget(near)
     ends = roots(chosen.where("form IS NOT NULL"))
     out = words.join(chosen, "word", "left").join(ends, "word", "left")
     return out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))
