@@ -11,6 +11,8 @@ from ..functions.storage import written
 ZOOM = 12
 #: Degrees of latitude in a band of edges, some 200 m.
 BAND = 0.002
+#: Tiles in which views meet fires.
+VIEW_ZOOM = 8
 
 
 def edges(fires: DataFrame) -> DataFrame:
@@ -22,11 +24,11 @@ def edges(fires: DataFrame) -> DataFrame:
     return out.select("fire_id", "index_pos", "poly", "ring", F.col("edge.a.lon").alias("ax"), F.col("edge.a.lat").alias("ay"), F.col("edge.b.lon").alias("bx"), F.col("edge.b.lat").alias("by"))
 
 
-def bounding_boxes(fires: DataFrame) -> DataFrame:
-    """A10: id, w, s, e, n over all vertices; null without vertices."""
+def bounding_boxes(fires: DataFrame, *others: str) -> DataFrame:
+    """A10: id, w, s, e, n over all vertices, and other columns as they are; null without vertices."""
     points = F.flatten(F.flatten("geom"))
     part = lambda f, k: f(F.transform(points, lambda v: v[k]))
-    return fires.select("id", part(F.array_min, "lon").alias("w"), part(F.array_min, "lat").alias("s"), part(F.array_max, "lon").alias("e"), part(F.array_max, "lat").alias("n"))
+    return fires.select("id", *others, part(F.array_min, "lon").alias("w"), part(F.array_min, "lat").alias("s"), part(F.array_max, "lon").alias("e"), part(F.array_max, "lat").alias("n"))
 
 
 def representative_points(fires: DataFrame) -> DataFrame:
@@ -206,16 +208,24 @@ def viewport_overlays(views: DataFrame, fires: DataFrame, most: int = 60, pad: f
     views: session, seq, zoom, w, s, e, n. Below least_zoom a view drops everything. Else overlays stay while they meet the view
     grown by `pad` of its size on each side; then fires that meet the view join in index order: with `refill` until there are `most`, else
     those of the first `most` that are not shown yet. A fold over a session's views in order, with its overlays as the state;
-    a view brings no more candidates than can matter, as of twice `most` at least `most` are new.
+    a view brings no more candidates than can matter, as of twice `most` at least `most` are new. Candidates are found once for
+    each box that views ask for; a box and a fire meet in the first tile that both touch, so no pair is found twice.
     """
     import pandas as pd
 
-    boxes = _cells(bounding_boxes(fires).where("w IS NOT NULL").join(fires.select("id", "index_pos"), "id"), "w", "s", "e", "n", 6)
-    seen = _cells(views.select("session", "seq", *[F.col(x).alias("v" + x) for x in "wsen"]), "vw", "vs", "ve", "vn", 6)
-    met = seen.join(boxes, ["cx", "cy"]).where("w <= ve AND e >= vw AND s <= vn AND n >= vs").select("session", "seq", "id", "index_pos", "w", "s", "e", "n").distinct()
-    first = met.withColumn("rank", F.row_number().over(Window.partitionBy("session", "seq").orderBy("index_pos"))).where(F.col("rank") <= 2 * most)
-    lists = first.groupBy("session", "seq").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "id", "w", "s", "e", "n")))).alias("candidates"))
-    ordered = views.join(lists, ["session", "seq"], "left").select("session", "seq", "zoom", *"wsen", "candidates").repartition("session").sortWithinPartitions("session", "seq")
+    x0, y0 = geo.tile_x("w", VIEW_ZOOM), geo.tile_y("n", VIEW_ZOOM)
+    dealt = lambda df: _cells(df.withColumn("x0", x0).withColumn("y0", y0), "w", "s", "e", "n", VIEW_ZOOM)
+    # boxes are written, so that their arrays of vertices are not searched again for every view
+    boxes = written(bounding_boxes(fires, "index_pos").where("w IS NOT NULL"), "boxes")
+    asked = views.where(F.col("zoom") >= least_zoom).select(*"wsen").distinct()
+    asked = dealt(asked).select(*[F.col(x).alias("v" + x) for x in "wsen"], F.col("x0").alias("vx0"), F.col("y0").alias("vy0"), "cx", "cy")
+    met = asked.join(dealt(boxes), ["cx", "cy"]).where("w <= ve AND e >= vw AND s <= vn AND n >= vs AND cx = greatest(x0, vx0) AND cy = greatest(y0, vy0)")
+    view = ["vw", "vs", "ve", "vn"]
+    first = met.withColumn("rank", F.row_number().over(Window.partitionBy(*view).orderBy("index_pos"))).where(F.col("rank") <= (2 * most if refill else most))
+    lists = first.groupBy(*view).agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "id", "w", "s", "e", "n")))).alias("candidates"))
+    ordered = views.join(lists, [F.col(x) == F.col("v" + x) for x in "wsen"], "left").select("session", "seq", "zoom", *"wsen", "candidates")
+    tasks = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ordered.repartition(tasks, "session").sortWithinPartitions("session", "seq")
 
     def step(shown: dict, v, candidates: list[dict]) -> dict:
         if v.zoom < least_zoom:
@@ -232,15 +242,17 @@ def viewport_overlays(views: DataFrame, fires: DataFrame, most: int = 60, pad: f
         return shown
 
     def task(batches):
+        import functools
         import json
 
+        read = functools.lru_cache(1024)(json.loads)
         session, shown = None, {}
         for pdf in batches:
             out = []
             for v in pdf.itertuples():
                 if v.session != session:
                     session, shown = v.session, {}
-                shown = step(shown, v, json.loads(v.candidates) if v.candidates else [])
+                shown = step(shown, v, read(v.candidates) if v.candidates else [])
                 out += [(v.session, v.seq, i, at) for at, i in enumerate(shown, 1)]
             yield pd.DataFrame(out, columns=["session", "seq", "fire_id", "place"])
 

@@ -266,3 +266,22 @@ def test_overlays_keep_what_is_near(spark):
 
     assert shown(most=4) == {(1, 0): [0, 1, 2, 3], (1, 1): [1, 2, 3, 5], (1, 2): [5, 6], (1, 4): [5, 6], (2, 0): [11]}
     assert shown(most=2, pad=0.5, refill=False) == {(1, 0): [0, 1], (1, 1): [5, 6], (1, 2): [5, 6], (1, 4): [5, 6], (2, 0): [11]}
+
+
+def test_views_of_one_box_meet_fires_once(spark):
+    """Candidates grow with the boxes that are looked at, not with the views."""
+    import re
+
+    fires = spark.createDataFrame([(i, f"f{i}", [[square(i % 7, 50.0, 0.1)]]) for i in range(30)], FIRE)
+    views = [(k % 3, k // 3, 8 + k % 9, float(k % 5), 49.5, k % 5 + 2.0, 50.5) for k in range(300)]
+    got = spatial.viewport_overlays(spark.createDataFrame(views, "session int, seq int, zoom int, w double, s double, e double, n double"), fires, 4, pad=0.5, refill=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[w#\d+, s#\d+, e#\d+, n#\d+\]", plan)
+    shown, want = {}, set()
+    for session, seq, zoom, w, s, e, n in sorted(views):
+        old = {} if zoom < 9 or not seq else shown[session]
+        old = {i: x for i, x in old.items() if x <= e + (e - w) * 0.5 and x + 0.1 >= w - (e - w) * 0.5}
+        met = [(f"f{i}", i % 7) for i in range(30) if w <= i % 7 + 0.1 and e >= i % 7 - 0.1][:4] if zoom >= 9 else []
+        shown[session] = old | {i: x for i, x in met if i not in old}
+        want |= {(session, seq, i, at) for at, i in enumerate(shown[session], 1)}
+    assert set(map(tuple, got.collect())) == want
