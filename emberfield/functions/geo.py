@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values
@@ -205,3 +205,71 @@ def from_grid(e, n) -> Column:
         return let(lambda g: F.struct(F.degrees(g["lat"]).alias("lat"), F.degrees(g["lon"]).alias("lon")), back)
 
     return let(lambda phi, d: let(unproject, phi, d, *_radii(phi), F.tan(phi)), phi, e - E0)
+
+
+# The same projections step by step over a table. Spark compiles these; `let` above is interpreted, which matters for many rows.
+
+
+def _steps(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    for step in steps:
+        df = df.select(*[c for c in df.columns if c not in step], *[v.alias(k) for k, v in step.items()])
+    return df
+
+
+def _closed(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows; filters on these columns stay behind their steps, as one that is pushed before them repeats each step for every use."""
+    out = F.inline(F.array(F.struct(*columns)))
+    return df.select(*[c for c in df.columns if c not in columns], out.alias(*columns))
+
+
+def _shift_steps(lat: str, lon: str, a0: float, b0: float, a1: float, b1: float, sign: int) -> list[dict[str, Column]]:
+    """Steps that replace the radians in two columns by those on another ellipsoid."""
+    tx, ty, tz, s, rx, ry, rz = (sign * x for x in SHIFT)
+    rx, ry, rz = (x / 3600 * PI / 180 for x in (rx, ry, rz))
+    e0, e1 = 1 - (b0 / a0) ** 2, 1 - (b1 / a1) ** 2
+    ep = (a1 / b1) ** 2 - 1
+    x, y, z, p, t, nu = map(F.col, ("_x", "_y", "_z", "_p", "_t", "_nu"))
+    return [
+        {"_nu": a0 / F.sqrt(1 - e0 * F.sin(lat) * F.sin(lat))},
+        {"_x": nu * F.cos(lat) * F.cos(lon), "_y": nu * F.cos(lat) * F.sin(lon), "_z": nu * (1 - e0) * F.sin(lat)},
+        {"_x": tx + (1 + s) * x - rz * y + ry * z, "_y": ty + rz * x + (1 + s) * y - rx * z, "_z": tz - ry * x + rx * y + (1 + s) * z},
+        {"_p": F.sqrt(x * x + y * y)},
+        {"_t": F.atan2(z * a1, p * b1)},
+        {lat: F.atan2(z + ep * b1 * F.pow(F.sin(t), F.lit(3.0)), p - e1 * a1 * F.pow(F.cos(t), F.lit(3.0))), lon: F.atan2(y, x)},
+    ]
+
+
+def with_grid(df: DataFrame, lat: str, lon: str, e: str, n: str) -> DataFrame:
+    """Adds the columns e and n, as to_grid() has them."""
+    phi, d, nu, rho, t2, eta, s, co, d2 = map(F.col, ("_lat", "_d", "_nu", "_rho", "_t2", "_eta", "_s", "_co", "_d2"))
+    r = _radii(phi)
+    north = F.col("_arc") + N0 + d2 * nu * s * co * (0.5 + d2 * co * co * ((5 - t2 + 9 * eta) / 24 + d2 * co * co * (61 - 58 * t2 + t2 * t2) / 720))
+    east = E0 + d * nu * co * (1 + d2 * co * co * ((nu / rho - t2) / 6 + d2 * co * co * (5 - 18 * t2 + t2 * t2 + 14 * eta - 58 * t2 * eta) / 120))
+    out = _steps(
+        df.select("*", F.radians(lat).alias("_lat"), F.radians(lon).alias("_lon")),
+        *_shift_steps("_lat", "_lon", WGS_A, WGS_B, AIRY_A, AIRY_B, 1),
+        {"_d": F.col("_lon") - LON0 * PI / 180, "_nu": r[0], "_rho": r[1], "_t2": F.pow(F.tan(phi), F.lit(2.0)), "_arc": _arc(phi), "_s": F.sin(phi), "_co": F.cos(phi)},
+        {"_eta": nu / rho - 1, "_d2": d * d},
+        {e: east, n: north},
+    )
+    return _closed(out.select(*[c for c in df.columns if c not in (e, n)], e, n), e, n)
+
+
+def with_degrees(df: DataFrame, e: str, n: str, lat: str, lon: str) -> DataFrame:
+    """Adds the columns lat and lon, as from_grid() has them."""
+    phi, d, nu, rho, t, eta, t2, co, d2 = map(F.col, ("_lat", "_d", "_nu", "_rho", "_t", "_eta", "_t2", "_co", "_d2"))
+    north = F.col(n).cast("double")
+    r = _radii(phi)
+    out = _steps(
+        df.select("*", (F.col(e).cast("double") - E0).alias("_d"), (LAT0 * PI / 180 + (north - N0) / (AIRY_A * SCALE)).alias("_lat")),
+        *[{"_lat": phi + (north - N0 - _arc(phi)) / (AIRY_A * SCALE)} for _ in range(4)],
+        {"_nu": r[0], "_rho": r[1], "_t": F.tan(phi), "_co": F.cos(phi), "_lat": phi},
+        {"_eta": nu / rho - 1, "_t2": t * t, "_d2": d * d / (nu * nu)},
+        {
+            "_lat": phi - d2 * t * nu / rho * (0.5 - d2 * ((5 + 3 * t2 + eta - 9 * t2 * eta) / 24 - d2 * (61 + 90 * t2 + 45 * t2 * t2) / 720)),
+            "_lon": LON0 * PI / 180 + d / nu / co * (1 - d2 * ((nu / rho + 2 * t2) / 6 - d2 * (5 + 28 * t2 + 24 * t2 * t2) / 120)),
+        },
+        *_shift_steps("_lat", "_lon", AIRY_A, AIRY_B, WGS_A, WGS_B, -1),
+        {lat: F.degrees("_lat"), lon: F.degrees("_lon")},
+    )
+    return _closed(out.select(*[c for c in df.columns if c not in (lat, lon)], lat, lon), lat, lon)

@@ -116,8 +116,8 @@ def sampling_lattice(fires: DataFrame, spacing: int = 100) -> DataFrame:
     one at the middle of its widest interior interval on the middle row (fallback true).
     """
     half = spacing // 2
-    grid = edges(fires).withColumn("a", geo.to_grid("ay", "ax")).withColumn("b", geo.to_grid("by", "bx"))
-    grid = grid.select("fire_id", F.col("a.e").alias("ae"), F.col("a.n").alias("an"), F.col("b.e").alias("be"), F.col("b.n").alias("bn"))
+    grid = geo.with_grid(geo.with_grid(edges(fires).select("fire_id", "ax", "ay", "bx", "by"), "ay", "ax", "ae", "an"), "by", "bx", "be", "bn")
+    grid = written(grid.select("fire_id", "ae", "an", "be", "bn"), "sides")
 
     def intervals(lines: DataFrame, keys: list[str]) -> DataFrame:
         at = F.col("ae") + (F.col("y") - F.col("an")) / (F.col("bn") - F.col("an")) * (F.col("be") - F.col("ae"))
@@ -129,14 +129,17 @@ def sampling_lattice(fires: DataFrame, spacing: int = 100) -> DataFrame:
     high = F.floor((F.greatest("an", "bn") - half) / spacing).cast("bigint")
     rows = grid.where(low <= high).withColumn("line", F.explode(F.sequence(low, high))).withColumn("y", F.col("line") * spacing + half)
     first, last = F.ceil((F.col("from") - half) / spacing).cast("bigint"), F.floor((F.col("to") - half) / spacing).cast("bigint")
-    nodes = intervals(rows, ["fire_id"]).where(first <= last).select("fire_id", F.explode(F.sequence(first, last)).alias("k"), F.col("y").alias("n")).select("fire_id", (F.col("k") * spacing + half).alias("e"), "n").distinct()
-    nodes = nodes.withColumn("fallback", F.lit(False))
+    # spans of a row follow one another, so where two share a node the later one begins behind it
+    before = F.lag(last).over(Window.partitionBy("fire_id", "y").orderBy("from", "to"))
+    spans = intervals(rows, ["fire_id"]).select("fire_id", "y", F.greatest(first, before + 1).alias("first"), last.alias("last")).where("first <= last")
+    spans = written(spans, "spans")
+    nodes = spans.select("fire_id", F.explode(F.sequence("first", "last")).alias("k"), F.col("y").alias("n")).select("fire_id", (F.col("k") * spacing + half).alias("e"), "n", F.lit(False).alias("fallback"))
     middle = grid.groupBy("fire_id").agg(((F.min("an") + F.max("an")) / 2).alias("y"))
-    bare = grid.join(nodes.select("fire_id").distinct(), "fire_id", "left_anti").join(middle, "fire_id")
+    bare = grid.join(spans.select("fire_id").distinct(), "fire_id", "left_anti").join(middle, "fire_id")
     widest = intervals(bare, ["fire_id"]).groupBy("fire_id").agg(F.max(F.struct((F.col("to") - F.col("from")).alias("width"), "from", "to", "y")).alias("s"))
     single = widest.select("fire_id", geo.half_up((F.col("s.from") + F.col("s.to")) / 2).cast("bigint").alias("e"), geo.half_up(F.col("s.y")).cast("bigint").alias("n"), F.lit(True).alias("fallback"))
-    out = nodes.unionByName(single).withColumn("p", geo.from_grid("e", "n"))
-    return out.select("fire_id", "e", "n", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), "fallback")
+    out = geo.with_degrees(nodes.unionByName(single), "e", "n", "lat", "lon")
+    return out.select("fire_id", "e", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "fallback")
 
 
 #: Edge of the cells of the sphere's unit cube at each level; the first holds the sphere.

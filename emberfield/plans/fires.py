@@ -245,8 +245,8 @@ SELECT DISTINCT fire_id, 100 * unnest(range(CAST(ceil((x - 50) / 100) AS BIGINT)
 )
 def _(t):
     # a node's degrees, brought to the grid again, are its own metres: the inverse by a way of its own is compared with to_grid, which the SQL follows
-    nodes = X.sampling_lattice(t["fires"]).withColumn("back", geo.to_grid("lat", "lon"))
-    return nodes.select("fire_id", "e", "n", "fallback", ((F.abs(F.col("back.e") - F.col("e")) < 0.2) & (F.abs(F.col("back.n") - F.col("n")) < 0.2)).alias("comes_back"))
+    nodes = geo.with_grid(X.sampling_lattice(t["fires"]), "lat", "lon", "back_e", "back_n")
+    return nodes.select("fire_id", "e", "n", "fallback", ((F.abs(F.col("back_e") - F.col("e")) < 0.2) & (F.abs(F.col("back_n") - F.col("n")) < 0.2)).alias("comes_back"))
 
 
 @query(
