@@ -303,3 +303,17 @@ def test_nodes_of_a_lattice_are_not_compared(spark):
     found = [(r["e"], r["n"]) for r in nodes.collect()]
     assert len(found) == len(set(found)) > 1000
     assert "Aggregate [fire_id" not in nodes.where("NOT fallback")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scenes_and_fires_meet_in_cells_of_days(spark):
+    """Fires all over a country and a month share no few large cells: a pair that meets is among few that are compared."""
+    import datetime
+
+    day = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k)
+    fires = [(f"f{i}", day(i % 30), day(i % 30), i % 20 / 2 - 6.0, 50 + i // 20 / 2, i % 20 / 2 - 5.9, 50.1 + i // 20 / 2) for i in range(400)]
+    scenes = [(f"s{i}", day(i % 30), i % 20 / 2 - 6.05, 49.95 + i // 20 / 2, i % 20 / 2 - 5.85, 50.15 + i // 20 / 2) for i in range(400)]
+    box = "w double, s double, e double, n double"
+    got = raster.scenes_of_fires(spark.createDataFrame(scenes, f"scene_id string, scene_ts timestamp_ntz, {box}"), spark.createDataFrame(fires, f"id string, firedate timestamp_ntz, finaldate timestamp_ntz, {box}"), 8, 8, 1)
+    want = {(s[0], f[0], p) for s in scenes for f in fires for p, a, b in (("pre", f[1] - datetime.timedelta(8), f[1] - datetime.timedelta(1)), ("post", f[2] + datetime.timedelta(1), f[2] + datetime.timedelta(8))) if a <= s[1] < b and s[2] <= f[5] and s[4] >= f[3] and s[3] <= f[6] and s[5] >= f[4]}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [cx#") == 2
