@@ -11,6 +11,8 @@ from ..functions.storage import written
 ZOOM = 12
 #: Degrees of latitude in a band of edges, some 200 m.
 BAND = 0.002
+#: Degrees of the squares in which points meet fires, and the number of fires that are tried as holders of a square.
+SQUARE, TRIED = 0.01, 8
 #: Tiles in which views meet fires.
 VIEW_ZOOM = 8
 
@@ -45,38 +47,60 @@ def _cells(df: DataFrame, w, s, e, n, zoom: int = ZOOM) -> DataFrame:
     return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def _candidates(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
-    """Points (pid, lat, lon) with each fire whose padded box holds them: an equi-join on tiles, then the box."""
-    dlat = pad_m / geo.METRES_PER_DEGREE
-    # the widest degree of longitude in the padded box is that of its northern edge
-    dlon = dlat / F.cos(F.radians(F.greatest(F.abs(F.col("s")), F.abs(F.col("n"))) + dlat))
-    boxes = bounding_boxes(fires).where("w IS NOT NULL").select(F.col("id").alias("fire_id"), (F.col("w") - dlon).alias("w"), (F.col("s") - dlat).alias("s"), (F.col("e") + dlon).alias("e"), (F.col("n") + dlat).alias("n"))
-    boxes = _cells(boxes, "w", "s", "e", "n")
-    placed = points.withColumn("cx", geo.tile_x("lon", ZOOM)).withColumn("cy", geo.tile_y("lat", ZOOM))
-    return placed.join(boxes, ["cx", "cy"]).where("lat BETWEEN s AND n AND lon BETWEEN w AND e").select("pid", "lat", "lon", "fire_id")
+def _square(lat: str, lon: str) -> tuple[Column, Column]:
+    return F.floor(F.col(lon) / SQUARE).alias("cx"), F.floor(F.col(lat) / SQUARE).alias("cy")
 
 
-def _measured(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
-    """pid, fire_id, index_pos, inside, dist_m for candidate pairs; dist_m is null or too large beyond pad_m.
+def _measured(pairs: DataFrame, sides: DataFrame, pad_m: float) -> DataFrame:
+    """pid, fire_id, index_pos, inside, dist_m for pairs (pid, lat, lon, fire_id); dist_m is null or too large beyond pad_m.
 
     Edges are rows, dealt into bands of latitude that they span or come near. A point meets the edges of its own band only:
-    those that decide parity cross its latitude, and those within pad_m are near it.
+    those that decide parity cross its latitude, and those within pad_m are near it. A pair keeps its fire and band, so it is shuffled once.
     """
     dlat = pad_m / geo.METRES_PER_DEGREE
     band = lambda lat: F.floor(lat / BAND)
     low, high = band(F.least("ay", "by") - dlat), band(F.greatest("ay", "by") + dlat)
-    dealt = edges(fires).withColumn("band", F.explode(F.sequence(low, high)))
-    pairs = _candidates(points, fires, pad_m).withColumn("band", band(F.col("lat"))).join(dealt, ["fire_id", "band"])
-    ring = pairs.groupBy("pid", "fire_id", "index_pos", "poly", "ring").agg((F.count_if(geo.crosses("lon", "lat")) % 2).alias("odd"), F.min(geo.edge_m("lat", "lon")).alias("d"))
+    dealt = sides.withColumn("band", F.explode(F.sequence(low, high)))
+    met = pairs.withColumn("band", band(F.col("lat"))).join(dealt, ["fire_id", "band"])
+    one = ["fire_id", "band", "pid", "index_pos"]
+    ring = met.groupBy(*one, "poly", "ring").agg((F.count_if(geo.crosses("lon", "lat")) % 2).alias("odd"), F.min(geo.edge_m("lat", "lon")).alias("d"))
     outer = F.max(F.when(F.col("ring") == 0, F.col("odd")))
-    # a point's few rings go to one task, which serves what follows up to the choice of its fire
-    poly = ring.repartition("pid").groupBy("pid", "fire_id", "index_pos", "poly").agg((F.coalesce(outer, F.lit(0)) - F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd"))), F.lit(0))).alias("inside"), F.min("d").alias("d"))
-    return poly.groupBy("pid", "fire_id", "index_pos").agg((F.max("inside") == 1).alias("inside"), F.min("d").alias("dist_m"))
+    poly = ring.groupBy(*one, "poly").agg((F.coalesce(outer, F.lit(0)) - F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd"))), F.lit(0))).alias("inside"), F.min("d").alias("d"))
+    return poly.groupBy(*one).agg((F.max("inside") == 1).alias("inside"), F.min("d").alias("dist_m")).drop("band")
+
+
+def _met_fires(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
+    """pid, fire_id, index_pos, inside, dist_m of the fires that hold a point or, if none does, surely of those within pad_m.
+
+    Fires are dealt to small squares that their padded boxes touch. Of the first fires in a square some hold all of it, as their edges are farther
+    from its middle than its corners; every point there is in the first of these, and no later fire matters to it. So a point is compared
+    with the few fires before that one, however many lie over one another; where no fire holds a square, with all of them.
+    """
+    dlat = pad_m / geo.METRES_PER_DEGREE
+    # the widest degree of longitude in the padded box is that of its northern edge
+    dlon = dlat / F.cos(F.radians(F.greatest(F.abs(F.col("s")), F.abs(F.col("n"))) + dlat))
+    boxes = bounding_boxes(fires, "index_pos").where("w IS NOT NULL")
+    boxes = written(boxes.select(F.col("id").alias("fire_id"), "index_pos", (F.col("w") - dlon).alias("w"), (F.col("s") - dlat).alias("s"), (F.col("e") + dlon).alias("e"), (F.col("n") + dlat).alias("n")), "boxes")
+    sides = written(edges(fires), "edges")
+    (x0, y1), (x1, y0) = _square("n", "w"), _square("s", "e")
+    near = boxes.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
+    whole = near.where((F.col("cx") * SQUARE >= F.col("w")) & ((F.col("cx") + 1) * SQUARE <= F.col("e")) & (F.col("cy") * SQUARE >= F.col("s")) & ((F.col("cy") + 1) * SQUARE <= F.col("n")))
+    rank = F.row_number().over(Window.partitionBy("cx", "cy").orderBy("index_pos"))
+    first = whole.select("cx", "cy", "fire_id", "index_pos").withColumn("rank", rank).where(F.col("rank") <= TRIED)
+    middles = first.select(F.struct("cx", "cy").alias("pid"), ((F.col("cy") + 0.5) * SQUARE).alias("lat"), ((F.col("cx") + 0.5) * SQUARE).alias("lon"), "fire_id")
+    corner_m = SQUARE * geo.METRES_PER_DEGREE * 0.72  # at any latitude more than from the middle to a corner
+    hold = _measured(middles, sides, corner_m * 1.05).where("inside").where(F.col("dist_m") > corner_m)
+    hold = written(hold.groupBy("pid").agg(F.min(F.struct("index_pos", "fire_id")).alias("h")).select("pid.*", F.col("h.index_pos").alias("held_at"), F.col("h.fire_id").alias("holder")), "holders")
+    left = written(near.join(hold, ["cx", "cy"], "left").where("held_at IS NULL OR index_pos < held_at").drop("index_pos", "held_at", "holder"), "near")
+    placed = points.select("pid", "lat", "lon", *_square("lat", "lon"))
+    pairs = placed.join(left, ["cx", "cy"]).where("lat BETWEEN s AND n AND lon BETWEEN w AND e").select("pid", "lat", "lon", "fire_id")
+    sure = placed.join(hold, ["cx", "cy"]).select("pid", F.col("holder").alias("fire_id"), F.col("held_at").alias("index_pos"), F.lit(True).alias("inside"), F.lit(0.0).alias("dist_m"))
+    return _measured(pairs, sides.join(left.select("fire_id").distinct(), "fire_id", "left_semi"), pad_m).select("pid", "fire_id", "index_pos", "inside", "dist_m").unionByName(sure)
 
 
 def points_in_fires(points: DataFrame, fires: DataFrame) -> DataFrame:
     """Pid and the first fire, in index order, that holds the point; points outside all fires are left out."""
-    hit = _measured(points.select("pid", "lat", "lon"), fires, 0.0).where("inside")
+    hit = _met_fires(points, fires, 0.0).where("inside")
     return hit.groupBy("pid").agg(F.min_by("fire_id", "index_pos").alias("fire_id"))
 
 
@@ -85,7 +109,7 @@ def attach_fires(points: DataFrame, fires: DataFrame, max_m: float = 100.0) -> D
 
     points: pid, lat, lon, any further columns. Adds near_fire and dist_m (0 inside).
     """
-    found = _measured(points.select("pid", "lat", "lon"), fires, max_m * 1.5)
+    found = _met_fires(points, fires, max_m * 1.5)
     found = found.withColumn("dist_m", F.when(F.col("inside"), 0.0).otherwise(F.col("dist_m"))).where(F.col("dist_m") <= max_m)
     best = found.groupBy("pid").agg(F.min(F.struct((~F.col("inside")).alias("outside"), "dist_m", "index_pos", "fire_id")).alias("best"))
     return points.join(best.select("pid", F.col("best.fire_id").alias("near_fire"), F.col("best.dist_m").alias("dist_m")), "pid", "left")

@@ -317,3 +317,23 @@ def test_scenes_and_fires_meet_in_cells_of_days(spark):
     want = {(s[0], f[0], p) for s in scenes for f in fires for p, a, b in (("pre", f[1] - datetime.timedelta(8), f[1] - datetime.timedelta(1)), ("post", f[2] + datetime.timedelta(1), f[2] + datetime.timedelta(8))) if a <= s[1] < b and s[2] <= f[5] and s[4] >= f[3] and s[3] <= f[6] and s[5] >= f[4]}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [cx#") == 2
+
+
+def test_points_under_many_fires_meet_few(spark, monkeypatch):
+    """Fires that lie over one another do not multiply the pairs that are compared."""
+    r = random.Random(4)
+    fires = [(k, f"f{k}", [[square(-2 + r.uniform(-0.01, 0.01), 54 + r.uniform(-0.01, 0.01), 0.05)]]) for k in range(120)]
+    points = [(i, r.uniform(53.97, 54.03), r.uniform(-2.03, -1.97)) for i in range(500)]
+    compared, plain = [], spatial._measured
+
+    def counting(pairs, sides, pad_m):
+        compared.append(pairs.where("typeof(pid) = 'bigint'").count())
+        return plain(pairs, sides, pad_m)
+
+    monkeypatch.setattr(spatial, "_measured", counting)
+    table, shapes = spark.createDataFrame(points, "pid long, lat double, lon double"), spark.createDataFrame(fires, FIRE)
+    got = {x["pid"]: x["fire_id"] for x in spatial.points_in_fires(table, shapes).collect()}
+    assert got == {i: next(f for _, f, g in fires if inside(lon, lat, g)) for i, lat, lon in points}
+    assert sum(compared) < 2 * len(points)
+    near = {x["pid"]: (x["near_fire"], x["dist_m"]) for x in spatial.attach_fires(table, shapes).collect()}
+    assert near == {i: (f, 0.0) for i, f in got.items()}
