@@ -101,7 +101,9 @@ def shared_tiles(cover: DataFrame) -> DataFrame:
 
 def shared_nodes(grid: DataFrame) -> DataFrame:
     """Lattice nodes that belong to several fires."""
-    return grid.groupBy("e", "n").agg(F.count_distinct("fire_id").alias("fires")).where("fires > 1")
+    # nodes are dealt out before they are counted: a task that makes very many would else hold all of them in its own table
+    tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grid.select("e", "n", "fire_id").repartition(tasks, "e", "n").groupBy("e", "n").agg(F.count_distinct("fire_id").alias("fires")).where("fires > 1")
 
 
 def grid_summary(grid: DataFrame) -> DataFrame:
