@@ -200,6 +200,9 @@ class Tables:
         sql = _dialect(TABLES[name], "spark")
         # inner tables become subqueries, given ones named parameters: no view is left behind
         inner = {n: self[n] for n in [*TABLES, *GIVEN] if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)}
+        if name == "grid":
+            # a row gives very many, so few small files are no few tasks
+            inner["fire_base"] = inner["fire_base"].repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "index_pos")
         return self.spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}} AS {m[2]}" if m[2] in inner and not re.match(r"\s+(?:AS\s+)?(?!ON|WHERE|GROUP|JOIN|CROSS|UNION|LEFT|ORDER|INNER)[a-z]\w*", sql[m.end():m.end() + 8]) else f"{m[1]} {{{m[2]}}}" if m[2] in inner else m[0], sql), **inner)
 
     def write(self, name: str, path: str) -> None:
