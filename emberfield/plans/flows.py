@@ -138,7 +138,7 @@ def _(t):
     later = rows.where("CAST(substr(uuid, 13) AS BIGINT) % 2 = 0").select("uuid", "status", (F.col("lat") + 1).alias("lat"), F.lit(2).alias("arrived"))
     # the later rows come first, and some of the earlier ones twice
     for batch_id, batch in enumerate((later, rows, rows.where("CAST(substr(uuid, 13) AS BIGINT) % 5 = 0"))):
-        keyed.merge_batch(batch, path, batch_id, ("uuid",), ("arrived",), buckets=8)
+        keyed.merge_batch(batch, path, batch_id, ("uuid",), ("arrived",), buckets=_parts(t, "orders", 8))
     return keyed.read_keyed(t.spark, path, rows.schema).select("uuid", "status", F.round("lat", 6).alias("lat"))
 
 
@@ -181,11 +181,20 @@ def _(t):
 # the streams themselves, over files that arrive a few at a time
 
 
+#: Rows in a file that arrives, or in a bucket, so that no task has many more; below, four files and eight buckets.
+ROWS = 250_000
+
+
+def _parts(t, table, least):
+    """How many files or buckets a given table's rows need, from the counts in its files' footers."""
+    return max(least, -(-t[table].count() // ROWS))
+
+
 def _arriving(t, table, name, files=4):
-    """A stream of a table's rows, dealt to files without order, two files a micro-batch."""
+    """A stream of a table's rows, dealt to files without order, half of them a micro-batch."""
     path = io.scratch(t.spark, name)
     table.repartition(files).write.parquet(path)
-    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(path)
 
 
 def _finish(writer):
@@ -196,21 +205,21 @@ def _finish(writer):
 @query("stream_latest_fix", QUERIES["latest_fix"][1])
 def _(t):
     out, fixes = io.scratch(t.spark, "last"), t["gps_fixes"]
-    _finish(W.stream_latest_fix(_arriving(t, fixes, "fixes"), out, f"{out}-checkpoint", 8))
+    _finish(W.stream_latest_fix(_arriving(t, fixes, "fixes", _parts(t, "events", 4)), out, f"{out}-checkpoint", _parts(t, "events", 8)))
     return keyed.read_keyed(t.spark, out, W.latest_fix(fixes).schema)
 
 
 @query("stream_arrivals", QUERIES["arrivals"][1])
 def _(t):
     out, fixes, targets = io.scratch(t.spark, "met"), t["gps_fixes"], t["nav_targets"]
-    _finish(W.stream_arrivals(_arriving(t, fixes, "fixes"), lambda: targets, out, f"{out}-checkpoint", buckets=8))
+    _finish(W.stream_arrivals(_arriving(t, fixes, "fixes", _parts(t, "events", 4)), lambda: targets, out, f"{out}-checkpoint", buckets=_parts(t, "events", 8)))
     return keyed.read_keyed(t.spark, out, W.arrivals(fixes, targets).schema).withColumn("dist_m", F.round("dist_m", 3))
 
 
 @query("stream_decisions", QUERIES["review_decisions"][1])
 def _(t):
     out, decisions, current, admins = io.scratch(t.spark, "reviews"), t["decisions"], t["measurements"], t["admins"]
-    _finish(W.stream_decisions(_arriving(t, decisions, "decisions"), lambda: current, lambda: admins, out, f"{out}-checkpoint"))
+    _finish(W.stream_decisions(_arriving(t, decisions, "decisions", _parts(t, "orders", 4)), lambda: current, lambda: admins, out, f"{out}-checkpoint"))
     log = t.spark.read.schema(decisions.schema).parquet(f"{out}/log")
     return W.review_decisions(log.select("uuid", "decision", "reviewer", "ts"), current, admins).select("uuid", "status", "reviewed_by")
 
@@ -218,5 +227,5 @@ def _(t):
 @query("stream_measurements", QUERIES["ingest_measurements"][1])
 def _(t):
     out, rows = io.scratch(t.spark, "ingested"), submitted(t).withColumn("arrived", F.col("created_at"))
-    _finish(W.stream_measurements(_arriving(t, rows, "arriving"), out, f"{out}-rejected", f"{out}-checkpoint", 8))
+    _finish(W.stream_measurements(_arriving(t, rows, "arriving", _parts(t, "orders", 4)), out, f"{out}-rejected", f"{out}-checkpoint", _parts(t, "orders", 8)))
     return keyed.read_keyed(t.spark, out, rows.schema).select("uuid", "status", F.round("lat", 6).alias("lat"))

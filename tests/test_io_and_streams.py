@@ -272,3 +272,33 @@ def test_keyset_cursor(spark, t):
         pages += [r["uuid"] for r in rows]
         after = (rows[-1]["created_at"], rows[-1]["uuid"])
     assert len(pages) == len(set(pages)) == t["measurements"].where("created_at IS NOT NULL").count()
+
+
+def test_grids_of_many_fires_are_few_files(spark, tmp_path):
+    grid = spark.range(600).selectExpr("CAST(id AS STRING) AS fire_id", "100 AS spacing", "0 AS node_pos", "id * 100 + 50 AS e", "CAST(50 AS BIGINT) AS n", "54D AS lat", "-2D AS lon", "1 AS sev")
+    io.write_grid(grid, str(tmp_path / "g"))
+    assert len(list((tmp_path / "g").rglob("*.json"))) <= 8
+    assert sorted(map(tuple, io.read_grid(spark, str(tmp_path / "g")).collect())) == sorted(map(tuple, grid.collect()))
+    few = grid.where("e < 300")
+    io.write_grid(few, str(tmp_path / "few"), folders=True)
+    assert sorted(map(tuple, io.read_grid(spark, str(tmp_path / "few")).collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_shared_nodes_are_dealt_before_they_are_counted(spark):
+    from emberfield.operators import packs
+
+    grid = spark.range(100).selectExpr("id % 30 AS e", "id % 2 AS n", "CAST(id % 7 AS STRING) AS fire_id")
+    got = packs.shared_nodes(grid)
+    assert "RepartitionByExpression [e#" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["e"], r["n"]): r["fires"] for r in got.collect()} == {k: n for k, n in ((k, len({i % 7 for i in range(100) if (i % 30, i % 2) == k})) for k in {(i % 30, i % 2) for i in range(100)}) if n > 1}
+
+
+def test_streams_deal_more_rows_to_more_files(spark, tmp_path, monkeypatch):
+    from emberfield.fixtures import Tables
+    from emberfield.plans import flows as plans
+
+    spark.range(25).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert plans._parts(t, "orders", 4) == 4
+    monkeypatch.setattr(plans, "ROWS", 3)
+    assert plans._parts(t, "orders", 4) == 9
