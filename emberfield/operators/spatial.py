@@ -33,6 +33,15 @@ def bounding_boxes(fires: DataFrame, *others: str) -> DataFrame:
     return fires.select("id", *others, part(F.array_min, "lon").alias("w"), part(F.array_min, "lat").alias("s"), part(F.array_max, "lon").alias("e"), part(F.array_max, "lat").alias("n"))
 
 
+def first_perimeters(fires: DataFrame) -> DataFrame:
+    """id, index_pos, geom of the first fire, in index order, of those that have all vertices in common.
+
+    A point lies in, or at a distance from, such fires alike, so the later ones never win. Rows without id or geometry are left out.
+    """
+    first = fires.where("id IS NOT NULL AND geom IS NOT NULL").groupBy("geom").agg(F.min(F.struct("index_pos", "id")).alias("f"))
+    return first.select("f.id", "f.index_pos", "geom")
+
+
 def representative_points(fires: DataFrame) -> DataFrame:
     """The plain mean of all vertices, closing ones and holes included."""
     points = F.flatten(F.flatten("geom"))
@@ -56,12 +65,13 @@ def _measured(pairs: DataFrame, sides: DataFrame, pad_m: float) -> DataFrame:
 
     Edges are rows, dealt into bands of latitude that they span or come near. A point meets the edges of its own band only:
     those that decide parity cross its latitude, and those within pad_m are near it. A pair keeps its fire and band, so it is shuffled once.
+    Dealt edges are many times the rows of their small files, so they are merged, never broadcast.
     """
     dlat = pad_m / geo.METRES_PER_DEGREE
     band = lambda lat: F.floor(lat / BAND)
     low, high = band(F.least("ay", "by") - dlat), band(F.greatest("ay", "by") + dlat)
     dealt = sides.withColumn("band", F.explode(F.sequence(low, high)))
-    met = pairs.withColumn("band", band(F.col("lat"))).join(dealt, ["fire_id", "band"])
+    met = pairs.withColumn("band", band(F.col("lat"))).join(dealt.hint("merge"), ["fire_id", "band"])
     one = ["fire_id", "band", "pid", "index_pos"]
     ring = met.groupBy(*one, "poly", "ring").agg((F.count_if(geo.crosses("lon", "lat")) % 2).alias("odd"), F.min(geo.edge_m("lat", "lon")).alias("d"))
     outer = F.max(F.when(F.col("ring") == 0, F.col("odd")))
@@ -74,8 +84,10 @@ def _met_fires(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
 
     Fires are dealt to small squares that their padded boxes touch. Of the first fires in a square some hold all of it, as their edges are farther
     from its middle than its corners; every point there is in the first of these, and no later fire matters to it. So a point is compared
-    with the few fires before that one, however many lie over one another; where no fire holds a square, with all of them.
+    with the few fires before that one, however many lie over one another; where no fire holds a square, with all of them, but
+    for those that repeat an earlier fire's perimeter. Tables by square are merged: their files are far smaller than their rows.
     """
+    fires = written(first_perimeters(fires), "perimeters")
     dlat = pad_m / geo.METRES_PER_DEGREE
     # the widest degree of longitude in the padded box is that of its northern edge
     dlon = dlat / F.cos(F.radians(F.greatest(F.abs(F.col("s")), F.abs(F.col("n"))) + dlat))
@@ -91,10 +103,10 @@ def _met_fires(points: DataFrame, fires: DataFrame, pad_m: float) -> DataFrame:
     corner_m = SQUARE * geo.METRES_PER_DEGREE * 0.72  # at any latitude more than from the middle to a corner
     hold = _measured(middles, sides, corner_m * 1.05).where("inside").where(F.col("dist_m") > corner_m)
     hold = written(hold.groupBy("pid").agg(F.min(F.struct("index_pos", "fire_id")).alias("h")).select("pid.*", F.col("h.index_pos").alias("held_at"), F.col("h.fire_id").alias("holder")), "holders")
-    left = written(near.join(hold, ["cx", "cy"], "left").where("held_at IS NULL OR index_pos < held_at").drop("index_pos", "held_at", "holder"), "near")
+    left = written(near.join(hold.hint("merge"), ["cx", "cy"], "left").where("held_at IS NULL OR index_pos < held_at").drop("index_pos", "held_at", "holder"), "near")
     placed = points.select("pid", "lat", "lon", *_square("lat", "lon"))
-    pairs = placed.join(left, ["cx", "cy"]).where("lat BETWEEN s AND n AND lon BETWEEN w AND e").select("pid", "lat", "lon", "fire_id")
-    sure = placed.join(hold, ["cx", "cy"]).select("pid", F.col("holder").alias("fire_id"), F.col("held_at").alias("index_pos"), F.lit(True).alias("inside"), F.lit(0.0).alias("dist_m"))
+    pairs = placed.join(left.hint("merge"), ["cx", "cy"]).where("lat BETWEEN s AND n AND lon BETWEEN w AND e").select("pid", "lat", "lon", "fire_id")
+    sure = placed.join(hold.hint("merge"), ["cx", "cy"]).select("pid", F.col("holder").alias("fire_id"), F.col("held_at").alias("index_pos"), F.lit(True).alias("inside"), F.lit(0.0).alias("dist_m"))
     return _measured(pairs, sides.join(left.select("fire_id").distinct(), "fire_id", "left_semi"), pad_m).select("pid", "fire_id", "index_pos", "inside", "dist_m").unionByName(sure)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..functions.storage import written
 from .spatial import attach_fires, attach_grid_nodes
 
 COMBUSTION = ("unburned", "light", "moderate", "near_complete")
@@ -148,11 +149,17 @@ def campaigns(measurements: DataFrame, fires: DataFrame, most: int | None = 10,
     earliest point; newest first. most: how many, or None for all."""
     rows = measurements.select(F.col("uuid").alias("pid"), "fire_id", "lat", "lon", "created_at", "surveyor", "user_id")
     loose = attach_fires(rows.where("fire_id IS NULL"), fires, max_m)
-    rows = rows.where("fire_id IS NOT NULL").unionByName(loose.withColumn("fire_id", F.col("near_fire")).drop("near_fire", "dist_m"))
+    loose = written(loose.withColumn("fire_id", F.col("near_fire")).drop("near_fire", "dist_m"), "loose")
+    rows = rows.where("fire_id IS NOT NULL").unionByName(loose).withColumn("fire_id", F.coalesce("fire_id", F.lit("unassigned")))
     who = F.coalesce(F.nullif(F.col("surveyor"), F.lit("")), F.nullif(F.col("user_id"), F.lit("")), F.lit("?"))
-    first = F.struct("created_at", "pid")
-    out = rows.groupBy(F.coalesce("fire_id", F.lit("unassigned")).alias("fire_id")).agg(F.count("*").alias("n"), F.min("created_at").alias("earliest"), F.max("created_at").alias("latest"), F.count_distinct(who).alias("surveyors"), F.min_by("lat", first).alias("lat"), F.min_by("lon", first).alias("lon"))
-    return out if most is None else out.orderBy(F.desc("latest"), "fire_id").limit(most)
+    out = rows.groupBy("fire_id").agg(F.count("*").alias("n"), F.min("created_at").alias("earliest"), F.max("created_at").alias("latest"), F.count_distinct(who).alias("surveyors"))
+    if most is not None:
+        out = written(out.orderBy(F.desc("latest"), "fire_id").limit(most), "campaigns")
+    # positions are sought when the times are known: all rows with their ids in one aggregation would be sorted, not hashed
+    early = rows.select("pid", "fire_id", "lat", "lon", "created_at").join(out.select("fire_id", "earliest"), "fire_id").where("created_at IS NULL OR created_at = earliest")
+    at = early.groupBy("fire_id").agg(F.min_by(F.struct("lat", "lon"), F.struct("created_at", "pid")).alias("at"))
+    out = out.join(at, "fire_id").select("fire_id", "n", "earliest", "latest", "surveyors", "at.lat", "at.lon")
+    return out if most is None else out.orderBy(F.desc("latest"), "fire_id")
 
 
 def relocate_and_reattach(measurements: DataFrame, fires: DataFrame, grid: DataFrame, admin: str, now: Column | None = None, moved_m: float = 15.0) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from emberfield.fixtures import Tables
+from emberfield.operators import spatial
 from emberfield.sources import io
 
 
@@ -19,3 +20,19 @@ def test_backup_works_rows_out_once(spark, tmp_path):
     assert len(from_json) == 20 and sorted(map(tuple, from_json)) == sorted(map(tuple, from_csv))
     io.write_backup(rows, str(tmp_path / "plain"), "none")
     assert all(p.read_text().startswith("{") for p in (tmp_path / "plain" / "json").glob("part-*") if p.stat().st_size)
+
+
+def _square_fires(spark, n):
+    ring = lambda x, h: [(x - h, 54 - h), (x + h, 54 - h), (x + h, 54 + h), (x - h, 54 + h), (x - h, 54 - h)]
+    kinds = "index_pos int, id string, geom array<array<array<struct<lon:double,lat:double>>>>"
+    return spark.createDataFrame([(k, None if k == 0 else f"f{k}", [[ring(-2.0 + k % 2 / 10, 0.03)]]) for k in range(n)], kinds)
+
+
+def test_fires_that_repeat_a_perimeter_meet_no_point_and_edges_are_not_broadcast(spark):
+    fires = _square_fires(spark, 40)
+    assert sorted((r["id"], r["index_pos"]) for r in spatial.first_perimeters(fires).collect()) == [("f1", 1), ("f2", 2)]
+    points = spark.createDataFrame([("a", 54.0, -2.0), ("b", 54.03 + 0.0005, -1.9), ("c", 54.02999, -1.9), ("d", 55.0, -2.0)], "pid string, lat double, lon double")
+    got = spatial.attach_fires(points, fires)
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "band#" in line or "cx#" in line]
+    assert {r["pid"]: r["near_fire"] for r in got.collect()} == {"a": "f2", "b": "f1", "c": "f1", "d": None}
