@@ -60,11 +60,16 @@ def coordinates(text, bounded: bool = True) -> Column:
     bounded: a decimal pair must not follow on a digit, so 157.12345 holds no 57.12345.
     """
     pattern = (r"(?<!\d)" if bounded else "") + DECIMAL
-    g = lambda k: F.regexp_extract(c(text), DMS, k)
-    deg = lambda a, b, s: g(a).try_cast("double") + g(b).try_cast("double") / 60 + g(s).try_cast("double") / 3600
-    has_dms = g(0) != ""
-    has_dec = F.regexp_extract(c(text), pattern, 0) != ""
-    lat = F.when(has_dms, F.round(deg(1, 2, 3) * F.when(g(4) == "S", -1).otherwise(1), 6)).when(has_dec, F.regexp_extract(c(text), pattern, 1).try_cast("double"))
-    lon = F.when(has_dms, F.round(deg(5, 6, 7) * F.when(g(8) == "W", -1).otherwise(1), 6)).when(has_dec, F.regexp_extract(c(text), pattern, 2).try_cast("double"))
-    kind = F.when(has_dms, "dms").otherwise("decimal")
-    return F.when(in_uk(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon"), kind.alias("kind")))
+
+    def spot(t: Column) -> Column:
+        g = lambda k: F.regexp_extract(t, DMS, k)
+        deg = lambda a, b, s: g(a).try_cast("double") + g(b).try_cast("double") / 60 + g(s).try_cast("double") / 3600
+        part = lambda a, b, s, side, minus: F.round(deg(a, b, s) * F.when(g(side) == minus, -1).otherwise(1), 6)
+        dec = lambda k: F.regexp_extract(t, pattern, k).try_cast("double")
+        dms = F.struct(part(1, 2, 3, 4, "S").alias("lat"), part(5, 6, 7, 8, "W").alias("lon"), F.lit("dms").alias("kind"))
+        decimal = F.struct(dec(1).alias("lat"), dec(2).alias("lon"), F.lit("decimal").alias("kind"))
+        return F.when(g(0) != "", dms).when(F.regexp_extract(t, pattern, 0) != "", decimal)
+
+    # a text, and what is found in it, are elements of arrays, so that neither is worked out again wherever it is named
+    found = F.transform(F.array(c(text)), spot)
+    return F.get(F.filter(found, lambda p: in_uk(p["lat"], p["lon"])), F.lit(0))

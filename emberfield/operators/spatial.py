@@ -130,15 +130,16 @@ def attach_fires(points: DataFrame, fires: DataFrame, max_m: float = 100.0) -> D
 def attach_grid_nodes(points: DataFrame, grid: DataFrame, max_m: float = 60.0) -> DataFrame:
     """The nearest node of a point's fire within max_m, ties by node order, with its rounded distance.
 
-    points: pid, fire_id, lat, lon. Nodes are looked up in cells of at least max_m and their neighbours.
+    points: pid, fire_id, lat, lon. Nodes lie in cells; a point looks into those that its reach touches, of which there are few as a cell is wider.
     """
     cell = max_m * 2 / geo.METRES_PER_DEGREE
-    spot = lambda a, k, d=0: F.floor(F.col(a) / (cell * k)) + d
     nodes = grid.select("fire_id", "node_pos", F.col("e"), F.col("n"), F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), "sev")
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     nodes = nodes.withColumn("cy", F.floor(F.col("node_lat") / cell)).withColumn("cx", F.floor(F.col("node_lon") / (cell * 2)))
-    p = points.select("pid", "fire_id", "lat", "lon").withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around))
-    p = p.withColumn("cy", spot("lat", 1) + F.col("dy")).withColumn("cx", spot("lon", 2) + F.col("dx"))
+    # somewhat more than max_m, as distances are rounded; a degree of longitude is as long as at the point
+    dlat = cell / 2 * 1.0001
+    dlon = dlat / F.cos(F.radians("lat"))
+    touched = lambda a, d, size: F.explode(F.sequence(F.floor((F.col(a) - d) / size), F.floor((F.col(a) + d) / size)))
+    p = points.select("pid", "fire_id", "lat", "lon").withColumn("cy", touched("lat", dlat, cell)).withColumn("cx", touched("lon", dlon, cell * 2))
     pairs = p.join(nodes, ["fire_id", "cx", "cy"]).withColumn("dist", geo.local_m("lat", "lon", "node_lat", "node_lon"))
     best = pairs.groupBy("pid").agg(F.min(F.struct("dist", "node_pos", "e", "n", "sev")).alias("b")).where(F.col("b.dist") <= max_m)
     return best.select("pid", F.concat(F.lit("E"), F.col("b.e"), F.lit(" N"), F.col("b.n")).alias("grid_id"), geo.half_up(F.col("b.dist")).alias("grid_dist_m"), F.col("b.sev").alias("sev"), F.col("b.e").alias("e"), F.col("b.n").alias("n"))

@@ -164,10 +164,11 @@ def campaigns(measurements: DataFrame, fires: DataFrame, most: int | None = 10,
 
 def relocate_and_reattach(measurements: DataFrame, fires: DataFrame, grid: DataFrame, admin: str, now: Column | None = None, moved_m: float = 15.0) -> DataFrame:
     """Rows whose comment holds coordinates more than moved_m away: new position, fire, its name and node, and who moved it when."""
-    found = measurements.withColumn("at", text.coordinates("comment")).where("at IS NOT NULL")
+    # texts are searched once, and fires are met once: both tables are used more than once below
+    found = written(measurements.select(F.col("uuid").alias("pid"), "lat", "lon", text.coordinates("comment").alias("at")).where("at IS NOT NULL"), "found")
     found = found.withColumn("moved_m", geo.local_m("lat", "lon", "at.lat", "at.lon")).where(F.col("moved_m") > moved_m)
-    moved = found.select(F.col("uuid").alias("pid"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), "moved_m")
-    placed = attach_fires(moved, fires).withColumnRenamed("near_fire", "fire_id").drop("dist_m")
+    moved = found.select("pid", F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), "moved_m")
+    placed = written(attach_fires(moved, fires).withColumnRenamed("near_fire", "fire_id").drop("dist_m"), "placed")
     nodes = attach_grid_nodes(placed.where("fire_id IS NOT NULL"), grid).select("pid", "grid_id", "grid_dist_m")
     names = fires.select(F.col("id").alias("fire_id"), text.place_name("commune", "province").alias("fire_name"))
     out = placed.join(nodes, "pid", "left").join(names, "fire_id", "left")

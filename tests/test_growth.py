@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from emberfield.fixtures import Tables
+from emberfield.functions import text
 from emberfield.operators import spatial
 from emberfield.sources import io
 
@@ -36,3 +37,16 @@ def test_fires_that_repeat_a_perimeter_meet_no_point_and_edges_are_not_broadcast
     joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in joins if "band#" in line or "cx#" in line]
     assert {r["pid"]: r["near_fire"] for r in got.collect()} == {"a": "f2", "b": "f1", "c": "f1", "d": None}
+
+
+def test_a_text_is_searched_once(spark):
+    row = spark.createDataFrame([("at 54.5121, -2.5121",)], "comment string").select(text.coordinates("comment").alias("at")).where("at IS NOT NULL AND at.lat > 50")
+    plan = row._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") < 60 and row.first()["at"]["lat"] == 54.5121
+
+
+def test_nodes_within_reach_at_a_high_latitude(spark):
+    lon = 59 / (111_320 * 0.17364817766693033)
+    grid = spark.createDataFrame([("f", k, 0, 0, 80.0, k * lon * 6.83 + (lon if k else -lon), 1) for k in range(2)], "fire_id string, node_pos int, e long, n long, lat double, lon double, sev int")
+    points = spark.createDataFrame([("west", "f", 80.0, 0.0), ("east", "f", 80.0, 6.83 * lon)], "pid string, fire_id string, lat double, lon double")
+    assert {r["pid"]: r["grid_dist_m"] for r in spatial.attach_grid_nodes(points, grid).collect()} == {"west": 59, "east": 59}
