@@ -319,6 +319,26 @@ def test_scenes_and_fires_meet_in_cells_of_days(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [cx#") == 2
 
 
+def test_scenes_of_one_footprint_and_fires_of_one_box_meet_as_lists(spark):
+    """Ids that repeat a footprint and day, or a box and dates, are compared once a list; none is lost, nor one that is null or repeated."""
+    import datetime
+
+    def joined(plan):
+        """Rows that come out of the joins of a plan that has run."""
+        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if plan.nodeName().endswith("QueryStage") else None
+        below = [inner] if inner else [plan.children().apply(k) for k in range(plan.children().size())]
+        return (plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0) + sum(map(joined, below))
+
+    at = lambda k, hour=0: datetime.datetime(2024, 1, 1, hour) + datetime.timedelta(days=k)
+    fires = [(f"f{i}" if i else None, at(10, i % 24), at(12, i % 24), -2.0, 54.0, -1.9, 54.1) for i in range(300)]
+    scenes = [(f"s{i // 2}" if i > 1 else None, at(3 + 16 * (i % 2), i % 24), -2.5, 53.5, -1.5, 54.5) for i in range(600)] + [("late", at(9), -2.5, 53.5, -1.5, 54.5), ("off", at(3), -2.5, 53.5, -2.1, 54.5)]
+    box = "w double, s double, e double, n double"
+    got = raster.scenes_of_fires(spark.createDataFrame(scenes, f"scene_id string, scene_ts timestamp_ntz, {box}"), spark.createDataFrame(fires, f"id string, firedate timestamp_ntz, finaldate timestamp_ntz, {box}"), 8, 8, 1)
+    want = [(s[0], f[0], ("pre", "post")[i % 2]) for i, s in enumerate(scenes[:600]) for f in fires]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) == 180_000
+    assert 0 < joined(got._jdf.queryExecution().executedPlan()) <= 8
+
+
 def test_points_under_many_fires_meet_few(spark, monkeypatch):
     """Fires that lie over one another do not multiply the pairs that are compared."""
     r = random.Random(4)
